@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, quality_rules
+from strandline.llm import bpe, exact_dedup, packing, quality_rules, simhash
 from strandline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.decide(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(table(spark, sf_dir, "documents")).drop("n_lines", "n_stop_words")
 
 
+def _token_digests(_: str, ids: np.ndarray, enc) -> tuple:
+    raw = bpe.decode(ids, enc)
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.with_tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, _token_digests, columns)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
