@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup
+from strandline.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup, warc
 from strandline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.decide(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -51,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -59,6 +65,18 @@ def queries() -> dict[str, Query]:
     }
 
 
+_OP5 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), t AS (
+  SELECT h, max(page_id) AS top FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h
+)
+SELECT p.page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN top IS NOT NULL AND top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> p.page_id THEN top END AS refers_to
+FROM p LEFT JOIN t ON p.h = t.h
+"""
+
 _OP6 = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -106,4 +124,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": _OP6, "op9_quality_rules": _OP9}
+    return {"op5_warc": _OP5, "op6_exact_dedup": _OP6, "op9_quality_rules": _OP9}
