@@ -9,12 +9,16 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup, warc
+from strandline.llm import bpe, exact_dedup, mixture_lid, packing, quality_rules, simhash, suffix_dedup, warc
 from strandline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mixture_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_lid.train_and_predict(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.packed(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -55,6 +59,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_mixture_lid": op2_mixture_lid,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
