@@ -318,7 +318,8 @@ def clusters(prints: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, agree: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, size), "prints")
-    found = clusters(prints, radius, agree).select("fp", "component_id")
+    # as a table of its own, so that the join below is one that adaptive execution can split
+    found = written(clusters(prints, radius, agree).select("fp", "component_id"), "clusters")
     return prints.join(found, "fp").select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
