@@ -8,8 +8,9 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exact_dedup, mixture_lid, packing, quality_rules, simhash, suffix_dedup, warc
+from strandline.llm import bpe, cotraining, exact_dedup, mixture_lid, packing, quality_rules, simhash, suffix_dedup, url_filter, warc
 from strandline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,36 @@ def op2_mixture_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_lid.train_and_predict(table(spark, sf_dir, "documents"))
 
 
+def list_history(pages: DataFrame) -> DataFrame:
+    """Dated entries for the hosts and language paths of ``pages``, by the first page of each."""
+    url = F.col("url")
+    host, step = url_filter.host_of(url), F.element_at(F.split(url_filter.path_of(url), "/"), 2)
+    rules = F.explode(F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("path:"), host, F.lit("/"), step)))
+    first = pages.where(url.isNotNull()).select("page_id", rules.alias("rule")).groupBy("rule").agg(F.min("page_id").alias("p"))
+    some = first.where(F.col("p") % 3 != 2)
+    start = F.to_date(F.lit("2024-01-01"))
+    day = lambda shift: F.date_add(start, ((F.col("p") * 7) % 300 + shift).cast("int"))
+    dated = F.explode(
+        F.array(
+            F.struct(F.lit("add").alias("action"), day(0).alias("day")),
+            F.struct(F.lit("remove").alias("action"), day(45).alias("day")),
+            F.struct(F.lit("add").alias("action"), day(90).alias("day")),
+        )
+    )
+    return some.select("rule", dated.alias("e")).select("rule", "e.action", "e.day")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 365).cast("int"))
+    out = url_filter.judge(pages.select("page_id", "url", day.alias("day")), list_history(pages))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.packed(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -59,6 +90,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_cotraining": op1_cotraining,
+        "op3_url_filter": op3_url_filter,
         "op2_mixture_lid": op2_mixture_lid,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_warc": op5_warc,
@@ -70,6 +103,33 @@ def queries() -> dict[str, Query]:
     }
 
 
+_OP3 = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS steps
+  FROM pages
+), f AS (
+  SELECT rule, min(page_id) AS p FROM (
+    SELECT page_id, 'host:' || host AS rule FROM p
+    UNION ALL SELECT page_id, 'path:' || host || '/' || steps[1] FROM p
+  ) WHERE rule IS NOT NULL GROUP BY rule
+), s AS (
+  SELECT rule, DATE '2024-01-01' + CAST((p * 7) % 300 AS INTEGER) AS d FROM f WHERE p % 3 <> 2
+), iv AS (
+  SELECT rule, d AS since, d + 45 AS until FROM s UNION ALL SELECT rule, d + 90, NULL FROM s
+), keys AS (
+  SELECT page_id, day, 'host:' || host AS rule FROM p
+  UNION SELECT page_id, day, 'path:' || host || '/' || array_to_string(steps[1:i], '/')
+  FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM p)
+), hit AS (
+  SELECT page_id, count(*) AS n, string_agg(keys.rule, ',' ORDER BY keys.rule) AS rules
+  FROM keys JOIN iv ON keys.rule = iv.rule AND since <= day AND (until IS NULL OR day < until) GROUP BY page_id
+)
+SELECT p.page_id, url, CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n_rules, coalesce(rules, '') AS rules, n IS NOT NULL AS blocked
+FROM p LEFT JOIN hit ON p.page_id = hit.page_id
+"""
+
 _OP5 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
@@ -129,4 +189,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": _OP5, "op6_exact_dedup": _OP6, "op9_quality_rules": _OP9}
+    return {"op3_url_filter": _OP3, "op5_warc": _OP5, "op6_exact_dedup": _OP6, "op9_quality_rules": _OP9}
