@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import written
 
 MAX_ROUNDS = 60
+EDGES_PER_FILE = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
         if (new.n, new.h) == mark or new.n == 0:
             break
         mark = (new.n, new.h)
-        now = written(_small_star(_large_star(now)), "edges")
+        # few edges make few files
+        now = written(_small_star(_large_star(now)).coalesce(int(new.n // EDGES_PER_FILE) + 1), "edges")
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

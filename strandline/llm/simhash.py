@@ -39,6 +39,8 @@ SEED = 42
 HOT_BUCKET = 20_000
 LEAF, FAN = 16, 8
 _PENDING = 40_000
+#: Node pairs that are opened at once.
+_PAIRS = 4096
 
 
 # fingerprints
@@ -129,25 +131,41 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over distinct fingerprints in Gray order, for links within a radius."""
-
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        self.fps = fps[self.order]
-        self.levels = []
-        starts = np.arange(0, len(fps), LEAF)
-        ones, zeros = np.bitwise_and.reduceat(self.fps, starts), np.bitwise_and.reduceat(~self.fps, starts)
-        self.levels.append((ones | zeros, ones))
-        while len(ones) > FAN:
-            starts = np.arange(0, len(ones), FAN)
-            ones, zeros = np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts)
-            self.levels.append((ones | zeros, ones))
+    """Hierarchies over the fingerprints of many buckets, each in Gray order, for links within a radius.
+
+    A leaf is a run of up to ``LEAF`` neighbours, an upper node a run of up to
+    ``FAN`` nodes; a node holds the mask of bits that all below it share and
+    their pattern.  All buckets are searched at once, level by level.
+    """
+
+    def __init__(self, fps: np.ndarray, bucket: np.ndarray | None = None):
+        bucket = np.zeros(len(fps), np.int64) if bucket is None else bucket
+        self.order = np.lexsort((gray_rank(fps), bucket))
+        self.fps, of = fps[self.order], bucket[self.order]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # mask, pattern, first child and one more
+        ones, zeros, fan = self.fps, ~self.fps, LEAF
+        while True:
+            edges = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1, [len(of)]])
+            sizes = np.diff(edges)
+            runs = -(-sizes // fan)
+            first = np.repeat(edges[:-1], runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)) * fan
+            ones, zeros = np.bitwise_and.reduceat(ones, first), np.bitwise_and.reduceat(zeros, first)
+            self.levels.append((ones | zeros, ones, np.append(first, len(of))))
+            of, fan = of[first], FAN
+            if runs.max() <= FAN:
+                break
+        # pairs of top nodes within a bucket
+        edges = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1])
+        ends = np.append(edges[1:], len(of))
+        n = np.repeat(ends - edges, ends - edges) - (np.arange(len(of)) - np.repeat(edges, ends - edges))
+        self.a = np.repeat(np.arange(len(of)), n)
+        self.b = self.a + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
     def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of places in ``fps`` as given, at most ``radius`` bits apart."""
+        """Pairs of places in ``fps`` as given, of one bucket, at most ``radius`` bits apart."""
         top = len(self.levels) - 1
-        mask, pattern = self.levels[top]
-        a, b = np.triu_indices(len(mask))
+        mask, pattern, _ = self.levels[top]
+        a, b = self.a, self.b
         seen = mask[a] & mask[b]
         apart = np.bitwise_count((pattern[a] ^ pattern[b]) & seen).astype(np.int64)
         near = apart <= radius
@@ -155,33 +173,37 @@ class GrayIndex:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         while stack:
             level, a, b, apart, seen = stack.pop()
-            if len(a) > 4096:
+            if len(a) > _PAIRS:
                 half = len(a) // 2
-                stack += [(level, a[:half], b[:half], apart[:half], seen[:half]), (level, a[half:], b[half:], apart[half:], seen[half:])]
-            elif level:
-                mask, pattern = self.levels[level - 1]
-                ca, cb, of = self._children(a, b, FAN, len(mask))
+                stack.append((level, a[:half], b[:half], apart[:half], seen[:half]))
+                stack.append((level, a[half:], b[half:], apart[half:], seen[half:]))
+                continue
+            if not len(a):
+                continue
+            ca, cb, of = self._children(level, a, b)
+            if level:
+                mask, pattern, _ = self.levels[level - 1]
                 both = mask[ca] & mask[cb]
                 further = np.bitwise_count((pattern[ca] ^ pattern[cb]) & both & ~seen[of]).astype(np.int64)
                 total = apart[of] + further
                 near = total <= radius
-                if near.any():
-                    stack.append((level - 1, ca[near], cb[near], total[near], both[near]))
-            elif len(a):
-                i, j, _ = self._children(a, b, LEAF, len(self.fps))
-                near = (i < j) & (np.bitwise_count(self.fps[i] ^ self.fps[j]) <= radius)
-                found.append((i[near], j[near]))
+                stack.append((level - 1, ca[near], cb[near], total[near], both[near]))
+            else:
+                near = (ca < cb) & (np.bitwise_count(self.fps[ca] ^ self.fps[cb]) <= radius)
+                found.append((ca[near], cb[near]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         return self.order[i], self.order[j]
 
-    @staticmethod
-    def _children(a: np.ndarray, b: np.ndarray, fan: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, y = (g.ravel() for g in np.meshgrid(np.arange(fan), np.arange(fan), indexing="ij"))
-        ca, cb = (a[:, None] * fan + x).ravel(), (b[:, None] * fan + y).ravel()
-        of = np.repeat(np.arange(len(a)), fan * fan)
-        fine = (ca < n) & (cb < n) & (ca <= cb)
+    def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = self.levels[level][2]
+        na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
+        n = na * nb
+        of = np.repeat(np.arange(len(a)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ca, cb = first[a][of] + k // nb[of], first[b][of] + k % nb[of]
+        fine = ca <= cb
         return ca[fine], cb[fine], of[fine]
 
 
@@ -201,27 +223,14 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return moved, label[moved]
 
 
-def bucket_links(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links between fingerprints that share a bucket; ``group`` is sorted."""
-    edges = np.nonzero(np.diff(group))[0] + 1
-    starts = np.concatenate([[0], edges])
-    sizes = np.diff(np.concatenate([starts, [len(group)]]))
-    size_of = np.repeat(sizes, sizes)
-    left, right = [], []
-    small = np.where(size_of <= LEAF, size_of, 0)
-    for lag in range(1, LEAF):
-        at = np.nonzero(small[:-lag] > lag)[0] if lag < len(small) else np.zeros(0, np.int64)
-        at = at[group[at] == group[at + lag]]
-        at = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= radius]
-        left.append(at)
-        right.append(at + lag)
-    for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-        i, j = GrayIndex(fps[s : s + n]).links(radius)
-        left.append(i + s)
-        right.append(j + s)
-    if not left:
+def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links between fingerprints that share a bucket."""
+    size = np.bincount(bucket)
+    crowd = np.nonzero(size[bucket] > 1)[0]
+    if not len(crowd):
         return fps[:0], fps[:0]
-    member, root = _stars(len(fps), np.concatenate(left), np.concatenate(right))
+    i, j = GrayIndex(fps[crowd], bucket[crowd]).links(radius)
+    member, root = _stars(len(fps), crowd[i], crowd[j])
     return fps[member], fps[root]
 
 
@@ -315,6 +324,51 @@ def clusters(prints: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int
     )
 
 
+def _similar(least: float, size: int):
+    """Whether the shingle sets of columns 2 and 3 have a Jaccard similarity of ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, set[int]] = (None, set())
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                close = []
+                for text, first in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if first != last[0]:
+                        last = first, set(shingle_hashes((first or "").encode(), size))
+                    own = set(shingle_hashes((text or "").encode(), size))
+                    close.append(len(own & last[1]) >= least * len(own | last[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(close)], ["key", "close"])
+
+    return run
+
+
+def survivors(docs: DataFrame, size: int = 5, radius: int = 8, agree: int = 2, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of each component the row with the smallest id (then text hash) stays; any
+    other goes if its shingle set is at least ``similarity`` like that row's,
+    so that a chain of links or a chance agreement of fingerprints costs no
+    document.  Of repeated rows one stays.
+    """
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"))
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
+    prints = written(fingerprints(keyed, size, "_key", "_text"), "prints")
+    found = written(clusters(prints, radius, agree).where("tied OR n > 1").select("fp", "component_id"), "clusters")
+    members = prints.distinct().join(found, "fp").select("key", F.col("component_id").alias("first"))
+    texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
+    crowd = written(texts.join(members, "key").dropDuplicates(["key"]), "crowd")
+    firsts = crowd.where("key = first").select("first", F.col("text").alias("first_text"))
+    pairs = crowd.where("key <> first").join(firsts, "first").select("key", "text", "first_text")
+    gone = pairs.mapInArrow(_similar(similarity, size), "key struct<id:bigint,h:bigint>, close boolean").where("close")
+    again = prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    marks = gone.select("key", F.lit(True).alias("drop")).unionByName(again.select("key", F.lit(False).alias("drop")))
+    marks = written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks")
+    told = keyed.join(marks, keyed._key == marks.key, "left")
+    single = told.where("drop IS NULL").select("_row.*")
+    return single.unionByName(told.where("NOT drop").dropDuplicates(["_key"]).select("_row.*"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, agree: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, size), "prints")
