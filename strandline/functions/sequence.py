@@ -74,10 +74,23 @@ def kmer_array(seq: Column, k: int, step: int = 1) -> Column:
     return F.filter(windows, lambda w: is_dna(w["kmer"]))
 
 
+#: Windows are cut from blocks of this many starts: a substring walks its string from the front.
+BLOCK = 256
+
+
 def kmers(reads: DataFrame, seq: str, k: int, step: int = 1) -> DataFrame:
     """FN08 as a table function: ``reads`` without ``seq``, with pos and kmer."""
     rest = [c for c in reads.columns if c != seq]
-    return reads.select(*rest, F.explode(kmer_array(F.col(seq), k, step)).alias("_w")).select(*rest, "_w.pos", "_w.kmer")
+    s, span = F.col(seq), BLOCK // step * step or step
+    cut = lambda i: F.struct(i.alias("at"), F.substring(s, i + 1, F.lit(span - step + k)).alias("b"))
+    blocks = F.explode(F.transform(F.when(F.length(s) >= k, F.sequence(F.lit(0), F.length(s) - k, F.lit(span))), cut)).alias("_b")
+    b = F.col("_b.b")
+    windows = F.transform(
+        F.sequence(F.lit(0), F.length(b) - k, F.lit(step)),
+        lambda i: F.struct((F.col("_b.at") + i).alias("pos"), F.substring(b, i + 1, F.lit(k)).alias("kmer")),
+    )
+    fine = F.when(is_dna(b), windows).otherwise(F.filter(windows, lambda w: is_dna(w["kmer"])))
+    return reads.select(*rest, blocks).select(*rest, F.explode(fine).alias("_w")).select(*rest, "_w.pos", "_w.kmer")
 
 
 def kmers_both_strands(reads: DataFrame, seq: str, k: int) -> DataFrame:

@@ -14,21 +14,33 @@ def counts(reads: DataFrame, seq: str, k: int) -> DataFrame:
     return kmers(reads.select(seq), seq, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+#: Reference k-mers up to this many are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def _checked(keys: DataFrame) -> DataFrame:
+    """``keys``, marked for broadcasting if they are few: counted, not estimated."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return F.broadcast(keys) if few else keys
+
+
 def matches(reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str, seq: str = "seq", least: int = 1) -> DataFrame:
     """JN01: (read, reference) with the number of distinct k-mers they share, at least ``least``.
 
-    Both sides are made distinct before the join, so a repeated k-mer costs one row.
+    Reads meet the reference before anything is made distinct, so that only
+    k-mers the reference has are ever shuffled.
     """
-    a = kmers(reads.select(read_id, seq), seq, k).select(read_id, "kmer").distinct()
+    a = kmers(reads.select(read_id, seq), seq, k).select(read_id, "kmer")
     b = kmers(reference.select(ref_id, seq), seq, k).select(ref_id, "kmer").distinct()
-    return a.join(b, "kmer").groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    met = a.join(_checked(b), "kmer").distinct()
+    return met.groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def screen(reads: DataFrame, reference: DataFrame, k: int, read_id: str, seq: str = "seq", least: int = 3) -> DataFrame:
     """FLT02: reads with at least ``least`` distinct k-mers of the reference; exact, so there are no false positives."""
-    a = kmers(reads.select(read_id, seq), seq, k).select(read_id, "kmer").distinct()
+    a = kmers(reads.select(read_id, seq), seq, k).select(read_id, "kmer")
     b = kmers(reference.select(seq), seq, k).select("kmer").distinct()
-    hits = a.join(b, "kmer", "left_semi").groupBy(read_id).agg(F.count("*").alias("found"))
+    hits = a.join(_checked(b), "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
     return hits.where(F.col("found") >= least)
 
 
