@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -33,20 +34,20 @@ def murmur32(data: bytes, seed: int = 0) -> int:
     return h ^ h >> 16
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def murmur_finaliser(key: pd.Series) -> pd.Series:
     """FN11 over longs that hold unsigned bits; nulls count as 0."""
     return pd.Series(finalise(key.fillna(0).to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def murmur_seeded(key: pd.Series, seed: pd.Series) -> pd.Series:
     """FN12: the finaliser of key XOR seed."""
     k = key.to_numpy(np.int64).view(np.uint64) ^ seed.to_numpy(np.int64).view(np.uint64)
     return pd.Series(finalise(k).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def murmur_text(text: pd.Series) -> pd.Series:
     """FN13 over UTF-8 text with seed 0."""
     return text.map(lambda t: None if t is None else murmur32(t.encode()))

@@ -32,7 +32,8 @@ def file_events(spark: SparkSession, path: str, schema, per_batch: int = 1, glob
 
 def windowed(events: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "10 minutes", value: str = "value") -> DataFrame:
     """SM06: counts and sums per key and window; rows later than ``late`` are left out once their window has closed."""
-    out = events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    out = timed.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
