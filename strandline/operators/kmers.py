@@ -24,13 +24,23 @@ def _checked(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if few else keys
 
 
+#: Tables under this size are dealt over all cores first: a small file may be a single split.
+SPREAD_BYTES = 1 << 30
+
+
+def _spread(reads: DataFrame) -> DataFrame:
+    """``reads`` over as many partitions as there are cores if moving them costs little; large tables have splits enough."""
+    size = int(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return reads.repartition(reads.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else reads
+
+
 def matches(reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str, seq: str = "seq", least: int = 1) -> DataFrame:
     """JN01: (read, reference) with the number of distinct k-mers they share, at least ``least``.
 
     Reads meet the reference before anything is made distinct, so that only
     k-mers the reference has are ever shuffled.
     """
-    a = kmers(reads.select(read_id, seq), seq, k).select(read_id, "kmer")
+    a = kmers(_spread(reads.select(read_id, seq)), seq, k).select(read_id, "kmer")
     b = kmers(reference.select(ref_id, seq), seq, k).select(ref_id, "kmer").distinct()
     met = a.join(_checked(b), "kmer").distinct()
     return met.groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
@@ -38,7 +48,7 @@ def matches(reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id
 
 def screen(reads: DataFrame, reference: DataFrame, k: int, read_id: str, seq: str = "seq", least: int = 3) -> DataFrame:
     """FLT02: reads with at least ``least`` distinct k-mers of the reference; exact, so there are no false positives."""
-    a = kmers(reads.select(read_id, seq), seq, k).select(read_id, "kmer")
+    a = kmers(_spread(reads.select(read_id, seq)), seq, k).select(read_id, "kmer")
     b = kmers(reference.select(seq), seq, k).select("kmer").distinct()
     hits = a.join(_checked(b), "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
     return hits.where(F.col("found") >= least)
