@@ -30,7 +30,7 @@ SPREAD_BYTES = 1 << 30
 
 def _spread(reads: DataFrame) -> DataFrame:
     """``reads`` over as many partitions as there are cores if moving them costs little; large tables have splits enough."""
-    size = int(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return reads.repartition(reads.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else reads
 
 

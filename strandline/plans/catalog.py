@@ -972,3 +972,202 @@ def cascade_screen(spark, sf):
     two = table(spark, sf, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("id"))
     three = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
     return classify.cascade(keys, (one, "id", 0.1), (two, "id", 0.2), (three, "id", 0.3)).withColumn("confidence", F.round("confidence", 4))
+
+
+# statistics, top-k, streams and programs
+
+
+@query(
+    "index_quality",
+    f"WITH {_REF}, k AS ({_kmers_sql('ref', 'item_id', 15)}), c AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT sum(n)::BIGINT AS entries, count(*) AS distinct_kmers, max(n) AS most, count(*) FILTER (WHERE n = 1) AS single, count(*) FILTER (WHERE regexp_matches(kmer, '[^ACGT]')) AS invalid FROM c",
+)
+def index_quality(spark, sf):
+    """RM40: distribution and integrity of a k-mer index."""
+    c = kmers.counts(reference(spark, sf), "seq", 15)
+    one = lambda x: F.sum(x.cast("long"))
+    return c.agg(
+        F.sum("n").alias("entries"), F.count("*").alias("distinct_kmers"), F.max("n").alias("most"), one(F.col("n") == 1).alias("single"), one(~Q.is_dna(F.col("kmer"))).alias("invalid")
+    )
+
+
+@query(
+    "minimizer_stats",
+    f"WITH {_CK}, m AS (SELECT * FROM (SELECT *, min(h) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS x FROM k) WHERE h = x) SELECT count(*) AS total, count(DISTINCT kmer) AS distinct_minimizers, round(count(*) / count(DISTINCT item_id), 4) AS per_read FROM m",
+)
+def minimizer_stats(spark, sf):
+    """AG43."""
+    m = minimizers.local_minima(_canonical(spark, sf), "item_id")
+    return m.agg(F.count("*").alias("total"), F.count_distinct("kmer").alias("distinct_minimizers"), F.round(F.count("*") / F.count_distinct("item_id"), 4).alias("per_read"))
+
+
+@query("top_kmers", f"WITH {_REF} SELECT kmer, count(*) AS n FROM ({_kmers_sql('ref', 'item_id', 6)}) GROUP BY kmer ORDER BY n DESC, kmer LIMIT 20")
+def top_kmers(spark, sf):
+    """ST03, ST04: a top-k report."""
+    return kmers.counts(reference(spark, sf), "seq", 6).orderBy(F.desc("n"), "kmer").limit(20)
+
+
+@query(
+    "uniqueness_buckets",
+    f"WITH {_REF}, k AS ({_kmers_sql('ref', 'item_id', 6)}), u AS (SELECT kmer, count(DISTINCT item_id) / (SELECT count(DISTINCT item_id) FROM k) AS f FROM k GROUP BY kmer) SELECT CASE WHEN f <= 0.01 THEN 255 WHEN f <= 0.05 THEN 200 WHEN f <= 0.2 THEN 150 WHEN f <= 0.5 THEN 100 ELSE 50 END AS score, count(*) AS n FROM u GROUP BY 1",
+)
+def uniqueness_buckets(spark, sf):
+    """AG34."""
+    k = Q.kmers(reference(spark, sf), "seq", 6)
+    total = k.select("item_id").distinct().count()
+    u = k.groupBy("kmer").agg((F.count_distinct("item_id") / total).alias("f"))
+    return u.groupBy(features.bucket_score(F.col("f")).alias("score")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "kmer_complexity",
+    f"WITH {_REF}, k AS ({_kmers_sql('ref', 'item_id', 15)}) SELECT item_id, sum(list_sum(list_transform(range(1, 15), lambda i: CASE WHEN substr(kmer, i, 1) <> substr(kmer, i + 1, 1) THEN 1 ELSE 0 END)))::BIGINT AS transitions, count(*) FILTER (WHERE regexp_matches(kmer, 'A{{5}}|C{{5}}|G{{5}}|T{{5}}')) AS runs FROM k GROUP BY item_id",
+)
+def kmer_complexity(spark, sf):
+    """FN31: places where neighbours differ, and runs of a third of the k-mer."""
+    k = Q.kmers(reference(spark, sf), "seq", 15)
+    run = Q.is_homopolymer(F.col("kmer"), 15, 0.3).cast("long")
+    return k.groupBy("item_id").agg(F.sum(Q.transitions(F.col("kmer"))).alias("transitions"), F.sum(run).alias("runs"))
+
+
+@query("combined_ids", "SELECT r_name AS species, n_name AS gene, CAST(row_number() OVER (ORDER BY r_name, n_name) - 1 AS INTEGER) AS id FROM region, nation")
+def combined_ids(spark, sf):
+    """JN22: every pair of two small dimensions with a dense id."""
+    from pyspark.sql import Window
+
+    both = table(spark, sf, "region").select(F.col("r_name").alias("species")).crossJoin(table(spark, sf, "nation").select(F.col("n_name").alias("gene")))
+    return both.withColumn("id", F.row_number().over(Window.orderBy("species", "gene")) - 1)
+
+
+@query(
+    "best_sequences",
+    """WITH s AS (SELECT item_id % 7 AS grp, item_id, CASE WHEN length(text) BETWEEN 50 AND 1000 THEN 10.0 WHEN length(text) BETWEEN 20 AND 50 OR length(text) BETWEEN 1001 AND 2000 THEN 5.0 ELSE 0.0 END
+      + CASE WHEN length(regexp_replace(text, '[^WCM]', '', 'g')) / length(text) < 0.1 THEN 5.0 ELSE 0.0 END + CASE WHEN item_id % 3 = 0 THEN 20.0 ELSE 0.0 END AS quality FROM benchmark)
+    SELECT grp, item_id, CAST(quality AS DOUBLE) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY quality DESC, item_id) AS r FROM s) WHERE r = 1""",
+)
+def best_sequences(spark, sf):
+    """ST10, FN43: the best wild-type candidate of each group."""
+    s = table(spark, sf, "benchmark").select((F.col("item_id") % 7).alias("grp"), "item_id", G.sequence_quality(F.col("text"), F.col("item_id") % 3 == 0).alias("quality"))
+    return kmers.first_n(s, ["grp"], [F.desc("quality"), F.col("item_id")], 1)
+
+
+@query("best_row_per_gene", "SELECT l_partkey AS gene_id, l_orderkey AS read_id, l_quantity AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def best_row_per_gene(spark, sf):
+    """ST11, WN08."""
+    t = table(spark, sf, "lineitem")
+    return kmers.first_n(t, ["l_partkey"], [F.desc("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")], 1).select(
+        F.col("l_partkey").alias("gene_id"), F.col("l_orderkey").alias("read_id"), F.col("l_quantity").alias("score")
+    )
+
+
+@query(
+    "mutation_codes",
+    "SELECT p_partkey AS id, chr(CAST(65 + p_partkey % 26 AS INTEGER)) || p_size || chr(CAST(65 + p_partkey * 7 % 26 AS INTEGER)) AS code, chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS wild, p_size AS pos, chr(CAST(65 + p_partkey * 7 % 26 AS INTEGER)) AS mutant FROM part",
+)
+def mutation_codes(spark, sf):
+    """FN28, FN45: codes made and taken apart again."""
+    letter = lambda c: F.chr(F.lit(65) + c % 26)
+    p = F.col("p_partkey")
+    t = table(spark, sf, "part").select(p.alias("id"), G.mutation_code(letter(p), F.col("p_size"), letter(p * 7)).alias("code"))
+    return t.withColumn("m", G.parse_mutation(F.col("code"))).select("id", "code", "m.wild", "m.pos", "m.mutant")
+
+
+@query(
+    "region_membership",
+    "SELECT g AS gene, count(*) FILTER (WHERE (g = 'gyrA' AND pos BETWEEN 67 AND 106) OR (g = 'gyrB' AND pos BETWEEN 426 AND 464) OR (g = 'parC' AND pos BETWEEN 64 AND 102) OR (g = 'parE' AND pos BETWEEN 410 AND 450)) AS inside, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'gyrA' WHEN 1 THEN 'gyrB' WHEN 2 THEN 'parC' ELSE 'parE' END AS g, p_size * 9 + 50 AS pos FROM part) GROUP BY g",
+)
+def region_membership(spark, sf):
+    """FLT11, RM02."""
+    gene = F.element_at(F.array(*(F.lit(g) for g in ("gyrA", "gyrB", "parC", "parE"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    t = table(spark, sf, "part").select(gene.alias("gene"), (F.col("p_size") * 9 + 50).alias("pos"))
+    return t.groupBy("gene").agg(F.sum(G.in_qrdr(F.col("gene"), F.col("pos")).cast("long")).alias("inside"), F.count("*").alias("n"))
+
+
+@query("taxon_related", _LCA + ", l AS (SELECT a, b, min(sa) AS ua, first(sb ORDER BY sa) AS ub FROM m GROUP BY a, b) SELECT a, b, ua <= 1 AND ub <= 1 AS related FROM l")
+def taxon_related(spark, sf):
+    """GR10."""
+    out = taxonomy.lca_pairs(_supplier_pairs(spark, sf), taxonomy.closure(taxa(spark, sf), 2))
+    return out.select("a", "b", taxonomy.related(F.col("up_a"), F.col("up_b"), 1).alias("related"))
+
+
+_HOURLY = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"
+
+
+@query("windowed_events", _HOURLY)
+def windowed_events(spark, sf):
+    """SM06 over a table."""
+    from strandline.streaming import jobs
+
+    out = jobs.windowed(table(spark, sf, "events"), "ts", ["event_type"])
+    return out.withColumn("total", F.round("total", 2)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("streamed_events", _HOURLY)
+def streamed_events(spark, sf):
+    """SM01, SM06: the same aggregate as a file stream, run until all files are read."""
+    import uuid
+
+    from strandline.streaming import jobs
+
+    schema = table(spark, sf, "events").schema
+    live = jobs.windowed(jobs.file_events(spark, sf, schema, glob="events.parquet"), "ts", ["event_type"], late="400 days")
+    name = "events_" + uuid.uuid4().hex
+    q = live.writeStream.outputMode("complete").format("memory").queryName(name).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).withColumn("total", F.round("total", 2)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "job_routing",
+    """WITH e AS (SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'Connection refused' WHEN 'click' THEN 'Corrupted file' ELSE 'odd' END AS msg, CAST(event_id % 3 AS INTEGER) AS code, CAST(user_id % 5 AS INTEGER) AS retries FROM events),
+    k AS (SELECT *, CASE WHEN msg = 'Corrupted file' THEN 'permanent' WHEN msg = 'Connection refused' THEN 'transient' WHEN code IN (1, 2) THEN 'permanent' ELSE 'unknown' END AS kind FROM e)
+    SELECT kind, CASE WHEN kind <> 'permanent' AND retries < 3 THEN 'retry' ELSE 'dead' END AS verdict, count(*) AS n FROM k GROUP BY ALL""",
+)
+def job_routing(spark, sf):
+    """SM03, SM04, SNK25."""
+    from strandline.streaming import jobs
+
+    t = F.col("event_type")
+    e = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("job_id"), F.when(t == "error", "Connection refused").when(t == "click", "Corrupted file").otherwise("odd").alias("message"),
+        (F.col("event_id") % 3).cast("int").alias("code"), (F.col("user_id") % 5).cast("int").alias("retries"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return jobs.routed(e).groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+
+
+@query("program_abundance", f"WITH {_HITS} SELECT gene_id, count(*) AS reads, round(count(*) / (SELECT count(*) FROM hits WHERE score >= 10), 8) AS share FROM hits WHERE score >= 10 GROUP BY gene_id")
+def program_abundance(spark, sf):
+    """UX01-UX07: a program of the pipeline language."""
+    from strandline.plans import dsl
+
+    text = """
+    pipeline Abundance {
+        input: { hits: csv_file }
+        stage count { kept = good(hits) { least: 10 } shares = calculate_abundance(kept) emit: shares }
+    }"""
+    out = dsl.run(text, {"hits": hits(spark, sf)}, functions={"good": lambda d, least: d.where(F.col("score") >= least)})
+    return out.emitted["shares"].withColumn("share", F.round("share", 8))
+
+
+@query(
+    "quality_filtered_hits",
+    f"WITH {_HITS} SELECT count(*) AS n, count(*) FILTER (WHERE score >= 30 AND identity >= 0.95) AS passed FROM hits",
+)
+def quality_filtered_hits(spark, sf):
+    """FLT06, FLT08, FLT13: thresholds on matches."""
+    h = hits(spark, sf).withColumn("fine", (F.col("score") >= 30) & (F.col("identity") >= 0.95))
+    return h.agg(F.count("*").alias("n"), F.sum(F.col("fine").cast("long")).alias("passed"))
+
+
+@query(
+    "organism_profiles",
+    f"""WITH {_HITS}, p AS (SELECT taxon, count(*) AS hits, sum(identity) AS w, count(DISTINCT gene_id) AS k, count(DISTINCT read_id) AS reads FROM hits GROUP BY taxon)
+    SELECT taxon AS organism, hits, k AS kmers, reads, round(w / sum(w) OVER (), 6) AS abundance, round(k / 5000.0, 6) AS breadth,
+    round(least(1.0, log10(hits + 1) / 3.0) * least(1.0, 10 * k / 5000.0), 6) AS confidence FROM p""",
+)
+def organism_profiles(spark, sf):
+    """AG29, AG47, FLT17."""
+    m = hits(spark, sf).select(F.col("taxon").alias("organism"), F.col("identity").alias("weight"), F.col("gene_id").alias("kmer"), "read_id")
+    sizes = m.select("organism").distinct().withColumn("size", F.lit(5000.0))
+    r = lambda c: F.round(c, 6).alias(c)
+    return classify.profiles(m, sizes).select("organism", "hits", "kmers", "reads", r("abundance"), r("breadth"), r("confidence"))
