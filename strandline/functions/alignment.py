@@ -15,34 +15,63 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import RESIDUES
 
-#: The BLOSUM62 matrix in the order of ``RESIDUES``.
-BLOSUM62_TEXT = """
-4 -1 -2 -2 0 -1 -1 0 -2 -1 -1 -1 -1 -2 -1 1 0 -3 -2 0 -2 -1 0 -4
--1 5 0 -2 -3 1 0 -2 0 -3 -2 2 -1 -3 -2 -1 -1 -3 -2 -3 -1 0 -1 -4
--2 0 6 1 -3 0 0 0 1 -3 -3 0 -2 -3 -2 1 0 -4 -2 -3 3 0 -1 -4
--2 -2 1 6 -3 0 2 -1 -1 -3 -4 -1 -3 -3 -1 0 -1 -4 -3 -3 4 1 -1 -4
-0 -3 -3 -3 9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
--1 1 0 0 -3 5 2 -2 0 -3 -2 1 0 -3 -1 0 -1 -2 -1 -2 0 3 -1 -4
--1 0 0 2 -4 2 5 -2 0 -3 -3 1 -2 -3 -1 0 -1 -3 -2 -2 1 4 -1 -4
-0 -2 0 -1 -3 -2 -2 6 -2 -4 -4 -2 -3 -3 -2 0 -2 -2 -3 -3 -1 -2 -1 -4
--2 0 1 -1 -3 0 0 -2 8 -3 -3 -1 -2 -1 -2 -1 -2 -2 2 -3 0 0 -1 -4
--1 -3 -3 -3 -1 -3 -3 -4 -3 4 2 -3 1 0 -3 -2 -1 -3 -1 3 -3 -3 -1 -4
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4 -2 2 0 -3 -2 -1 -2 -1 1 -4 -3 -1 -4
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5 -1 -3 -1 0 -1 -3 -2 -2 0 1 -1 -4
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5 0 -2 -1 -1 -1 -1 1 -3 -1 -1 -4
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6 -4 -2 -2 1 3 -1 -3 -3 -1 -4
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7 -1 -1 -4 -3 -2 -2 -1 -2 -4
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4 1 -3 -2 -2 0 0 0 -4
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5 -2 -2 0 -1 -1 0 -4
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11 2 -3 -4 -3 -2 -4
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7 -1 -3 -2 -1 -4
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4 -3 -2 -1 -4
--2 -1 3 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4 1 -1 -4
--1 0 0 1 -3 3 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -3 -2 -2 1 4 -1 -4
-0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2 0 0 -2 -1 -1 -1 -1 -1 -4
--4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 1
+#: BLOSUM62 for the twenty residues in the order of ``RESIDUES``, one row per residue up to itself.
+BLOSUM62_LOWER = """
+4
+-1 5
+-2 0 6
+-2 -2 1 6
+0 -3 -3 -3 9
+-1 1 0 0 -3 5
+-1 0 0 2 -4 2 5
+0 -2 0 -1 -3 -2 -2 6
+-2 0 1 -1 -3 0 0 -2 8
+-1 -3 -3 -3 -1 -3 -3 -4 -3 4
+-1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
 """
-BLOSUM62 = np.array(BLOSUM62_TEXT.split(), np.int64).reshape(24, 24)
+
+#: Scores of the ambiguous residues B and Z that the rule in ``_blosum62`` does not give.
+AMBIGUOUS_SCORES = {"BK": 0, "BP": -2, "ZC": -3}
+
+
+def _blosum62() -> np.ndarray:
+    """The whole matrix.
+
+    B is N or D, Z is Q or E: their scores are the mean of both, the second
+    weighing more, rounded half up.  X scores -1, but 0 with A, S and T and -2
+    with C, P and W.  A stop scores -4, with itself 1.
+    """
+    out = np.zeros((24, 24))
+    for i, row in enumerate(BLOSUM62_LOWER.split("\n")[1:-1]):
+        out[i, : i + 1] = out[: i + 1, i] = [int(x) for x in row.split()]
+    either = {"B": ("N", "D"), "Z": ("Q", "E")}
+    at = RESIDUES.index
+    for columns in (range(20), (at("B"), at("Z"))):
+        for r, (a, b) in either.items():
+            for j in columns:
+                out[at(r), j] = 0.3 * out[at(a), j] + 0.7 * out[at(b), j]
+                if j < 20:
+                    out[j, at(r)] = out[at(r), j]
+    for pair, score in AMBIGUOUS_SCORES.items():
+        out[at(pair[0]), at(pair[1])] = out[at(pair[1]), at(pair[0])] = score
+    x, stop = at("X"), at("*")
+    for j, c in enumerate(RESIDUES):
+        out[x, j] = out[j, x] = 0 if c in "AST" else -2 if c in "CPW" else -1
+    out[stop, :] = out[:, stop] = -4
+    out[stop, stop] = 1
+    return np.floor(out + 0.5).astype(np.int64)
+
+
+BLOSUM62 = _blosum62()
 
 _INDEX = np.full(256, RESIDUES.index("X"), np.int64)
 _INDEX[np.frombuffer(RESIDUES.encode(), np.uint8)] = np.arange(len(RESIDUES))

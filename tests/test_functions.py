@@ -164,3 +164,11 @@ def test_alignment_columns(spark):
     rows = spark.createDataFrame([("AAAASSSSSSSSAA", "AAAASSSSSSSSTA", 4, 4)], "q string, t string, i int, j int")
     m = rows.select(A.seed_extension(8, 3, 30, False)("q", "t", "i", "j").alias("m")).head().m
     assert (m.query_start, m.length, [(x.pos, x.ref, x.alt) for x in m.mutations]) == (0, 14, [(12, "T", "A")])
+
+
+def test_scoring_matrix():
+    at = Q.RESIDUES.index
+    score = lambda a, b: int(A.BLOSUM62[at(a), at(b)])
+    assert (A.BLOSUM62 == A.BLOSUM62.T).all()
+    want = {"WW": 11, "CC": 9, "BN": 3, "BD": 4, "BB": 4, "ZE": 4, "ZQ": 3, "ZZ": 4, "BZ": 1, "XX": -1, "XA": 0, "XC": -2, "**": 1, "*A": -4, "BK": 0, "ZK": 1}
+    assert {k: score(*k) for k in want} == want
