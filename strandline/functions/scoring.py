@@ -43,9 +43,9 @@ def fragment_length(r1_start: Column, r2_end: Column) -> Column:
 
 
 def fragment_probability(length: Column, mean: Column, sd: Column) -> Column:
-    """FN37: exp(-z*z/2) within [0.01, 1]."""
+    """FN37: exp(-z*z/2) within [0.01, 1]; null without a length (greatest and least would pass over it)."""
     z = (length - mean) / sd
-    return F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.exp(-z * z / 2)))
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.exp(-z * z / 2))))
 
 
 def variant_confidence(count: Column, depth: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scoring import fragment_length, fragment_probability
+
 SIMILARITY_WEIGHT = 0.3
 PRIOR_SHARE = 0.1
 
@@ -91,6 +93,17 @@ def pairs(hits: DataFrame) -> DataFrame:
     return one.join(two, ["pair_id", "gene_id"], "full_outer")
 
 
+def pair_candidates(hits: DataFrame, mean: float, sd: float) -> DataFrame:
+    """AG12: (read_id, gene_id, score) of pairs: both mates' scores, doubled or halved by concordance, and once
+    by the fragment's probability where both mates hit; mates that do not follow each other get the least."""
+    both = F.col("h1").isNotNull() & F.col("h2").isNotNull()
+    length = fragment_length(F.col("h1.ref_start"), F.col("h2.ref_end"))
+    p = F.coalesce(fragment_probability(length, F.lit(mean), F.lit(sd)), F.lit(0.01))
+    total = F.coalesce("h1.score", F.lit(0.0)) + F.coalesce("h2.score", F.lit(0.0))
+    score = total * F.when(both, 2.0 * p).otherwise(0.5)
+    return pairs(hits).select(F.col("pair_id").alias("read_id"), "gene_id", score.alias("score"))
+
+
 def concordance(hits: DataFrame) -> DataFrame:
     """JN11, JN12: both mates on a gene double the score, else it is halved; strict, so one mate alone never counts twice."""
     over = Window.partitionBy("pair_id", "gene_id")

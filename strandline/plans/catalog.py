@@ -441,6 +441,23 @@ def em_family_rollup(spark, sf):
     return out.select("family", F.round("reads", 2).alias("reads"), "genes")
 
 
+_PAIRED = _em_round(1).replace("coalesce(reads, 0)", "2 * coalesce(reads, 0)").replace("coalesce(p1.reads, 0)", "2 * coalesce(p1.reads, 0)")
+
+
+@query(
+    "em_paired_abundance",
+    f"""WITH {_HITS}, b AS (SELECT pair_id, gene_id, is_r2, max(struct_pack(s := score, a := ref_start, e := ref_end)) AS h FROM hits GROUP BY ALL),
+    j AS (SELECT coalesce(x.pair_id, y.pair_id) AS read_id, coalesce(x.gene_id, y.gene_id) AS gene_id, x.h AS h1, y.h AS h2 FROM (SELECT * FROM b WHERE NOT is_r2) x FULL JOIN (SELECT * FROM b WHERE is_r2) y ON x.pair_id = y.pair_id AND x.gene_id = y.gene_id),
+    cand AS (SELECT read_id, gene_id, (coalesce(h1.s, 0) + coalesce(h2.s, 0)) * CASE WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN 2.0 * CASE WHEN h2.e > h1.a THEN greatest(0.01, least(1.0, exp(-pow(((h2.e - h1.a) * 3 - 75) / 30.0, 2) / 2))) ELSE 0.01 END ELSE 0.5 END AS score FROM j),
+    s0 AS (SELECT gene_id, length, prior, family, 0.0 AS reads, 0.7 * prior + 0.3 * avg(prior) OVER (PARTITION BY family) AS abundance FROM genes), {_PAIRED}
+    SELECT gene_id, round(reads, 3) AS reads, round(abundance, 2) AS abundance FROM s1""",
+)
+def em_paired_abundance(spark, sf):
+    """AG12, AG13: one round over pairs, each counting two reads."""
+    out = em.run(em.pair_candidates(hits(spark, sf), 75.0, 30.0), genes(spark, sf), rounds=1, tolerance=0, reads_each=2.0)
+    return out.select("gene_id", F.round("reads", 3).alias("reads"), F.round("abundance", 2).alias("abundance"))
+
+
 # alleles
 
 

@@ -67,6 +67,22 @@ def to_folder(path: str) -> Sink:
     return write
 
 
+def to_kafka(servers: str, topic: str, key: str = "job_id") -> Sink:
+    """SNK24: a sink that publishes each row as JSON under its key."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+        rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+    return write
+
+
+def progress(updates: DataFrame) -> DataFrame:
+    """FN42, FN46: updates as JSON records with a formatted time."""
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return updates.select("job_id", F.to_json(F.struct("stage", "progress", "message", at.alias("timestamp"))).alias("record"))
+
+
 def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], done: Sink, retry: Sink, dead: Sink, checkpoint: str) -> StreamingQuery:
     """SM02, SM04, SNK25: ``work`` adds message and code to each job (code 0: success); failures go to retry or dead."""
 

@@ -123,3 +123,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     hit = spark.createDataFrame([(1, "g", 4, 24, False)], "read_id long, gene_name string, ref_start int, ref_end int, is_r2 boolean")
     assert sinks.sam_lines(hit).head().value.split("\t")[:6] == ["1", "99", "g", "5", "255", "20M"]
+
+
+def test_synthetic_reads(spark):
+    from strandline.functions.sequence import reverse_complement
+    from strandline.sources import synthetic
+
+    rng = random.Random(1)
+    seq = "".join(rng.choice("ACGT") for _ in range(2000))
+    r = synthetic.paired_reads(spark.createDataFrame([(1, seq), (2, "ACGT")], "genome_id int, seq string"), 40).withColumn("back", reverse_complement(F.col("seq_2"))).collect()
+    assert len(r) == 40
+    for x in r:
+        assert 350 <= x.insert <= 1000 and seq[x.start : x.start + 150] == x.seq_1 and seq[x.start + x.insert - 150 : x.start + x.insert] == x.back

@@ -107,3 +107,8 @@ def test_latest(spark):
     rows = [("j", "a", 0.1, "x", dt.datetime(2024, 1, 1)), ("j", "b", 0.2, "y", dt.datetime(2024, 1, 2))]
     r = jobs.latest(spark.createDataFrame(rows, "job_id string, stage string, progress double, message string, ts timestamp")).head()
     assert (r.stage, r.progress) == ("b", 0.2)
+
+
+def test_progress(spark):
+    r = jobs.progress(spark.createDataFrame([job(1, "half", 0, 0)], jobs.JOB)).head()
+    assert '"stage":"run"' in r.record and '"timestamp":"2024-01-01 00:00:00"' in r.record
