@@ -17,14 +17,16 @@ MAX_ROUNDS = 60
 EDGES_PER_FILE = 200_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, files: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # as a table, so that the join shuffles both sides and a hub's partition can be split
+    low = written(low.coalesce(files), "lows")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, files: int) -> DataFrame:
+    low = written(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "lows")
     out = edges.join(low, "u").select(
         F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
     )
@@ -44,7 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = (new.n, new.h)
         # few edges make few files
-        now = written(_small_star(_large_star(now)).coalesce(int(new.n // EDGES_PER_FILE) + 1), "edges")
+        files = int(new.n // EDGES_PER_FILE) + 1
+        large = written(_large_star(now, files).coalesce(files), "edges")
+        now = written(_small_star(large, files).coalesce(files), "edges")
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
