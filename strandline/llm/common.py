@@ -51,5 +51,5 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def table_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for ``df``: file sizes for a plain scan, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's size estimate for ``df``: the size of its files for a plain scan, without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -21,7 +21,9 @@ where its outcome is open:
    each depth tell which SPAN-byte strings around the core are shared.
 5. Every pack gets its verdicts and cuts its texts.
 
-Scale: hot strings are one entry per pack and bucket, and a core with more than
+Scale: packs and buckets grow with the square root of the corpus, from 8 and 4 MB
+to 512 and 256 MB of text, so that a row between a pack and a bucket stays worth
+its overhead; hot strings are one entry per pack and bucket, and a core with more than
 ``HOT_CORE`` regions is settled string by string through the same buckets
 instead of one sort.  Two joins move the compressed packs; nothing goes to the
 driver but the corpus size and whether hot cores exist.
@@ -34,6 +36,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,15 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import table_bytes, written
 
 SPAN = 200
 WINDOW = 64
 CORE = SPAN - WINDOW + 1
 SIDE = WINDOW - 1
 HOT_CORE = 20_000
-PACK_BYTES = 8 << 20
-BUCKET_BYTES = 4 << 20
+PACK_BYTES, MAX_PACK_BYTES = 8 << 20, 512 << 20
 _SECTION = 1 << 17
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -148,7 +150,12 @@ def anchors(
 # packs
 
 
-def packs(docs: DataFrame, key: str = "doc_id", text: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
+def pack_size(docs: DataFrame) -> int:
+    """Bytes of text per pack, from the optimizer's size estimate: about 8 KB for each pack there will be."""
+    return min(MAX_PACK_BYTES, max(PACK_BYTES, math.isqrt(table_bytes(docs) << 13)))
+
+
+def packs(docs: DataFrame, pack_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of about ``pack_bytes`` of texts: pack, keys, lengths, size, data (compressed)."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -594,15 +601,16 @@ def _for_packs(verdicts: DataFrame, *columns: str) -> DataFrame:
 
 def deduplicated(
     docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False,
-    hot_core: int = HOT_CORE, pack_bytes: int = PACK_BYTES,
+    hot_core: int = HOT_CORE, pack_bytes: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256[, kept_text].
 
     ``kept_text`` joins the bytes that stay; a character cut in half goes.
     """
-    base = packs(docs, key, text, pack_bytes)
+    pack_bytes = pack_bytes or pack_size(docs)
+    base = packs(docs, pack_bytes, key, text)
     size = base.agg(F.sum("size")).head()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    buckets = max(1, -(-size // (max(PACK_BYTES, pack_bytes) // 2)))
     judge = lambda entries: written(entries.groupBy("bucket").applyInArrow(_judge(hot_core), _VERDICT), "verdicts")
     plain = base.select("pack", "lengths", "size", "data")
     verdicts = judge(plain.mapInArrow(_anchor_entries(buckets), _ENTRY))
