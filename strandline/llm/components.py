@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without a link to another value do not appear.
     """
     flat = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, mark = written(flat, "edges"), None
+    now, mark = written(flat, "edges", few=True), None
     for _ in range(MAX_ROUNDS):
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()
         if (new.n, new.h) == mark or new.n == 0:

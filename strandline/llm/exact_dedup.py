@@ -205,10 +205,10 @@ def groups(docs: DataFrame, is_history: Column | None = None) -> tuple[DataFrame
     if is_history is None:
         is_history = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), is_history.alias("old"))
-    rows = written(rows.groupBy("digest", "doc_id", "old").agg(F.count("*").alias("n")), "digests")
+    rows = written(rows.groupBy("digest", "doc_id", "old").agg(F.count("*").alias("n")), "digests", few=True)
     old, new = grouped(rows.where("old")), grouped(rows.where("NOT old"))
     shards = max(1, -(-rows.where("old").count() // SHARD_DIGESTS))
-    found = written(probe(new, build_index(old, shards), shards), "digest-groups")
+    found = written(probe(new, build_index(old, shards), shards), "digest-groups", few=True)
     return rows, found
 
 

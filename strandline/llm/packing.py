@@ -51,17 +51,20 @@ class _Tokens:
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         ranks = {_token_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if any(x in text for x in self.added):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(text) <= SPLIT_CHARS:
             return np.array(self.fast.encode_ordinary(text), np.uint32)

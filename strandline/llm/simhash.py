@@ -282,7 +282,7 @@ def _split_hot(keyed: DataFrame, masks: list[int], radius: int, hot_bucket: int)
     """``keyed`` with every hot bucket dealt anew by further blocks of its free bits."""
     for _ in range(2):
         hot = keyed.groupBy("mask", "bits").count().where(F.col("count") > hot_bucket).drop("count")
-        hot = written(hot, "hot-buckets")
+        hot = written(hot, "hot-buckets", few=True)
         if hot.isEmpty():
             break
         finer = {}
@@ -314,8 +314,8 @@ def links(fps: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int = HOT
 
 def clusters(prints: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(key, fp) -> (fp, component_id, n): the smallest key reached from each fingerprint, and its rows."""
-    fps = written(prints.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprints")
-    near = written(components(links(fps.select("fp"), radius, agree, hot_bucket)), "members")
+    fps = written(prints.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprints", few=True)
+    near = written(components(links(fps.select("fp"), radius, agree, hot_bucket)), "members", few=True)
     tied = fps.join(near, fps.fp == near.node).select("fp", "root", "low")
     least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
     tied = tied.select("fp", "root").join(least, "root").select(F.col("fp").alias("node"), "component_id")
@@ -354,7 +354,7 @@ def survivors(docs: DataFrame, size: int = 5, radius: int = 8, agree: int = 2, s
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
     prints = written(fingerprints(keyed, size, "_key", "_text"), "prints")
-    found = written(clusters(prints, radius, agree).where("tied OR n > 1").select("fp", "component_id"), "clusters")
+    found = written(clusters(prints, radius, agree).where("tied OR n > 1").select("fp", "component_id"), "clusters", few=True)
     members = prints.distinct().join(found, "fp").select("key", F.col("component_id").alias("first"))
     texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
     crowd = written(texts.join(members, "key").dropDuplicates(["key"]), "crowd")
@@ -363,7 +363,7 @@ def survivors(docs: DataFrame, size: int = 5, radius: int = 8, agree: int = 2, s
     gone = pairs.mapInArrow(_similar(similarity, size), "key struct<id:bigint,h:bigint>, close boolean").where("close")
     again = prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     marks = gone.select("key", F.lit(True).alias("drop")).unionByName(again.select("key", F.lit(False).alias("drop")))
-    marks = written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks")
+    marks = written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks", few=True)
     told = keyed.join(marks, keyed._key == marks.key, "left")
     single = told.where("drop IS NULL").select("_row.*")
     return single.unionByName(told.where("NOT drop").dropDuplicates(["_key"]).select("_row.*"))
@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, agree: int
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, size), "prints")
     # as a table of its own, so that the join below is one that adaptive execution can split
-    found = written(clusters(prints, radius, agree).select("fp", "component_id"), "clusters")
+    found = written(clusters(prints, radius, agree).select("fp", "component_id"), "clusters", few=True)
     return prints.join(found, "fp").select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

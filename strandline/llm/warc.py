@@ -199,7 +199,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
         "page_id", "digest", "n", F.when(again, "revisit").otherwise("response").alias("kind"),
         F.when(again, F.col("top")).alias("refers_to"), (F.when(again, 0).otherwise(F.col("size")) + 600).alias("cost"),
     )
-    each = written(each, "decisions")
+    each = written(each, "decisions", few=True)
     bounds = each.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(F.col("cost") * F.col("n")).alias("bytes")).head()
     low = bounds.lo or 0
     step = ((bounds.hi or 0) - low) // RANGES + 1
