@@ -324,32 +324,119 @@ def clusters(prints: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int
     )
 
 
-def _similar(least: float, size: int):
-    """Whether the shingle sets of columns 2 and 3 have a Jaccard similarity of ``least``."""
+def _hashed(size: int):
+    """(key, first, text) -> (key, first, hashes): a text's distinct shingle hashes, sorted, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, set[int]] = (None, set())
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
-                close = []
-                for text, first in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    if first != last[0]:
-                        last = first, set(shingle_hashes((first or "").encode(), size))
-                    own = set(shingle_hashes((text or "").encode(), size))
-                    close.append(len(own & last[1]) >= least * len(own | last[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(close)], ["key", "close"])
+                sets = [np.unique(np.array(shingle_hashes((x or "").encode(), size), np.uint64)) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "first", "hashes"])
 
     return run
 
 
-def survivors(docs: DataFrame, size: int = 5, radius: int = 8, agree: int = 2, similarity: float = 0.8) -> DataFrame:
+class ShingleSets:
+    """Sorted shingle sets, and which of them have a Jaccard similarity of ``least`` with another set."""
+
+    def __init__(self, sets: list[np.ndarray], least: float):
+        self.least, self.sizes = least, np.array([len(x) for x in sets], np.int64)
+        of = np.repeat(np.arange(len(sets)), self.sizes)
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.of = every[order], of[order]
+
+    def like(self, other: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.hashes, other, side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.of[at], minlength=len(self.sizes))
+        return shared >= self.least * (len(other) + self.sizes - shared)
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+
+
+def _settled(least: float):
+    """A group's rows in order of key, each with whether it stays: one like a row that stays does not."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = table["key"].combine_chunks()
+        order = np.lexsort((keys.field("h").to_numpy(), keys.field("id").to_numpy()))
+        table = table.take(pa.array(order))
+        sets = _sets(table)
+        index, stays = ShingleSets(sets, least), np.zeros(len(sets), bool)
+        for i, own in enumerate(sets):
+            stays[i] = not (index.like(own) & stays).any()
+        return pa.table({"key": table["key"], "first": table["first"], "hashes": table["hashes"], "stays": pa.array(stays)})
+
+    return run
+
+
+def _unlike(least: float):
+    """The left group's rows that are like none of the right group's."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        index = ShingleSets(_sets(right), least)
+        far = [not index.like(own).any() for own in _sets(left)]
+        return left.filter(pa.array(far, pa.bool_()))
+
+    return run
+
+
+def _blocks(crowd: DataFrame, rows: int, size: int) -> DataFrame:
+    """``crowd`` with ``block``, its row's part of the component, and ``blocks``, their number.
+
+    A component of up to ``rows`` rows and ``size`` bytes is one block; blocks
+    grow with the square root of a component of more than eight.
+    """
+    load = F.greatest(F.count("*") / rows, F.sum(F.length("hashes")) / size)
+    sizes = crowd.groupBy("first").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.lit(1.0), F.least(load, F.sqrt(8 * load)))).cast("int").alias("blocks")).where("n > 1").drop("n")
+    sizes = written(sizes, "block-counts", few=True)
+    block = F.when(F.col("key") == F.col("first"), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("blocks"))).cast("int")
+    return crowd.join(sizes, "first").select("key", "first", "hashes", block.alias("block"), "blocks")
+
+
+def _dropped(crowd: DataFrame, least: float, rows: int, size: int) -> DataFrame:
+    """(key, first, hashes) -> (key) of the rows that are like a row of their component that stays.
+
+    Rows are taken block by block and in order of key within a block.  Each
+    round settles one block of every component and takes from the later blocks
+    what is like its survivors, so no task ever holds more than two blocks.
+    """
+    left = written(_blocks(crowd, rows, size), "blocks")
+    all_keys, stay = left.select("key"), None
+    kinds = "key struct<id:bigint,h:bigint>, first struct<id:bigint,h:bigint>, hashes binary"
+    rounds = left.agg(F.max("blocks")).head()[0] or 0
+    for k in range(rounds):
+        now = left.where(F.col("block") == k).select("key", "first", "hashes", "blocks")
+        done = now.select("key", "first", "hashes").groupBy("first").applyInArrow(_settled(least), kinds + ", stays boolean")
+        done = written(done.where("stays").drop("stays"), "settled", few=True)
+        stay = done.select("key") if stay is None else stay.unionByName(done.select("key"))
+        if k + 1 == rounds:
+            break
+        later = left.where(F.col("block") > k)
+        counts = later.select("first", "block").distinct()
+        against = done.join(counts, "first").select(F.col("first").alias("of"), F.col("block").alias("at"), "hashes")
+        left = later.groupBy("first", "block").cogroup(against.groupBy("of", "at")).applyInArrow(_unlike(least), kinds + ", block int, blocks int")
+        left = written(left, "later", few=True)
+    return all_keys.limit(0) if stay is None else all_keys.join(stay, "key", "left_anti")
+
+
+def survivors(
+    docs: DataFrame, size: int = 5, radius: int = 8, agree: int = 2, similarity: float = 0.8, block_rows: int = 512, block_bytes: int = 1 << 22
+) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Of each component the row with the smallest id (then text hash) stays; any
-    other goes if its shingle set is at least ``similarity`` like that row's,
-    so that a chain of links or a chance agreement of fingerprints costs no
-    document.  Of repeated rows one stays.
+    The rows of a component are taken in order of id (then text hash), and one
+    goes if its shingle set is at least ``similarity`` like that of a row that
+    stays: of two rows of a component that are so alike never both stay, and a
+    chain of links or a chance agreement of fingerprints costs no document.  A
+    component of more than ``block_rows`` rows or ``block_bytes`` of hashes is
+    taken block by block, the smallest id being in the first.  Of repeated rows
+    one stays.
     """
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
@@ -357,10 +444,9 @@ def survivors(docs: DataFrame, size: int = 5, radius: int = 8, agree: int = 2, s
     found = written(clusters(prints, radius, agree).where("tied OR n > 1").select("fp", "component_id"), "clusters", few=True)
     members = prints.distinct().join(found, "fp").select("key", F.col("component_id").alias("first"))
     texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
-    crowd = written(texts.join(members, "key").dropDuplicates(["key"]), "crowd")
-    firsts = crowd.where("key = first").select("first", F.col("text").alias("first_text"))
-    pairs = crowd.where("key <> first").join(firsts, "first").select("key", "text", "first_text")
-    gone = pairs.mapInArrow(_similar(similarity, size), "key struct<id:bigint,h:bigint>, close boolean").where("close")
+    crowd = texts.join(members, "key").dropDuplicates(["key"]).select("key", "first", "text")
+    crowd = crowd.mapInArrow(_hashed(size), "key struct<id:bigint,h:bigint>, first struct<id:bigint,h:bigint>, hashes binary")
+    gone = _dropped(written(crowd, "crowd"), similarity, block_rows, block_bytes)
     again = prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     marks = gone.select("key", F.lit(True).alias("drop")).unionByName(again.select("key", F.lit(False).alias("drop")))
     marks = written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks", few=True)

@@ -126,6 +126,33 @@ def test_near_duplicate_stage(spark, odd, empty):
     assert simhash.survivors(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"block_rows": 5}])
+def test_near_duplicates_of_chains(spark, options):
+    """No two rows of a chain that are alike both stay, and none goes that is like no row that stays."""
+    rng = random.Random(12)
+    rows = []
+    for c in range(3):
+        w = words(rng, 300).split()
+        for i in range(25):  # each step changes two words: near rows are alike, far ones are not
+            rows.append((100 * c + i, " ".join(w)))
+            for at in rng.sample(range(300), 2):
+                w[at] = words(rng, 1) + "q"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # so wide a radius links each chain from end to end
+    kept = {r.doc_id for r in simhash.survivors(docs, radius=16, **options).collect()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    close = {(a, b) for a in sets for b in sets if a < b and like(a, b)}
+    assert len(close) > 100 and not [p for p in close if set(p) <= kept]
+    assert all(any(like(a, b) for b in kept) for a in set(sets) - kept) and len(kept) > 6
+    if not options:
+        want = []
+        for i in sorted(sets):
+            if not any(like(i, b) for b in want):
+                want.append(i)
+        assert kept == set(want)
+
+
 # suffix sort
 
 
