@@ -6,6 +6,8 @@ languages: expectation-maximisation estimates the proportions from each word's
 trigram likelihoods.  The languages are ranked by proportion, the mixture is
 fitted again to the first one, two, ... of them, and the set with the best
 likelihood less half the logarithm of the word count per language is taken.
+Sets grow, to all languages if need be, while any document of the block can
+still gain by a bound on its likelihood under any mixture.
 
 Scale: training counts are summed per task over ``BINS`` bins, then by Spark;
 the model's size depends on the number of languages alone.  Scoring is one pass
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 
 BINS = 1 << 16
 SMOOTHING = 0.5
-MAX_SET = 4
 ROUNDS = 15
 UNKNOWN = "und"
 _BLOCK = 400_000
@@ -142,15 +143,29 @@ def _em(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, active: np.ndarra
     return share, np.add.reduceat(np.log(total.astype(np.float64)), starts)
 
 
+def _bound(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, share: np.ndarray, likelihood: np.ndarray) -> np.ndarray:
+    """A log-likelihood that no mixture of a document exceeds.
+
+    The log-likelihood is concave in the proportions, so the best one is at most
+    its tangent's greatest value over all mixtures, which a single language takes.
+    """
+    total = (p * np.repeat(share, counts, axis=0)).sum(axis=1, keepdims=True) + np.float32(1e-30)
+    slope = np.add.reduceat((p / total).astype(np.float64), starts, axis=0)
+    return likelihood + np.maximum(slope.max(axis=1) - counts, 0) + 1e-4 * counts
+
+
 def proportions(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Documents x languages: the chosen mixture of each document; rows of ``p`` are words."""
     counts = np.diff(np.append(starts, len(p)))
     n = p.shape[1]
-    share, _ = _em(p, starts, counts, np.ones((len(starts), n), np.float32))
+    share, likelihood = _em(p, starts, counts, np.ones((len(starts), n), np.float32))
+    most = _bound(p, starts, counts, share, likelihood)
     place = np.empty_like(share, np.int64)
     np.put_along_axis(place, np.argsort(-share, axis=1, kind="stable"), np.arange(n)[None, :], axis=1)
     best, best_score = None, None
-    for k in range(1, min(n, MAX_SET) + 1):
+    for k in range(1, n + 1):
+        if best is not None and (most - 0.5 * k * np.log(counts + 1) <= best_score).all():
+            break
         fitted, likelihood = _em(p, starts, counts, (place < k).astype(np.float32))
         score = likelihood - 0.5 * k * np.log(counts + 1)
         if best is None:

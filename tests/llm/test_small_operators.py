@@ -192,6 +192,18 @@ def test_language(spark, odd, empty):
     assert [r.lang_pred for r in alone] == ["und"]
 
 
+def test_six_languages_in_one_text(spark):
+    rng = random.Random(14)
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    train = spark.createDataFrame([(words(rng, 80, x), x) for x in letters for _ in range(10)], "text string, lang string")
+    model = mixture_lid.fit(train)
+    texts = [" ".join(words(rng, 50, x) for x in letters[:k]) for k in range(1, 7)]
+    _, score, mixture = mixture_lid.identify(texts, model)
+    for k in range(1, 7):
+        assert {x.split(":")[0] for x in mixture[k - 1].split(",")} == set(letters[:k])
+        assert score[k - 1] == pytest.approx(1 / k, abs=0.02)
+
+
 def test_language_of_long_texts():
     rng = random.Random(9)
     model = mixture_lid.Model(("a", "b"), np.log(np.full((mixture_lid.BINS, 2), 0.5, np.float32)))
