@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import genes as G
 from strandline.operators import alleles, classify, coverage, em, features, graph, kmers, minimizers, taxonomy
+from strandline.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -203,6 +204,23 @@ def test_pssm(spark):
     assert {(r.id, r.start) for r in graph.scan(reads, m, "id", "seq", 4, 1.0).collect()} == {(1, 3)}
 
 
+def test_pssm_windows_read_whole_sequences(spark, tmp_path):
+    rng = random.Random(21)
+    head = "".join(rng.choice("abcdefgh") for _ in range(21))
+    whole = [head + "".join(rng.choice(letters) for _ in range(60)) for letters in ("aaab", "cccd", "abcdefgh")]
+    bits = {}
+    for name, texts in (("whole", whole), ("heads", [head] * 3)):
+        rows = [(i, t) for i, t in enumerate([*texts, "short"])]
+        spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        seqs = [r.seq for r in catalog.reference(spark, f"{tmp_path}/{name}").collect()]
+        windows = [s[i : i + 21] for s in seqs for i in range(len(s) - 20)]
+        bits[name] = {r.pos: r.bits for r in catalog.pssm_windows(spark, f"{tmp_path}/{name}").collect()}
+        for pos in range(21):
+            n = [sum(w[pos] == b for w in windows) + 1 for b in "ACGT"]
+            assert bits[name][pos] == pytest.approx(2 + sum(x / sum(n) * math.log2(x / sum(n)) for x in n), abs=1e-5)
+    assert bits["whole"] != bits["heads"]
+
+
 def test_prior(spark):
     df = spark.createDataFrame([("CTX-M-15",), ("blaCTX-M-99",), ("zzz",)], "n string")
     assert [r.p for r in df.select(G.prior_weight(F.col("n")).alias("p")).collect()] == [3.0, 1.5, 1.0]
