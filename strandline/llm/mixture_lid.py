@@ -128,17 +128,25 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def _em(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions over ``active`` languages and log-likelihood, for every document at once."""
+    """Proportions over ``active`` languages and log-likelihood, for every document at once.
+
+    A document is done when its own proportions settle, or after ``ROUNDS``; the others go on.
+    """
     share = active / active.sum(axis=1, keepdims=True)
     floor = np.float32(1e-30)
+    going, words, n, first = np.arange(len(starts)), p, counts, starts
     for _ in range(ROUNDS):
-        part = p * np.repeat(share, counts, axis=0)
+        part = words * np.repeat(share[going], n, axis=0)
         part /= part.sum(axis=1, keepdims=True) + floor
-        new = np.add.reduceat(part, starts, axis=0) / counts[:, None]
-        moved = np.abs(new - share).max()
-        share = new
-        if moved < 1e-3:
+        new = np.add.reduceat(part, first, axis=0) / n[:, None]
+        moving = np.abs(new - share[going]).max(axis=1) >= 1e-3
+        share[going] = new
+        if not moving.any():
             break
+        if not moving.all():
+            words = words[np.repeat(moving, n)]
+            going, n = going[moving], n[moving]
+            first = np.cumsum(n) - n
     total = (p * np.repeat(share, counts, axis=0)).sum(axis=1) + floor
     return share, np.add.reduceat(np.log(total.astype(np.float64)), starts)
 

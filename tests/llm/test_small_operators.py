@@ -204,6 +204,20 @@ def test_six_languages_in_one_text(spark):
         assert score[k - 1] == pytest.approx(1 / k, abs=0.02)
 
 
+def test_a_documents_mixture_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(3)
+    fast = np.tile(np.float32([1, 1e-6, 1e-6]), (40, 1))
+    slow = [np.float32(rng.uniform(0.3, 1, (n, 3))) for n in (30, 90, 200)]
+    docs = [fast, slow[0], fast[:7], slow[1], slow[2], np.concatenate([fast, slow[0], fast[:, ::-1]])]
+    counts = np.array([len(d) for d in docs])
+    starts = np.cumsum(counts) - counts
+    every = np.ones((len(docs), 3), np.float32)
+    share, likelihood = mixture_lid._em(np.concatenate(docs), starts, counts, every)
+    for i, d in enumerate(docs):
+        alone, of = mixture_lid._em(d, np.array([0]), counts[i : i + 1], every[:1])
+        assert np.array_equal(alone[0], share[i]) and of[0] == likelihood[i]
+
+
 def test_language_of_long_texts():
     rng = random.Random(9)
     model = mixture_lid.Model(("a", "b"), np.log(np.full((mixture_lid.BINS, 2), 0.5, np.float32)))
