@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,36 +28,75 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 
 
+#: Rows of a few numbers that one file of a small table holds.
+ROWS_PER_FILE = 200_000
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is missing (tests on one machine) a temporary folder of
-    this machine takes its place for the rest of the session.
+    Where the setting is missing a temporary folder of this machine takes its
+    place for the rest of the session, but only for a local master; on a cluster
+    that folder would be each executor's own, so the call raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hadoop = _file_system(spark, path)
     fs.deleteOnExit(hadoop)
     return path
 
 
-def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files for ``rows`` small rows: one per ``ROWS_PER_FILE``, and at least one per core where each gets a thousand."""
+    return max(1, -(-rows // ROWS_PER_FILE), min(spark.sparkContext.defaultParallelism, rows // 1000))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives executors.
 
-    ``few``: rows are small, so two files per core do in place of one per shuffle partition.
+    ``rows`` bounds the number of rows of a table whose rows are a few numbers.
+    Such rows are dealt over as many files as the bound asks for by a shuffle of
+    their own, so what is above keeps all its tasks and a hundred tiny partitions
+    do not become a hundred files.
     """
     path = shared_dir(df.sparkSession, name)
-    if few:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    if rows is not None:
+        df = df.repartition(files_for(df.sparkSession, rows))
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose readers are all done."""
+    for df in tables:
+        fs, hadoop = _file_system(df.sparkSession, df._written_path)
+        fs.delete(hadoop, True)
 
 
 def table_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for ``df``: the size of its files for a plain scan, without a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of up to ``rows`` rows and about ``size`` bytes of one column's texts; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop

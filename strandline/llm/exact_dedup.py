@@ -11,12 +11,13 @@ differ are nonmembers, which form groups of their own.
 
 Scale: both sides are pre-aggregated per digest before they move, so a digest
 with a third of all rows costs one row per map task.  A shard holds about
-``SHARD_DIGESTS`` digests whatever the input's size.  The join back to rows is
+``SHARD_DIGESTS`` digests of history and input together, whatever their sizes.  The join back to rows is
 a sort-merge join, whose hot partitions adaptive execution can split.
 
 Defined results: a null text counts as empty; null ids lose to any other id; of
-repeated rows with the winning id one stays; extra columns are not read; an
-empty table gives an empty result.
+repeated rows and ties for the winning id one stays; very long texts are hashed
+where they lie and never move; extra columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -205,10 +206,12 @@ def groups(docs: DataFrame, is_history: Column | None = None) -> tuple[DataFrame
     if is_history is None:
         is_history = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), is_history.alias("old"))
-    rows = written(rows.groupBy("digest", "doc_id", "old").agg(F.count("*").alias("n")), "digests", few=True)
+    total = docs.count()
+    rows = written(rows.groupBy("digest", "doc_id", "old").agg(F.count("*").alias("n")), "digests", total)
     old, new = grouped(rows.where("old")), grouped(rows.where("NOT old"))
-    shards = max(1, -(-rows.where("old").count() // SHARD_DIGESTS))
-    found = written(probe(new, build_index(old, shards), shards), "digest-groups", few=True)
+    # history and incoming digests meet in the same shards, whichever has more
+    shards = max(1, -(-rows.count() // SHARD_DIGESTS))
+    found = written(probe(new, build_index(old, shards), shards), "digest-groups", total)
     return rows, found
 
 
@@ -229,13 +232,17 @@ def decide(docs: DataFrame, is_history: Column | None = None) -> DataFrame:
 
 
 def survivors(docs: DataFrame, is_history: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each group."""
+    """The rows of ``docs`` that stay, with all their columns: one of each group.
+
+    Of repeated rows with the winning id the one stays whose JSON form is last,
+    so columns that have no order of their own, such as maps, do no harm.
+    """
     _, found = groups(docs, is_history)
     keyed = docs.select(F.struct("*").alias("_row"), digest_of(F.col("text")).alias("_digest"))
     found = found.select(F.col("digest").alias("_digest"), "keep_id", "n_keep")
     winners = keyed.join(found, "_digest").where(F.col("_row.doc_id").eqNullSafe(F.col("keep_id")))
     single = winners.where("n_keep = 1").select("_row.*")
-    tied = winners.where("n_keep > 1").groupBy("_digest").agg(F.max("_row").alias("_row")).select("_row.*")
+    tied = winners.where("n_keep > 1").groupBy("_digest").agg(F.max_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
     return single.unionByName(tied)
 
 

@@ -10,33 +10,49 @@ b - r blocks, keyed by those bits.  Inside a bucket the fingerprints are sorted
 by Gray rank, where neighbours share long bit patterns; nodes over runs of
 neighbours factor out the bits that all below them share, and a pair of nodes
 whose shared bits already differ in more than r places is dropped with all that
-is below, differences being accumulated from the root down.
+is below, differences being accumulated from the root down.  Links are folded
+into classes as they are found, so no bucket's pairs are ever held at once.
+
+``survivors`` wants links by similarity, for which 64 bits are too few: its
+documents have several words of fingerprint from independent mixes of the same
+shingle hashes, each word's blocks key tables of their own, and a link is one
+of two neighbouring words.  The number of tables and the radii follow from the
+similarity and the recall asked for; every removal is verified on shingle sets.
 
 Scale: rows with equal fingerprints are one before anything moves; buckets of
-more than ``HOT_BUCKET`` fingerprints are dealt anew by further blocks, which
-is exact too; a task reports a bucket's links as stars, never as all pairs.
+more than ``HOT_BUCKET`` fingerprints are dealt anew by further blocks of bits, and
+what is hot after that is parted into blocks of rows each pair of which meets in
+a task, all of which is exact; a task reports a bucket's links as stars, never as
+all pairs.
 
 Defined results: null and empty texts and texts without a word have fingerprint
-zero; a component's id is its smallest non-null id; repeated rows share a
-component; extra columns are not read; an empty table gives an empty result.
+zero; very long texts are hashed whole, their bits counted piece by piece; ties
+(a bit set in exactly half of the hashes) are not set; a component's id is its
+smallest non-null id; repeated rows share a component; extra columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import discard, slices, written
 from strandline.llm.components import components
 
 SEED = 42
 HOT_BUCKET = 20_000
+#: How often a hot bucket is dealt anew by further bits before its rows are parted in blocks.
+FINER = 2
+#: Rows of a bucket of ``survivors`` beyond which the whole bucket is one group of candidates.
+HOT_CANDIDATES = 2_000
 LEAF, FAN = 16, 8
 _PENDING = 40_000
 #: Node pairs that are opened at once.
@@ -60,40 +76,62 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=False)]
 
 
-def _fold(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One fingerprint for each run of ``hashes``."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    set_ = (2 * sums > counts[:, None]).astype(np.uint8)
-    return np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
+#: For each byte its eight bits, one to a byte of a word, so that 255 words can be summed without a carry.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def bit_counts(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each run's hashes have each of the 64 bits: runs of ``counts`` from ``starts``, none empty."""
+    parts = -(-counts // 255)
+    ahead = np.cumsum(parts) - parts
+    first = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(ahead, parts))
+    lanes = np.add.reduceat(_SPREAD[hashes.view(np.uint8).reshape(-1, 8)], first, axis=0)
+    return np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), ahead, axis=0, dtype=np.int64)
+
+
+def _word(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The hashes that stand behind one word of a fingerprint; word 0 has the shingle hashes themselves."""
+    if not word:
+        return hashes
+    h = hashes ^ np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _majority(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.packbits((2 * sums > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """A text's fingerprint, its hashes counted piece by piece."""
+def fingerprint(text: bytes, size: int, words: int = 1) -> np.ndarray:
+    """A text's fingerprint, ``words`` words, its hashes counted piece by piece."""
     hashes = np.array(shingle_hashes(text, size), np.uint64)
-    if not len(hashes):
-        return 0
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), _PENDING):
-        part = hashes[i : i + _PENDING]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(hashes) else 0):
+        total = np.zeros((1, 64), np.int64)
+        for i in range(0, len(hashes), _PENDING):
+            part = hashes[i : i + _PENDING]
+            total += bit_counts(_word(part, w), np.array([0]), np.array([len(part)]))
+        out[w] = _majority(total, np.array([len(hashes)]))[0]
+    return out
 
 
-def _fingerprint_batch(texts: list[bytes], size: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
+def _fingerprint_batch(texts: list[bytes], size: int, words: int = 1) -> np.ndarray:
+    """A row of ``words`` words for each text."""
+    out = np.zeros((len(texts), words), np.uint64)
     pending: list[int] = []
     where, starts = [], []
 
     def flush() -> None:
         if where:
-            counts = np.diff([*starts, len(pending)])
-            out[where] = _fold(np.array(pending, np.uint64), np.array(starts), counts)
+            counts, hashes, at = np.diff([*starts, len(pending)]), np.array(pending, np.uint64), np.array(starts)
+            for w in range(words):
+                out[where, w] = _majority(bit_counts(_word(hashes, w), at, counts), counts)
         pending.clear(), where.clear(), starts.clear()
 
     for i, text in enumerate(texts):
         if len(text) > 8 * _PENDING:
-            out[i] = fingerprint(text, size)
+            out[i] = fingerprint(text, size, words)
             continue
         if hashes := shingle_hashes(text, size):
             where.append(i)
@@ -105,19 +143,20 @@ def _fingerprint_batch(texts: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): fp is the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text", words: int = 1) -> DataFrame:
+    """(key, fp): fp is the fingerprint's 64 bits as a long, or with more ``words`` an array of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            for part in slices(batch, 1):
                 texts = [(x or "").encode() for x in part.column(1).to_pylist()]
-                fps = _fingerprint_batch(texts, size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["key", "fp"])
+                fps = pa.array(_fingerprint_batch(texts, size, words).view(np.int64).ravel())
+                if words > 1:
+                    fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * words), fps)
+                yield pa.RecordBatch.from_arrays([part.column(0), fps], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, fp long")
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, fp " + ("long" if words == 1 else "array<bigint>"))
 
 
 # the index
@@ -161,8 +200,8 @@ class GrayIndex:
         self.a = np.repeat(np.arange(len(of)), n)
         self.b = self.a + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of places in ``fps`` as given, of one bucket, at most ``radius`` bits apart."""
+    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in ``fps`` as given, of one bucket, at most ``radius`` bits apart, a bounded number at a time."""
         top = len(self.levels) - 1
         mask, pattern, _ = self.levels[top]
         a, b = self.a, self.b
@@ -170,7 +209,6 @@ class GrayIndex:
         apart = np.bitwise_count((pattern[a] ^ pattern[b]) & seen).astype(np.int64)
         near = apart <= radius
         stack = [(top, a[near], b[near], apart[near], seen[near])]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         while stack:
             level, a, b, apart, seen = stack.pop()
             if len(a) > _PAIRS:
@@ -190,11 +228,7 @@ class GrayIndex:
                 stack.append((level - 1, ca[near], cb[near], total[near], both[near]))
             else:
                 near = (ca < cb) & (np.bitwise_count(self.fps[ca] ^ self.fps[cb]) <= radius)
-                found.append((ca[near], cb[near]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        return self.order[i], self.order[j]
+                yield self.order[ca[near]], self.order[cb[near]]
 
     def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = self.levels[level][2]
@@ -207,31 +241,50 @@ class GrayIndex:
         return ca[fine], cb[fine], of[fine]
 
 
-def _stars(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) for each of ``n`` places that a link ties to a smaller place."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == before).all():
-            break
-    moved = np.nonzero(label != np.arange(n))[0]
-    return moved, label[moved]
+class Classes:
+    """Classes of ``n`` places, each named by its smallest, that grow by pairs."""
+
+    def __init__(self, n: int):
+        self.label, self.added = np.arange(n), 0
 
+    def _root(self, x: np.ndarray) -> np.ndarray:
+        x = self.label[x]
+        while ((up := self.label[x]) != x).any():
+            x = up
+        return x
 
-def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links between fingerprints that share a bucket."""
-    size = np.bincount(bucket)
-    crowd = np.nonzero(size[bucket] > 1)[0]
-    if not len(crowd):
-        return fps[:0], fps[:0]
-    i, j = GrayIndex(fps[crowd], bucket[crowd]).links(radius)
-    member, root = _stars(len(fps), crowd[i], crowd[j])
-    return fps[member], fps[root]
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            i, j = self._root(i), self._root(j)
+            apart = i != j
+            i, j = np.minimum(i[apart], j[apart]), np.maximum(i[apart], j[apart])
+            np.minimum.at(self.label, j, i)
+        self.added += 1
+        if self.added % 64 == 0:
+            self.label = self._root(self.label)
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(member, root) for each place that is not its class's smallest."""
+        label = self._root(self.label)
+        moved = np.nonzero(label != np.arange(len(label)))[0]
+        return moved, label[moved]
+
+
+def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int, beside: np.ndarray | None = None, both: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) places that star-link what shares a bucket and is at most ``radius`` apart.
+
+    With ``beside``, a second word of each, also at most ``both`` apart in the two words together.
+    """
+    crowd = np.nonzero(np.bincount(bucket)[bucket] > 1)[0]
+    classes = Classes(len(fps))
+    if len(crowd):
+        for i, j in GrayIndex(fps[crowd], bucket[crowd]).links(radius):
+            i, j = crowd[i], crowd[j]
+            if beside is not None:
+                apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) + np.bitwise_count(beside[i] ^ beside[j])
+                i, j = i[apart <= both], j[apart <= both]
+            classes.add(i, j)
+    return classes.stars()
 
 
 def _masks(bits: list[int], blocks: int, agree: int) -> list[int]:
@@ -244,31 +297,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _links_in(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rows = 0
-
-        def done(last: bool):
-            nonlocal held, rows
-            if not held:
-                return
-            mask, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            new = np.ones(len(fp), bool)
-            new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
-            cut = len(fp) if last else int(np.nonzero(new)[0][-1])
-            held = [] if last else [(mask[cut:], key[cut:], fp[cut:])]
-            rows = len(fp) - cut
+def _bucket_runs(batches: Iterator[pa.RecordBatch], names: int, rows: int = 200_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(bucket numbers, columns) of whole buckets; rows come sorted by their first ``names`` columns, which name the bucket."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+
+    def joined() -> tuple[np.ndarray, list[np.ndarray]]:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:names]], axis=0)
+        return new, columns
+
+    for batch in batches:
+        held.append([np.array(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns])
+        n += len(batch)
+        if n >= rows:
+            new, columns = joined()
+            cut = int(np.nonzero(new)[0][-1])
+            held, n = [[c[cut:] for c in columns]], len(new) - cut
+            # a bucket of more than a run is read on until it is twice as long
+            rows = max(rows, 2 * n)
             if cut:
-                u, v = bucket_links(np.cumsum(new[:cut]), fp[:cut].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                yield np.cumsum(new[:cut]), [c[:cut] for c in columns]
+    if held:
+        new, columns = joined()
+        yield np.cumsum(new), columns
 
-        for batch in batches:
-            held.append(tuple(np.array(batch.column(i).to_numpy(), np.int64) for i in range(3)))
-            rows += len(batch)
-            if rows >= 200_000:
-                yield from done(False)
-        yield from done(True)
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _links_in(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (_, _, _, fp) in _bucket_runs(batches, 3):
+            member, root = bucket_links(bucket, fp.view(np.uint64), radius)
+            yield _pairs(fp[member], fp[root])
 
     return run
 
@@ -278,50 +342,126 @@ def _dealt(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", each.alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def _split_hot(keyed: DataFrame, masks: list[int], radius: int, hot_bucket: int) -> DataFrame:
-    """``keyed`` with every hot bucket dealt anew by further blocks of its free bits."""
-    for _ in range(2):
-        hot = keyed.groupBy("mask", "bits").count().where(F.col("count") > hot_bucket).drop("count")
-        hot = written(hot, "hot-buckets", few=True)
+def _hot(keyed: DataFrame, hot_bucket: int, rows: int | None) -> DataFrame:
+    """(mask, bits, blocks) of the buckets with too many rows for a task."""
+    counts = keyed.groupBy("mask", "bits").agg(F.ceil(F.count("*") / hot_bucket).alias("blocks")).where("blocks > 1")
+    return written(counts, "hot-buckets", None if rows is None else rows // hot_bucket)
+
+
+def _split_hot(keyed: DataFrame, masks: list[int], radius: int, hot_bucket: int, rows: int | None) -> DataFrame:
+    """``keyed`` with ``part`` 0, hot buckets dealt anew.
+
+    ``FINER`` times by further blocks of the free bits, which is exact and parts
+    what merely shares the first block; a bucket that stays hot holds fingerprints
+    that are alike, and its rows are parted in blocks, each pair of which meets.
+    """
+    done = keyed.limit(0).select("fp", "mask", "bits", F.lit(0).cast("long").alias("part"))
+    for last in [False] * FINER + [True]:
+        hot = _hot(keyed, hot_bucket, rows)
         if hot.isEmpty():
             break
+        done = done.unionByName(keyed.join(hot, ["mask", "bits"], "left_anti").select("fp", "mask", "bits", F.lit(0).cast("long").alias("part")))
+        crowd = keyed.join(hot, ["mask", "bits"])
+        if last:
+            own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+            met = crowd.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+            part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other") + 1
+            return done.unionByName(met.select("fp", "mask", "bits", part.alias("part")))
         finer = {}
         for m in masks:
             free = [b for b in range(64) if not m >> b & 1]
-            if len(free) > radius:
-                finer[m] = [m | x for x in _masks(free, radius + 1, 1)]
-        choice = F.array(F.col("mask"))
-        for m, more in finer.items():
-            choice = F.when(F.col("mask") == _signed(m), F.array(*(F.lit(_signed(x)) for x in more))).otherwise(choice)
-        crowd = keyed.join(hot, ["mask", "bits"], "left_semi").select("fp", F.explode(choice).alias("mask"))
-        crowd = crowd.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-        rest = keyed.join(hot, ["mask", "bits"], "left_anti").select("fp", "mask", "bits")
-        keyed, masks = rest.unionByName(crowd), [x for xs in finer.values() for x in xs]
-    return keyed
-
-
-def links(fps: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+            finer[m] = [m | x for x in _masks(free, radius + 1, 1)] if len(free) > radius else [m]
+        masks = sorted({x for xs in finer.values() for x in xs})
+        pairs = [x for m, xs in finer.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(x)) for x in xs)))]
+        crowd = crowd.select("fp", F.explode(F.element_at(F.create_map(*pairs), F.col("mask"))).alias("mask"))
+        # a table, so that the next round's plan does not hold this one's
+        keyed = written(crowd.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))), "hot-rows")
+    return done.unionByName(keyed.select("fp", "mask", "bits", F.lit(0).cast("long").alias("part")))
+
+
+def links(fps: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int = HOT_BUCKET, rows: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> (u, v) links that join all within ``radius`` bits.
 
     ``agree`` blocks out of ``radius + agree`` key a bucket: more make smaller
-    buckets and more of them.
+    buckets and more of them.  ``rows`` bounds the fingerprints where it is known.
     """
     masks = _masks(list(range(64)), radius + agree, agree)
-    keyed = _split_hot(_dealt(fps, masks), masks, radius, hot_bucket)
-    parts = keyed.repartition("mask", "bits").sortWithinPartitions("mask", "bits")
-    return parts.select("mask", "bits", "fp").mapInArrow(_links_in(radius), "u long, v long")
+    keyed = _split_hot(_dealt(fps, masks), masks, radius, hot_bucket, rows and rows * len(masks))
+    parts = keyed.repartition("mask", "bits", "part").sortWithinPartitions("mask", "bits", "part")
+    return parts.select("mask", "bits", "part", "fp").mapInArrow(_links_in(radius), "u long, v long")
 
 
 def clusters(prints: DataFrame, radius: int = 3, agree: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(key, fp) -> (fp, component_id, n): the smallest key reached from each fingerprint, and its rows."""
-    fps = written(prints.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprints", few=True)
-    near = written(components(links(fps.select("fp"), radius, agree, hot_bucket)), "members", few=True)
+    rows = prints.count()
+    fps = written(prints.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprints", rows)
+    near = written(components(links(fps.select("fp"), radius, agree, hot_bucket, rows), rows), "members", rows)
     tied = fps.join(near, fps.fp == near.node).select("fp", "root", "low")
-    least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
+    # a table, so that the join shuffles both sides and a large component's partition can be split
+    least = written(tied.groupBy("root").agg(F.min("low").alias("component_id")), "least", rows)
     tied = tied.select("fp", "root").join(least, "root").select(F.col("fp").alias("node"), "component_id")
-    return fps.join(tied, fps.fp == tied.node, "left").select(
-        "fp", F.coalesce("component_id", "low").alias("component_id"), "n", F.col("node").isNotNull().alias("tied")
-    )
+    return fps.join(tied, fps.fp == tied.node, "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n")
+
+
+# near duplicates by similarity
+
+
+class Plan:
+    """Tables and radii for links of documents whose shingle sets are at least ``similarity`` alike.
+
+    A bit of two fingerprints differs with probability acos(c) / pi at a cosine c
+    of 2s / (1 + s), the cosine of equally large sets of Jaccard similarity s.
+    A table is keyed by ``bits`` bits of a word; there are so many that a pair
+    meets in one with probability ``recall``, and the radii let all but one pair
+    in about a hundred pass.  Keys lengthen with the logarithm of the number of
+    documents, which keeps chance buckets at no more than 256.
+    """
+
+    def __init__(self, rows: int, similarity: float, recall: float):
+        differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        self.bits = min(32, max(16, math.ceil(math.log2(max(rows, 1))) - 8))
+        meet = (1 - differ) ** self.bits
+        self.tables = math.ceil(math.log(1 - recall) / math.log(1 - meet)) if 0 < meet < 1 else 1
+        self.per_word = 64 // self.bits
+        self.words = max(2, -(-self.tables // self.per_word))
+        most = lambda n: math.ceil(n * differ + 2.4 * math.sqrt(n * differ * (1 - differ)))
+        self.radius, self.both = most(64 - self.bits), most(128 - self.bits)
+
+    def dealt(self, prints: DataFrame) -> DataFrame:
+        """(uid, fp) -> a row per table: table, bits, fp, beside, uid."""
+        each = prints.select("uid", "fp", F.explode(F.sequence(F.lit(0), F.lit(self.tables - 1))).alias("table"))
+        word = F.floor(F.col("table") / self.per_word).cast("int")
+        each = each.withColumn("a", F.element_at("fp", word + 1)).withColumn("beside", F.element_at("fp", (word + 1) % self.words + 1))
+        of = F.lit(None).cast("long")
+        for k in range(self.per_word):
+            of = F.when(F.col("table") % self.per_word == k, F.shiftrightunsigned("a", k * self.bits)).otherwise(of)
+        bits = of.bitwiseAND(F.lit((1 << self.bits) - 1))
+        return each.select(F.col("table").cast("long").alias("table"), bits.alias("bits"), F.col("a").alias("fp"), "beside", "uid")
+
+
+def _candidates_in(radius: int, both: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (_, _, fp, beside, uid) in _bucket_runs(batches, 2):
+            member, root = bucket_links(bucket, fp.view(np.uint64), radius, beside.view(np.uint64), both)
+            yield _pairs(uid[member], uid[root])
+
+    return run
+
+
+def candidates(prints: DataFrame, plan: Plan, rows: int, hot: int = HOT_CANDIDATES) -> DataFrame:
+    """(uid, fp words), distinct in fp -> (u, v) links of what may be alike.
+
+    A bucket of more than ``hot`` rows is linked as a whole, each row to the
+    smallest: more candidates than its pairs within the radius, never fewer.
+    """
+    keyed = plan.dealt(prints)
+    crowds = keyed.groupBy("table", "bits").agg(F.count("*").alias("n"), F.min("uid").alias("root")).where(F.col("n") > hot).drop("n")
+    crowds = written(crowds, "hot-buckets", rows * plan.tables // hot)
+    rest = keyed.join(crowds.drop("root"), ["table", "bits"], "left_anti").select("table", "bits", "fp", "beside", "uid")
+    parts = rest.repartition("table", "bits").sortWithinPartitions("table", "bits")
+    found = parts.mapInArrow(_candidates_in(plan.radius, plan.both), "u long, v long")
+    whole = keyed.join(crowds, ["table", "bits"]).select(F.col("uid").alias("u"), F.col("root").alias("v"))
+    return found.unionByName(whole)
 
 
 def _hashed(size: int):
@@ -329,8 +469,7 @@ def _hashed(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
+            for part in slices(batch, 2):
                 sets = [np.unique(np.array(shingle_hashes((x or "").encode(), size), np.uint64)) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "first", "hashes"])
 
@@ -386,7 +525,7 @@ def _unlike(least: float):
     return run
 
 
-def _blocks(crowd: DataFrame, rows: int, size: int) -> DataFrame:
+def _blocks(crowd: DataFrame, rows: int, size: int, total: int) -> DataFrame:
     """``crowd`` with ``block``, its row's part of the component, and ``blocks``, their number.
 
     A component of up to ``rows`` rows and ``size`` bytes is one block; blocks
@@ -394,8 +533,8 @@ def _blocks(crowd: DataFrame, rows: int, size: int) -> DataFrame:
     """
     load = F.greatest(F.count("*") / rows, F.sum(F.length("hashes")) / size)
     sizes = crowd.groupBy("first").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.lit(1.0), F.least(load, F.sqrt(8 * load)))).cast("int").alias("blocks")).where("n > 1").drop("n")
-    sizes = written(sizes, "block-counts", few=True)
-    block = F.when(F.col("key") == F.col("first"), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("blocks"))).cast("int")
+    sizes = written(sizes, "block-counts", total)
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     return crowd.join(sizes, "first").select("key", "first", "hashes", block.alias("block"), "blocks")
 
 
@@ -406,50 +545,73 @@ def _dropped(crowd: DataFrame, least: float, rows: int, size: int) -> DataFrame:
     round settles one block of every component and takes from the later blocks
     what is like its survivors, so no task ever holds more than two blocks.
     """
-    left = written(_blocks(crowd, rows, size), "blocks")
+    left = written(_blocks(crowd, rows, size, crowd.count()), "blocks")
     all_keys, stay = left.select("key"), None
-    kinds = "key struct<id:bigint,h:bigint>, first struct<id:bigint,h:bigint>, hashes binary"
+    kinds = "key struct<id:bigint,h:bigint>, first bigint, hashes binary"
     rounds = left.agg(F.max("blocks")).head()[0] or 0
     for k in range(rounds):
         now = left.where(F.col("block") == k).select("key", "first", "hashes", "blocks")
         done = now.select("key", "first", "hashes").groupBy("first").applyInArrow(_settled(least), kinds + ", stays boolean")
-        done = written(done.where("stays").drop("stays"), "settled", few=True)
+        done = written(done.where("stays").drop("stays"), "settled")
         stay = done.select("key") if stay is None else stay.unionByName(done.select("key"))
         if k + 1 == rounds:
             break
         later = left.where(F.col("block") > k)
         counts = later.select("first", "block").distinct()
         against = done.join(counts, "first").select(F.col("first").alias("of"), F.col("block").alias("at"), "hashes")
-        left = later.groupBy("first", "block").cogroup(against.groupBy("of", "at")).applyInArrow(_unlike(least), kinds + ", block int, blocks int")
-        left = written(left, "later", few=True)
+        after = later.groupBy("first", "block").cogroup(against.groupBy("of", "at")).applyInArrow(_unlike(least), kinds + ", block int, blocks int")
+        after = written(after, "later")
+        if k:
+            discard(left)
+        left = after
     return all_keys.limit(0) if stay is None else all_keys.join(stay, "key", "left_anti")
 
 
+def _uid(key: str) -> Column:
+    """A key as one long; two keys with the same one are candidates of each other, which the sets then deny."""
+    return F.xxhash64(F.col(f"{key}.id"), F.col(f"{key}.h"))
+
+
+def groups(docs: DataFrame, size: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, int]:
+    """(key) of every row, (node, root) of every key that may be like another, and the number of rows."""
+    rows = docs.count()
+    plan = Plan(rows, similarity, recall)
+    prints = written(fingerprints(docs, size, "_key", "_text", plan.words), "prints")
+    each = prints.select(_uid("key").alias("uid"), "fp")
+    same = written(each.groupBy("fp").agg(F.min("uid").alias("uid"), F.max("uid").alias("last")), "fingerprints")
+    several = same.where("uid <> last").select("fp", F.col("uid").alias("v"))
+    twins = each.join(several, "fp").select(F.col("uid").alias("u"), "v")
+    found = components(candidates(same.select("uid", "fp"), plan, rows).unionByName(twins), rows)
+    return prints.select("key"), found, rows
+
+
 def survivors(
-    docs: DataFrame, size: int = 5, radius: int = 8, agree: int = 2, similarity: float = 0.8, block_rows: int = 512, block_bytes: int = 1 << 22
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.96, block_rows: int = 512, block_bytes: int = 1 << 22
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The rows of a component are taken in order of id (then text hash), and one
-    goes if its shingle set is at least ``similarity`` like that of a row that
-    stays: of two rows of a component that are so alike never both stay, and a
-    chain of links or a chance agreement of fingerprints costs no document.  A
-    component of more than ``block_rows`` rows or ``block_bytes`` of hashes is
-    taken block by block, the smallest id being in the first.  Of repeated rows
-    one stays.
+    ``Plan`` finds candidates; the rows of a component of candidates are taken in
+    order of id (then text hash), and one goes if its shingle set is at least
+    ``similarity`` like that of a row that stays: of two rows of a component that
+    are so alike never both stay, and a chain of links or a chance agreement of
+    fingerprints costs no document.  A component of more than ``block_rows`` rows
+    or ``block_bytes`` of hashes is taken block by block.
+
+    Defined results: of repeated rows one stays, and one of all texts without a
+    word, nulls among them; null ids come last in the order; very long texts are
+    compared whole; extra columns stay as they are.
     """
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
-    prints = written(fingerprints(keyed, size, "_key", "_text"), "prints")
-    found = written(clusters(prints, radius, agree).where("tied OR n > 1").select("fp", "component_id"), "clusters", few=True)
-    members = prints.distinct().join(found, "fp").select("key", F.col("component_id").alias("first"))
-    texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
-    crowd = texts.join(members, "key").dropDuplicates(["key"]).select("key", "first", "text")
-    crowd = crowd.mapInArrow(_hashed(size), "key struct<id:bigint,h:bigint>, first struct<id:bigint,h:bigint>, hashes binary")
+    keys, found, rows = groups(keyed, size, similarity, recall)
+    members = written(found.select("node", F.col("root").alias("first")), "members", rows)
+    texts = keyed.select(F.col("_key").alias("key"), _uid("_key").alias("node"), F.col("_text").alias("text"))
+    crowd = texts.join(members, "node").select("key", "first", "text")
+    crowd = crowd.mapInArrow(_hashed(size), "key struct<id:bigint,h:bigint>, first bigint, hashes binary").dropDuplicates(["key"])
     gone = _dropped(written(crowd, "crowd"), similarity, block_rows, block_bytes)
-    again = prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     marks = gone.select("key", F.lit(True).alias("drop")).unionByName(again.select("key", F.lit(False).alias("drop")))
-    marks = written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks", few=True)
+    marks = written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks", rows)
     told = keyed.join(marks, keyed._key == marks.key, "left")
     single = told.where("drop IS NULL").select("_row.*")
     return single.unionByName(told.where("NOT drop").dropDuplicates(["_key"]).select("_row.*"))
@@ -459,7 +621,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, agree: int
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, size), "prints")
     # as a table of its own, so that the join below is one that adaptive execution can split
-    found = written(clusters(prints, radius, agree).select("fp", "component_id"), "clusters", few=True)
+    found = written(clusters(prints, radius, agree).select("fp", "component_id"), "clusters", prints.count())
     return prints.join(found, "fp").select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -3,34 +3,39 @@
 A byte is removed if a string of ``SPAN`` bytes that covers it also starts
 somewhere else in the corpus, in the same document too.  Sorting the suffixes
 at every byte would move twenty times the corpus, so the sort is confined to
-where its outcome is open:
+where a repeat is possible:
 
 1. Texts are packed, compressed, into rows of a table in the shared folder.
 2. Winnowing picks anchors: of every ``WINDOW`` neighbouring strings of
    ``CORE`` = SPAN - WINDOW + 1 bytes the one with the least hash.  Equal
    strings of SPAN bytes hold an anchor at the same place, so a string that
    repeats has an anchor whose core repeats.  A core's *region* is all that the
-   strings assigned to it can cover.
-3. Cores meet in buckets.  A core seen once is done.  A region seen twice (by
-   two independent 64-bit hashes) is repeated as a whole.
-4. Cores with different regions are open: one copy of each region travels, and
-   the suffixes after the core and the reversed prefixes before it are merge
-   sorted.  Two suffixes are compared by binary search for their common
-   extension over prefix polynomial hashes, so in logarithmic time; afterwards
-   each neighbour's extension is verified byte by byte.  The order's classes at
-   each depth tell which SPAN-byte strings around the core are shared.
-5. Every pack gets its verdicts and cuts its texts.
+   strings assigned to it can cover.  A pack's anchors with equal cores and
+   regions, byte for byte, are one *entry* that knows whether it is there twice.
+3. The entries' core hashes meet in buckets.  A core seen once is done: equal
+   bytes have equal hashes, so nothing is lost.  Nothing is removed by a hash.
+4. The regions of all other cores travel as bytes, one copy per entry.  The
+   suffixes after the core and the reversed prefixes before it are merge sorted
+   within the core's group.  Two suffixes are compared by binary search for
+   their common extension over prefix polynomial hashes, so in logarithmic time;
+   afterwards the cores, and every neighbour's extension and order, are verified
+   byte by byte, and a collision has the bytes themselves sorted.  The order's
+   classes at each depth tell which SPAN-byte strings around the core are shared.
+5. Every pack gets a mask of shared strings for each of its entries, by the
+   entry's number there, and cuts its texts.
 
 Scale: packs and buckets grow with the square root of the corpus, from 8 and 4 MB
 to 512 and 256 MB of text, so that a row between a pack and a bucket stays worth
-its overhead; hot strings are one entry per pack and bucket, and a core with more than
-``HOT_CORE`` regions is settled string by string through the same buckets
-instead of one sort.  Two joins move the compressed packs; nothing goes to the
-driver but the corpus size and whether hot cores exist.
+its overhead.  A hot core, with more than ``HOT_CORE`` entries, is dealt anew by
+the hash of each whole string around it; its strings then meet in buckets, travel
+and are sorted and verified like any region.  Two joins move the compressed packs
+(four where a core is hot); nothing goes to the driver but the corpus size and
+whether hot cores exist.
 
 Defined results: a null text counts as empty; texts under SPAN bytes stay whole;
-repeated rows repeat each other and lose all; extra columns are not read; an
-empty table gives an empty table.
+very long texts are a pack of their own; ties need no rule, since all copies of a
+string go; repeated rows repeat each other and lose all; extra columns are not
+read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -52,14 +57,18 @@ SPAN = 200
 WINDOW = 64
 CORE = SPAN - WINDOW + 1
 SIDE = WINDOW - 1
+REGION = SPAN + SIDE
 HOT_CORE = 20_000
 PACK_BYTES, MAX_PACK_BYTES = 8 << 20, 512 << 20
+#: Regions that are sorted at once, but for a single core's.
+_SORTED = 60_000
 _SECTION = 1 << 17
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-_VERDICT = "pack long, dup binary, ask binary, hot binary"
-_ENTRY = "bucket int, pack long, core binary, region binary, twice binary"
+_VERDICT = "pack long, bucket int, ask binary, hot binary"
+_ENTRY = "bucket int, pack long, core binary, twice binary"
+_REGION = "bucket int, pack long, core binary, before binary, size binary, twice binary, data binary"
 
 
 # prefix polynomial hashes modulo 2**64
@@ -112,10 +121,8 @@ def _slide(a: np.ndarray, width: int, best: Callable) -> np.ndarray:
     return best(a[: len(a) - (width - n)], a[width - n :]) if n < width else a
 
 
-def anchors(
-    buf: np.ndarray, starts: np.ndarray, ends: np.ndarray
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[PrefixHash, PrefixHash, int]]]:
-    """(place, core hash, region start, region end, region hash, hashes) section by section.
+def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, core hash, region start, region end, region hash) section by section.
 
     ``starts`` and ``ends`` bound the texts in ``buf``; nothing crosses them.
     """
@@ -144,7 +151,7 @@ def anchors(
         chosen, place, a, b = chosen[long_], place[long_], a[long_], b[long_]
         shape = (place - a).astype(np.uint64) << np.uint64(32) | (b - place).astype(np.uint64)
         region = mixed(two.of(a - lo, b - lo) + mixed(shape))
-        yield place, h[chosen], a, b, region, (one, two, lo)
+        yield place, h[chosen], a, b, region
 
 
 # packs
@@ -196,88 +203,171 @@ def _opened(lengths: bytes, size: int, data: bytes) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(raw, np.uint8), (ends - n)[n > 0], ends[n > 0]
 
 
-def _entries(pack: int, core: np.ndarray, region: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row per bucket with this pack's distinct entries; ``twice``: the pack has it more than once."""
-    order = np.lexsort((region, core))
-    core, region = core[order], region[order]
-    new = np.ones(len(core), bool)
-    new[1:] = (core[1:] != core[:-1]) | (region[1:] != region[:-1])
-    at = np.nonzero(new)[0]
-    twice = np.diff(np.append(at, len(core))) > 1
-    core, region = core[at], region[at]
-    bucket = (core % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ids, cuts = np.unique(bucket[order], return_index=True)
-    cuts = np.append(cuts, len(order))
-    rows: list[list] = [[], [], [], [], []]
-    for b, s, e in zip(ids.tolist(), cuts[:-1], cuts[1:], strict=True):
-        i = order[s:e]
-        for x, v in zip(rows, (b, pack, core[i].tobytes(), region[i].tobytes(), np.packbits(twice[i]).tobytes()), strict=True):
-            x.append(v)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[2:])],
-        ["bucket", "pack", "core", "region", "twice"],
-    )
+# entries
+
+
+def _equal(buf: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` bytes (up to REGION) at x and at y are the same, byte by byte."""
+    out = np.zeros(len(x), bool)
+    if not len(x):
+        return out
+    padded = np.concatenate([buf, np.zeros(REGION, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, REGION)
+    cols = np.arange(REGION)
+    for i in range(0, len(x), 16384):
+        part = slice(i, i + 16384)
+        out[part] = ((rows[x[part]] == rows[y[part]]) | (cols >= n[part, None])).all(axis=1)
+    return out
+
+
+class Entries:
+    """A pack's anchors, folded where core and region are equal bytes, in an order that only its bytes decide.
 
+    ``of`` numbers each anchor's entry; ``at``, ``core`` and ``twice`` give an
+    entry's first anchor, its core's hash and whether it has more of them.
+    """
+
+    def __init__(self, buf: np.ndarray, place: np.ndarray, core: np.ndarray, a: np.ndarray, n: np.ndarray, region: np.ndarray, buckets: int):
+        self.place, self.a, self.n = place, a, n
+        order = np.lexsort((region, core))
+        same = np.zeros(len(order), bool)
+        i, j = order[1:], order[:-1]
+        like = np.nonzero((core[i] == core[j]) & (region[i] == region[j]) & (n[i] == n[j]) & (place[i] - a[i] == place[j] - a[j]))[0]
+        same[like + 1] = _equal(buf, a[i[like]], a[j[like]], n[i[like]])
+        first = np.nonzero(~same)[0]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(~same) - 1
+        self.at = order[first]
+        self.core = core[self.at]
+        self.twice = np.diff(np.append(first, len(order))) > 1
+        bucket = (self.core % np.uint64(buckets)).astype(np.int64)
+        self.by = np.argsort(bucket, kind="stable")
+        self.ids, cuts = np.unique(bucket[self.by], return_index=True)
+        self.cuts = np.append(cuts, len(self.by))
+
+    def buckets(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, its entries)."""
+        for b, s, e in zip(self.ids.tolist(), self.cuts[:-1], self.cuts[1:], strict=True):
+            yield b, self.by[s:e]
+
+    def chosen(self, bucket: int, bits: bytes) -> np.ndarray:
+        """The entries of a bucket whose bit is set."""
+        k = int(np.searchsorted(self.ids, bucket))
+        mine = self.by[self.cuts[k] : self.cuts[k + 1]]
+        return mine[_flags(bits, len(mine))]
+
+
+def _flags(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def entries(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> Entries:
+    parts = list(anchors(buf, starts, ends))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Entries(buf, none, none.astype(np.uint64), none, none, none.astype(np.uint64), buckets)
+    place, core, a, b, region = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Entries(buf, place, core, a, b - a, region, buckets)
+
+
+def strings(buf: np.ndarray, found: Entries, hot: np.ndarray, buckets: int) -> Entries:
+    """The SPAN-byte strings in the regions of the ``hot`` entries, as entries by their own hash."""
+    flag = np.zeros(len(found.at), bool)
+    flag[hot] = True
+    i = np.nonzero(flag[found.of])[0] if len(flag) else np.zeros(0, np.int64)
+    count = found.n[i] - SPAN + 1
+    start = np.repeat(found.a[i] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    # regions of neighbouring anchors overlap; a start counts once
+    start = np.unique(start)
+    name = np.zeros(len(start), np.uint64)
+    for lo in range(0, len(buf), _SECTION):
+        x, y = np.searchsorted(start, [lo, lo + _SECTION])
+        if x < y:
+            hashes = PrefixHash(buf[lo : lo + _SECTION + SPAN])
+            name[x:y] = mixed(hashes.of(start[x:y] - lo, start[x:y] - lo + SPAN))
+    return Entries(buf, start, name, start, np.full(len(start), SPAN), name, buckets)
+
+
+def _told(row: dict, found: Entries, field: str) -> np.ndarray:
+    """The entries that a pack's verdicts name."""
+    parts = [found.chosen(v["bucket"], v[field]) for v in row["told"] or [] if v[field]]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _entry_rows(buckets: int, hot: bool):
+    """A row per bucket with this pack's entries; with ``hot`` those of the strings around its hot cores."""
 
-def _anchor_entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 buf, starts, ends = _opened(row["lengths"], row["size"], row["data"])
-                found = [(c, r) for _, c, _, _, r, _ in anchors(buf, starts, ends)]
-                if found:
-                    core, region = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield from _entries(row["pack"], core, region, buckets)
+                found = entries(buf, starts, ends, buckets)
+                if hot:
+                    found = strings(buf, found, _told(row, found, "hot"), buckets)
+                rows = [(b, row["pack"], found.core[i].tobytes(), np.packbits(found.twice[i]).tobytes()) for b, i in found.buckets()]
+                if rows:
+                    yield _batch(rows, _ENTRY)
 
     return run
 
 
-def _by_pack(pack: np.ndarray, *parts: tuple[np.ndarray, np.ndarray]) -> dict[int, list[bytes]]:
-    """For each pack one byte string per part: ``values`` where ``chosen``."""
-    out: dict[int, list[bytes]] = {}
-    for k, (chosen, values) in enumerate(parts):
-        i = np.nonzero(chosen)[0]
-        if not len(i):
-            continue
-        i = i[np.argsort(pack[i], kind="stable")]
-        ids, cuts = np.unique(pack[i], return_index=True)
-        for p, s, e in zip(ids.tolist(), cuts, np.append(cuts[1:], len(i)), strict=True):
-            out.setdefault(p, [b""] * len(parts))[k] = values[i[s:e]].tobytes()
-    return out
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    cols = [pa.array([r[k] for r in rows], _KINDS[kind]) for k, (_, kind) in enumerate(fields)]
+    return pa.RecordBatch.from_arrays(cols, [name for name, _ in fields])
+
 
+def _judge(hot_core: float):
+    """For each pack which of its entries in this bucket have a core that repeats, told apart by whether the core is hot."""
 
-def _judge(hot_core: int):
     def run(table: pa.Table) -> pa.Table:
-        core, region, twice, pack = [], [], [], []
-        for row in table.to_pylist():
-            c = np.frombuffer(row["core"], np.uint64)
-            core.append(c)
-            region.append(np.frombuffer(row["region"], np.uint64))
-            twice.append(np.unpackbits(np.frombuffer(row["twice"], np.uint8), count=len(c)).astype(np.int64))
-            pack.append(np.full(len(c), row["pack"]))
-        c, r, t, p = (np.concatenate(x) for x in (core, region, twice, pack))
-        order = np.lexsort((p, r, c))
-        c, r, t, p = c[order], r[order], t[order], p[order]
-        new_core = np.ones(len(c), bool)
-        new_core[1:] = c[1:] != c[:-1]
-        new = new_core.copy()
-        new[1:] |= r[1:] != r[:-1]
-        of_region, of_core = np.cumsum(new) - 1, np.cumsum(new_core) - 1
-        repeated = (np.bincount(of_region, weights=1 + t) >= 2)[of_region]
-        kinds = np.bincount(of_core, weights=new)[of_core]
-        rows = _by_pack(
-            p, (repeated, r), (new & (kinds >= 2) & (kinds <= hot_core), r), (new & (kinds > hot_core), r)
-        )
-        return pa.table(
-            {"pack": pa.array(list(rows), pa.int64())}
-            | {n: pa.array([x[k] for x in rows.values()], pa.binary()) for k, n in enumerate(("dup", "ask", "hot"))}
-        )
+        rows = table.to_pylist()
+        core = np.frombuffer(b"".join(r["core"] for r in rows), np.uint64)
+        cuts = np.cumsum([0] + [len(r["core"]) // 8 for r in rows])
+        twice = np.concatenate([_flags(r["twice"], len(r["core"]) // 8) for r in rows])
+        _, group = np.unique(core, return_inverse=True)
+        repeated = (np.bincount(group, weights=1 + twice) >= 2)[group]
+        hot = repeated & (np.bincount(group) > hot_core)[group]
+        ask = repeated & ~hot
+        bits = lambda flags, s, e: np.packbits(flags[s:e]).tobytes() if flags[s:e].any() else b""
+        out = [(r["pack"], r["bucket"], bits(ask, s, e), bits(hot, s, e)) for r, s, e in zip(rows, cuts[:-1], cuts[1:], strict=True) if repeated[s:e].any()]
+        return pa.Table.from_batches([_batch(out, _VERDICT)])
 
     return run
 
 
-# open cores
+def _asked(buckets: int, hot: bool):
+    """The regions of the entries that a pack is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                buf, starts, ends = _opened(row["lengths"], row["size"], row["data"])
+                found = entries(buf, starts, ends, buckets)
+                if hot:
+                    found = strings(buf, found, _told(row, found, "hot"), buckets)
+                raw, rows = buf.tobytes(), []
+                for v in row["again" if hot else "told"]:
+                    if not v["ask"]:
+                        continue
+                    i = found.chosen(v["bucket"], v["ask"])
+                    at = found.at[i]
+                    a, n = found.a[at], found.n[at]
+                    data = b"".join([raw[x:y] for x, y in zip(a.tolist(), (a + n).tolist(), strict=True)])
+                    before = (found.place[at] - a).astype(np.uint8)
+                    twice = np.packbits(found.twice[i]).tobytes()
+                    rows.append((v["bucket"], row["pack"], found.core[i].tobytes(), before.tobytes(), n.astype(np.uint16).tobytes(), twice, squeeze.compress(data)))
+                if rows:
+                    yield _batch(rows, _REGION)
+
+    return run
+
+
+# the sort
 
 
 def _common(hashes: PrefixHash, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -296,64 +386,82 @@ def _common(hashes: PrefixHash, i: np.ndarray, j: np.ndarray, most: np.ndarray)
 def suffix_sort(buf: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge sort of suffixes within their groups: (order, extension shared with the one before).
 
-    ``group`` is sorted.  All runs of a level merge at once: each suffix finds
-    its place in the opposite run by binary search.
+    ``group`` is sorted.  All runs of a level, of all groups longer than a run,
+    merge at once: each suffix finds its place in the opposite run by binary search.
     """
     hashes, n = PrefixHash(buf), len(start)
-
-    def before(x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        out = group[x] < group[y]
-        k = np.nonzero(group[x] == group[y])[0]
-        if len(k):
-            i, j = x[k], y[k]
-            most = np.minimum(length[i], length[j])
-            c = _common(hashes, start[i], start[j], most)
-            inside = c < most
-            last = len(buf) - 1
-            left, right = buf[np.minimum(start[i] + c, last)], buf[np.minimum(start[j] + c, last)]
-            shorter = (length[i] < length[j]) | ((length[i] == length[j]) & ties[k])
-            out[k] = np.where(inside, left < right, shorter)
-        return out
-
-    order, width = np.arange(n), 1
-    place = np.arange(n)
-    while width < n:
-        run = place // width
+    order = np.arange(n)
+    if not n:
+        return order, np.zeros(0, np.int64)
+    last = len(buf) - 1
+
+    def before(i: np.ndarray, j: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        si, sj, li, lj = start[i], start[j], length[i], length[j]
+        most = np.minimum(li, lj)
+        c = _common(hashes, si, sj, most)
+        less = buf[np.minimum(si + c, last)] < buf[np.minimum(sj + c, last)]
+        return np.where(c < most, less, (li < lj) | ((li == lj) & ties))
+
+    edge = np.nonzero(np.diff(group, prepend=group[0] - 1))[0]
+    sizes = np.diff(np.append(edge, n))
+    begin, many = np.repeat(edge, sizes), np.repeat(sizes, sizes)
+    width = 1
+    while True:
+        at = np.nonzero(many > width)[0]  # places in groups of more than one run
+        if not len(at):
+            break
+        local = at - begin[at]
+        run = local // width
         left = run % 2 == 0
-        other = np.where(left, (run + 1) * width, (run - 1) * width)
-        lo = np.zeros(n, np.int64)
-        hi = np.clip(n - other, 0, width)
+        other = np.where(left, run + 1, run - 1) * width
+        lo = np.zeros(len(at), np.int64)
+        hi = np.clip(many[at] - other, 0, width)
+        other += begin[at]
         # a right suffix goes after equal left ones, a left one before equal right ones
         while True:
             open_ = np.nonzero(lo < hi)[0]
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) // 2
-            theirs, own = order[other[open_] + mid], order[open_]
-            less = before(theirs, own, ~left[open_])
+            less = before(order[other[open_] + mid], order[at[open_]], ~left[open_])
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        target = (run // 2) * 2 * width + (place - run * width) + lo
-        merged = np.empty(n, np.int64)
-        merged[target] = order
+        target = begin[at] + run // 2 * 2 * width + (local - run * width) + lo
+        merged = order.copy()
+        merged[target] = order[at]
         order, width = merged, width * 2
 
-    shared = np.zeros(n, np.int64)
     i, j = order[1:], order[:-1]
     most = np.where(group[i] == group[j], np.minimum(length[i], length[j]), 0)
-    if n > 1:
-        shared[1:] = _common(hashes, start[i], start[j], most)
-        depth = int(most.max())
-        cols = np.arange(depth)
-        last = len(buf) - 1
-        same = buf[np.minimum(start[i][:, None] + cols, last)] == buf[np.minimum(start[j][:, None] + cols, last)]
-        same &= cols < most[:, None]
-        true = np.where(same.all(axis=1), depth, same.argmin(axis=1)) if depth else most
-        if (np.minimum(true, most) != shared[1:]).any():
-            return _byte_sort(buf, start, length, group)
+    shared = np.concatenate([[0], _common(hashes, start[i], start[j], most)])
+    if not _verified(buf, start[j], start[i], length[j], length[i], most, shared[1:], group[i] == group[j]):
+        return _byte_sort(buf, start, length, group)
     return order, shared
 
 
+def _verified(
+    buf: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, most: np.ndarray, shared: np.ndarray, together: np.ndarray
+) -> bool:
+    """Whether neighbours share just as many bytes as their hashes say, and stand in the order of their bytes."""
+    if not len(x):
+        return True
+    depth, last = int(most.max()), len(buf) - 1
+    padded = np.concatenate([buf, np.zeros(depth + 1, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, depth + 1)
+    cols = np.arange(depth + 1)
+    for s in range(0, len(x), 32768):
+        part = slice(s, s + 32768)
+        a, b = rows[np.minimum(x[part], last)], rows[np.minimum(y[part], last)]
+        same = (a == b) & (cols < most[part, None])
+        true = same.argmin(axis=1)  # the last column is never the same
+        ended = true == most[part]
+        at = true[:, None]
+        ordered = np.where(ended, nx[part] <= ny[part], np.take_along_axis(a, at, 1)[:, 0] < np.take_along_axis(b, at, 1)[:, 0])
+        if (true != shared[part]).any() or not (ordered | ~together[part]).all():
+            return False
+    return True
+
+
 def _byte_sort(buf: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same order from the bytes alone, for a hash collision."""
     raw = buf.tobytes()
@@ -370,146 +478,98 @@ def _byte_sort(buf: np.ndarray, start: np.ndarray, length: np.ndarray, group: np
     return np.array(order, np.int64), np.array(shared[: len(order)], np.int64)
 
 
-def shared_strings(regions: list[bytes], before: np.ndarray) -> np.ndarray:
+def _core_groups(buf: np.ndarray, at: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """A number for each distinct core, by its bytes; ``core`` holds the hashes."""
+    order = np.argsort(core, kind="stable")
+    name = core[order]
+    new = np.diff(name, prepend=name[:1]) != 0
+    i = np.nonzero(~new)[0][1:]
+    if _equal(buf, at[order[i]], at[order[i - 1]], np.full(len(i), CORE)).all():
+        out = np.empty(len(at), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+    cores = np.lib.stride_tricks.sliding_window_view(buf, CORE)[at]
+    return np.unique(np.ascontiguousarray(cores).view(f"V{CORE}").ravel(), return_inverse=True)[1]
+
+
+def shared_strings(buf: np.ndarray, n: np.ndarray, before: np.ndarray, core: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """For each region around a core the strings that another region of that core has too.
 
-    ``before`` counts the bytes ahead of the core.  Bit o of the result stands
-    for the SPAN bytes that start o bytes ahead of it.
+    ``buf`` holds the regions, of ``n`` bytes each, one after the other;
+    ``before`` counts the bytes ahead of the core, ``core`` is its hash, and
+    ``twice`` tells that the region itself occurs again.  Bit o of the result
+    stands for the SPAN bytes that start o bytes ahead of the core.
     """
-    n = np.array([len(r) for r in regions], np.int64)
     ends = np.cumsum(n)
-    buf = np.frombuffer(b"".join(regions), np.uint8)
     at = ends - n + before
-    cores = np.lib.stride_tricks.sliding_window_view(buf, CORE)[at]
-    _, group = np.unique(np.ascontiguousarray(cores).view(f"V{CORE}").ravel(), return_inverse=True)
+    group = _core_groups(buf, at, core)
     by = np.argsort(group, kind="stable")
-    group, at, before, n, ends = group[by], at[by], before[by], n[by], ends[by]
+    group, at, before, ends, twice = group[by], at[by], before[by], ends[by], twice[by]
     after = ends - at - CORE
     right, right_lcp = suffix_sort(buf, at + CORE, after, group)
     left, left_lcp = suffix_sort(buf[::-1].copy(), len(buf) - at, before, group)
-    out = np.zeros(len(regions), np.uint64)
+    size = len(by)
     new_right, new_left = (np.concatenate([[True], np.diff(group[o]) != 0]) for o in (right, left))
-    classes = np.empty((2, len(regions)), np.int64)
-    for o in range(WINDOW):
-        valid = (before >= o) & (after >= SIDE - o)
-        classes[0, right] = np.cumsum(new_right | (right_lcp < SIDE - o))
-        classes[1, left] = np.cumsum(new_left | (left_lcp < o))
-        who = np.nonzero(valid)[0]
+
+    def classes(order: np.ndarray, new: np.ndarray, lcp: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+        out = np.empty(size, np.int64)
+        out[order] = np.cumsum(new | (lcp < depth))
+        return out
+
+    # regions that are equal as a whole go on as one, known to occur again
+    length = lambda of, order: np.diff(of[order], prepend=-1) != 0
+    whole = classes(right, new_right | length(after, right), right_lcp, after[right]) * (size + 1) + classes(left, new_left | length(before, left), left_lcp, before[left])
+    _, first, kind, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    again = (count > 1) | (np.bincount(kind, weights=twice) > 0)
+    low, high = np.maximum(0, SIDE - after[first]), before[first]  # the strings that a region has: low to high
+    full = (_NONE >> (np.uint64(63) - high.astype(np.uint64))) & ~((np.uint64(1) << low.astype(np.uint64)) - np.uint64(1))
+    mask = np.where(again, full, np.uint64(0))
+    alone = np.bincount(group[first], minlength=int(group[-1]) + 1)[group[first]] == 1
+    mixed_ = np.nonzero(~alone)[0]
+    for o in range(WINDOW) if len(mixed_) else ():
+        who = mixed_[(low[mixed_] <= o) & (high[mixed_] >= o)]
         if len(who) < 2:
             continue
-        pair = classes[0, who] * (len(regions) + 1) + classes[1, who]
-        _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-        out[by[who[count[inverse] > 1]]] |= np.uint64(1 << o)
+        pair = classes(right, new_right, right_lcp, SIDE - o)[first[who]] * (size + 1) + classes(left, new_left, left_lcp, o)[first[who]]
+        _, inverse, seen = np.unique(pair, return_inverse=True, return_counts=True)
+        mask[who[seen[inverse] > 1]] |= np.uint64(1) << np.uint64(o)
+    out = np.empty(size, np.uint64)
+    out[by] = mask[kind]
     return out
 
 
-_REGION = "bucket int, pack long, region binary, before binary, size binary, data binary"
-
-
-def _asked(buckets: int):
-    """Of each region that a pack is asked for, one copy."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for row in batch.to_pylist():
-                ask = _longs(row["ask"])
-                if not len(ask):
-                    continue
-                buf, starts, ends = _opened(row["lengths"], row["size"], row["data"])
-                got: dict[int, list] = {}
-                seen: set[int] = set()
-                for place, core, a, b, region, _ in anchors(buf, starts, ends):
-                    for i in np.nonzero(_is_in(region, ask))[0].tolist():
-                        if (r := int(region[i])) not in seen:
-                            seen.add(r)
-                            raw = buf[a[i] : b[i]].tobytes()
-                            got.setdefault(int(core[i]) % buckets, []).append((r, int(place[i] - a[i]), raw))
-                rows = [
-                    (
-                        k,
-                        row["pack"],
-                        np.array([x[0] for x in xs], np.uint64).tobytes(),
-                        np.array([x[1] for x in xs], np.uint8).tobytes(),
-                        np.array([len(x[2]) for x in xs], np.uint16).tobytes(),
-                        squeeze.compress(b"".join(x[2] for x in xs)),
-                    )
-                    for k, xs in got.items()
-                ]
-                if rows:
-                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                    cols = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, ["bucket", "pack", "region", "before", "size", "data"])
-
-    return run
-
-
 def _settle(table: pa.Table) -> pa.Table:
-    regions, before, names, pack = [], [], [], []
-    for row in table.to_pylist():
-        sizes = np.frombuffer(row["size"], np.uint16).astype(np.int64)
-        raw = zstandard.ZstdDecompressor().decompress(row["data"])
-        cuts = np.cumsum(sizes)
-        regions += [raw[e - n : e] for e, n in zip(cuts.tolist(), sizes.tolist(), strict=True)]
-        before.append(np.frombuffer(row["before"], np.uint8).astype(np.int64))
-        names.append(np.frombuffer(row["region"], np.uint64))
-        pack.append(np.full(len(sizes), row["pack"]))
-    mask = shared_strings(regions, np.concatenate(before))
-    name, pack = np.concatenate(names), np.concatenate(pack)
-    rows = _by_pack(pack, (mask != 0, name), (mask != 0, mask))
-    return pa.table(
-        {
-            "pack": pa.array(list(rows), pa.int64()),
-            "open": pa.array([x[0] for x in rows.values()], pa.binary()),
-            "mask": pa.array([x[1] for x in rows.values()], pa.binary()),
-        }
-    )
-
-
-# hot cores
-
-
-def _strings_in(a: int, b: int, hashes: tuple[PrefixHash, PrefixHash, int]) -> tuple[np.ndarray, ...]:
-    """Start and both hashes of each SPAN-byte string in a region."""
-    one, two, lo = hashes
-    s = np.arange(a, b - SPAN + 1)
-    return s, mixed(one.of(s - lo, s - lo + SPAN)), mixed(two.of(s - lo, s - lo + SPAN))
-
-
-def _hot_entries(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hot = _longs(row["hot"])
-                if not len(hot):
-                    continue
-                buf, starts, ends = _opened(row["lengths"], row["size"], row["data"])
-                found, seen = [], set()
-                for _, _, a, b, r, hashes in anchors(buf, starts, ends):
-                    for i in np.nonzero(_is_in(r, hot))[0].tolist():
-                        if int(r[i]) not in seen:
-                            seen.add(int(r[i]))
-                            found.append(_strings_in(a[i], b[i], hashes))
-                if found:
-                    # regions of neighbouring anchors overlap; a start counts once
-                    start, core, region = (np.concatenate(x) for x in zip(*found, strict=True))
-                    _, once = np.unique(start, return_index=True)
-                    yield from _entries(row["pack"], core[once], region[once], buckets)
-
-    return run
-
-
-# verdicts
+    """Per pack the masks of its entries that were asked for."""
+    rows = table.to_pylist()
+    take = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    core, before, n = take("core", np.uint64), take("before", np.uint8).astype(np.int64), take("size", np.uint16).astype(np.int64)
+    cuts = np.cumsum([0] + [len(r["core"]) // 8 for r in rows])
+    twice = np.concatenate([_flags(r["twice"], e - s) for r, s, e in zip(rows, cuts[:-1], cuts[1:], strict=True)])
+    opened = zstandard.ZstdDecompressor()
+    raw = b"".join([opened.decompress(r["data"]) for r in rows])
+    ends = np.cumsum(n)
+    order = np.argsort(core, kind="stable")
+    edges = np.nonzero(np.diff(core[order], prepend=~core[order[:1]]))[0]
+    mask = np.zeros(len(core), np.uint64)
+    s = 0
+    while s < len(order):
+        # whole cores, about as many as are sorted at once
+        k = int(np.searchsorted(edges, s + _SORTED, "right")) - 1
+        if edges[k] <= s:
+            k += 1
+        e = int(edges[k]) if k < len(edges) and s + _SORTED < len(order) else len(order)
+        i = order[s:e]
+        data = b"".join([raw[x:y] for x, y in zip((ends[i] - n[i]).tolist(), ends[i].tolist(), strict=True)])
+        mask[i] = shared_strings(np.frombuffer(data, np.uint8), n[i], before[i], core[i], twice[i])
+        s = e
+    out = [(r["pack"], r["bucket"], mask[x:y].tobytes()) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True) if mask[x:y].any()]
+    return pa.Table.from_batches([_batch(out, _MASK)])
 
 
-def _longs(parts: list[bytes] | None) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(parts or []), np.uint64))
+_MASK = "pack long, bucket int, mask binary"
 
 
-def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+# cutting
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -522,35 +582,36 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at], b[np.append(at[1:] - 1, len(b) - 1)]
 
 
-def _cut_texts(with_text: bool):
+def _spans(found: Entries, told: list[dict], masks: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start, end) of the shared strings around a pack's anchors, runs of neighbouring strings as one."""
+    of = {v["bucket"]: v["ask"] for v in told or []}
+    mask = np.zeros(len(found.at), np.uint64)
+    for v in masks or []:
+        mask[found.chosen(v["bucket"], of[v["bucket"]])] = np.frombuffer(v["mask"], np.uint64)
+    place, mask = found.place[mask[found.of] != 0], mask[found.of][mask[found.of] != 0]
+    low = np.bitwise_count((mask & (~mask + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+    count = np.bitwise_count(mask).astype(np.int64)
+    run = (mask >> low.astype(np.uint64)) == _NONE >> (np.uint64(64) - count.astype(np.uint64))
+    yield place[run] - low[run] - count[run] + 1, place[run] - low[run] + SPAN
+    place, mask = place[~run], mask[~run]
+    for o in range(WINDOW) if len(place) else ():
+        s = place[(mask >> np.uint64(o) & np.uint64(1)) == 1] - o
+        yield s, s + SPAN
+
+
+def _cut_texts(buckets: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("keys"))
             for k, row in enumerate(batch.drop_columns(["keys"]).to_pylist()):
                 buf, starts, ends = _opened(row["lengths"], row["size"], row["data"])
-                dup, hot, strings = _longs(row["dup"]), _longs(row["hot"]), _longs(row["strings"])
-                name = np.frombuffer(b"".join(row["open"] or []), np.uint64)
-                mask = np.frombuffer(b"".join(row["mask"] or []), np.uint64)
-                by = np.argsort(name)
-                name, mask = name[by], mask[by]
-                left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                if len(dup) or len(name) or len(strings):
-                    for place, _, a, b, region, hashes in anchors(buf, starts, ends):
-                        hit = _is_in(region, dup)
-                        left.append(a[hit])
-                        right.append(b[hit])
-                        i = np.nonzero(_is_in(region, name) & ~hit)[0]
-                        m = mask[np.searchsorted(name, region[i])]
-                        for o in range(WINDOW) if len(i) else ():
-                            s = place[i[(m >> np.uint64(o) & np.uint64(1)) == 1]] - o
-                            left.append(s)
-                            right.append(s + SPAN)
-                        for i in np.nonzero(_is_in(region, hot) & ~hit)[0] if len(strings) else ():
-                            s, _, y = _strings_in(a[i], b[i], hashes)
-                            s = s[_is_in(y, strings)]
-                            left.append(s)
-                            right.append(s + SPAN)
-                a, b = np.concatenate(left), np.concatenate(right)
+                parts = [(np.zeros(0, np.int64),) * 2]
+                if row["masks"] or row["whole"]:
+                    found = entries(buf, starts, ends, buckets)
+                    parts += _spans(found, row["told"], row["masks"])
+                    if row["whole"]:
+                        parts += _spans(strings(buf, found, _told(row, found, "hot"), buckets), row["again"], row["whole"])
+                a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
                 # a run per text: runs of neighbouring texts touch but are not one
                 text = np.searchsorted(starts, a, "right") - 1
                 if len(a):
@@ -595,10 +656,6 @@ def _rows(
     return pa.RecordBatch.from_arrays(cols, names)
 
 
-def _for_packs(verdicts: DataFrame, *columns: str) -> DataFrame:
-    return verdicts.groupBy("pack").agg(*(F.collect_list(c).alias(c) for c in columns))
-
-
 def deduplicated(
     docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False,
     hot_core: int = HOT_CORE, pack_bytes: int | None = None,
@@ -611,32 +668,26 @@ def deduplicated(
     base = packs(docs, pack_bytes, key, text)
     size = base.agg(F.sum("size")).head()[0] or 0
     buckets = max(1, -(-size // (max(PACK_BYTES, pack_bytes) // 2)))
-    judge = lambda entries: written(entries.groupBy("bucket").applyInArrow(_judge(hot_core), _VERDICT), "verdicts")
+    per_pack = lambda rows, name, *columns: rows.groupBy("pack").agg(F.collect_list(F.struct(*columns)).alias(name))
+    judged = lambda rows, most: written(rows.groupBy("bucket").applyInArrow(_judge(most), _VERDICT), "verdicts")
+    settled = lambda rows: written(rows.groupBy("bucket").applyInArrow(_settle, _MASK), "masks")
     plain = base.select("pack", "lengths", "size", "data")
-    verdicts = judge(plain.mapInArrow(_anchor_entries(buckets), _ENTRY))
-    asked = plain.join(_for_packs(verdicts.where(F.length("ask") > 0), "ask"), "pack")
-    regions = asked.mapInArrow(_asked(buckets), _REGION)
-    settled = written(regions.groupBy("bucket").applyInArrow(_settle, "pack long, open binary, mask binary"), "settled")
+    verdicts = judged(plain.mapInArrow(_entry_rows(buckets, False), _ENTRY), hot_core)
+    told = per_pack(verdicts, "told", "bucket", "ask", "hot")
+    asked = plain.join(per_pack(verdicts.where(F.length("ask") > 0), "told", "bucket", "ask"), "pack")
+    masks = per_pack(settled(asked.mapInArrow(_asked(buckets, False), _REGION)), "masks", "bucket", "mask")
     hot = verdicts.where(F.length("hot") > 0)
+    both = told.join(masks, "pack", "left")
     if hot.isEmpty():
-        strings = base.sparkSession.createDataFrame([], "pack long, strings binary")
+        none = F.array().cast("array<struct<bucket:int,ask:binary,mask:binary>>")
+        both = both.select("*", none.alias("again"), none.alias("whole"))
     else:
-        entries = plain.join(_for_packs(hot, "hot"), "pack").mapInArrow(_hot_entries(buckets), _ENTRY)
-        strings = judge(entries).select("pack", F.col("dup").alias("strings"))
-    empty = F.lit(b"")
-    told = (
-        verdicts.select("pack", "dup", "hot", empty.alias("open"), empty.alias("mask"), empty.alias("strings"))
-        .unionByName(settled.select("pack", empty.alias("dup"), empty.alias("hot"), "open", "mask", empty.alias("strings")))
-        .unionByName(strings.select("pack", empty.alias("dup"), empty.alias("hot"), empty.alias("open"), empty.alias("mask"), "strings"))
-    )
-    # open and mask are parallel, so they travel as one
-    both = told.groupBy("pack").agg(
-        F.collect_list("dup").alias("dup"),
-        F.collect_list("hot").alias("hot"),
-        F.collect_list("strings").alias("strings"),
-        F.collect_list(F.struct("open", "mask")).alias("om"),
-    )
-    both = both.select("pack", "dup", "hot", "strings", F.col("om.open").alias("open"), F.col("om.mask").alias("mask"))
+        crowded = plain.join(per_pack(hot, "told", "bucket", "hot"), "pack")
+        once_more = judged(crowded.mapInArrow(_entry_rows(buckets, True), _ENTRY), math.inf)
+        again = per_pack(once_more, "again", "bucket", "ask")
+        whole = settled(crowded.join(again, "pack").mapInArrow(_asked(buckets, True), _REGION))
+        both = both.join(again, "pack", "left").join(per_pack(whole, "whole", "bucket", "mask"), "pack", "left")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return base.join(both, "pack", "left").mapInArrow(_cut_texts(with_text), schema).withColumnRenamed("key", key)
+    cut = base.join(both, "pack", "left").mapInArrow(_cut_texts(buckets, with_text), schema)
+    return cut.withColumnRenamed("key", key)

@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page id inside shards of neighbouring ids.  A shard's
-bounds come from the exact histogram of bytes over at most ``RANGES`` id ranges,
-so the same pages make the same files in any run.  A task streams its sorted
-records into gzip members, one per record, starts a new file when the
+Records are sorted by page id and digest inside shards of neighbouring records.
+A shard's bounds are exact quantiles of the bytes to write: a running sum over
+the sorted records tells each its shard, whatever the ids look like, and the
+number of shards follows from the bytes alone, so the same pages make the same
+files under any session settings.  A task writes one shard: it streams its
+sorted records into gzip members, one per record, starts a new file when the
 compressed size passes ``roll_bytes``, and writes every header and digest anew
 from the bytes at hand.
 
@@ -18,29 +20,34 @@ the one with the largest page id is a response, others revisit it.
 
 Defined results: a null html is an empty payload; a null url an empty target; a
 null page id sorts first and never wins against another id; records that tie
-for the largest id (repeated rows) are all responses; extra columns are not
-read; an empty table makes no file.
+for the largest id (repeated rows) are all responses; a very long payload is a
+record like any other, which its task holds once; extra columns are not read; an
+empty table makes no file.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shared_dir, written
+from strandline.llm.common import discard, files_for, shared_dir, written
 
 MIN_REVISIT = 1000
-RANGES = 65_536
-SHARD_BYTES = 256 << 20
+#: At most so many shards, whose bounds every task knows (about 50 bytes each).
+MAX_SHARDS = 65_536
+MAX_SHARD_BYTES = 256 << 20
 ROLL_BYTES = 64 << 20
 LEVEL = 5
 
@@ -187,10 +194,54 @@ def _decided(pages: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def shard_count(total: int, shard_bytes: int | None = None) -> int:
+    """Shards for ``total`` bytes: they grow with its square root up to ``MAX_SHARD_BYTES``, and beyond where there are too many."""
+    each = shard_bytes or min(MAX_SHARD_BYTES, math.isqrt(total << 20))
+    return max(1, min(MAX_SHARDS, -(-total // max(1, each))))
+
+
+def _sharded(each: DataFrame, rows: int, shard_bytes: int | None) -> tuple[DataFrame, list, int]:
+    """``each`` with its shard, the first (page id, digest) of each shard, and the number of shards."""
+    cost = F.col("cost") * F.col("n")
+    ranged = each.repartitionByRange(files_for(each.sparkSession, rows), "page_id", "digest").withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "decisions")
+    sums = sorted((r.part, r.bytes) for r in ranged.groupBy("part").agg(F.sum(cost).alias("bytes")).collect())  # a row per file
+    ends = np.cumsum([0] + [b for _, b in sums]).tolist()
+    total = ends[-1]
+    shards = shard_count(total, shard_bytes)
+    base = each.sparkSession.createDataFrame([(p, e) for (p, _), e in zip(sums, ends, strict=False)], "part int, base long")
+    before = Window.partitionBy("part").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(cost).over(before), F.lit(0)) + F.col("base")
+    shard = F.floor(at * F.lit(shards) / F.lit(max(1, total)).cast("decimal(20,0)")).cast("int")
+    out = written(ranged.join(F.broadcast(base), "part").withColumn("shard", shard).drop("part", "base"), "shards")
+    first = out.groupBy("shard").agg(F.min(F.struct("page_id", "digest")).alias("k")).collect()  # at most MAX_SHARDS rows
+    return out, sorted((r.shard, r.k.page_id, bytes(r.k.digest)) for r in first), shards
+
+
+def _shard_of(first: list):
+    """A function of (page id, digest) that finds the shard among the ``first`` keys."""
+    least = -(1 << 63)
+    numbers = np.array([s for s, _, _ in first], np.int32)
+    keys = [(least if p is None else p, d) for _, p, d in first]
+    ids = np.array([p for p, _ in keys], np.int64)
+
+    @F.pandas_udf("int")
+    def shard(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        x = np.array([least if v is None or v != v else int(v) for v in page_id], np.int64) if page_id.dtype != np.int64 else page_id.to_numpy()
+        i = np.searchsorted(ids, x, "right") - 1
+        # where shards start inside one page id, the digest decides
+        for k in np.nonzero(ids[np.maximum(i, 0)] == x)[0].tolist():
+            i[k] = bisect.bisect_right(keys, (int(x[k]), bytes(digest.iloc[k]))) - 1
+        return pd.Series(numbers[np.maximum(i, 0)])
+
+    return shard
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int | None = None, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archives of ``pages`` in ``folder``; returns the manifest, a row per file."""
     spark = pages.sparkSession
     small = written(_decided(pages), "pages")
+    rows = small.count()
     each = small.groupBy("page_id", "digest", "size").agg(F.count("*").alias("n"))
     top = each.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("top"))
     each = each.join(top, "digest", "left")
@@ -199,34 +250,20 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
         "page_id", "digest", "n", F.when(again, "revisit").otherwise("response").alias("kind"),
         F.when(again, F.col("top")).alias("refers_to"), (F.when(again, 0).otherwise(F.col("size")) + 600).alias("cost"),
     )
-    each = written(each, "decisions", few=True)
-    bounds = each.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(F.col("cost") * F.col("n")).alias("bytes")).head()
-    low = bounds.lo or 0
-    step = ((bounds.hi or 0) - low) // RANGES + 1
-    of = F.coalesce((F.col("page_id") - low).cast("decimal(38,0)") / step, F.lit(-1)).cast("double")
-    of = F.floor(of).cast("int")
-    costs = {r.r: r.c for r in each.groupBy(of.alias("r")).agg(F.sum(F.col("cost") * F.col("n")).alias("c")).collect()}
-    shards = max(-(-(bounds.bytes or 0) // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = np.zeros(RANGES + 2, np.int64)
-    order = sorted(costs)
-    ends = np.cumsum([costs[r] for r in order])
-    if len(order):
-        first[np.array(order) + 1] = (ends - 1) * shards // int(ends[-1])
-    # the table of ranges is at most RANGES rows whatever the input
-    table = spark.createDataFrame([(r, int(first[r + 1])) for r in order], "_r int, shard long")
-    on = F.broadcast(table)
-    lean = each.withColumn("_r", of).join(on, "_r").select(
+    each, first, shards = _sharded(each, rows, shard_bytes)
+    discard(small)
+    lean = each.select(
         "shard", "page_id", "digest", F.lit(0).alias("row"), "kind", "refers_to",
         F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
     )
     html = F.coalesce(F.col("html"), F.lit(""))
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    full = full.withColumn("_r", of).join(on, "_r").select(
-        "shard", "page_id", F.unhex(F.sha2(html, 256)).alias("digest"), F.lit(1).alias("row"),
+    full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha2(html, 256)).alias("digest"))
+    full = full.select(
+        _shard_of(first)("page_id", "digest").alias("shard"), "page_id", "digest", F.lit(1).alias("row"),
         F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html",
     )
-    parts = lean.unionByName(full).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "row", "url")
-    made = written(parts.mapInArrow(_write_shards(folder, roll_bytes, date), _FILE), "warc-files")
+    parts = lean.unionByName(full).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "row", "url")
+    made = written(parts.withColumn("shard", F.col("shard").cast("long")).mapInArrow(_write_shards(folder, roll_bytes, date), _FILE), "warc-files", shards)
     done = made.repartition(max(1, made.count())).mapInArrow(_commit(folder), _FILE)
     done.drop("temporary").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")

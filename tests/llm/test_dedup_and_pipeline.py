@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def test_gray_index(n, radius):
         f ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
     f = np.unique(f)
     bucket = rng.integers(0, 3, len(f))
-    i, j = simhash.GrayIndex(f, bucket).links(radius)
+    i, j = (np.concatenate(x) for x in zip(*simhash.GrayIndex(f, bucket).links(radius)))
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     close = (np.bitwise_count(f[:, None] ^ f[None, :]) <= radius) & (bucket[:, None] == bucket[None, :])
     assert got == {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))), strict=True)}
@@ -138,8 +139,8 @@ def test_near_duplicates_of_chains(spark, options):
             for at in rng.sample(range(300), 2):
                 w[at] = words(rng, 1) + "q"
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    # so wide a radius links each chain from end to end
-    kept = {r.doc_id for r in simhash.survivors(docs, radius=16, **options).collect()}
+    # so many tables link each chain from end to end
+    kept = {r.doc_id for r in simhash.survivors(docs, recall=0.99999, **options).collect()}
     sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}
     like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     close = {(a, b) for a in sets for b in sets if a < b and like(a, b)}
@@ -153,6 +154,27 @@ def test_near_duplicates_of_chains(spark, options):
         assert kept == set(want)
 
 
+def test_near_duplicates_found_from_a_similarity_of_0_8(spark):
+    """Of pairs from 0.80 on, brute force tells how similar, nine in ten and more are found."""
+    rng = random.Random(31)
+    rows = []
+    for c in range(500):
+        w = words(rng, rng.choice([60, 150, 400]), "abcdefghijklmnopqrstuvwxyz").split()
+        rows.append((2 * c, " ".join(w)))
+        for at in rng.sample(range(len(w)), max(1, len(w) * rng.randint(4, 24) // 1000)):
+            w[at] += "x"
+        rows.append((2 * c + 1, " ".join(w)))
+    kept = {r.doc_id for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    near = [c for c, x in enumerate(alike) if 0.8 <= x < 0.85]
+    every = [c for c, x in enumerate(alike) if x >= 0.8]
+    assert len(near) > 60 and len(every) > 150
+    found = lambda cs: sum(2 * c + 1 not in kept for c in cs) / len(cs)
+    assert found(near) >= 0.9 and found(every) >= 0.95
+    assert all({2 * c, 2 * c + 1} <= kept for c, x in enumerate(alike) if x < 0.8)
+
+
 # suffix sort
 
 
@@ -225,7 +247,7 @@ def test_sections_do_not_change_anchors(monkeypatch):
     buf, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], ends[:-1]])
 
     def all_of():
-        found = [np.stack([p.astype(np.uint64), c, r]) for p, c, _, _, r, _ in suffix_dedup.anchors(buf, starts, ends)]
+        found = [np.stack([p.astype(np.uint64), c, r]) for p, c, _, _, r in suffix_dedup.anchors(buf, starts, ends)]
         return np.concatenate(found, axis=1).tolist()
 
     whole = all_of()
@@ -233,6 +255,54 @@ def test_sections_do_not_change_anchors(monkeypatch):
     assert all_of() == whole and len(whole[0]) > 100
 
 
+def in_process(texts, buckets, hot_core):
+    """The stages of op7 one after the other in this process, so that hashes can be broken."""
+    raw = [t.encode() for t in texts]
+    rows = []
+    for k in range(0, len(raw), 9):
+        part = raw[k : k + 9]
+        data = suffix_dedup.zstandard.ZstdCompressor().compress(b"".join(part))
+        rows.append({"pack": k, "lengths": np.array([len(x) for x in part], "<i8").tobytes(), "size": sum(map(len, part)), "data": data, "told": [], "again": [], "masks": [], "whole": []})
+
+    def by_bucket(step, run):
+        made = [r for b in step(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+        out = []
+        for b in sorted({r["bucket"] for r in made}):
+            out += run(pa.Table.from_pylist([r for r in made if r["bucket"] == b])).to_pylist()
+        return out
+
+    def tell(name, found):
+        for row in rows:
+            row[name] = [x for x in found if x["pack"] == row["pack"]]
+
+    tell("told", by_bucket(suffix_dedup._entry_rows(buckets, False), suffix_dedup._judge(hot_core)))
+    tell("masks", by_bucket(suffix_dedup._asked(buckets, False), suffix_dedup._settle))
+    if any(x["hot"] for r in rows for x in r["told"]):
+        tell("again", by_bucket(suffix_dedup._entry_rows(buckets, True), suffix_dedup._judge(float("inf"))))
+        tell("whole", by_bucket(suffix_dedup._asked(buckets, True), suffix_dedup._settle))
+    for k, row in enumerate(rows):
+        row["keys"] = list(range(9 * k, min(9 * k + 9, len(raw))))
+    kinds = pa.schema([("pack", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.binary()), ("size", pa.int64()), ("data", pa.binary())])
+    verdict = pa.list_(pa.struct([("bucket", pa.int32()), ("ask", pa.binary()), ("hot", pa.binary())]))
+    mask = pa.list_(pa.struct([("bucket", pa.int32()), ("mask", pa.binary())]))
+    for name, kind in (("told", verdict), ("again", verdict), ("masks", mask), ("whole", mask)):
+        kinds = kinds.append(pa.field(name, kind))
+    done = suffix_dedup._cut_texts(buckets, False)(iter([pa.RecordBatch.from_pylist(rows, schema=kinds)]))
+    return [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for b in done for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("bits", [64, 6, 0])
+def test_hash_collisions_remove_nothing(monkeypatch, hot, bits):
+    """With hashes of so few bits nearly all cores, regions and extensions collide; every removal rests on bytes."""
+    texts = [t or "" for t in repeat_texts()]
+    few = np.uint64((1 << bits) - 1)
+    whole_hash, whole_mix = suffix_dedup.PrefixHash.of, suffix_dedup.mixed
+    monkeypatch.setattr(suffix_dedup, "mixed", lambda h: whole_mix(h) & few)
+    monkeypatch.setattr(suffix_dedup.PrefixHash, "of", lambda self, a, b: whole_hash(self, a, b) & few)
+    assert in_process(texts, 3, hot) == brute_repeats([t.encode() for t in texts])
+
+
 # pipeline
 
 

@@ -91,6 +91,11 @@ def test_exact_dedup(spark, odd, history):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
+def test_exact_dedup_of_rows_with_maps(spark):
+    docs = spark.sql("SELECT id DIV 2 AS doc_id, 'Same' AS text, map('a', id) AS m FROM range(4)")
+    assert [(r.doc_id, r.m) for r in exact_dedup.survivors(docs).collect()] == [(1, {"a": 3})]
+
+
 def test_exact_dedup_empty(empty):
     assert exact_dedup.decide(empty).count() == 0 and exact_dedup.survivors(empty).count() == 0
 
@@ -314,6 +319,24 @@ def test_warc(spark, pages, tmp_path):
     assert {p.name: p.read_bytes() for p in (tmp_path / "again").glob("*.gz")} == {n: (tmp_path / "w" / n).read_bytes() for n in names}
 
 
+def test_warc_shards_follow_the_bytes_alone(spark, tmp_path):
+    """An outlying id does not crowd the rest into one shard, and the session's settings do not change a file."""
+    rng = random.Random(15)
+    rows = [(i, f"http://a/{i}", words(rng, 40)) for i in range(400)] + [(1 << 60, "http://far/", "far")] + [(7, "http://same/", words(rng, 400)) for _ in range(6)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = []
+    for n in ("4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        folder = tmp_path / n
+        made = warc.write(docs.repartition(int(n)), f"file://{folder}", shard_bytes=40_000).collect()
+        files.append({p.name: p.read_bytes() for p in folder.glob("*.gz")})
+        assert len({r.shard for r in made}) > 5 and max(r.records for r in made) < 120
+        assert warc.read(spark, f"file://{folder}").count() == len(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert files[0] == files[1]
+    assert warc.shard_count(0) == 1 and warc.shard_count(1 << 47) == warc.MAX_SHARDS
+
+
 def test_warc_empty_and_damaged(spark, pages, tmp_path):
     assert warc.round_trip(pages.where("false"), "file://" + str(tmp_path / "e")).count() == 0
     record = warc.page_record(1, 0, "http://a/", b"x", "response", None, "2024-01-01T00:00:00Z")
