@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from strandline.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
 from strandline.llm.common import table, written
 
-#: SimHash radius of the near-duplicate stage; every removal is verified at a similarity of 0.8 of 5-word shingles.
-NEAR_RADIUS = 8
+#: Jaccard similarity of 5-word shingle sets from which on a document is a near duplicate.
+NEAR_SIMILARITY = 0.8
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return simhash.survivors(docs, size=5, radius=NEAR_RADIUS, similarity=0.8)
+    return simhash.survivors(docs, size=5, similarity=NEAR_SIMILARITY)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
