@@ -1,4 +1,4 @@
-"""Alignment scores over Arrow batches (inventory FN20, JN03-JN07, RM01).
+"""Alignment scores over Arrow batches (inventory FN20, JN03-JN08, RM01, RM30).
 
 The dynamic programs run row by row in NumPy over all pairs of a batch at once,
 so Python's cost is per cell of the largest pair, not per pair.
@@ -15,63 +15,36 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import RESIDUES
 
-#: BLOSUM62 for the twenty residues in the order of ``RESIDUES``, one row per residue up to itself.
-BLOSUM62_LOWER = """
-4
--1 5
--2 0 6
--2 -2 1 6
-0 -3 -3 -3 9
--1 1 0 0 -3 5
--1 0 0 2 -4 2 5
-0 -2 0 -1 -3 -2 -2 6
--2 0 1 -1 -3 0 0 -2 8
--1 -3 -3 -3 -1 -3 -3 -4 -3 4
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
-"""
-
-#: Scores of the ambiguous residues B and Z that the rule in ``_blosum62`` does not give.
-AMBIGUOUS_SCORES = {"BK": 0, "BP": -2, "ZC": -3}
-
-
-def _blosum62() -> np.ndarray:
-    """The whole matrix.
-
-    B is N or D, Z is Q or E: their scores are the mean of both, the second
-    weighing more, rounded half up.  X scores -1, but 0 with A, S and T and -2
-    with C, P and W.  A stop scores -4, with itself 1.
+#: BLOSUM62, rows and columns in the order of ``RESIDUES``.
+BLOSUM62 = np.array(
     """
-    out = np.zeros((24, 24))
-    for i, row in enumerate(BLOSUM62_LOWER.split("\n")[1:-1]):
-        out[i, : i + 1] = out[: i + 1, i] = [int(x) for x in row.split()]
-    either = {"B": ("N", "D"), "Z": ("Q", "E")}
-    at = RESIDUES.index
-    for columns in (range(20), (at("B"), at("Z"))):
-        for r, (a, b) in either.items():
-            for j in columns:
-                out[at(r), j] = 0.3 * out[at(a), j] + 0.7 * out[at(b), j]
-                if j < 20:
-                    out[j, at(r)] = out[at(r), j]
-    for pair, score in AMBIGUOUS_SCORES.items():
-        out[at(pair[0]), at(pair[1])] = out[at(pair[1]), at(pair[0])] = score
-    x, stop = at("X"), at("*")
-    for j, c in enumerate(RESIDUES):
-        out[x, j] = out[j, x] = 0 if c in "AST" else -2 if c in "CPW" else -1
-    out[stop, :] = out[:, stop] = -4
-    out[stop, stop] = 1
-    return np.floor(out + 0.5).astype(np.int64)
-
-
-BLOSUM62 = _blosum62()
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -4
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -4
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -4
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -4
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -4
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -4
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -4
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -4
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -4
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -4
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -4
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -4
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -4
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -4
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -4
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -4
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1 -4
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1 -4
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1 -4
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
+""".split(),
+    np.int64,
+).reshape(24, 24)
 
 _INDEX = np.full(256, RESIDUES.index("X"), np.int64)
 _INDEX[np.frombuffer(RESIDUES.encode(), np.uint8)] = np.arange(len(RESIDUES))
@@ -129,35 +102,47 @@ def smith_waterman(
     return best, best_q, best_t
 
 
-def extend(query: str, target: str, q: int, t: int, seed: int, most: int, side: int, positive: bool) -> tuple[int, int, int, float, float]:
-    """Ungapped extension of a seed on both sides (JN03, JN04).
+def extend(
+    queries: list[str], targets: list[str], q: np.ndarray, t: np.ndarray, seed: int, most: int, side: int, positive: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+    """Ungapped extension of a seed of each pair on both sides (JN03, JN04), all pairs at once.
 
     A side stops at its ``most`` + 1-st mismatch, at ``side`` residues or at an
-    end.  Returns (query start, target start, length, identity, score); with
-    ``positive`` a pair of positive BLOSUM62 score counts as a match.
+    end.  Returns query starts, target starts, lengths, identities, scores and the
+    differences (JN06, at target positions from 0); with ``positive`` a pair of
+    positive BLOSUM62 score counts as a match.
     """
-    same = lambda a, b: BLOSUM62[_INDEX[ord(a) & 255], _INDEX[ord(b) & 255]] > 0 if positive else a == b
-    left, bad = 0, 0
-    while left < side and q - left > 0 and t - left > 0 and bad <= most:
-        left += 1
-        bad += not same(query[q - left], target[t - left])
-    right, bad = 0, 0
-    while right < side and q + seed + right < len(query) and t + seed + right < len(target) and bad <= most:
-        bad += not same(query[q + seed + right], target[t + seed + right])
-        right += 1
+    a, na = _codes(queries, 0)
+    b, nb = _codes(targets, 0)
+    ia, ib = _INDEX[a & 255], _INDEX[b & 255]
+    row = np.arange(len(queries))
+
+    def side_of(step: int, first_q: np.ndarray, first_t: np.ndarray) -> np.ndarray:
+        n, bad, going = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.ones(len(row), bool)
+        for k in range(side):
+            i, j = first_q + step * k, first_t + step * k
+            going &= (i >= 0) & (j >= 0) & (i < na) & (j < nb) & (bad <= most)
+            if not going.any():
+                break
+            i, j = np.clip(i, 0, a.shape[1] - 1), np.clip(j, 0, b.shape[1] - 1)
+            same = BLOSUM62[ia[row, i], ib[row, j]] > 0 if positive else a[row, i] == b[row, j]
+            n += going
+            bad += going & ~same
+        return n
+
+    left, right = side_of(-1, q - 1, t - 1), side_of(1, q + seed, t + seed)
     start, other, n = q - left, t - left, left + seed + right
-    pairs = [(query[start + i], target[other + i]) for i in range(n)]
-    score = sum(int(BLOSUM62[_INDEX[ord(a) & 255], _INDEX[ord(b) & 255]]) for a, b in pairs)
-    return start, other, n, sum(same(a, b) for a, b in pairs) / n, float(score)
-
-
-def differences(query: str, target: str, q: int, t: int, n: int) -> list[dict]:
-    """JN06: the mutations of an ungapped alignment, at target positions from 0."""
-    return [
-        {"pos": t + i, "ref": target[t + i], "alt": query[q + i], "blosum": int(BLOSUM62[_INDEX[ord(target[t + i]) & 255], _INDEX[ord(query[q + i]) & 255]])}
-        for i in range(n)
-        if query[q + i] != target[t + i]
-    ]
+    place = np.arange(int(n.max(initial=0)))
+    inside = place < n[:, None]
+    i, j = np.where(inside, start[:, None] + place, 0), np.where(inside, other[:, None] + place, 0)
+    worth = np.where(inside, BLOSUM62[ia[row[:, None], i], ib[row[:, None], j]], 0)
+    equal = a[row[:, None], i] == b[row[:, None], j]
+    fine = (worth > 0 if positive else equal) & inside
+    found: list[list[dict]] = [[] for _ in row]
+    for r, k in zip(*(x.tolist() for x in np.nonzero(inside & ~equal)), strict=True):
+        at, of = int(other[r]) + k, int(start[r]) + k
+        found[r].append({"pos": at, "ref": targets[r][at], "alt": queries[r][of], "blosum": int(worth[r, k])})
+    return start, other, n, fine.sum(axis=1) / np.maximum(n, 1), worth.sum(axis=1).astype(float), found
 
 
 def local_score(match: int | None = None, mismatch: int = -1, gap: int = -3, band: int | None = 15):
@@ -181,10 +166,52 @@ def seed_extension(seed: int = 8, most: int = 3, side: int = 30, positive: bool
 
     @F.pandas_udf("query_start int, ref_start int, length int, identity double, score double, mutations array<struct<pos:int,ref:string,alt:string,blosum:int>>")
     def run(query: pd.Series, target: pd.Series, q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b, i, j in zip(query, target, q, t, strict=True):
-            start, other, n, identity, score = extend(a, b, int(i), int(j), seed, most, side, positive)
-            rows.append((start, other, n, identity, score, differences(a, b, start, other, n)))
-        return pd.DataFrame(rows, columns=["query_start", "ref_start", "length", "identity", "score", "mutations"])
+        names = ["query_start", "ref_start", "length", "identity", "score", "mutations"]
+        parts = []
+        for i in range(0, len(query), 1024):
+            at = slice(i, i + 1024)
+            parts.append(extend(query.iloc[at].tolist(), target.iloc[at].tolist(), q.iloc[at].to_numpy(np.int64), t.iloc[at].to_numpy(np.int64), seed, most, side, positive))
+        columns = [np.concatenate([x[k] for x in parts]) if parts else np.zeros(0) for k in range(5)]
+        return pd.DataFrame(dict(zip(names, [*columns, [m for x in parts for m in x[5]]], strict=True)))
+
+    return run
+
+
+def best_ungapped(least_score: int = 30, least_length: int = 15):
+    """JN08, RM30 as a column function of (query, target): the best run of any offset without gaps, by BLOSUM62.
+
+    struct(score, offset, start, length): ``offset`` is target place less query
+    place, ``start`` the run's place in the query; null where the best run has
+    less than ``least_score`` or ``least_length``.  Of equal scores the least
+    offset and then the first run counts.
+    """
+
+    @F.pandas_udf("score long, offset int, start int, length int")
+    def run(query: pd.Series, target: pd.Series) -> pd.DataFrame:
+        rows = [ungapped(x, y, least_score, least_length) for x, y in zip(query, target, strict=True)]
+        return pd.DataFrame(rows, columns=["score", "offset", "start", "length"]).astype({"score": "Int64", "offset": "Int32", "start": "Int32", "length": "Int32"})
 
     return run
+
+
+def ungapped(query: str | None, target: str | None, least_score: int, least_length: int) -> tuple:
+    """The best run without gaps over all offsets: all diagonals side by side, each a running sum cut at zero."""
+    if not query or not target:
+        return None, None, None, None
+    (a, _), (b, _) = _codes([query], 0), _codes([target], 0)
+    worth = BLOSUM62[_INDEX[a[0] & 255][:, None], _INDEX[b[0] & 255][None, :]]
+    n, m = worth.shape
+    # row d holds the diagonal of offset d - (n - 1), padded by pairs that end any run
+    laid = np.full((n + m - 1, n), -1000)
+    i = np.arange(n)[:, None]
+    j = np.arange(m)[None, :]
+    laid[j - i + n - 1, np.broadcast_to(i, (n, m))] = worth
+    total = np.concatenate([np.zeros((n + m - 1, 1), np.int64), np.cumsum(laid, axis=1)], axis=1)
+    low = np.minimum.accumulate(total, axis=1)
+    gain = total[:, 1:] - low[:, :-1]
+    d, end = np.unravel_index(int(gain.argmax()), gain.shape)
+    begin = int(np.nonzero(total[d, : end + 1] == low[d, end])[0][-1])
+    score, length = int(gain[d, end]), int(end) + 1 - begin
+    if score < least_score or length < least_length:
+        return None, None, None, None
+    return score, int(d) - (n - 1), begin, length

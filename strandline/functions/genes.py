@@ -14,14 +14,12 @@ FAMILY_PREFIXES = (
     ("mcr", "mcr"), ("sul", "sul"),
 )
 
-#: Phylogenetic groups of CTX-M variants.
+#: The phylogenetic group of each CTX-M variant.
 CTXM_GROUPS = {
-    1: "1 3 10 11 12 15 23 28",
-    2: "2 4 5 6 7 20",
-    3: "8 40 41",
-    4: "9 13 14 16 17 18 19 21",
-    5: "25 26 27 39 42",
-}
+    "1": 1, "2": 2, "3": 1, "4": 2, "5": 2, "6": 2, "7": 2, "8": 3, "9": 4, "10": 1, "11": 1, "12": 1, "13": 4, "14": 4,
+    "15": 1, "16": 4, "17": 4, "18": 4, "19": 4, "20": 2, "21": 4, "23": 1, "25": 5, "26": 5, "27": 5, "28": 1, "39": 5,
+    "40": 3, "41": 3, "42": 5,
+}
 
 #: Prior weights by variant.
 VARIANT_PRIORS = {
@@ -70,7 +68,7 @@ def gene_variant(name: Column) -> Column:
 def name_similarity(a: Column, b: Column) -> Column:
     """FN24: similarity of two gene names by family and variant."""
     fa, fb, va, vb = gene_family(a), gene_family(b), gene_variant(a), gene_variant(b)
-    groups = F.create_map(*(F.lit(x) for g, vs in CTXM_GROUPS.items() for v in vs.split() for x in (v, g)))
+    groups = F.create_map(*(F.lit(x) for kv in CTXM_GROUPS.items() for x in kv))
     ga, gb = F.try_element_at(groups, va), F.try_element_at(groups, vb)
     ctxm = F.when(ga.isNull() | gb.isNull(), 0.7).when(ga == gb, 0.9).otherwise(0.6)
     return (

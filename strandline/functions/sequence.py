@@ -1,4 +1,4 @@
-"""Sequence scalar functions as Spark columns (inventory FN01-FN19, FN21, FN29-FN31, FN44).
+"""Sequence scalar functions as Spark columns (inventory FN01-FN10, FN15-FN19, FN29-FN31, FN44).
 
 All of them are built-in expressions; null in, null out.  Bases are upper case;
 packed k-mers are longs of two bits a base (A 0, C 1, G 2, T 3), null where a
@@ -126,32 +126,31 @@ def translate_codon(codon: Column) -> Column:
 
 def translate_frame(seq: Column, frame: int) -> Column:
     """The peptide of forward frame 0, 1 or 2; stops are ``*``."""
-    n = F.floor((F.length(seq) - frame) / 3).cast("int")
-    code = _code_map()
-    codons = F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)), lambda i: F.coalesce(F.try_element_at(code, F.substring(seq, i * 3 + 1 + frame, F.lit(3))), F.lit("X"))
-    )
-    return F.array_join(codons, "")
+    # codons are cut by one pass of a pattern: a substring would walk the sequence from its front each time
+    code, whole = _code_map(), F.substring(seq, F.lit(frame + 1), F.greatest(F.length(seq), F.lit(1)))
+    codons = F.regexp_extract_all(whole, F.lit("(?s)..."), F.lit(0))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(code, c), F.lit("X"))), "")
+
+
+def open_stretches(peptide: Column) -> Column:
+    """Array of (start from 0, peptide) between the stops of a frame, in order."""
+    stops = F.filter(F.transform(F.split(peptide, ""), lambda c, i: F.when(c == "*", i)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(0)), F.transform(stops, lambda i: i + 1))
+    return F.arrays_zip(starts.alias("start"), F.split(peptide, r"\*").alias("peptide"))
 
 
 def six_frames(reads: DataFrame, seq: str, min_length: int = 20) -> DataFrame:
-    """FN18: open stretches of all six frames: frame (1..3, -1..-3), start (aa) and peptide."""
+    """FN18: open stretches of all six frames: frame (1..3, -1..-3), start (aa) and peptide.
+
+    All of it happens inside a row, so repeated reads keep their own stretches and nothing is shuffled.
+    """
     rest = [c for c in reads.columns if c != seq]
     up, down = F.upper(F.col(seq)), reverse_complement(F.upper(F.col(seq)))
     frames = F.array(
         *(F.struct(F.lit(s * (f + 1)).alias("frame"), translate_frame(x, f).alias("peptide")) for s, x in ((1, up), (-1, down)) for f in range(3))
     )
-    each = reads.select(*rest, F.explode(frames).alias("_f")).select(*rest, "_f.frame", F.posexplode(F.split("_f.peptide", r"\*")))
-    # where a stretch starts: all stretches before it and their stops
-    over = [*rest, "frame"]
-    packed = each.groupBy(*over).agg(F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("_s"))
-    start = F.transform(
-        F.col("_s"),
-        lambda x: F.struct(
-            F.aggregate(F.slice(F.col("_s.col"), F.lit(1), x["pos"]), F.lit(0), lambda a, p: a + F.length(p) + 1).alias("start"), x["col"].alias("peptide")
-        ),
-    )
-    return packed.select(*over, F.explode(start).alias("_p")).select(*over, "_p.start", "_p.peptide").where(F.length("peptide") >= min_length)
+    each = reads.select(*rest, F.explode(frames).alias("_f")).select(*rest, "_f.frame", F.explode(open_stretches(F.col("_f.peptide"))).alias("_p"))
+    return each.select(*rest, "frame", "_p.start", "_p.peptide").where(F.length("peptide") >= min_length)
 
 
 def residue_index(residue: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Allele pileups, frequencies, variant calls and their reading (AG05-AG08, AG19, FLT06, FLT09-FLT10, RM02, RM03, RM29, ST01)."""
+"""Allele pileups, frequencies, variant calls and their reading (AG05-AG08, AG19, FLT06, FLT09-FLT10, RM02, RM03, RM29, RM31, ST01, ST02)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scoring import variant_confidence
+from strandline.functions.sequence import translate_codon
 
 
 def is_valid_match(score: Column, identity: Column, length: Column, peptide: Column) -> Column:
@@ -79,13 +80,36 @@ def annotated(matches: DataFrame, known: DataFrame, match_id: str, keys: list[st
     return told.groupBy(match_id, *keys).agg(F.sum(F.col("hit").cast("int")).alias("known"), F.count("pos").alias("mutations"))
 
 
+#: The texts and confidences of a report, from the surest reading down.
+READINGS = {
+    "sure": ("HIGH CONFIDENCE: Fluoroquinolone resistance detected", 0.95),
+    "likely": ("MODERATE CONFIDENCE: Fluoroquinolone resistance likely", 0.80),
+    "possible": ("LOW CONFIDENCE: Possible fluoroquinolone resistance", 0.60),
+    "region": ("QRDR mutations detected - resistance possible but not confirmed", 0.40),
+    "none": ("No fluoroquinolone resistance markers detected", 0.05),
+}
+
+
 def interpretation(known_sure: Column, known: Column, qrdr: Column) -> Column:
     """AG19: struct(text, confidence) from the counts of sure and other known mutations and of region mutations."""
-    out = lambda text, c: F.struct(F.lit(text).alias("text"), F.lit(c).alias("confidence"))
+    out = lambda name: F.struct(F.lit(READINGS[name][0]).alias("text"), F.lit(READINGS[name][1]).alias("confidence"))
+    some = known > 0
     return (
-        F.when((known > 0) & (known_sure >= 2), out("HIGH CONFIDENCE: Fluoroquinolone resistance detected", 0.95))
-        .when((known > 0) & (known_sure == 1), out("MODERATE CONFIDENCE: Fluoroquinolone resistance likely", 0.80))
-        .when(known > 0, out("LOW CONFIDENCE: Possible fluoroquinolone resistance", 0.60))
-        .when(qrdr > 0, out("QRDR mutations detected - resistance possible but not confirmed", 0.40))
-        .otherwise(out("No fluoroquinolone resistance markers detected", 0.05))
-    )
+        F.when(some & (known_sure >= 2), out("sure")).when(some & (known_sure == 1), out("likely")).when(some, out("possible"))
+        .when(qrdr > 0, out("region")).otherwise(out("none"))
+    )
+
+
+def codon_scan(sequences: DataFrame, known: DataFrame, seq: str = "seq") -> DataFrame:
+    """RM31: known mutations (species, gene, pos, wild, mutant) that a gene's own sequence (id, gene, seq) shows at their codon.
+
+    No alignment: the sequence must start with the gene's first codon.
+    """
+    met = sequences.select("id", "gene", F.col(seq).alias("_s")).join(known.select("gene", "pos", "wild", "mutant").distinct(), "gene")
+    codon = F.substring("_s", (F.col("pos") - 1) * 3 + 1, F.lit(3))
+    return met.where((F.length("_s") >= F.col("pos") * 3) & (translate_codon(codon) == F.col("mutant"))).select("id", "gene", "pos", "wild", "mutant")
+
+
+def mutation_report(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """ST02: distinct mutations with their counts, the most frequent first, then in order of their keys."""
+    return calls.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys)

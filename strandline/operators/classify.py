@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.sequence import kmers
+
 
 def votes(hits: DataFrame, read: str = "read_id", taxon: str = "taxon") -> DataFrame:
     return hits.groupBy(read, taxon).agg(F.count("*").alias("votes"))
@@ -69,8 +71,8 @@ def profiles(matches: DataFrame, sizes: DataFrame) -> DataFrame:
         F.count("*").alias("hits"), F.sum("weight").alias("weight"), F.count_distinct("kmer").alias("kmers"), F.count_distinct("read_id").alias("reads")
     )
     out = per.join(sizes, "organism").withColumn("breadth", F.col("kmers") / F.col("size"))
-    total = F.sum("weight").over(Window.partitionBy())
-    return out.withColumn("abundance", F.col("weight") / total).withColumn(
+    total = per.agg(F.sum("weight").alias("_all"))
+    return out.crossJoin(F.broadcast(total)).withColumn("abundance", F.col("weight") / F.col("_all")).drop("_all").withColumn(
         "confidence", F.least(F.lit(1.0), F.log10(F.col("hits") + 1) / 3.0) * F.least(F.lit(1.0), 10 * F.col("breadth"))
     )
 
@@ -103,3 +105,46 @@ def cascade(keys: DataFrame, *levels: tuple[DataFrame, str, float]) -> DataFrame
 def contained(hits: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """JN20, JN09: hits (key, start, end) inside a region (key, lo, hi, region)."""
     return hits.join(regions, key).where((F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
+
+
+def placements(reads: DataFrame, genomes: DataFrame, k: int = 15, checked: int = 50, least: float = 0.8) -> DataFrame:
+    """RM26: each read's (read_id, seq) best place in each genome (genome, seq) by identity over its first ``checked`` bases.
+
+    Places come from shared k-mers, so no read is slid along a genome; of equally
+    good places the first counts: (read_id, genome, place, identity, n), n the
+    read's length.
+    """
+    a = kmers(reads.select("read_id", "seq"), "seq", k, k).select("read_id", "kmer", F.col("pos").alias("q"))
+    b = kmers(genomes.select("genome", "seq"), "seq", k).select("genome", "kmer", F.col("pos").alias("t"))
+    at = a.join(b, "kmer").where("t >= q").select("read_id", "genome", (F.col("t") - F.col("q")).alias("place")).distinct()
+    met = at.join(reads.select("read_id", F.substring("seq", 1, checked).alias("_r"), F.length("seq").alias("n")), "read_id")
+    met = met.join(genomes.select("genome", F.col("seq").alias("_g")), "genome").where(F.col("place") + F.col("n") <= F.length("_g"))
+    near = F.substring("_g", F.col("place") + 1, F.length("_r"))
+    same = F.size(F.filter(F.arrays_zip(F.split("_r", ""), F.split(near, "")), lambda p: (p["0"] == p["1"]) & (p["0"] != "")))
+    rated = met.select("read_id", "genome", "place", "n", (same / F.length("_r")).alias("identity")).where(F.col("identity") >= least)
+    best = rated.groupBy("read_id", "genome", "n").agg(F.max(F.struct("identity", (-F.col("place")).alias("p"))).alias("m"))
+    return best.select("read_id", "genome", (-F.col("m.p")).alias("place"), F.col("m.identity").alias("identity"), "n")
+
+
+def pair_placements(placed: DataFrame) -> DataFrame:
+    """RM25: (pair_id, mate 1 or 2, genome, place, identity, n) -> each pair's best genome, and whether the mates agree there.
+
+    Mates agree where the insert is 100 to 1000 bases; that lifts their mean
+    identity by half.  Of equal scores the first genome counts.
+    """
+    side = lambda m: placed.where(F.col("mate") == m).select("pair_id", "genome", *(F.col(c).alias(f"{c}{m}") for c in ("place", "identity", "n")))
+    both = side(1).join(side(2), ["pair_id", "genome"])
+    insert = F.abs(F.col("place2") - F.col("place1")) + F.greatest("n1", "n2")
+    agree = insert.between(100, 1000)
+    score = (F.col("identity1") + F.col("identity2")) / 2 * F.when(agree, 1.5).otherwise(1.0)
+    rows = both.select("pair_id", "genome", insert.alias("insert"), agree.alias("concordant"), score.alias("score"))
+    over = Window.partitionBy("pair_id").orderBy(F.desc("score"), "genome")
+    return rows.withColumn("_r", F.row_number().over(over)).where("_r = 1").drop("_r")
+
+
+def placement_profile(best: DataFrame) -> DataFrame:
+    """RM25: per genome concordant and other pairs and the sum of scores, those of concordant pairs up by half, others down to 0.7."""
+    worth = F.col("score") * F.when(F.col("concordant"), 1.5).otherwise(0.7)
+    return best.groupBy("genome").agg(
+        F.sum(F.col("concordant").cast("long")).alias("concordant"), F.sum((~F.col("concordant")).cast("long")).alias("discordant"), F.sum(worth).alias("score")
+    )

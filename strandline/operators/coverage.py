@@ -77,3 +77,17 @@ def summary(hits: DataFrame, by: list[str]) -> DataFrame:
 def confidence(percent: Column, depth: Column) -> Column:
     """AG18: the confidence that a gene is present."""
     return F.when((percent >= 95) & (depth >= 10), "HIGH").when((percent >= 80) & (depth >= 5), "MODERATE").otherwise("LOW")
+
+
+def gene_report(rows: DataFrame) -> DataFrame:
+    """ST02: genes (gene_id, tpm, ...) by falling TPM, then by id."""
+    return rows.orderBy(F.desc("tpm"), "gene_id")
+
+
+def family_report(rows: DataFrame) -> DataFrame:
+    """ST02: (family, gene_id, reads, tpm, mean_identity) summed by family, by falling TPM, then by name."""
+    per = rows.groupBy("family").agg(
+        F.array_join(F.array_sort(F.collect_set(F.col("gene_id").cast("string"))), ", ").alias("variants"),
+        F.sum("reads").alias("reads"), F.sum("tpm").alias("tpm"), (F.sum(F.col("mean_identity") * F.col("reads")) / F.sum("reads")).alias("mean_identity"),
+    )
+    return per.orderBy(F.desc("tpm"), "family")

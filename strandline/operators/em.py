@@ -1,9 +1,11 @@
 """Expectation-maximisation for reads that match several genes (AG09-AG17, JN10-JN13, Q1-Q5).
 
-State is one row per (read, gene) candidate, fixed, and one per gene,
-changing.  A round is a join, two aggregations and, every few rounds, a
-checkpoint, so the plan does not grow with the rounds.  Convergence is the
-largest change of any gene's abundance.
+Reads with the same candidate genes at the same scores behave alike in every
+round, so ``run`` folds them into one class with a count before it starts, and
+writes the classes once.  State is one row per (class, gene) candidate, fixed,
+and one per gene, changing, which is sent to all tasks if the genes are few.
+Every few rounds the state is written, so the plan does not grow with the
+rounds.  Convergence is the largest change of any gene's abundance.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scoring import fragment_length, fragment_probability
+from strandline.storage import written
 
 SIMILARITY_WEIGHT = 0.3
 PRIOR_SHARE = 0.1
@@ -41,12 +44,14 @@ def e_step(candidates: DataFrame, state: DataFrame, similar: DataFrame | None =
     over = Window.partitionBy("read_id")
     total = F.sum("_w").over(over)
     p = F.when(total > 0, F.col("_w") / total).otherwise(1.0 / F.count("*").over(over))
-    return rows.withColumn("_w", weight).select("read_id", "gene_id", p.alias("p"))
+    count = ["n"] if "n" in candidates.columns else []
+    return rows.withColumn("_w", weight).select("read_id", "gene_id", p.alias("p"), *count)
 
 
 def m_step(assigned: DataFrame, state: DataFrame, reads_each: float = 1.0) -> DataFrame:
     """AG11, AG13: expected reads and abundance of every gene; a pair counts ``reads_each`` = 2."""
-    got = assigned.groupBy("gene_id").agg((reads_each * F.sum("p")).alias("reads"))
+    n = F.col("n") if "n" in assigned.columns else F.lit(1)
+    got = assigned.groupBy("gene_id").agg((reads_each * F.sum(F.col("p") * n)).alias("reads"))
     rows = state.drop("reads").join(got, "gene_id", "left").withColumn("reads", F.coalesce("reads", F.lit(0.0)))
     return rows.withColumn("abundance", (F.col("reads") + PRIOR_SHARE * F.col("prior")) / (F.col("length") / 1000.0))
 
@@ -57,21 +62,34 @@ def smooth(state: DataFrame, share: float = 0.05) -> DataFrame:
     return state.withColumn("abundance", (1 - share) * F.col("abundance") + share * mean)
 
 
+def classes(candidates: DataFrame) -> DataFrame:
+    """(read_id, gene_id, score) -> (read_id, gene_id, score, n): one stand-in for the n reads with equal candidates."""
+    sets = candidates.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("gene_id", "score"))).alias("s"))
+    each = sets.groupBy("s").agg(F.min("read_id").alias("read_id"), F.count("*").alias("n"))
+    return each.select("read_id", "n", F.explode("s").alias("s")).select("read_id", "s.gene_id", "s.score", "n")
+
+
+#: A state of up to so many genes (about 100 bytes each) is sent to every task; a larger one is joined by a shuffle.
+BROADCAST_GENES = 1_000_000
+
+
 def run(
     candidates: DataFrame, genes: DataFrame, rounds: int = 100, tolerance: float = 1e-3, smooth_every: int = 5,
     similar: DataFrame | None = None, reads_each: float = 1.0, cut_every: int = 5,
 ) -> DataFrame:
     """AG14: (gene_id, length, prior, family, abundance, reads) after convergence or ``rounds``.
 
-    With ``tolerance`` 0 exactly ``rounds`` are made, lazily where they are few.
+    With ``tolerance`` 0 exactly ``rounds`` are made.
     """
+    folded = written(classes(candidates).repartition("read_id"), "classes")
+    few = genes.count() <= BROADCAST_GENES
     state = start(genes)
     for i in range(1, rounds + 1):
-        new = m_step(e_step(candidates, state, similar), state, reads_each)
+        new = m_step(e_step(folded, F.broadcast(state) if few else state, similar), state, reads_each)
         if smooth_every and i % smooth_every == 0:
             new = smooth(new)
         if i % cut_every == 0:
-            new = new.checkpoint() if state.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
+            new = written(new, "abundances")
             if tolerance:
                 moved = new.join(state.select("gene_id", F.col("abundance").alias("_was")), "gene_id").agg(F.max(F.abs(F.col("abundance") - F.col("_was")))).head()[0]
                 if moved is None or moved < tolerance:

@@ -1,10 +1,12 @@
-"""Resistance graph, attribution and position weight matrices (GR11-GR17, AG44-AG45, FN40-FN41)."""
+"""Resistance graph, attribution and position weight matrices (GR11-GR16, RM12, AG44-AG45, FN40-FN41)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.storage import written
+
 
 def paths(edges: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
     """GR12, GR15: all simple paths from ``sources`` (id) of up to ``most`` edges: (start, node, path, steps, weight, product).
@@ -23,31 +25,54 @@ def paths(edges: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
     return out
 
 
-def shortest(found: DataFrame) -> DataFrame:
-    """GR12: of each (start, node) the shortest path, then the first in order."""
-    over = Window.partitionBy("start", "node").orderBy("steps", "path")
-    return found.withColumn("_r", F.row_number().over(over)).where("_r = 1").drop("_r")
+def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
+    """GR12: of each (start, node) the shortest path, then the first in order: (start, node, path, steps).
+
+    A breadth-first frontier: a round goes one edge on from the nodes that the
+    last one reached first and keeps one path for each, so the work is that of
+    the edges met, not of all simple paths.  It ends when nothing new is reached.
+    """
+    step = edges.select(F.col("src").alias("node"), "dst").distinct()
+    front = sources.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0).alias("steps")).distinct()
+    seen = front = cut(front)
+    for _ in range(rounds):
+        on = front.join(step, "node").select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("steps") + 1).alias("steps"))
+        front = cut(on.groupBy("start", "node").agg(F.min("path").alias("path"), F.min("steps").alias("steps")).join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
+    raise RuntimeError(f"paths of more than {rounds} edges")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, as a table in the shared folder that ``spark.checkpoint.dir`` names."""
+    return written(df, "round")
 
 
-def labels(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def labels(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """GR14: (id, component): the least node reached over undirected edges.
 
     Labels spread to neighbours and then jump to their label's label, so the
-    rounds grow with the logarithm of the longest chain.
+    rounds grow with the logarithm of the longest chain; the last round changed
+    nothing, and one that does not come raises.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    now = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("component"))
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    now = cut(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("component")))
     for _ in range(rounds):
         seen = both.join(now.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         hooked = now.join(seen.withColumnRenamed("src", "id"), "id").select("id", F.least("component", "m").alias("component"))
         up = hooked.select(F.col("id").alias("component"), F.col("component").alias("_up"))
-        new = hooked.join(up, "component").select("id", F.col("_up").alias("component"))
-        new = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
-        changed = new.join(now.select("id", F.col("component").alias("_was")), "id").where("component <> _was").limit(1).count()
+        new = cut(hooked.join(up, "component").select("id", F.col("_up").alias("component")))
+        if new.join(now.select("id", F.col("component").alias("_was")), "id").where("component <> _was").isEmpty():
+            return new
         now = new
-        if not changed:
-            break
-    return now
+    raise RuntimeError("labels did not settle")
+
+
+def co_occurring(edges: DataFrame, mutations: DataFrame) -> DataFrame:
+    """GR13: (id, other) for mutations that an edge of the type co_occurs leads to."""
+    met = edges.where(F.col("type") == "co_occurs").select(F.col("src").alias("id"), F.col("dst").alias("other"))
+    return mutations.select("id").distinct().join(met, "id").distinct()
 
 
 def score(edges: DataFrame, organism_gene: str = "carries", gene_mutation: str = "contains", mutation_drug: str = "confers") -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.alignment import seed_extension
 from strandline.functions.sequence import kmer_array, kmers
+from strandline.storage import written
 
 
 def counts(reads: DataFrame, seq: str, k: int) -> DataFrame:
@@ -18,12 +24,6 @@ def counts(reads: DataFrame, seq: str, k: int) -> DataFrame:
 BROADCAST_KEYS = 1_000_000
 
 
-def _checked(keys: DataFrame) -> DataFrame:
-    """``keys``, marked for broadcasting if they are few: counted, not estimated."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
-
-
 #: Tables under this size are dealt over all cores first: a small file may be a single split.
 SPREAD_BYTES = 1 << 30
 
@@ -34,23 +34,119 @@ def _spread(reads: DataFrame) -> DataFrame:
     return reads.repartition(reads.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else reads
 
 
+#: For each byte a base's two bits; 4 for what is no base.
+_BASE = np.full(256, 4, np.uint8)
+_BASE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+#: Bytes of sequence that are packed at once.
+_BLOCK = 1 << 22
+
+
+def packed_windows(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, packed k-mer) of every window of valid bases, k up to 31.
+
+    Codes of 1, 2, 4, ... bases are joined pairwise, so a window costs the
+    logarithm of k and no string is made.
+    """
+    base = _BASE[np.frombuffer(raw, np.uint8)]
+    n = len(base) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(base == 4)])
+    code, width = (base & 3).astype(np.int64), 1
+    out, have = np.zeros(n, np.int64), 0
+    while True:
+        if k & width:
+            out = out << (2 * width) | code[have : have + n]
+            have += width
+        if have == k:
+            break
+        code = code[:-width] << (2 * width) | code[width:]
+        width *= 2
+    at = np.nonzero(bad[k:] == bad[:-k])[0]
+    return at, out[at]
+
+
+class _Known:
+    """Membership in a sorted array of packed k-mers, through a table of bits that most strangers fail."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(16, min(26, int(16 * max(1, len(keys))).bit_length())))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[self._slot(keys)] = True
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def among(self, codes: np.ndarray) -> np.ndarray:
+        i = np.nonzero(self.bits[self._slot(codes)])[0]
+        if not len(self.keys) or not len(i):
+            return i[:0]
+        at = np.minimum(np.searchsorted(self.keys, codes[i]), len(self.keys) - 1)
+        return i[self.keys[at] == codes[i]]
+
+
+def packed_kmers(reads: DataFrame, key: str, seq: str, k: int, keys: np.ndarray | None = None) -> DataFrame:
+    """(key, kmer): each row's distinct valid k-mers as packed longs, only those among ``keys`` where they are given.
+
+    Packing runs over Arrow batches, several bases at a time for all reads of a
+    block: a window costs no string.  ``keys`` go to each executor once.
+    """
+    shipped = None if keys is None else reads.sparkSession.sparkContext.broadcast(np.sort(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if shipped is None else _Known(shipped.value)
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(batch):
+                before = size[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(size, before + _BLOCK, "right")))
+                texts = [(t or "").encode() for t in batch.column(1).slice(start, stop - start).to_pylist()]
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                at, codes = packed_windows(b" ".join(texts), k)
+                if known is not None:
+                    i = known.among(codes)
+                    at, codes = at[i], codes[i]
+                row = np.searchsorted(ends, at, "right")
+                order = np.lexsort((codes, row))
+                row, codes = row[order], codes[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + start)), pa.array(codes[new])], [key, "kmer"])
+                start = stop
+
+    return reads.select(key, seq).mapInArrow(run, f"{key} {reads.schema[key].dataType.simpleString()}, kmer long")
+
+
+def _met(reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str | None, seq: str) -> tuple[DataFrame, DataFrame]:
+    """Reads' distinct k-mers that the reference may have, and the reference's."""
+    own = [ref_id] if ref_id else []
+    key = ref_id or reference.columns[0]
+    b = written(packed_kmers(reference.select(key, seq), key, seq, k).select("kmer", *own).distinct(), "reference-kmers")
+    known = b.select("kmer").distinct()
+    keys = None
+    if known.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:  # at most 8 MB
+        keys = known.toArrow()["kmer"].to_numpy().astype(np.int64)
+    return packed_kmers(_spread(reads.select(read_id, seq)), read_id, seq, k, keys), b
+
+
 def matches(reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str, seq: str = "seq", least: int = 1) -> DataFrame:
-    """JN01: (read, reference) with the number of distinct k-mers they share, at least ``least``.
+    """JN01: (read, reference) with the number of distinct k-mers they share, at least ``least``; k up to 31.
 
-    Reads meet the reference before anything is made distinct, so that only
-    k-mers the reference has are ever shuffled.
+    The reference's k-mers are counted first; up to a million are sent to all
+    tasks and reads are screened where they are packed, so that only k-mers the
+    reference has are ever shuffled.  A larger reference is joined by a shuffle.
     """
-    a = kmers(_spread(reads.select(read_id, seq)), seq, k).select(read_id, "kmer")
-    b = kmers(reference.select(ref_id, seq), seq, k).select(ref_id, "kmer").distinct()
-    met = a.join(_checked(b), "kmer").distinct()
+    a, b = _met(reads, reference, k, read_id, ref_id, seq)
+    met = a.join(b, "kmer").distinct()
     return met.groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def screen(reads: DataFrame, reference: DataFrame, k: int, read_id: str, seq: str = "seq", least: int = 3) -> DataFrame:
-    """FLT02: reads with at least ``least`` distinct k-mers of the reference; exact, so there are no false positives."""
-    a = kmers(_spread(reads.select(read_id, seq)), seq, k).select(read_id, "kmer")
-    b = kmers(reference.select(seq), seq, k).select("kmer").distinct()
-    hits = a.join(_checked(b), "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
+    """FLT02: reads with at least ``least`` distinct k-mers of the reference, k up to 31; exact, so there are no false positives."""
+    a, b = _met(reads, reference, k, read_id, None, seq)
+    hits = a.join(b, "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
     return hits.where(F.col("found") >= least)
 
 
@@ -92,33 +188,42 @@ def looked_up(hits: DataFrame, table: DataFrame, key: str, value: str) -> DataFr
 
 
 def seeds(frames: DataFrame, proteins: DataFrame, k: int = 8) -> DataFrame:
-    """JN02: (read_id, frame, protein_id, q, t) where the words of a frame and a protein agree."""
+    """JN02: (read_id, frame, start, protein_id, q, t) where the words of an open stretch and a protein agree."""
     word = lambda df, seq, name: df.select(
         "*", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).alias(name, "word")
     )
-    a = word(frames.where(F.length("peptide") >= k), F.col("peptide"), "q").select("read_id", "frame", "peptide", "q", "word")
-    b = word(proteins.where(F.length("protein") >= k), F.col("protein"), "t").select("protein_id", "protein", "t", "word")
-    return a.join(b, "word")
+    a = word(frames.where(F.length("peptide") >= k), F.col("peptide"), "q").select("read_id", "frame", "start", "q", "word")
+    b = word(proteins.where(F.length("protein") >= k), F.col("protein"), "t").select("protein_id", "t", "word")
+    return a.join(b, "word").drop("word")
 
 
 def protein_matches(
     frames: DataFrame, proteins: DataFrame, k: int = 8, least_seeds: int = 1, identity: float = 0.8, length: int = 20,
     most: int = 2, side: int = 50, positive: bool = False,
 ) -> DataFrame:
-    """JN03, JN04: the first seed of each (read, frame, protein), extended, if good enough."""
-    first = seeds(frames, proteins, k).groupBy("read_id", "frame", "peptide", "protein_id", "protein").agg(
-        F.min(F.struct("q", "t")).alias("s"), F.count("*").alias("n_seeds")
-    )
-    grown = first.where(F.col("n_seeds") >= least_seeds).withColumn(
-        "m", seed_extension(k, most, side, positive)(F.col("peptide"), F.col("protein"), F.col("s.q"), F.col("s.t"))
-    )
-    out = grown.select("read_id", "frame", "protein_id", "n_seeds", "m.*")
+    """JN03, JN04: the first seed of each open stretch (read, frame, start) and protein, extended, if good enough.
+
+    ``frames`` is (read_id, frame, start, peptide).  Seeds are grouped by ids;
+    the texts join in afterwards, for the pairs that are left.
+    """
+    key = ["read_id", "frame", "start"]
+    first = seeds(frames, proteins, k).groupBy(*key, "protein_id").agg(F.min(F.struct("q", "t")).alias("s"), F.count("*").alias("n_seeds"))
+    pairs = first.where(F.col("n_seeds") >= least_seeds).join(frames.select(*key, "peptide").dropDuplicates(key), key)
+    pairs = pairs.join(proteins.select("protein_id", "protein"), "protein_id")
+    grown = pairs.withColumn("m", seed_extension(k, most, side, positive)(F.col("peptide"), F.col("protein"), F.col("s.q"), F.col("s.t")))
+    out = grown.select(*key, "protein_id", "n_seeds", "m.*")
     return out.where((F.col("identity") >= identity) & (F.col("length") >= length))
 
 
 def sampled(rows: DataFrame, key: str, rate: float, buckets: int = 10_000) -> DataFrame:
-    """ST13: a share of the keys, the same in every run."""
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(buckets)) < int(rate * buckets))
+    """ST13: a share of the keys, by the first 32 bits of their MD5, so the same in every run and in any engine."""
+    name = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return rows.where(F.pmod(name, F.lit(buckets)) < int(rate * buckets))
+
+
+def candidates(hits: DataFrame) -> DataFrame:
+    """RM14: each hit of a minimizer (kmer, taxon) as a candidate for an LCA, counted once."""
+    return hits.select("kmer", "taxon", F.lit(1).alias("n"))
 
 
 def kmer_set(seq: Column, k: int) -> Column:

@@ -1,4 +1,4 @@
-"""Taxonomy and diversity (GR01-GR10, AG25, AG26, AG28, AG31, AG32, AG40, SNK15-SNK17, RM34, RM35).
+"""Taxonomy and diversity (GR01-GR10 by depth, AG25, AG26, AG28, AG31, AG32, AG40, SNK15-SNK17, RM34, RM35).
 
 A taxonomy is (id, parent, rank, name); a root's parent is null, 0 or itself.
 All ancestor questions go through the closure table, built once per taxonomy by
@@ -12,19 +12,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.storage import written
 
-def closure(taxa: DataFrame, rounds: int = 6) -> DataFrame:
-    """(id, ancestor, steps), each taxon with itself at 0; depths up to 2 ** rounds."""
+
+def closure(taxa: DataFrame, rounds: int = 10) -> DataFrame:
+    """(id, ancestor, steps), each taxon with itself at 0, as a table in the shared folder.
+
+    Each round doubles the steps that are known and is written, so a query that
+    uses the closure several times reads it and a round's plan is one join.  It
+    ends when no taxon has an ancestor further up; more than 2 ** ``rounds``
+    steps (or a cycle) raise.
+    """
     up = taxa.where(F.col("parent").isNotNull() & (F.col("parent") != 0) & (F.col("parent") != F.col("id")))
     jumps = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
-    out = taxa.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("steps")).unionByName(jumps)
-    reach = 1
-    for _ in range(rounds):
-        far = out.where(F.col("steps") == reach).select(F.col("id").alias("_id"), F.col("ancestor").alias("_mid"))
-        more = far.join(out.where("steps > 0").select(F.col("id").alias("_m"), "ancestor", "steps"), F.col("_mid") == F.col("_m"))
-        out = out.unionByName(more.select(F.col("_id").alias("id"), "ancestor", (F.col("steps") + reach).alias("steps")))
-        reach *= 2
-    return out
+    out = written(taxa.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("steps")).unionByName(jumps), "closure")
+    for i in range(rounds + 1):
+        far = out.where(F.col("steps") == 1 << i).select(F.col("id").alias("_id"), F.col("ancestor").alias("_mid"))
+        near = out.where("steps > 0").select(F.col("id").alias("_m"), "ancestor", "steps")
+        more = far.join(near, F.col("_mid") == F.col("_m")).select(F.col("_id").alias("id"), "ancestor", (F.col("steps") + (1 << i)).alias("steps"))
+        more = written(more, "closure")
+        if more.isEmpty():
+            return out
+        out = out.unionByName(more)
+    raise RuntimeError(f"the taxonomy is deeper than {1 << rounds}")
 
 
 def depths(tree: DataFrame) -> DataFrame:
@@ -122,10 +132,19 @@ def diversity(counts: DataFrame, value: str = "n", base: float = 2.0, *by: str)
 
 
 def cumulative(counts: DataFrame, key: str, value: str = "n") -> DataFrame:
-    """RM35: running share in falling order.  The table is one row per taxon, so one sort is enough."""
-    order = Window.orderBy(F.desc(value), key)
-    total = F.sum(value).over(Window.partitionBy())
-    return counts.withColumn("share", F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)) / total)
+    """RM35: running share in falling order.
+
+    Rows of one value follow each other by key, so a running sum needs the sum
+    of all greater values (a window over distinct values, of which there are few)
+    and a running sum inside the value; neither gathers all rows in a task.
+    """
+    per = counts.groupBy(F.col(value).alias("_v")).agg(F.sum(value).alias("_s"))
+    above = F.sum("_s").over(Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1))
+    base = per.select("_v", F.coalesce(above, F.lit(0)).alias("_above"))
+    total = counts.agg(F.sum(value).alias("_all"))
+    inside = F.sum(value).over(Window.partitionBy(value).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumn("_in", inside).join(base, F.col(value) == F.col("_v")).crossJoin(F.broadcast(total))
+    return rows.withColumn("share", (F.col("_above") + F.col("_in")) / F.col("_all")).drop("_in", "_v", "_above", "_all")
 
 
 def consistency(votes: DataFrame, tree: DataFrame, read: str = "read_id", decay: float = 2.0) -> DataFrame:

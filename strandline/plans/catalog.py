@@ -872,7 +872,7 @@ def resistance_paths(spark, sf):
     """GR12: shortest paths from regions to drugs."""
     e = _edges(spark, sf)
     sources = e.where("type = 'carries'").select(F.col("src").alias("id")).distinct()
-    found = graph.shortest(graph.paths(e, sources, 3))
+    found = graph.shortest(e, sources)
     return found.where(F.col("node").startswith("d")).select("start", "node", "steps")
 
 
@@ -900,23 +900,11 @@ def graph_components(spark, sf):
 
 @query(
     "pssm_information",
-    f"""WITH {_REF}, s AS (SELECT substr(seq, 1, 21) AS q FROM ref WHERE length(seq) >= 21), e AS (SELECT i - 1 AS pos, substr(q, i, 1) AS base FROM (SELECT q, unnest(range(1, 22)) AS i FROM s)),
-    g AS (SELECT pos, b AS base, count(base) FILTER (WHERE base = b) + 1.0 AS n FROM e, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) GROUP BY ALL), f AS (SELECT pos, n / sum(n) OVER (PARTITION BY pos) AS f FROM g)
-    SELECT CAST(pos AS INTEGER) AS pos, round(2 + sum(f * log2(f)), 6) AS bits FROM f GROUP BY pos""",
-)
-def pssm_information(spark, sf):
-    """FN40, FN41."""
-    w = reference(spark, sf).where(F.length("seq") >= 21).select(F.substring("seq", 1, 21).alias("seq"))
-    return graph.information(graph.pssm(w)).select("pos", F.round("bits", 6).alias("bits"))
-
-
-@query(
-    "pssm_windows",
     f"""WITH {_REF}, w AS ({_kmers_sql("ref", "item_id", 21)}), e AS (SELECT i - 1 AS pos, substr(kmer, i, 1) AS base FROM (SELECT kmer, unnest(range(1, 22)) AS i FROM w)),
     g AS (SELECT pos, b AS base, count(base) FILTER (WHERE base = b) + 1.0 AS n FROM e, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) GROUP BY ALL), f AS (SELECT pos, n / sum(n) OVER (PARTITION BY pos) AS f FROM g)
     SELECT CAST(pos AS INTEGER) AS pos, round(2 + sum(f * log2(f)), 6) AS bits FROM f GROUP BY pos""",
 )
-def pssm_windows(spark, sf):
+def pssm_information(spark, sf):
     """FN40, FN41 over every 21-base window of the whole sequences."""
     w = Q.kmers(reference(spark, sf), "seq", 21).select(F.col("kmer").alias("seq"))
     return graph.information(graph.pssm(w)).select("pos", F.round("bits", 6).alias("bits"))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strandline.functions import genes as G
 from strandline.functions import sequence as Q
+from strandline.functions.scoring import fragment_length
 from strandline.operators import alleles, classify, coverage, em, kmers, taxonomy
 from strandline.sources.tables import Config
+from strandline.storage import written
 
 
 class Detector(Protocol):
@@ -24,7 +26,7 @@ class Detector(Protocol):
 
 
 def frames_of(reads: DataFrame, config: Config) -> DataFrame:
-    """Open stretches of all six frames of (read_id, seq), with a frame id that is unique in a read."""
+    """Open stretches of all six frames of (read_id, seq): (read_id, frame, start, peptide)."""
     return Q.six_frames(reads.select("read_id", "seq"), "seq", config.min_length)
 
 
@@ -32,7 +34,10 @@ def frames_of(reads: DataFrame, config: Config) -> DataFrame:
 class GeneQuantification:
     """Reads against resistance proteins: hits, coverage, abundance with expectation-maximisation, and summaries.
 
-    ``proteins`` is (protein_id, protein, gene_name, drug_class).
+    ``proteins`` is (protein_id, protein, gene_name, drug_class).  Reads are
+    (read_id, seq), or of pairs (read_id, pair_id, is_r2, seq): then concordant
+    mates weigh more, the fragment lengths' mean and deviation come from the pairs
+    themselves, and expectation-maximisation runs over pairs.
     """
 
     proteins: DataFrame
@@ -40,6 +45,7 @@ class GeneQuantification:
 
     def __call__(self, reads: DataFrame) -> dict[str, DataFrame]:
         c = self.config
+        paired = "pair_id" in reads.columns
         found = kmers.protein_matches(frames_of(reads, c), self.proteins.select("protein_id", "protein"), c.protein_kmer, 1, c.min_identity, c.min_length, 3, 30, True)
         hits = found.select(
             "read_id", F.col("protein_id").alias("gene_id"), "frame", F.col("ref_start"), (F.col("ref_start") + F.col("length")).alias("ref_end"), "identity", "score"
@@ -49,16 +55,31 @@ class GeneQuantification:
             G.gene_family(F.col("gene_name")).alias("family"), G.prior_weight(F.col("gene_name")).alias("prior"),
         )
         hits = hits.join(genes.select("gene_id", F.col("length").alias("_n")), "gene_id").withColumn("coverage", (F.col("ref_end") - F.col("ref_start")) / F.col("_n")).drop("_n")
+        if paired:
+            hits = em.concordance(hits.join(reads.select("read_id", "pair_id", "is_r2"), "read_id")).drop("pair_score")
+        hits = written(hits, "hits")
         n = F.col("ref_end") - F.col("ref_start")
-        scored = hits.withColumn("score", G.assignment_score(F.col("identity"), F.col("coverage"), n, F.lit(False), F.col("frame")))
-        candidates = scored.groupBy("read_id", "gene_id").agg(F.max("score").alias("score"))
+        agree = F.col("concordant") if paired else F.lit(False)
+        scored = hits.withColumn("score", G.assignment_score(F.col("identity"), F.col("coverage"), n, agree, F.col("frame")))
+        out = {}
+        if paired:
+            lengths = em.pairs(hits).select(fragment_length(F.col("h1.ref_start"), F.col("h2.ref_end")).alias("length")).where("length > 0")
+            out["fragments"] = em.fragment_model(lengths)
+            model = out["fragments"].head()
+            mean, sd = model.mean or c.fragment_mean, model.sd or c.fragment_sd
+            candidates = em.pair_candidates(scored, mean, sd)
+        else:
+            candidates = scored.groupBy("read_id", "gene_id").agg(F.max("score").alias("score"))
         covered = coverage.coverage(hits, genes)
         total = reads.count()
-        expected = em.run(candidates, genes, c.em_rounds, c.em_tolerance)
-        return {
+        expected = em.run(candidates, genes, c.em_rounds, c.em_tolerance, smooth_every=1 if paired else 5, reads_each=2.0 if paired else 1.0)
+        abundance = coverage.abundance(hits.select("read_id", "gene_id").distinct(), genes, total)
+        identity = hits.groupBy("gene_id").agg(F.avg("identity").alias("mean_identity"))
+        return out | {
             "hits": hits,
             "coverage": covered,
-            "abundance": coverage.abundance(hits.select("read_id", "gene_id").distinct(), genes, total),
+            "abundance": abundance,
+            "report": coverage.family_report(abundance.join(genes.select("gene_id", "family"), "gene_id").join(identity, "gene_id")),
             "em": expected,
             "families": em.family_rollup(expected),
             "classes": coverage.summary(hits.join(genes.select("gene_id", "drug_class"), "gene_id"), ["drug_class"]),
@@ -91,14 +112,15 @@ class MutationScan:
         piled = seen.groupBy("species", "gene", "pos", "residue").agg(F.count("*").alias("n"))
         table = alleles.wild_types(self.known, keys)
         verdict = seen.join(self.known.select("species", "gene", "pos", F.col("mutant").alias("residue")).distinct(), [*keys, "residue"], "left_semi")
-        counts = verdict.agg(
-            F.coalesce(F.sum((F.col("identity") > 0.95).cast("int")), F.lit(0)).alias("sure"), F.count("*").alias("known"), F.lit(0).alias("qrdr")
-        )
+        counts = verdict.agg(F.coalesce(F.sum((F.col("identity") > 0.95).cast("int")), F.lit(0)).alias("sure"), F.count("*").alias("known"))
+        # mutations in a gene's region, known or not; positions from 1
+        each = changed.select("gene", F.explode("mutations").alias("m"))
+        counts = counts.crossJoin(each.agg(F.coalesce(F.sum(G.in_qrdr(F.col("gene"), F.col("m.pos") + 1).cast("int")), F.lit(0)).alias("qrdr")))
         return {
             "matches": best,
             "frequencies": alleles.frequencies(piled, table, keys, c.min_depth),
             "calls": alleles.calls(piled, keys, self.known, c.min_depth),
-            "reading": counts.select("sure", "known", alleles.interpretation(F.col("sure"), F.col("known"), F.col("qrdr")).alias("r")).select("sure", "known", "r.*"),
+            "reading": counts.select("*", alleles.interpretation(F.col("sure"), F.col("known"), F.col("qrdr")).alias("r")).select("sure", "known", "qrdr", "r.*"),
         }
 
 

@@ -31,14 +31,14 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def listed(path: str) -> list[str]:
-    """The files at a path: itself, or those in a folder, in order."""
+    """The files at a path: itself, or those in a folder, in order, without names that start with a dot or underscore."""
     out = []
     for one in path.split(","):
         where, at = filesystem(one)
         head = one[: len(one) - len(at)] if one.endswith(at) else ""
         info = where.get_file_info(at)
         if info.type == pafs.FileType.Directory:
-            out += sorted(head + x.path for x in where.get_file_info(pafs.FileSelector(at)) if x.is_file)
+            out += sorted(head + x.path for x in where.get_file_info(pafs.FileSelector(at)) if x.is_file and x.base_name[0] not in "._")
         else:
             out.append(one)
     return out
@@ -121,19 +121,23 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """New files of a folder; the offset is the number of files in order of name."""
+    """New files of a folder; the offset names the files seen, so a late file is read wherever its name sorts.
+
+    Offsets grow with the folder's file names: move read files away where a folder lives for long.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(listed(self.path))}
+        return {"files": listed(self.path)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(f) for f in listed(self.path)[start["files"] : end["files"]]]
+        seen = set(start["files"])
+        return [_File(f) for f in end["files"] if f not in seen]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         yield from _read(partition.path)

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.sources.fastq import filesystem
+from strandline.storage import file_system
+
 
 def tsv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """SNK01, SNK02, SNK06, SNK08, SNK14, SNK16, SNK18, SNK23: a table with tabs and a header; arrays and maps become cells."""
@@ -87,3 +92,20 @@ def report(title: str, sections: dict[str, DataFrame], notes: tuple[str, ...] =
     for k, (c, rows) in parts.items():
         out += ["", k, "-" * len(k), "\t".join(c), *("\t".join(r) for r in rows)]
     return "\n".join(out) + "\n"
+
+
+def named_files(rows: DataFrame, path: str) -> None:
+    """One file per row (name, value) in a folder, written by the tasks that hold the rows; a repeated task writes the same file again."""
+    spark = rows.sparkSession
+    fs, hadoop = file_system(spark, path)
+    fs.mkdirs(hadoop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, at = filesystem(path)
+            for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with where.open_output_stream(f"{at}/{name}", compression=None) as out:
+                    out.write(value if isinstance(value, bytes) else value.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    rows.select("name", "value").mapInArrow(run, "name string").agg(F.count("*")).collect()

@@ -1,12 +1,15 @@
-"""Reference tables and sheets (SRC06-SRC19, SRC20-SRC25, SRC28, RM39)."""
+"""Reference tables and sheets (SRC06-SRC25, SRC28, RM39)."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,56 @@ SHEET_COLUMNS = {
 }
 
 
+def packed_records(spark: SparkSession, path: str, fields: list[tuple[str, str]], skip: int = 0, per_row: int = 65_536) -> DataFrame:
+    """SRC20-SRC23: rows of a binary index file of fixed-size records after ``skip`` bytes.
+
+    ``fields`` are (name, NumPy type) in file order, such as ("kmer", "<u8").
+    Spark splits nothing inside a binary file, so a file is one task's, read as
+    blocks of ``per_row`` records; a large index is best kept in many files or,
+    once read, as a Parquet table.
+    """
+    kind = np.dtype(fields)
+    names = {"u8": "long", "i8": "long", "u4": "long", "i4": "int", "u2": "int", "i2": "int", "u1": "int", "i1": "int", "f8": "double", "f4": "float"}
+    out = {n: names[t.lstrip("<>=|")] for n, t in fields}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                raw = memoryview(content.as_buffer())[skip:]
+                if len(raw) % kind.itemsize:
+                    raise ValueError(f"{path}: {len(raw)} bytes are no whole number of records of {kind.itemsize}")
+                rows = np.frombuffer(raw, kind)
+                for s in range(0, len(rows), per_row):
+                    part = rows[s : s + per_row]
+                    cols = [pa.array(part[n].astype({"long": np.int64, "int": np.int32, "double": np.float64, "float": np.float32}[k]), arrow[k]) for n, k in out.items()]
+                    yield pa.RecordBatch.from_arrays(cols, list(out))
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in out.items()))
+
+
+def kmer_index(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """SRC21, SRC23: (kmer, taxon) from records of a packed k-mer and a 32-bit taxon."""
+    return packed_records(spark, path, [("kmer", "<u8"), ("taxon", "<u4")], skip)
+
+
+def protein_index(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """SRC20: (hash, protein_id, pos) from records of a word's hash, a protein and a place."""
+    return packed_records(spark, path, [("hash", "<u8"), ("protein_id", "<u4"), ("pos", "<u4")], skip)
+
+
+def hash_cells(spark: SparkSession, path: str, value_bits: int = 16, skip: int = 32) -> DataFrame:
+    """SRC22: (cell, prefix, value) of the filled cells of a compact hash table: 32-bit cells of a key's prefix and a value."""
+    rows = packed_records(spark, path, [("cell", "<u4")], skip).where("cell <> 0")
+    return rows.select("cell", F.shiftright("cell", value_bits).alias("prefix"), F.col("cell").bitwiseAND(F.lit((1 << value_bits) - 1)).alias("value"))
+
+
+def alignments(spark: SparkSession, path: str) -> DataFrame:
+    """SRC25: alignment tables; in place of HDF5, which no Spark source reads, the Parquet tables that ``sinks.parquet`` writes."""
+    return spark.read.parquet(path)
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """SRC12: (header, seq), upper case without white space; split at lines that start a record."""
     raw = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
@@ -169,6 +222,8 @@ class Config:
     min_depth: int = 5
     em_rounds: int = 100
     em_tolerance: float = 1e-3
+    fragment_mean: float = 500.0
+    fragment_sd: float = 100.0
     extra: dict = field(default_factory=dict)
 
     def checked(self) -> Config:

@@ -60,6 +60,13 @@ def test_six_frames_have_starts(spark):
     assert first[(1, 27)] == "G" * 30
 
 
+def test_repeated_reads_have_their_own_stretches(spark):
+    seq = "ATG" + "GCC" * 3 + "TAA" + "GGG" * 3 + "TAG" + "AAA" * 4
+    df = spark.createDataFrame([(1, seq), (1, seq), (2, "AC"), (3, None), (4, "TAATAA")], "id int, seq string")
+    rows = [(r.id, r.start, r.peptide) for r in Q.six_frames(df, "seq", 1).where("frame = 1").collect()]
+    assert sorted(rows) == sorted([(1, 0, "MAAA"), (1, 5, "GGG"), (1, 9, "KKKK")] * 2)
+
+
 def test_small_sequence_functions(spark):
     assert one(spark, Q.gc_percent(F.col("s")), s="GGAN") == pytest.approx(200 / 3)
     assert one(spark, Q.clean(F.col("s")), s="ac-gx*t!") == "ACNGNNT"

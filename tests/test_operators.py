@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,10 +57,12 @@ def test_kmer_screen(spark):
 
 def test_protein_matches(spark):
     protein = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGT"
-    frames = spark.createDataFrame([(1, 1, protein[5:35].replace("S", "T", 1)), (2, 1, "G" * 30)], "read_id int, frame int, peptide string")
+    part = protein[5:35].replace("S", "T", 1)
+    # two equal stretches of one frame are two matches
+    frames = spark.createDataFrame([(1, 1, 0, part), (1, 1, 40, part), (2, 1, 0, "G" * 30)], "read_id int, frame int, start int, peptide string")
     proteins = spark.createDataFrame([(7, protein)], "protein_id int, protein string")
-    r = kmers.protein_matches(frames, proteins).collect()
-    assert len(r) == 1 and r[0].read_id == 1 and r[0].length == 30 and len(r[0].mutations) == 1 and r[0].mutations[0].ref == "S"
+    r = kmers.protein_matches(frames, proteins).orderBy("start").collect()
+    assert [x.start for x in r] == [0, 40] and r[0].read_id == 1 and r[0].length == 30 and len(r[0].mutations) == 1 and r[0].mutations[0].ref == "S"
 
 
 def brute_minimizers(hs, w):
@@ -187,7 +190,7 @@ def test_graph(spark):
     )
     s = graph.score(edges).head()
     assert (s.organism, s.drug, s.score) == ("E. coli", "ciprofloxacin", 16.0)
-    found = graph.shortest(graph.paths(edges, spark.createDataFrame([("E. coli",)], "id string"), 4))
+    found = graph.shortest(edges, spark.createDataFrame([("E. coli",)], "id string"))
     p = found.where("node = 'ciprofloxacin'").head()
     assert p.path == ["E. coli", "gyrA", "S83L", "ciprofloxacin"] and p.steps == 3
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51)], "src long, dst long")
@@ -214,7 +217,7 @@ def test_pssm_windows_read_whole_sequences(spark, tmp_path):
         spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         seqs = [r.seq for r in catalog.reference(spark, f"{tmp_path}/{name}").collect()]
         windows = [s[i : i + 21] for s in seqs for i in range(len(s) - 20)]
-        bits[name] = {r.pos: r.bits for r in catalog.pssm_windows(spark, f"{tmp_path}/{name}").collect()}
+        bits[name] = {r.pos: r.bits for r in catalog.pssm_information(spark, f"{tmp_path}/{name}").collect()}
         for pos in range(21):
             n = [sum(w[pos] == b for w in windows) + 1 for b in "ACGT"]
             assert bits[name][pos] == pytest.approx(2 + sum(x / sum(n) * math.log2(x / sum(n)) for x in n), abs=1e-5)
@@ -224,3 +227,67 @@ def test_pssm_windows_read_whole_sequences(spark, tmp_path):
 def test_prior(spark):
     df = spark.createDataFrame([("CTX-M-15",), ("blaCTX-M-99",), ("zzz",)], "n string")
     assert [r.p for r in df.select(G.prior_weight(F.col("n")).alias("p")).collect()] == [3.0, 1.5, 1.0]
+
+
+def test_shortest_paths_are_found_in_dense_graphs(spark):
+    """Twelve layers of four nodes, all joined: 4 ** 11 simple paths, of which the frontier keeps one per node."""
+    edges = spark.createDataFrame([(f"n{i}{a}", f"n{i + 1}{b}", 1.0) for i in range(10, 22) for a in range(4) for b in range(4)], "src string, dst string, weight double")
+    got = {r.node: (r.steps, r.path) for r in graph.shortest(edges, spark.createDataFrame([("n100",)], "id string")).collect()}
+    assert got["n223"] == (12, ["n100", *(f"n{i}0" for i in range(11, 22)), "n223"]) and len(got) == 49
+
+
+def test_deep_taxonomies_are_whole_or_fail(spark):
+    taxa = spark.createDataFrame([(i, i - 1 if i > 1 else None, "r", f"t{i}") for i in range(1, 10)], "id long, parent long, rank string, name string")
+    assert {r.id: r.depth for r in taxonomy.depths(taxonomy.closure(taxa, 3)).collect()} == {i: i - 1 for i in range(1, 10)}
+    with pytest.raises(Exception, match="deeper than 4"):
+        taxonomy.closure(taxa, 2)
+
+
+def test_cumulative_share_with_ties(spark):
+    counts = spark.createDataFrame([(1, 5), (2, 3), (3, 3), (4, 1)], "id int, n long")
+    got = {r.id: r.share for r in taxonomy.cumulative(counts, "id").collect()}
+    assert got == {1: pytest.approx(5 / 12), 2: pytest.approx(8 / 12), 3: pytest.approx(11 / 12), 4: pytest.approx(1.0)}
+
+
+def test_packed_windows(spark):
+    rng = np.random.default_rng(2)
+    text = "".join("ACGTN"[i] for i in rng.choice(5, 600, p=[0.24, 0.24, 0.24, 0.24, 0.04]))
+    for k in (1, 2, 7, 12, 31):
+        at, codes = kmers.packed_windows(text.encode(), k)
+        want = [(i, int("".join(str("ACGT".index(c)) for c in text[i : i + k]), 4)) for i in range(len(text) - k + 1) if "N" not in text[i : i + k]]
+        assert list(zip(at.tolist(), codes.tolist(), strict=True)) == want
+    assert len(kmers.packed_windows(b"AC", 3)[0]) == 0
+
+
+def test_em_classes_do_not_change_the_result(spark):
+    rng = np.random.default_rng(4)
+    rows = [(r, g, float(10 + g)) for r in range(60) for g in set(rng.integers(0, 3, 2).tolist())]
+    candidates = spark.createDataFrame(rows, "read_id int, gene_id int, score double")
+    assert em.classes(candidates).agg({"n": "max"}).head()[0] > 5
+    genes = spark.createDataFrame([(g, 100 + 20 * g, 1.0, "f") for g in range(3)], "gene_id int, length int, prior double, family string")
+    state = em.start(genes)
+    for _ in range(3):
+        state = em.m_step(em.e_step(candidates, state), state)
+    got = em.run(candidates, genes, rounds=3, tolerance=0, smooth_every=0)
+    assert {r.gene_id: pytest.approx(r.abundance) for r in got.collect()} == {r.gene_id: r.abundance for r in state.collect()}
+
+
+def test_placements(spark):
+    rng = np.random.default_rng(9)
+    genome = {g: "".join("ACGT"[i] for i in rng.integers(0, 4, 3000)) for g in ("a", "b")}
+    genomes = spark.createDataFrame(list(genome.items()), "genome string, seq string")
+    reads = [(2 * i + m, genome["ab"[i % 2]][100 + 50 * i + 300 * m : 200 + 50 * i + 300 * m]) for i in range(8) for m in (0, 1)]
+    placed = classify.placements(spark.createDataFrame(reads, "read_id long, seq string"), genomes)
+    assert {(r.read_id, r.genome, r.place) for r in placed.collect()} == {(2 * i + m, "ab"[i % 2], 100 + 50 * i + 300 * m) for i in range(8) for m in (0, 1)}
+    mates = placed.selectExpr("read_id div 2 AS pair_id", "CAST(read_id % 2 + 1 AS int) AS mate", "genome", "place", "identity", "n")
+    best = classify.pair_placements(mates)
+    assert {(r.pair_id, r.genome, r.insert, r.concordant, r.score) for r in best.collect()} == {(i, "ab"[i % 2], 400, True, 1.5) for i in range(8)}
+    assert {r.genome: (r.concordant, r.discordant, r.score) for r in classify.placement_profile(best).collect()} == {g: (4, 0, 9.0) for g in "ab"}
+
+
+def test_codon_scan(spark):
+    known = spark.createDataFrame([("e", "gyrA", 83, "S", "L"), ("e", "gyrA", 87, "D", "N"), ("e", "parC", 80, "S", "I")], "species string, gene string, pos int, wild string, mutant string")
+    seqs = spark.createDataFrame([(1, "gyrA", "A" * 246 + "TTG" + "A" * 9 + "AAC" + "A" * 100), (2, "parC", "A" * 237 + "ATC" + "A" * 100), (3, "parC", "A" * 238)], "id int, gene string, seq string")
+    found = alleles.codon_scan(seqs, known)
+    assert sorted((r.id, f"{r.wild}{r.pos}{r.mutant}") for r in found.collect()) == [(1, "D87N"), (1, "S83L"), (2, "S80I")]
+    assert [(r.mutant, r.n) for r in alleles.mutation_report(found, ["mutant"]).collect()] == [("I", 1), ("L", 1), ("N", 1)]

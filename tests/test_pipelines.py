@@ -60,6 +60,34 @@ def test_mutation_scan(spark, targets):
     assert out["reading"].head().text.startswith("HIGH CONFIDENCE")
 
 
+def test_paired_quantification(spark, targets):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        at = rng.randint(0, 40)
+        gene = coded(targets[1 + i % 2])
+        rows += [(2 * i, i, False, gene[3 * at : 3 * at + 120]), (2 * i + 1, i, True, gene[3 * at + 180 : 3 * at + 300])]
+    reads = spark.createDataFrame(rows, "read_id long, pair_id long, is_r2 boolean, seq string")
+    proteins = spark.createDataFrame([(i, p, n, "BETA-LACTAM") for (i, p), n in zip(targets.items(), ("KPC-2", "NDM-1", "vanA"), strict=True)], "protein_id int, protein string, gene_name string, drug_class string")
+    out = pipelines.GeneQuantification(proteins, Config(em_rounds=3))(reads)
+    assert out["hits"].where("NOT concordant").count() == 0
+    m = out["fragments"].head()
+    assert m.n == 60 and 280 <= m.mean <= 300
+    expected = {r.gene_id: r.reads for r in out["em"].collect()}
+    assert expected[1] == pytest.approx(60) and expected[2] == pytest.approx(60) and expected[3] == 0
+    assert [r.family for r in out["report"].collect()] in (["KPC", "NDM"], ["NDM", "KPC"])
+
+
+def test_unknown_mutations_in_the_region_are_told(spark, targets):
+    p = targets[1][:82] + "S" + targets[1][83:]
+    changed = p[:70] + ("W" if p[70] != "W" else "C") + p[71:]
+    reads = spark.createDataFrame([(i, coded(changed[60:110])) for i in range(6)], "read_id long, seq string")
+    proteins = spark.createDataFrame([(1, p, "e", "gyrA")], "protein_id int, protein string, species string, gene string")
+    known = spark.createDataFrame([("e", "gyrA", 83, "S", "L", 1)], "species string, gene string, pos int, wild string, mutant string, row long")
+    r = pipelines.MutationScan(proteins, known)(reads)["reading"].head()
+    assert (r.known, r.qrdr, r.confidence) == (0, 6, 0.40)
+
+
 def test_profile(spark):
     rng = random.Random(3)
     seq = {i: "".join(rng.choice("ACGT") for _ in range(400)) for i in (4, 5)}

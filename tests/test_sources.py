@@ -47,6 +47,10 @@ def test_fastq_stream(spark, tmp_path):
     write_fastq(folder / "b.fastq", 5, 1)
     q().awaitTermination(60)
     assert spark.read.parquet(out).count() == 15
+    # a late file whose name sorts before those read
+    write_fastq(folder / "Z.fastq", 4, 1)
+    q().awaitTermination(60)
+    assert spark.read.parquet(out).count() == 19
 
 
 def test_fasta_and_headers(spark, tmp_path):
@@ -135,3 +139,16 @@ def test_synthetic_reads(spark):
     assert len(r) == 40
     for x in r:
         assert 350 <= x.insert <= 1000 and seq[x.start : x.start + 150] == x.seq_1 and seq[x.start + x.insert - 150 : x.start + x.insert] == x.back
+
+
+def test_packed_records(spark, tmp_path):
+    import numpy as np
+
+    rows = np.array([(2**40 + i, i) for i in range(1000)], [("kmer", "<u8"), ("taxon", "<u4")])
+    (tmp_path / "i.bin").write_bytes(b"HEADER00" + rows.tobytes())
+    got = tables.kmer_index(spark, str(tmp_path / "i.bin"), 8)
+    assert {(r.kmer, r.taxon) for r in got.collect()} == {(2**40 + i, i) for i in range(1000)}
+    with pytest.raises(Exception, match="no whole number"):
+        tables.kmer_index(spark, str(tmp_path / "i.bin"), 7).collect()
+    (tmp_path / "h.k2d").write_bytes(b"\0" * 32 + np.array([0, (5 << 16) | 9, 0, (7 << 16) | 3], "<u4").tobytes())
+    assert sorted((r.prefix, r.value) for r in tables.hash_cells(spark, str(tmp_path / "h.k2d")).collect()) == [(5, 9), (7, 3)]
