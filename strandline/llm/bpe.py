@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
 Long texts are cut at safe boundaries first: before a space or newline that
-follows a character which is no white space.  Every match of the splitting
-pattern ends before such white space and the next starts with it, so cutting
-there cannot change a token, and no call sees more than about ``SPLIT_CHARS``
-characters unless a single run of non-spaces or spaces is longer.  Decoding
-joins raw token bytes, so any id sequence has bytes even where they are no
-UTF-8.
+follows a character which is no white space, and, for the pattern of ``LETTERS``,
+between letters, digits and other marks but the apostrophe.  Every match of the
+pattern ends there, so cutting cannot change a token, and no call sees more than
+about ``SPLIT_CHARS`` characters unless a single run of letters, digits, marks or
+white space is longer.  Decoding joins raw token bytes, so any id sequence has
+bytes even where they are no UTF-8.
 
 Defined results: a null text counts as empty and has no token; special-token
-strings are ordinary text; repeated rows are encoded separately and alike;
-extra columns are not read; an empty table gives an empty table.
+strings are ordinary text; very long texts are encoded whole, piece by piece;
+repeated rows are encoded separately and alike; extra columns are not read; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,8 +26,16 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from strandline.llm.common import slices
+
 SPLIT_CHARS = 100_000
-_BOUNDARY = re.compile(r"(?<=[\w!-~])(?=[ \n])")
+_BLANK = r"(?<=[\w!-~])(?=[ \n])"
+_MARK = r"[!-&(-/:-@\[-`{-~]"
+_CLASS = rf"(?<=[A-Za-z])(?=[0-9]|{_MARK})|(?<=[0-9])(?=[A-Za-z]|{_MARK})|(?<={_MARK})(?=[A-Za-z0-9])"
+#: Fixed value: the pattern whose matches hold letters, digits or other marks, and only an apostrophe joins two kinds.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BOUNDARIES = {LETTERS: re.compile(f"{_BLANK}|{_CLASS}")}
+_BOUNDARY = re.compile(_BLANK)
 
 
 @lru_cache(maxsize=4)
@@ -36,11 +45,11 @@ def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def split_safely(text: str, chars: int = SPLIT_CHARS) -> list[str]:
-    """``text`` in pieces of about ``chars`` characters whose tokens are the whole text's."""
-    out, start = [], 0
+def split_safely(text: str, chars: int = SPLIT_CHARS, pattern: str = "") -> list[str]:
+    """``text`` in pieces of about ``chars`` characters whose tokens, split by ``pattern``, are the whole text's."""
+    out, start, boundary = [], 0, _BOUNDARIES.get(pattern, _BOUNDARY)
     while len(text) - start > chars:
-        found = _BOUNDARY.search(text, start + chars)
+        found = boundary.search(text, start + chars)
         if not found:
             break
         out.append(text[start : found.start()])
@@ -55,7 +64,7 @@ def encode(text: str | None, enc: tiktoken.Encoding) -> np.ndarray:
         return np.zeros(0, np.uint32)
     if len(text) <= SPLIT_CHARS:
         return np.array(enc.encode_ordinary(text), np.uint32)
-    return np.concatenate([np.array(enc.encode_ordinary(x), np.uint32) for x in split_safely(text)])
+    return np.concatenate([np.array(enc.encode_ordinary(x), np.uint32) for x in split_safely(text, pattern=enc._pat_str)])
 
 
 def decode(ids: np.ndarray, enc: tiktoken.Encoding) -> bytes:
@@ -82,8 +91,7 @@ def with_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            for start in range(0, len(batch), 200):
-                part = batch.slice(start, 200)
+            for part in slices(batch, 1, 200):
                 rows = [finish(t or "", encode(t, enc), enc) for t in part.column(1).to_pylist()]
                 cols = [pa.array(x) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [key, *names])

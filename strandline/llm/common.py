@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.storage import file_system, shared_folder
+
 #: Words are runs of anything but these six characters and the space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -30,31 +30,11 @@ def ascii_lower(col: Column) -> Column:
 
 #: Rows of a few numbers that one file of a small table holds.
 ROWS_PER_FILE = 200_000
+#: Bytes that one file of another table holds.
+FILE_BYTES = 64 << 20
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is missing a temporary folder of this machine takes its
-    place for the rest of the session, but only for a local master; on a cluster
-    that folder would be each executor's own, so the call raises.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    fs, hadoop = _file_system(spark, path)
-    fs.deleteOnExit(hadoop)
-    return path
+shared_dir = shared_folder
 
 
 def files_for(spark: SparkSession, rows: int) -> int:
@@ -62,15 +42,17 @@ def files_for(spark: SparkSession, rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_FILE), min(spark.sparkContext.defaultParallelism, rows // 1000))
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, size: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives executors.
 
-    ``rows`` bounds the number of rows of a table whose rows are a few numbers.
-    Such rows are dealt over as many files as the bound asks for by a shuffle of
-    their own, so what is above keeps all its tasks and a hundred tiny partitions
-    do not become a hundred files.
+    ``rows`` bounds the number of rows of a table whose rows are a few numbers,
+    ``size`` the bytes of one whose rows are not.  Such rows are dealt over as many
+    files as the bound asks for by a shuffle of their own, so what is above keeps
+    all its tasks and a hundred tiny partitions do not become a hundred files.
     """
     path = shared_dir(df.sparkSession, name)
+    if size is not None:
+        rows = size * ROWS_PER_FILE // FILE_BYTES
     if rows is not None:
         df = df.repartition(files_for(df.sparkSession, rows))
     df.write.option("compression", "zstd").parquet(path)
@@ -79,10 +61,22 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+#: A table of up to so many bytes may be sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent(df: DataFrame, rows: int, each: int = 64) -> DataFrame:
+    """``df``, whose ``rows`` of ``each`` bytes have been counted, marked to be sent to every task if they are few.
+
+    Else the join is left to a shuffle of both sides.
+    """
+    return F.broadcast(df) if rows * each <= BROADCAST_BYTES else df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` whose readers are all done."""
     for df in tables:
-        fs, hadoop = _file_system(df.sparkSession, df._written_path)
+        fs, hadoop = file_system(df.sparkSession, df._written_path)
         fs.delete(hadoop, True)
 
 

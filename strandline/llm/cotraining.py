@@ -1,26 +1,34 @@
 """Quality classification by co-training of a text view and a metadata view.
 
-Each view is a logistic regression over its own features: the text view sees
-only what is written, the metadata view only source, language and length.  In
-every round each view labels the documents it is confident about for the other
-view, both are fitted again, and in the end each view is calibrated on labelled
-documents that no fit has seen; the calibrated log-odds are added, less the
-prior that both hold.
+The text view sees only what is written: hashed words and word pairs, whose
+log-odds between good and bad documents are one part of it, and counts of
+character classes, lines and repeats, which are the other; a logistic regression
+weighs them.  The metadata view sees only source and language, alone and
+together, and nothing that follows from the text.  In every round each view
+labels the documents it is confident about for the other view, both are fitted
+again, and in the end each view is calibrated on labelled documents that no fit
+has seen; the calibrated log-odds are added, less the prior that both hold.
+
+Log-odds of words are learnt on two halves of the documents, and a document is
+always measured by those of the other half, so they never know it.  All pseudo-
+labels together weigh at most as much as all labels, however many there are.
 
 Scale: features are computed once into a table in the shared folder.  A fit is
-a few Newton steps whose sums Spark gathers from all labelled and pseudo-
-labelled documents, with no sample; what reaches the driver is one small matrix
-per step, whatever the input's size.
+one pass for the words and a few Newton steps, whose sums Spark gathers from all
+labelled and pseudo-labelled documents, with no sample; what reaches the driver
+is one row per hash bin or coefficient pair, whatever the input's size.
 
 Defined results: a null text counts as empty; null metadata is a value of its
-own; labels that disagree about a document are not used; repeated rows are
-scored alike; extra columns are not read; without labels of both kinds every
-score is the prior, one half; an empty table gives an empty table.
+own; labels that disagree about a document are not used; repeated rows and ties
+are scored alike; a very long text is read whole, its bins being no more than
+``GRAMS``; a score of exactly one half is kept; extra columns are not read;
+without labels of both kinds every score is the prior, one half; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -29,19 +37,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import slices, written
 
 ROUNDS = 3
 STEPS = 5
 RIDGE = 1.0
 SURE_GOOD, SURE_BAD = 0.98, 0.02
+#: Weight of a pseudo-label beside a label's 1, before the bound on their sum.
 PSEUDO_WEIGHT = 0.25
-SOURCE_BINS, LANG_BINS = 32, 16
+#: Hash bins of words and word pairs.
+GRAMS = 1 << 16
+#: Documents that each kind is taken to have beside those that have a word.
+PRIOR_DOCUMENTS = 1.0
+SOURCE_BINS, LANG_BINS, BOTH_BINS = 32, 16, 64
 
 #: The most frequent function words of four languages.
 STOPS = frozenset("the of and to in a is that le la les de et un une der die und el los y en que das est ist".split())
 
-TEXT_DIM, META_DIM = 18, 4 + SOURCE_BINS + LANG_BINS
+COUNTS = 18
+TEXT_DIM, META_DIM = COUNTS + 2, 1 + SOURCE_BINS + LANG_BINS + BOTH_BINS
 
 
 def text_features(text: str) -> list[float]:
@@ -75,29 +89,39 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    size = np.log1p(max(0, n_chars or 0))
-    out = [1.0, size / 10, size * size / 100, float(n_chars is None), *[0.0] * (SOURCE_BINS + LANG_BINS)]
-    place = lambda x, bins: xxhash.xxh32_intdigest("\0" if x is None else x) % bins
-    out[4 + place(source, SOURCE_BINS)] = 1.0
-    out[4 + SOURCE_BINS + place(lang, LANG_BINS)] = 1.0
+def grams(text: str) -> np.ndarray:
+    """Sorted hash bins of a text's lower-cased words and neighbouring pairs, each once."""
+    words = text.lower().split()
+    digest = xxhash.xxh32_intdigest
+    found = {digest(w) for w in set(words)}
+    found.update(digest(a + " " + b) for a, b in set(zip(words, words[1:], strict=False)))
+    return np.unique(np.fromiter((x % GRAMS for x in found), np.uint16, len(found)))
+
+
+def meta_features(source: str | None, lang: str | None) -> list[float]:
+    out = [1.0, *[0.0] * (META_DIM - 1)]
+    s, x = ("\0" if v is None else v for v in (source, lang))
+    place = lambda v, bins: xxhash.xxh32_intdigest(v) % bins
+    out[1 + place(s, SOURCE_BINS)] = 1.0
+    out[1 + SOURCE_BINS + place(x, LANG_BINS)] = 1.0
+    out[1 + SOURCE_BINS + LANG_BINS + place(f"{s}\1{x}", BOTH_BINS)] = 1.0
     return out
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_x, meta_x) of every row, as raw doubles."""
+    """(doc_id, text_x, grams, meta_x) of every row: raw doubles, and 16-bit bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                t, s, x, n = (part.column(i).to_pylist() for i in range(1, 5))
+            for part in slices(batch, 1):
+                t, s, x = (part.column(i).to_pylist() for i in range(1, 4))
                 one = [np.array(text_features(v or ""), "<f8").tobytes() for v in t]
-                two = [np.array(meta_features(*v), "<f8").tobytes() for v in zip(s, x, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one), pa.array(two)], ["doc_id", "text_x", "meta_x"])
+                bins = [grams(v or "").tobytes() for v in t]
+                two = [np.array(meta_features(*v), "<f8").tobytes() for v in zip(s, x, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one), pa.array(bins, pa.binary()), pa.array(two)], ["doc_id", "text_x", "grams", "meta_x"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return cols.mapInArrow(run, "doc_id long, text_x binary, meta_x binary")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+    return cols.mapInArrow(run, "doc_id long, text_x binary, grams binary, meta_x binary")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -108,69 +132,145 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-View = tuple[str, int]
-TEXT: View = ("text_x", TEXT_DIM)
-META: View = ("meta_x", META_DIM)
+#: What a task needs of a document: its features, its label (null without one), whether it is for calibration, its half.
+COLUMNS = ["text_x", "grams", "meta_x", "y", "part", "half"]
 
 
-def _teach(own: np.ndarray, y: np.ndarray, part: np.ndarray, other: np.ndarray | None, x_other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Targets and weights: labels where known, else the other view's confident verdicts."""
-    target, weight = np.nan_to_num(y), (~np.isnan(y) & (part == 0)).astype(float)
-    if other is not None:
-        p = _sigmoid(x_other @ other)
-        sure = np.isnan(y) & ((p >= SURE_GOOD) | (p <= SURE_BAD))
-        target, weight = np.where(sure, p >= 0.5, target), np.where(sure, PSEUDO_WEIGHT, weight)
-    return target, weight
+class Rows:
+    """A batch of documents as matrices."""
 
+    def __init__(self, batch: pa.RecordBatch):
+        at = batch.schema.get_field_index
+        self.counts = _matrix(batch.column(at("text_x")), COUNTS)
+        self.meta = _matrix(batch.column(at("meta_x")), META_DIM)
+        self.y = batch.column(at("y")).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        self.part = batch.column(at("part")).to_numpy()
+        self.half = batch.column(at("half")).to_numpy().astype(np.int64)
+        raw = batch.column(at("grams")).to_pylist()
+        self.n = np.array([len(x) // 2 for x in raw], np.int64)
+        self.bins = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
 
-def fit(table: DataFrame, view: View, start: np.ndarray, other: tuple[View, np.ndarray] | None) -> np.ndarray:
-    """Newton steps of a ridge logistic regression; sums over all rows with a target."""
-    (name, dim), w = view, start
-    lean = table.select(name, other[0][0] if other else F.lit(b"").alias("other_x"), "y", "part")
-    if other is None:
+    def text(self, odds: np.ndarray) -> np.ndarray:
+        """The text view's matrix: counts, and the mean and the evidence of the other half's word log-odds."""
+        of = np.repeat(np.arange(len(self.n)), self.n)
+        total = np.bincount(of, odds[1 - self.half[of], self.bins], len(self.n))
+        n = np.maximum(1, self.n)
+        return np.column_stack([self.counts, np.clip(total / n, -4, 4), np.clip(total / np.sqrt(n), -40, 40) / 10])
+
+
+class Views:
+    """Coefficients of both views, and the log-odds of words by half."""
+
+    def __init__(self) -> None:
+        self.text, self.meta, self.odds = np.zeros(TEXT_DIM), np.zeros(META_DIM), np.zeros((2, GRAMS))
+
+    def z(self, rows: Rows, view: str) -> np.ndarray:
+        return rows.text(self.odds) @ self.text if view == "text" else rows.meta @ self.meta
+
+
+def _teach(rows: Rows, verdict: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target, whether a label gives it, whether the other view's confident verdict does)."""
+    known = ~np.isnan(rows.y) & (rows.part == 0)
+    target, sure = np.nan_to_num(rows.y), np.zeros(len(known), bool)
+    if verdict is not None:
+        p = _sigmoid(verdict)
+        sure = np.isnan(rows.y) & ((p >= SURE_GOOD) | (p <= SURE_BAD))
+        target = np.where(sure, p >= 0.5, target)
+    return target, known, sure
+
+
+def _sums(table: DataFrame, teacher: bool, gather: Callable[[Rows], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of what is not zero in ``gather(rows)`` summed over all documents that may have a target."""
+    lean = table.select(*COLUMNS)
+    if not teacher:
         lean = lean.where("y IS NOT NULL AND part = 0")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            got = gather(Rows(batch))
+            total = got if total is None else total + got
+        if total is not None:
+            flat = total.ravel()
+            i = np.nonzero(flat)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(flat[i])], ["i", "v"])
+
+    got = lean.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    return got["i"].to_numpy(), got["v"].to_numpy()
+
+
+def _weighed(labels: np.ndarray, pseudo: np.ndarray, n_labels: float, n_pseudo: float) -> np.ndarray:
+    """Sums over labels and, scaled down, over pseudo-labels, which weigh no more than the labels altogether."""
+    return labels + pseudo * min(PSEUDO_WEIGHT, n_labels / n_pseudo if n_pseudo else 0.0)
+
+
+def fit_words(table: DataFrame, views: Views, teacher: str | None) -> None:
+    """Log-odds of every bin, for each half of the documents, from how many good and bad documents have it."""
+    bins, spare = 2 * 2 * GRAMS, 4
+
+    def gather(rows: Rows) -> np.ndarray:
+        target, known, sure = _teach(rows, views.z(rows, teacher) if teacher else None)
+        out = np.zeros((2, bins + spare))
+        of = np.repeat(np.arange(len(rows.n)), rows.n)
+        kind = rows.half * 2 + target.astype(np.int64)
+        for k, chosen in enumerate((known, sure)):
+            here = chosen[of]
+            out[k, :bins] = np.bincount(kind[of[here]] * GRAMS + rows.bins[here], minlength=bins)
+            out[k, bins:] = np.bincount(kind[chosen], minlength=spare)
+        return out
+
+    i, v = _sums(table, teacher is not None, gather)
+    total = np.zeros(2 * (bins + spare))
+    total[i] = v
+    labels, pseudo = total.reshape(2, -1)
+    total = _weighed(labels, pseudo, labels[bins:].sum(), pseudo[bins:].sum())
+    have, all_ = total[:bins].reshape(2, 2, GRAMS), total[bins:].reshape(2, 2, 1)
+    share = np.log((have + PRIOR_DOCUMENTS) / (all_ + 2 * PRIOR_DOCUMENTS))
+    views.odds = np.where(have.sum(axis=1) > 0, share[:, 1] - share[:, 0], 0.0)
+
+
+def fit(table: DataFrame, views: Views, view: str, teacher: str | None) -> np.ndarray:
+    """Newton steps of a ridge logistic regression; sums over all rows with a target."""
+    dim = TEXT_DIM if view == "text" else META_DIM
+    w = getattr(views, view)
     for _ in range(STEPS):
         now = w
 
-        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((dim + 1, dim))
-            for batch in batches:
-                x = _matrix(batch.column(0), dim)
-                y = batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False)
-                part = batch.column(3).to_numpy()
-                beside = _matrix(batch.column(1), other[0][1]) if other else x
-                target, weight = _teach(x, y, part, other[1] if other else None, beside)
-                p = _sigmoid(x @ now)
-                total[0] += x.T @ (weight * (target - p))
-                total[1:] += (x * (weight * p * (1 - p))[:, None]).T @ x
-            flat = total.ravel()
-            i = np.arange(len(flat), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(flat)], ["i", "v"])
-
-        # a row per coefficient pair: (dim + 1) * dim
-        got = lean.mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        total = np.zeros((dim + 1) * dim)
-        total[got["i"].to_numpy()] = got["v"].to_numpy()
-        total = total.reshape(dim + 1, dim)
-        step = np.linalg.solve(total[1:] + RIDGE * np.eye(dim), total[0] - RIDGE * w)
+        def gather(rows: Rows, now: np.ndarray = now) -> np.ndarray:
+            x = rows.text(views.odds) if view == "text" else rows.meta
+            target, known, sure = _teach(rows, views.z(rows, teacher) if teacher else None)
+            p = _sigmoid(x @ now)
+            out = np.zeros((2, dim + 1, dim + 1))
+            for k, chosen in enumerate((known, sure)):
+                weight = chosen.astype(float)
+                out[k, 0, :dim] = x.T @ (weight * (target - p))
+                out[k, 1:, :dim] = (x * (weight * p * (1 - p))[:, None]).T @ x
+                out[k, 0, dim] = weight.sum()
+            return out
+
+        i, v = _sums(table, teacher is not None, gather)
+        total = np.zeros(2 * (dim + 1) * (dim + 1))
+        total[i] = v
+        labels, pseudo = total.reshape(2, dim + 1, dim + 1)
+        total = _weighed(labels, pseudo, labels[0, dim], pseudo[0, dim])
+        step = np.linalg.solve(total[1:, :dim] + RIDGE * np.eye(dim), total[0, :dim] - RIDGE * w)
         w = w + step
         if np.abs(step).max() < 1e-3:
             break
     return w
 
 
-def _scores(table: DataFrame, text_w: np.ndarray, meta_w: np.ndarray) -> DataFrame:
+def _scores(table: DataFrame, views: Views) -> DataFrame:
     """(doc_id, text_z, meta_z, y, part): each view's log-odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z1, z2 = _matrix(batch.column(1), TEXT_DIM) @ text_w, _matrix(batch.column(2), META_DIM) @ meta_w
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(z1), pa.array(z2), batch.column(3), batch.column(4)], ["doc_id", "text_z", "meta_z", "y", "part"]
-            )
+            rows = Rows(batch)
+            z = [pa.array(views.z(rows, v)) for v in ("text", "meta")]
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "y", "part")]
+            yield pa.RecordBatch.from_arrays([keep[0], *z, *keep[1:]], ["doc_id", "text_z", "meta_z", "y", "part"])
 
-    return table.select("doc_id", "text_x", "meta_x", "y", "part").mapInArrow(run, "doc_id long, text_z double, meta_z double, y int, part int")
+    return table.select("doc_id", *COLUMNS).mapInArrow(run, "doc_id long, text_z double, meta_z double, y int, part int")
 
 
 BIN = 0.25
@@ -200,16 +300,21 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
     agreed = agreed.agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("_id", F.col("y").cast("int"))
     # one labelled document in four is left for calibration
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).cast("int")
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int")
     raw = features(docs)
-    table = written(raw.join(agreed, raw.doc_id == agreed._id, "left").select("doc_id", "text_x", "meta_x", "y", part.alias("part")), "views")
+    table = written(raw.join(agreed, raw.doc_id == agreed._id, "left").select("doc_id", "text_x", "grams", "meta_x", "y", part.alias("part"), half.alias("half")), "views")
     seen = {(r.y, r.part): r.n for r in table.where("y IS NOT NULL").groupBy("y", "part").agg(F.count("*").alias("n")).collect()}
     good, bad = (sum(n for (y, _), n in seen.items() if y == v) for v in (1, 0))
-    text_w, meta_w = np.zeros(TEXT_DIM), np.zeros(META_DIM)
+    views = Views()
     if good and bad:
-        text_w, meta_w = fit(table, TEXT, text_w, None), fit(table, META, meta_w, None)
+        fit_words(table, views, None)
+        views.text, views.meta = fit(table, views, "text", None), fit(table, views, "meta", None)
         for _ in range(rounds):
-            text_w, meta_w = fit(table, TEXT, text_w, (META, meta_w)), fit(table, META, meta_w, (TEXT, text_w))
-    scored = _scores(table, text_w, meta_w)
+            # words and weights of the text view learn from the metadata view, then the other way about
+            fit_words(table, views, "meta")
+            views.text = fit(table, views, "text", "meta")
+            views.meta = fit(table, views, "meta", "text")
+    scored = _scores(table, views)
     prior = float(np.log(good / bad)) if good and bad else 0.0
     out = []
     for z in ("text_z", "meta_z"):

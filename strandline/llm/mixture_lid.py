@@ -10,10 +10,13 @@ Sets grow, to all languages if need be, while any document of the block can
 still gain by a bound on its likelihood under any mixture.
 
 Scale: training counts are summed per task over ``BINS`` bins, then by Spark;
-the model's size depends on the number of languages alone.  Scoring is one pass
-without a shuffle, in blocks of bounded size, a long text piece by piece.
+the model takes 256 KB per language, whatever the input's size, and is sent to
+each executor once.  More than ``MAX_LANGUAGES`` values of the training column
+are an error that names them, not languages to be left out in silence.  Scoring
+is one pass without a shuffle, in blocks of bounded size, a long text piece by
+piece.
 
-Defined results: ``und`` with score 0 for a null text, a text without a letter,
+Defined results: of equal proportions the first language by name counts; ``und`` with score 0 for a null text, a text without a letter,
 or an empty training set; a null id is in no held-out part; repeated rows are
 scored alike; extra columns are not read; an empty table gives an empty table.
 """
@@ -30,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import slices
+
 BINS = 1 << 16
 SMOOTHING = 0.5
 ROUNDS = 15
 UNKNOWN = "und"
+#: A model of so many languages takes 256 MB in each worker.
+MAX_LANGUAGES = 1024
 _BLOCK = 400_000
 
 
@@ -116,6 +123,10 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             )
 
     known = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
+    values = train.where(F.col(lang).isNotNull()).select(lang).distinct().limit(MAX_LANGUAGES + 1).collect()
+    if len(values) > MAX_LANGUAGES:
+        some = ", ".join(sorted(repr(r[0]) for r in values)[:5])
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in column {lang}, such as {some}: clean it first")
     counts = known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most BINS rows per language
     names = table["lang"].to_pylist()
@@ -217,12 +228,12 @@ def identify(texts: list[str], model: Model) -> tuple[list[str], list[float], li
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, mixture) of every row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                lang, score, mixture = identify([t or "" for t in part.column(1).to_pylist()], model)
+            for part in slices(batch, 1, 500):
+                lang, score, mixture = identify([t or "" for t in part.column(1).to_pylist()], shipped.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(lang), pa.array(score), pa.array(mixture)], [key, "lang_pred", "score", "mixture"]
                 )

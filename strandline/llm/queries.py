@@ -21,12 +21,10 @@ def op2_mixture_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_history(pages: DataFrame) -> DataFrame:
-    """Dated entries for the hosts and language paths of ``pages``, by the first page of each."""
-    url = F.col("url")
-    host, step = url_filter.host_of(url), F.element_at(F.split(url_filter.path_of(url), "/"), 2)
-    rules = F.explode(F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("path:"), host, F.lit("/"), step)))
-    first = pages.where(url.isNotNull()).select("page_id", rules.alias("rule")).groupBy("rule").agg(F.min("page_id").alias("p"))
-    some = first.where(F.col("p") % 3 != 2)
+    """Dated entries for the hosts, parent domains, paths and some addresses of ``pages``, by the first page of each."""
+    rules = F.explode(url_filter.rules_of(F.col("url")))
+    first = pages.where(F.col("url").isNotNull()).select("page_id", rules.alias("rule")).groupBy("rule").agg(F.min("page_id").alias("p"))
+    some = first.where((F.col("p") % 3 != 2) & (~F.col("rule").startswith("url:") | (F.col("p") % 5 == 0)))
     start = F.to_date(F.lit("2024-01-01"))
     day = lambda shift: F.date_add(start, ((F.col("p") * 7) % 300 + shift).cast("int"))
     dated = F.explode(
@@ -109,25 +107,27 @@ WITH p AS (
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
          list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS steps
   FROM pages
+), labels AS (
+  SELECT *, string_split(host, '.') AS parts FROM p WHERE url IS NOT NULL
+), keys AS (
+  SELECT page_id, url, day, 'url:' || url AS rule FROM labels
+  UNION SELECT page_id, url, day, 'host:' || host FROM labels WHERE host <> ''
+  UNION SELECT page_id, url, day, 'domain:' || array_to_string(parts[i:], '.')
+  FROM (SELECT *, unnest(range(1, greatest(len(parts) - 1, 1) + 1)) AS i FROM labels WHERE host <> '')
+  UNION SELECT page_id, url, day, 'path:' || host || '/' || array_to_string(steps[1:i], '/')
+  FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM labels WHERE host <> '')
 ), f AS (
-  SELECT rule, min(page_id) AS p FROM (
-    SELECT page_id, 'host:' || host AS rule FROM p
-    UNION ALL SELECT page_id, 'path:' || host || '/' || steps[1] FROM p
-  ) WHERE rule IS NOT NULL GROUP BY rule
+  SELECT rule, min(page_id) AS p FROM keys GROUP BY rule
 ), s AS (
-  SELECT rule, DATE '2024-01-01' + CAST((p * 7) % 300 AS INTEGER) AS d FROM f WHERE p % 3 <> 2
+  SELECT rule, DATE '2024-01-01' + CAST((p * 7) % 300 AS INTEGER) AS d FROM f WHERE p % 3 <> 2 AND (rule NOT LIKE 'url:%' OR p % 5 = 0)
 ), iv AS (
   SELECT rule, d AS since, d + 45 AS until FROM s UNION ALL SELECT rule, d + 90, NULL FROM s
-), keys AS (
-  SELECT page_id, day, 'host:' || host AS rule FROM p
-  UNION SELECT page_id, day, 'path:' || host || '/' || array_to_string(steps[1:i], '/')
-  FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM p)
 ), hit AS (
-  SELECT page_id, count(*) AS n, string_agg(keys.rule, ',' ORDER BY keys.rule) AS rules
-  FROM keys JOIN iv ON keys.rule = iv.rule AND since <= day AND (until IS NULL OR day < until) GROUP BY page_id
+  SELECT url, day, count(DISTINCT keys.rule) AS n, string_agg(DISTINCT keys.rule, ',' ORDER BY keys.rule) AS rules
+  FROM keys JOIN iv ON keys.rule = iv.rule AND since <= day AND (until IS NULL OR day < until) GROUP BY url, day
 )
-SELECT p.page_id, url, CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n_rules, coalesce(rules, '') AS rules, n IS NOT NULL AS blocked
-FROM p LEFT JOIN hit ON p.page_id = hit.page_id
+SELECT p.page_id, p.url, CAST(p.day AS VARCHAR) AS day, coalesce(n, 0) AS n_rules, coalesce(rules, '') AS rules, n IS NOT NULL AS blocked
+FROM p LEFT JOIN hit ON p.url = hit.url AND p.day = hit.day
 """
 
 _OP5 = """

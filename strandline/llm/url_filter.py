@@ -13,7 +13,9 @@ rule's history is.  Captures with the same address and day are judged once.
 Scale: a host with a third of all captures is a hot key of a plain inner join,
 whose partitions adaptive execution splits; nothing is broadcast by hand.
 
-Defined results: a capture with a null address or day matches no rule; entries
+Defined results: an address without a host is held against itself alone; an empty
+step of a path is no step; very long addresses are read whole; a capture with a
+null address or day matches no rule; entries
 with a null rule or day are ignored; of entries of one rule and day a removal
 wins; repeated rows are judged alike and all returned; extra columns are not
 read; an empty list blocks nothing.
