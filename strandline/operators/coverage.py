@@ -17,7 +17,10 @@ def is_good_hit(identity: Column, length: Column, coverage: Column | None = None
 
 
 def depth_runs(hits: DataFrame) -> DataFrame:
-    """AG01: (gene_id, start, end, depth) by a sweep over starts and ends; no row per residue."""
+    """AG01: (gene_id, start, end, depth) by a sweep over starts and ends; no row per residue.
+
+    Steps are summed per place before they are sorted, so a gene's sort has at most as many rows as the gene has residues.
+    """
     starts = hits.select("gene_id", F.col("ref_start").alias("at"), F.lit(1).alias("d"))
     ends = hits.select("gene_id", F.col("ref_end").alias("at"), F.lit(-1).alias("d"))
     steps = starts.unionByName(ends).groupBy("gene_id", "at").agg(F.sum("d").alias("d"))

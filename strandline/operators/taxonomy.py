@@ -1,4 +1,4 @@
-"""Taxonomy and diversity (GR01-GR10 by depth, AG25, AG26, AG28, AG31, AG32, AG40, SNK15-SNK17, RM34, RM35).
+"""Taxonomy and diversity (GR01, GR02, GR04, GR06-GR10, AG25, AG26, AG28, AG31, AG32, AG40, SNK15-SNK17, RM34, RM35).
 
 A taxonomy is (id, parent, rank, name); a root's parent is null, 0 or itself.
 All ancestor questions go through the closure table, built once per taxonomy by

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandline.functions import genes as G
 from strandline.functions import scoring as S
 from strandline.functions import sequence as Q
-from strandline.operators import alleles, classify, coverage, em, features, graph, kmers, minimizers, taxonomy
+from strandline.operators import alleles, asof, classify, coverage, em, features, graph, kmers, minimizers, taxonomy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -970,14 +970,11 @@ def position_containment(spark, sf):
     """SELECT o.o_orderkey AS order_id, (SELECT max(ts) FROM events e WHERE e.user_id = o.o_custkey % 50 AND e.ts <= TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o.o_orderkey % 20000)) AS seen FROM orders o""",
 )
 def as_of_join(spark, sf):
-    """JN24: the last event of a user before each order's moment, by one sorted window over both sides."""
-    from pyspark.sql import Window
-
+    """JN24: the last event of a user before each order's moment."""
     at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + (F.col("o_orderkey") % 20000) * 60)
-    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("user_id"), at.alias("at"), F.col("o_orderkey").alias("order_id"), F.lit(None).cast("timestamp").alias("ts"))
-    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), F.lit(None).cast("long").alias("order_id"), F.col("ts").cast("timestamp").alias("ts"))
-    over = Window.partitionBy("user_id").orderBy("at", F.col("order_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return o.unionByName(e).withColumn("seen", F.last("ts", True).over(over)).where("order_id IS NOT NULL").select("order_id", "seen")
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("user_id"), at.alias("at"), F.col("o_orderkey").alias("order_id"))
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), F.col("ts").cast("timestamp").alias("seen"))
+    return asof.last_before(o, e, "user_id", "at", "seen").select("order_id", "seen")
 
 
 @query("cascade_screen", """SELECT o_custkey AS id, round(least(1.0, 0.1 + CASE WHEN max(CAST(c_custkey IS NOT NULL AS INTEGER)) = 1 THEN 0.2 ELSE 0 END + CASE WHEN o_custkey IN (SELECT s_suppkey FROM supplier) THEN 0.3 ELSE 0 END), 4) AS confidence
@@ -1051,8 +1048,11 @@ def combined_ids(spark, sf):
     """JN22: every pair of two small dimensions with a dense id."""
     from pyspark.sql import Window
 
-    both = table(spark, sf, "region").select(F.col("r_name").alias("species")).crossJoin(table(spark, sf, "nation").select(F.col("n_name").alias("gene")))
-    return both.withColumn("id", F.row_number().over(Window.orderBy("species", "gene")) - 1)
+    numbered = lambda name, column, alias: table(spark, sf, name).select(F.col(column).alias(alias), (F.row_number().over(Window.orderBy(column)) - 1).alias(f"_{alias}"))
+    species, gene = numbered("region", "r_name", "species"), numbered("nation", "n_name", "gene")
+    size = gene.agg(F.count("*").cast("int").alias("_n"))
+    both = species.crossJoin(F.broadcast(gene)).crossJoin(F.broadcast(size))
+    return both.select("species", "gene", (F.col("_species") * F.col("_n") + F.col("_gene")).alias("id"))
 
 
 @query(

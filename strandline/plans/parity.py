@@ -423,7 +423,7 @@ def placed_pairs(spark, sf):
 
 @query(
     "placed_reads",
-    f"WITH {_REF} SELECT item_id AS read_id, CAST(30 AS INTEGER) AS place, 1.0 AS identity FROM ref WHERE length(seq) >= 130",
+    f"WITH {_REF} SELECT item_id AS read_id, CAST(30 AS INTEGER) AS place, CAST(1 AS DOUBLE) AS identity FROM ref WHERE length(seq) >= 130",
 )
 def placed_reads(spark, sf):
     """RM26: reads cut from the sequences find the place they come from."""
@@ -548,7 +548,7 @@ def genome_fasta(spark, sf):
     return g.select("taxon", "accession", "species", F.length("seq").cast("long").alias("n")).crossJoin(F.broadcast(files.agg(F.count("*").alias("files"))))
 
 
-@query("taxonomy_files", "SELECT n_nationkey + 10 AS id, n_regionkey + 1 AS parent, 'species' AS rank, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 1, CASE WHEN r_regionkey > 0 THEN 1 END, 'phylum', r_name FROM region")
+@query("taxonomy_files", "SELECT CAST(n_nationkey + 10 AS BIGINT) AS id, CAST(n_regionkey + 1 AS BIGINT) AS parent, 'species' AS rank, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 1, CASE WHEN r_regionkey > 0 THEN 1 END, 'phylum', r_name FROM region")
 def taxonomy_files(spark, sf):
     """SRC17: a taxonomy written as dump files and read again."""
     n = table(spark, sf, "nation").select((F.col("n_nationkey") + 10).alias("id"), (F.col("n_regionkey") + 1).alias("parent"), F.lit("species").alias("rank"), F.col("n_name").alias("name"))
@@ -559,7 +559,7 @@ def taxonomy_files(spark, sf):
     return tables.taxonomy_dump(spark, nodes, names)
 
 
-@query("taxonomy_table", "SELECT n_nationkey + 10 AS id, n_regionkey + 1 AS parent, 'genus' AS rank, n_name || ' genus' AS name FROM nation")
+@query("taxonomy_table", "SELECT CAST(n_nationkey + 10 AS BIGINT) AS id, CAST(n_regionkey + 1 AS BIGINT) AS parent, 'genus' AS rank, n_name || ' genus' AS name FROM nation")
 def taxonomy_table(spark, sf):
     """SRC18: a taxonomy of three columns, ranks guessed from names."""
     n = table(spark, sf, "nation").select((F.col("n_nationkey") + 10).alias("taxon_id"), F.concat("n_name", F.lit(" genus")).alias("name"), (F.col("n_regionkey") + 1).alias("parent_id"))
@@ -603,7 +603,7 @@ def word_lists(spark, sf):
     return tables.word_list(spark, _put(spark, p.unionByName(spark.createDataFrame([("# head",), ("",)], "value string")), "list"))
 
 
-@query("species_of_taxa", "SELECT n_nationkey AS taxon, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey + 100 END AS species_taxon FROM nation")
+@query("species_of_taxa", "SELECT n_nationkey AS taxon, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey + 100 AS BIGINT) END AS species_taxon FROM nation")
 def species_of_taxa(spark, sf):
     """RM39."""
     n = table(spark, sf, "nation")

@@ -1,4 +1,4 @@
-"""Streaming runners: aggregates, job routing, retries and fan-out (SRC26, SNK24-SNK25, SM01-SM10).
+"""Streaming runners: aggregates, job routing, retries and fan-out (SRC26, SNK24-SNK25, SM01-SM07, SM09, SM10).
 
 Batches may be repeated after a failure, so everything a batch writes is keyed
 by its id and overwrites what an earlier attempt left.

@@ -291,3 +291,34 @@ def test_codon_scan(spark):
     found = alleles.codon_scan(seqs, known)
     assert sorted((r.id, f"{r.wild}{r.pos}{r.mutant}") for r in found.collect()) == [(1, "D87N"), (1, "S83L"), (2, "S80I")]
     assert [(r.mutant, r.n) for r in alleles.mutation_report(found, ["mutant"]).collect()] == [("I", 1), ("L", 1), ("N", 1)]
+
+
+def test_as_of_join_over_blocks(spark):
+    import bisect
+    import datetime as dt
+
+    from strandline.operators import asof
+
+    rng = random.Random(3)
+    moment = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    events = [(rng.randint(0, 3), rng.randint(0, 400), i) for i in range(60)]
+    asked = [(rng.randint(0, 4), rng.randint(-10, 500), i) for i in range(200)]
+    e = spark.createDataFrame([(k, moment(h), i) for k, h, i in events], "k int, at timestamp, v int")
+    a = spark.createDataFrame([(k, moment(h), i) for k, h, i in asked] + [(None, moment(3), 900), (1, None, 901)], "k int, at timestamp, id int")
+    got = {r.id: r.v for r in asof.last_before(a, e, "k", "at", "v", "12 hours").collect()}
+    by = {}
+    for k, h, i in events:
+        by.setdefault(k, []).append((h, i))
+    want = {900: None, 901: None}
+    for k, h, i in asked:
+        rows = sorted(by.get(k, []))
+        n = bisect.bisect_right(rows, (h, 10**9))
+        want[i] = rows[n - 1][1] if n else None
+    assert got == want
+
+
+def test_clustered_at_block_edges(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.randint(0, 900)) for g in (1, 2) for _ in range(80)]
+    got = sorted((r.genome_id, r.pos, r.near) for r in features.clustered(spark.createDataFrame(rows, "genome_id int, pos int"), window=7).collect())
+    assert got == sorted((g, p, sum(h == g and abs(q - p) <= 7 for h, q in rows) - 1) for g, p in rows)
