@@ -51,17 +51,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table_bytes, written
+from strandline.llm.common import sent, table_bytes, written
 
 SPAN = 200
 WINDOW = 64
 CORE = SPAN - WINDOW + 1
 SIDE = WINDOW - 1
 REGION = SPAN + SIDE
-HOT_CORE = 20_000
+HOT_CORE = 50_000
 PACK_BYTES, MAX_PACK_BYTES = 8 << 20, 512 << 20
 #: Regions that are sorted at once, but for a single core's.
-_SORTED = 60_000
+_SORTED = 20_000
 _SECTION = 1 << 17
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -103,7 +103,11 @@ class PrefixHash:
     def __init__(self, buf: np.ndarray, base: int = _BASES[0]):
         power, self.inverse = _tables(base, len(buf))
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=self.sums[1:])
+        terms = self.sums[1:]
+        terms[:] = buf
+        terms += np.uint64(1)
+        terms *= power[: len(buf)]
+        np.cumsum(terms, out=terms)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
@@ -214,8 +218,8 @@ def _equal(buf: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.n
     padded = np.concatenate([buf, np.zeros(REGION, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, REGION)
     cols = np.arange(REGION)
-    for i in range(0, len(x), 16384):
-        part = slice(i, i + 16384)
+    for i in range(0, len(x), 4096):
+        part = slice(i, i + 4096)
         out[part] = ((rows[x[part]] == rows[y[part]]) | (cols >= n[part, None])).all(axis=1)
     return out
 
@@ -389,6 +393,7 @@ def suffix_sort(buf: np.ndarray, start: np.ndarray, length: np.ndarray, group: n
     ``group`` is sorted.  All runs of a level, of all groups longer than a run,
     merge at once: each suffix finds its place in the opposite run by binary search.
     """
+    buf = buf if len(buf) else np.zeros(1, np.uint8)  # where all suffixes are empty
     hashes, n = PrefixHash(buf), len(start)
     order = np.arange(n)
     if not n:
@@ -449,8 +454,8 @@ def _verified(
     padded = np.concatenate([buf, np.zeros(depth + 1, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, depth + 1)
     cols = np.arange(depth + 1)
-    for s in range(0, len(x), 32768):
-        part = slice(s, s + 32768)
+    for s in range(0, len(x), 8192):
+        part = slice(s, s + 8192)
         a, b = rows[np.minimum(x[part], last)], rows[np.minimum(y[part], last)]
         same = (a == b) & (cols < most[part, None])
         true = same.argmin(axis=1)  # the last column is never the same
@@ -506,8 +511,10 @@ def shared_strings(buf: np.ndarray, n: np.ndarray, before: np.ndarray, core: np.
     by = np.argsort(group, kind="stable")
     group, at, before, ends, twice = group[by], at[by], before[by], ends[by], twice[by]
     after = ends - at - CORE
-    right, right_lcp = suffix_sort(buf, at + CORE, after, group)
-    left, left_lcp = suffix_sort(buf[::-1].copy(), len(buf) - at, before, group)
+    # only what lies beside the cores is hashed: the bytes after them, and those before them backwards
+    ahead, behind = np.cumsum(after) - after, np.cumsum(before) - before
+    right, right_lcp = suffix_sort(buf[np.repeat(at + CORE - ahead, after) + np.arange(after.sum())], ahead, after, group)
+    left, left_lcp = suffix_sort(buf[np.repeat(at - 1 + behind, before) - np.arange(before.sum())], behind, before, group)
     size = len(by)
     new_right, new_left = (np.concatenate([[True], np.diff(group[o]) != 0]) for o in (right, left))
 
@@ -562,7 +569,8 @@ def _settle(table: pa.Table) -> pa.Table:
         data = b"".join([raw[x:y] for x, y in zip((ends[i] - n[i]).tolist(), ends[i].tolist(), strict=True)])
         mask[i] = shared_strings(np.frombuffer(data, np.uint8), n[i], before[i], core[i], twice[i])
         s = e
-    out = [(r["pack"], r["bucket"], mask[x:y].tobytes()) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True) if mask[x:y].any()]
+    squeeze = zstandard.ZstdCompressor(level=3)
+    out = [(r["pack"], r["bucket"], squeeze.compress(mask[x:y].tobytes())) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True) if mask[x:y].any()]
     return pa.Table.from_batches([_batch(out, _MASK)])
 
 
@@ -586,8 +594,9 @@ def _spans(found: Entries, told: list[dict], masks: list[dict]) -> Iterator[tupl
     """(start, end) of the shared strings around a pack's anchors, runs of neighbouring strings as one."""
     of = {v["bucket"]: v["ask"] for v in told or []}
     mask = np.zeros(len(found.at), np.uint64)
+    opened = zstandard.ZstdDecompressor()
     for v in masks or []:
-        mask[found.chosen(v["bucket"], of[v["bucket"]])] = np.frombuffer(v["mask"], np.uint64)
+        mask[found.chosen(v["bucket"], of[v["bucket"]])] = np.frombuffer(opened.decompress(v["mask"]), np.uint64)
     place, mask = found.place[mask[found.of] != 0], mask[found.of][mask[found.of] != 0]
     low = np.bitwise_count((mask & (~mask + np.uint64(1))) - np.uint64(1)).astype(np.int64)
     count = np.bitwise_count(mask).astype(np.int64)
@@ -671,23 +680,27 @@ def deduplicated(
     per_pack = lambda rows, name, *columns: rows.groupBy("pack").agg(F.collect_list(F.struct(*columns)).alias(name))
     judged = lambda rows, most: written(rows.groupBy("bucket").applyInArrow(_judge(most), _VERDICT), "verdicts")
     settled = lambda rows: written(rows.groupBy("bucket").applyInArrow(_settle, _MASK), "masks")
+    weight = lambda rows, *columns: rows.agg(F.sum(sum((F.length(c) for c in columns), F.lit(64)))).head()[0] or 0
     plain = base.select("pack", "lengths", "size", "data")
     verdicts = judged(plain.mapInArrow(_entry_rows(buckets, False), _ENTRY), hot_core)
+    load = weight(verdicts, "ask", "hot")
     told = per_pack(verdicts, "told", "bucket", "ask", "hot")
-    asked = plain.join(per_pack(verdicts.where(F.length("ask") > 0), "told", "bucket", "ask"), "pack")
-    masks = per_pack(settled(asked.mapInArrow(_asked(buckets, False), _REGION)), "masks", "bucket", "mask")
+    asked = plain.join(sent(per_pack(verdicts.where(F.length("ask") > 0), "told", "bucket", "ask"), load, 1), "pack")
+    masks = settled(asked.mapInArrow(_asked(buckets, False), _REGION))
+    load += weight(masks, "mask")
     hot = verdicts.where(F.length("hot") > 0)
-    both = told.join(masks, "pack", "left")
+    both = told.join(per_pack(masks, "masks", "bucket", "mask"), "pack", "left")
     if hot.isEmpty():
         none = F.array().cast("array<struct<bucket:int,ask:binary,mask:binary>>")
         both = both.select("*", none.alias("again"), none.alias("whole"))
     else:
-        crowded = plain.join(per_pack(hot, "told", "bucket", "hot"), "pack")
+        crowded = plain.join(sent(per_pack(hot, "told", "bucket", "hot"), weight(hot, "hot"), 1), "pack")
         once_more = judged(crowded.mapInArrow(_entry_rows(buckets, True), _ENTRY), math.inf)
-        again = per_pack(once_more, "again", "bucket", "ask")
-        whole = settled(crowded.join(again, "pack").mapInArrow(_asked(buckets, True), _REGION))
+        again, part = per_pack(once_more, "again", "bucket", "ask"), weight(once_more, "ask")
+        whole = settled(crowded.join(sent(again, part, 1), "pack").mapInArrow(_asked(buckets, True), _REGION))
+        load += part + weight(whole, "mask")
         both = both.join(again, "pack", "left").join(per_pack(whole, "whole", "bucket", "mask"), "pack", "left")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    cut = base.join(both, "pack", "left").mapInArrow(_cut_texts(buckets, with_text), schema)
+    cut = base.join(sent(both, load, 1), "pack", "left").mapInArrow(_cut_texts(buckets, with_text), schema)
     return cut.withColumnRenamed("key", key)
