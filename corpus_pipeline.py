@@ -21,22 +21,42 @@ NEAR_SIMILARITY = 0.8
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no quality rule."""
+    """Documents that break no quality rule.
+
+    Null and empty texts break the rule on length and go; very long texts are
+    measured whole; repeated rows are judged alike; extra columns stay; an empty
+    table gives an empty table.
+    """
     return quality_rules.passing(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One document of each group with equal texts: the one with the largest id.
+
+    Null texts are equal to empty ones; a null id loses to any other; of repeated
+    rows and ties one stays; extra columns stay, whatever their names; an empty
+    table gives an empty table.
+    """
     return exact_dedup.survivors(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: no two that stay are known to be alike.
+
+    Of alike documents the one with the smallest id stays, null ids coming last;
+    of repeated rows one stays, and one of all texts without a word; very long
+    texts are compared whole; an empty table gives an empty table.
+    """
     return simhash.survivors(docs, size=5, similarity=NEAR_SIMILARITY)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages that repeat; n_chars counts what stays."""
+    """All documents without the passages that repeat; n_chars counts what stays.
+
+    Every document stays, if need be with an empty text, which a null text becomes
+    too; every copy of a passage goes, repeated rows' whole texts among them; extra
+    columns stay; an empty table gives an empty table.
+    """
     others = [c for c in docs.columns if c != "text"]
     keyed = docs.select(F.struct(*others).alias("_row"), "text")
     cut = suffix_dedup.deduplicated(keyed, key="_row", with_text=True)
@@ -47,7 +67,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and their place there."""
+    """Token pieces with their sequence and their place there.
+
+    A null or empty text is one piece of the end token; a long one is cut into full
+    pieces; repeated rows are packed each for itself; an empty table gives an empty
+    table.
+    """
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

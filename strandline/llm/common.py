@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +59,34 @@ def written(df: DataFrame, name: str, rows: int | None = None, size: int | None
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.parquet(path)
     out._written_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those that ``keep`` takes out: their readers must be done by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCRATCH.pop())
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """``table``, left to the scratch around this one, or to the session."""
+    mine = _SCRATCH.pop()
+    mine[:] = [t for t in mine if t is not table]
+    if _SCRATCH:
+        _SCRATCH[-1].append(table)
+    _SCRATCH.append(mine)
+    return table
+
+
 #: A table of up to so many bytes may be sent to every task.
 BROADCAST_BYTES = 32 << 20
 

@@ -13,10 +13,13 @@ Log-odds of words are learnt on two halves of the documents, and a document is
 always measured by those of the other half, so they never know it.  All pseudo-
 labels together weigh at most as much as all labels, however many there are.
 
-Scale: features are computed once into a table in the shared folder.  A fit is
-one pass for the words and a few Newton steps, whose sums Spark gathers from all
-labelled and pseudo-labelled documents, with no sample; what reaches the driver
-is one row per hash bin or coefficient pair, whatever the input's size.
+Scale: features are computed once into a table in the shared folder.  A round is
+one pass over the words for their log-odds, one that writes the text view's few
+numbers per document, Newton steps over those, and one count per value of the
+metadata, on which that view is fitted without another pass.  All sums are over
+all labelled and pseudo-labelled documents, with no sample; what reaches the
+driver is one number per hash bin, coefficient pair or metadata value, whatever
+the input's size.
 
 Defined results: a null text counts as empty; null metadata is a value of its
 own; labels that disagree about a document are not used; repeated rows and ties
@@ -28,6 +31,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from operator import eq
 
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices, written
+from strandline.llm.common import discard, sent, slices, written
 
 ROUNDS = 3
 STEPS = 5
@@ -56,6 +60,7 @@ STOPS = frozenset("the of and to in a is that le la les de et un une der die und
 
 COUNTS = 18
 TEXT_DIM, META_DIM = COUNTS + 2, 1 + SOURCE_BINS + LANG_BINS + BOTH_BINS
+METAS = SOURCE_BINS * LANG_BINS * BOTH_BINS
 
 
 def text_features(text: str) -> list[float]:
@@ -90,26 +95,33 @@ def text_features(text: str) -> list[float]:
 
 
 def grams(text: str) -> np.ndarray:
-    """Sorted hash bins of a text's lower-cased words and neighbouring pairs, each once."""
-    words = text.lower().split()
-    digest = xxhash.xxh32_intdigest
-    found = {digest(w) for w in set(words)}
-    found.update(digest(a + " " + b) for a, b in set(zip(words, words[1:], strict=False)))
-    return np.unique(np.fromiter((x % GRAMS for x in found), np.uint16, len(found)))
+    """Sorted hash bins of a text's words (A-Z lower-cased) and neighbouring pairs, each once."""
+    words = text.encode().lower().split()
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
+    return np.unique(np.concatenate([h, pair]) % np.uint64(GRAMS)).astype(np.uint16)
 
 
-def meta_features(source: str | None, lang: str | None) -> list[float]:
-    out = [1.0, *[0.0] * (META_DIM - 1)]
+def meta_value(source: str | None, lang: str | None) -> int:
+    """Hash bins of source, language and both as one number."""
     s, x = ("\0" if v is None else v for v in (source, lang))
     place = lambda v, bins: xxhash.xxh32_intdigest(v) % bins
-    out[1 + place(s, SOURCE_BINS)] = 1.0
-    out[1 + SOURCE_BINS + place(x, LANG_BINS)] = 1.0
-    out[1 + SOURCE_BINS + LANG_BINS + place(f"{s}\1{x}", BOTH_BINS)] = 1.0
+    return (place(s, SOURCE_BINS) * LANG_BINS + place(x, LANG_BINS)) * BOTH_BINS + place(f"{s}\1{x}", BOTH_BINS)
+
+
+def meta_matrix(values: np.ndarray) -> np.ndarray:
+    """The metadata view's features of each value: a constant and three marks."""
+    out = np.zeros((len(values), META_DIM))
+    out[:, 0] = 1
+    row = np.arange(len(values))
+    out[row, 1 + values // (LANG_BINS * BOTH_BINS)] = 1
+    out[row, 1 + SOURCE_BINS + values // BOTH_BINS % LANG_BINS] = 1
+    out[row, 1 + SOURCE_BINS + LANG_BINS + values % BOTH_BINS] = 1
     return out
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_x, grams, meta_x) of every row: raw doubles, and 16-bit bins."""
+    """(doc_id, text_x, grams, meta) of every row: raw doubles, 16-bit bins, and a metadata value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,86 +129,65 @@ def features(docs: DataFrame) -> DataFrame:
                 t, s, x = (part.column(i).to_pylist() for i in range(1, 4))
                 one = [np.array(text_features(v or ""), "<f8").tobytes() for v in t]
                 bins = [grams(v or "").tobytes() for v in t]
-                two = [np.array(meta_features(*v), "<f8").tobytes() for v in zip(s, x, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one), pa.array(bins, pa.binary()), pa.array(two)], ["doc_id", "text_x", "grams", "meta_x"])
+                meta = [meta_value(*v) for v in zip(s, x, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(one), pa.array(bins, pa.binary()), pa.array(meta, pa.int32())], ["doc_id", "text_x", "grams", "meta"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    return cols.mapInArrow(run, "doc_id long, text_x binary, grams binary, meta_x binary")
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+    return cols.mapInArrow(run, "doc_id long, text_x binary, grams binary, meta int")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-#: What a task needs of a document: its features, its label (null without one), whether it is for calibration, its half.
-COLUMNS = ["text_x", "grams", "meta_x", "y", "part", "half"]
-
-
 class Rows:
-    """A batch of documents as matrices."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        at = batch.schema.get_field_index
-        self.counts = _matrix(batch.column(at("text_x")), COUNTS)
-        self.meta = _matrix(batch.column(at("meta_x")), META_DIM)
-        self.y = batch.column(at("y")).cast(pa.float64()).to_numpy(zero_copy_only=False)
-        self.part = batch.column(at("part")).to_numpy()
-        self.half = batch.column(at("half")).to_numpy().astype(np.int64)
-        raw = batch.column(at("grams")).to_pylist()
-        self.n = np.array([len(x) // 2 for x in raw], np.int64)
-        self.bins = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
-
-    def text(self, odds: np.ndarray) -> np.ndarray:
-        """The text view's matrix: counts, and the mean and the evidence of the other half's word log-odds."""
-        of = np.repeat(np.arange(len(self.n)), self.n)
-        total = np.bincount(of, odds[1 - self.half[of], self.bins], len(self.n))
-        n = np.maximum(1, self.n)
-        return np.column_stack([self.counts, np.clip(total / n, -4, 4), np.clip(total / np.sqrt(n), -40, 40) / 10])
-
-
-class Views:
-    """Coefficients of both views, and the log-odds of words by half."""
-
-    def __init__(self) -> None:
-        self.text, self.meta, self.odds = np.zeros(TEXT_DIM), np.zeros(META_DIM), np.zeros((2, GRAMS))
-
-    def z(self, rows: Rows, view: str) -> np.ndarray:
-        return rows.text(self.odds) @ self.text if view == "text" else rows.meta @ self.meta
-
-
-def _teach(rows: Rows, verdict: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(target, whether a label gives it, whether the other view's confident verdict does)."""
-    known = ~np.isnan(rows.y) & (rows.part == 0)
-    target, sure = np.nan_to_num(rows.y), np.zeros(len(known), bool)
-    if verdict is not None:
-        p = _sigmoid(verdict)
-        sure = np.isnan(rows.y) & ((p >= SURE_GOOD) | (p <= SURE_BAD))
-        target = np.where(sure, p >= 0.5, target)
-    return target, known, sure
-
-
-def _sums(table: DataFrame, teacher: bool, gather: Callable[[Rows], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, value) of what is not zero in ``gather(rows)`` summed over all documents that may have a target."""
-    lean = table.select(*COLUMNS)
-    if not teacher:
-        lean = lean.where("y IS NOT NULL AND part = 0")
+    """A batch of documents as arrays; ``name`` is the column of ``dim`` raw doubles."""
+
+    def __init__(self, batch: pa.RecordBatch, name: str, dim: int):
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        self.x = np.frombuffer(b"".join(column(name).to_pylist()), "<f8").reshape(-1, dim)
+        self.meta = column("meta").to_numpy().astype(np.int64)
+        self.y = column("y").cast(pa.float64()).to_numpy(zero_copy_only=False)
+        self.part = column("part").to_numpy()
+        if "grams" in batch.schema.names:
+            self.half = column("half").to_numpy().astype(np.int64)
+            raw = column("grams").to_pylist()
+            self.n = np.array([len(x) // 2 for x in raw], np.int64)
+            self.bins = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
+            self.of = np.repeat(np.arange(len(self.n)), self.n)
+
+    def targets(self, verdict: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(target, whether a label gives it, whether the other view's confident log-odds do)."""
+        known = ~np.isnan(self.y) & (self.part == 0)
+        target, sure = np.nan_to_num(self.y), np.zeros(len(known), bool)
+        if verdict is not None:
+            p = _sigmoid(verdict)
+            sure = np.isnan(self.y) & ((p >= SURE_GOOD) | (p <= SURE_BAD))
+            target = np.where(sure, p >= 0.5, target)
+        return target.astype(np.int64), known, sure
+
+
+def _summed(table: DataFrame, size: int, gather: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """``gather(batch)``, ``size`` numbers, summed over a table; each task sends blocks of them, which are summed where they meet."""
+    block = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(-(-size // block) * block)
         for batch in batches:
-            got = gather(Rows(batch))
-            total = got if total is None else total + got
-        if total is not None:
-            flat = total.ravel()
-            i = np.nonzero(flat)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(flat[i])], ["i", "v"])
+            total[:size] += gather(batch).ravel()
+        rows = total.reshape(-1, block)
+        i = np.nonzero(rows.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array([rows[k].tobytes() for k in i.tolist()], pa.binary())], ["i", "v"])
+
+    def add(part: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(part["v"].to_pylist()), "<f8").reshape(-1, block).sum(axis=0)
+        return pa.table({"i": part["i"].slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
 
-    got = lean.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    return got["i"].to_numpy(), got["v"].to_numpy()
+    got = table.mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(add, "i int, v binary").toArrow()
+    out = np.zeros((-(-size // block), block))
+    for i, v in zip(got["i"].to_pylist(), got["v"].to_pylist(), strict=True):
+        out[i] = np.frombuffer(v, "<f8")
+    return out.ravel()[:size]
 
 
 def _weighed(labels: np.ndarray, pseudo: np.ndarray, n_labels: float, n_pseudo: float) -> np.ndarray:
@@ -204,73 +195,112 @@ def _weighed(labels: np.ndarray, pseudo: np.ndarray, n_labels: float, n_pseudo:
     return labels + pseudo * min(PSEUDO_WEIGHT, n_labels / n_pseudo if n_pseudo else 0.0)
 
 
-def fit_words(table: DataFrame, views: Views, teacher: str | None) -> None:
-    """Log-odds of every bin, for each half of the documents, from how many good and bad documents have it."""
+def fit_words(table: DataFrame, meta_z: np.ndarray | None) -> np.ndarray:
+    """Log-odds of every bin, for each half of the documents, from how many good and bad documents have it.
+
+    ``meta_z`` holds the metadata view's log-odds of each value, if it teaches.
+    """
     bins, spare = 2 * 2 * GRAMS, 4
 
-    def gather(rows: Rows) -> np.ndarray:
-        target, known, sure = _teach(rows, views.z(rows, teacher) if teacher else None)
+    def gather(batch: pa.RecordBatch) -> np.ndarray:
+        rows = Rows(batch, "text_x", COUNTS)
+        target, known, sure = rows.targets(None if meta_z is None else meta_z[rows.meta])
         out = np.zeros((2, bins + spare))
-        of = np.repeat(np.arange(len(rows.n)), rows.n)
-        kind = rows.half * 2 + target.astype(np.int64)
+        kind = rows.half * 2 + target
         for k, chosen in enumerate((known, sure)):
-            here = chosen[of]
-            out[k, :bins] = np.bincount(kind[of[here]] * GRAMS + rows.bins[here], minlength=bins)
+            here = chosen[rows.of]
+            out[k, :bins] = np.bincount(kind[rows.of[here]] * GRAMS + rows.bins[here], minlength=bins)
             out[k, bins:] = np.bincount(kind[chosen], minlength=spare)
         return out
 
-    i, v = _sums(table, teacher is not None, gather)
-    total = np.zeros(2 * (bins + spare))
-    total[i] = v
-    labels, pseudo = total.reshape(2, -1)
+    used = table if meta_z is not None else table.where("y IS NOT NULL AND part = 0")
+    labels, pseudo = _summed(used, 2 * (bins + spare), gather).reshape(2, -1)
     total = _weighed(labels, pseudo, labels[bins:].sum(), pseudo[bins:].sum())
     have, all_ = total[:bins].reshape(2, 2, GRAMS), total[bins:].reshape(2, 2, 1)
     share = np.log((have + PRIOR_DOCUMENTS) / (all_ + 2 * PRIOR_DOCUMENTS))
-    views.odds = np.where(have.sum(axis=1) > 0, share[:, 1] - share[:, 0], 0.0)
+    return np.where(have.sum(axis=1) > 0, share[:, 1] - share[:, 0], 0.0)
+
+
+def text_view(table: DataFrame, odds: np.ndarray) -> DataFrame:
+    """(doc_id, x, meta, y, part): the text view's numbers of each document, with the other half's word log-odds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Rows(batch, "text_x", COUNTS)
+            total = np.bincount(rows.of, odds[1 - rows.half[rows.of], rows.bins], len(rows.n))
+            n = np.maximum(1, rows.n)
+            x = np.column_stack([rows.x, np.clip(total / n, -4, 4), np.clip(total / np.sqrt(n), -40, 40) / 10])
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "meta", "y", "part")]
+            yield pa.RecordBatch.from_arrays([keep[0], pa.array([v.tobytes() for v in x], pa.binary()), *keep[1:]], ["doc_id", "x", "meta", "y", "part"])
 
+    return written(table.mapInArrow(run, "doc_id long, x binary, meta int, y int, part int"), "text-view")
 
-def fit(table: DataFrame, views: Views, view: str, teacher: str | None) -> np.ndarray:
+
+def _step(w: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(curve + RIDGE * np.eye(len(w)), slope - RIDGE * w)
+
+
+def fit_text(seen: DataFrame, start: np.ndarray, meta_z: np.ndarray | None) -> np.ndarray:
     """Newton steps of a ridge logistic regression; sums over all rows with a target."""
-    dim = TEXT_DIM if view == "text" else META_DIM
-    w = getattr(views, view)
+    used, w, dim = (seen if meta_z is not None else seen.where("y IS NOT NULL AND part = 0")), start, TEXT_DIM
     for _ in range(STEPS):
         now = w
 
-        def gather(rows: Rows, now: np.ndarray = now) -> np.ndarray:
-            x = rows.text(views.odds) if view == "text" else rows.meta
-            target, known, sure = _teach(rows, views.z(rows, teacher) if teacher else None)
-            p = _sigmoid(x @ now)
+        def gather(batch: pa.RecordBatch, now: np.ndarray = now) -> np.ndarray:
+            rows = Rows(batch, "x", dim)
+            target, known, sure = rows.targets(None if meta_z is None else meta_z[rows.meta])
+            p = _sigmoid(rows.x @ now)
             out = np.zeros((2, dim + 1, dim + 1))
             for k, chosen in enumerate((known, sure)):
-                weight = chosen.astype(float)
-                out[k, 0, :dim] = x.T @ (weight * (target - p))
-                out[k, 1:, :dim] = (x * (weight * p * (1 - p))[:, None]).T @ x
-                out[k, 0, dim] = weight.sum()
+                out[k, 0, :dim] = rows.x.T @ (chosen * (target - p))
+                out[k, 1:, :dim] = (rows.x * (chosen * p * (1 - p))[:, None]).T @ rows.x
+                out[k, 0, dim] = chosen.sum()
             return out
 
-        i, v = _sums(table, teacher is not None, gather)
-        total = np.zeros(2 * (dim + 1) * (dim + 1))
-        total[i] = v
-        labels, pseudo = total.reshape(2, dim + 1, dim + 1)
+        labels, pseudo = _summed(used, 2 * (dim + 1) ** 2, gather).reshape(2, dim + 1, dim + 1)
         total = _weighed(labels, pseudo, labels[0, dim], pseudo[0, dim])
-        step = np.linalg.solve(total[1:, :dim] + RIDGE * np.eye(dim), total[0, :dim] - RIDGE * w)
+        step = _step(w, total[0, :dim], total[1:, :dim])
         w = w + step
         if np.abs(step).max() < 1e-3:
             break
     return w
 
 
-def _scores(table: DataFrame, views: Views) -> DataFrame:
+def fit_meta(seen: DataFrame, text: np.ndarray | None) -> np.ndarray:
+    """The metadata view's log-odds of each value: one count of targets per value, then Newton steps on those counts.
+
+    ``text`` holds the text view's coefficients, if it teaches.
+    """
+
+    def gather(batch: pa.RecordBatch) -> np.ndarray:
+        rows = Rows(batch, "x", TEXT_DIM)
+        target, known, sure = rows.targets(None if text is None else rows.x @ text)
+        return np.stack([np.bincount(target[c] * METAS + rows.meta[c], minlength=2 * METAS) for c in (known, sure)])
+
+    used = seen if text is not None else seen.where("y IS NOT NULL AND part = 0")
+    labels, pseudo = _summed(used, 4 * METAS, gather).reshape(2, -1)
+    bad, good = _weighed(labels, pseudo, labels.sum(), pseudo.sum()).reshape(2, METAS)
+    at = np.nonzero(bad + good)[0]
+    x, n, w = meta_matrix(at), (bad + good)[at], np.zeros(META_DIM)
+    for _ in range(STEPS):
+        p = _sigmoid(x @ w)
+        step = _step(w, x.T @ (good[at] - n * p), (x * (n * p * (1 - p))[:, None]).T @ x)
+        w = w + step
+        if np.abs(step).max() < 1e-3:
+            break
+    return meta_matrix(np.arange(METAS)) @ w
+
+
+def _scores(seen: DataFrame, text: np.ndarray, meta_z: np.ndarray) -> DataFrame:
     """(doc_id, text_z, meta_z, y, part): each view's log-odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = Rows(batch)
-            z = [pa.array(views.z(rows, v)) for v in ("text", "meta")]
+            rows = Rows(batch, "x", TEXT_DIM)
             keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "y", "part")]
-            yield pa.RecordBatch.from_arrays([keep[0], *z, *keep[1:]], ["doc_id", "text_z", "meta_z", "y", "part"])
+            yield pa.RecordBatch.from_arrays([keep[0], pa.array(rows.x @ text), pa.array(meta_z[rows.meta]), *keep[1:]], ["doc_id", "text_z", "meta_z", "y", "part"])
 
-    return table.select("doc_id", *COLUMNS).mapInArrow(run, "doc_id long, text_z double, meta_z double, y int, part int")
+    return seen.mapInArrow(run, "doc_id long, text_z double, meta_z double, y int, part int")
 
 
 BIN = 0.25
@@ -302,19 +332,24 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).cast("int")
     half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int")
     raw = features(docs)
-    table = written(raw.join(agreed, raw.doc_id == agreed._id, "left").select("doc_id", "text_x", "grams", "meta_x", "y", part.alias("part"), half.alias("half")), "views")
-    seen = {(r.y, r.part): r.n for r in table.where("y IS NOT NULL").groupBy("y", "part").agg(F.count("*").alias("n")).collect()}
-    good, bad = (sum(n for (y, _), n in seen.items() if y == v) for v in (1, 0))
-    views = Views()
+    agreed = written(agreed, "labels", labels.count())
+    told = raw.join(sent(agreed, agreed.count()), raw.doc_id == agreed._id, "left")
+    table = written(told.select("doc_id", "text_x", "grams", "meta", "y", part.alias("part"), half.alias("half")), "views")
+    count = {(r.y, r.part): r.n for r in table.where("y IS NOT NULL").groupBy("y", "part").agg(F.count("*").alias("n")).collect()}
+    good, bad = (sum(n for (y, _), n in count.items() if y == v) for v in (1, 0))
+    text, meta_z = np.zeros(TEXT_DIM), np.zeros(METAS)
     if good and bad:
-        fit_words(table, views, None)
-        views.text, views.meta = fit(table, views, "text", None), fit(table, views, "meta", None)
+        seen = text_view(table, fit_words(table, None))
+        text, meta_z = fit_text(seen, text, None), fit_meta(seen, None)
         for _ in range(rounds):
-            # words and weights of the text view learn from the metadata view, then the other way about
-            fit_words(table, views, "meta")
-            views.text = fit(table, views, "text", "meta")
-            views.meta = fit(table, views, "meta", "text")
-    scored = _scores(table, views)
+            # the text view's words and weights learn from the metadata view, then that view from the text view
+            discard(seen)
+            seen = text_view(table, fit_words(table, meta_z))
+            text = fit_text(seen, text, meta_z)
+            meta_z = fit_meta(seen, text)
+    else:
+        seen = text_view(table, np.zeros((2, GRAMS)))
+    scored = _scores(seen, text, meta_z)
     prior = float(np.log(good / bad)) if good and bad else 0.0
     out = []
     for z in ("text_z", "meta_z"):

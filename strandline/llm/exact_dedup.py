@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ascii_lower, written
+from strandline.llm.common import ascii_lower, keep, scratch, written
 
 SHARD_DIGESTS = 50_000
 
@@ -211,7 +211,8 @@ def groups(docs: DataFrame, is_history: Column | None = None) -> tuple[DataFrame
     old, new = grouped(rows.where("old")), grouped(rows.where("NOT old"))
     # history and incoming digests meet in the same shards, whichever has more
     shards = max(1, -(-rows.count() // SHARD_DIGESTS))
-    found = written(probe(new, build_index(old, shards), shards), "digest-groups", total)
+    with scratch():
+        found = keep(written(probe(new, build_index(old, shards), shards), "digest-groups", total))
     return rows, found
 
 

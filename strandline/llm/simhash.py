@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import discard, slices, written
+from strandline.llm.common import discard, keep, scratch, sent, slices, written
 from strandline.llm.components import components
 
 SEED = 42
@@ -428,7 +428,7 @@ class Plan:
         self.radius, self.both = most(64 - self.bits), most(128 - self.bits)
 
     def dealt(self, prints: DataFrame) -> DataFrame:
-        """(uid, fp) -> a row per table: table, bits, fp, beside, uid."""
+        """(uid, fp) -> a row per table: bucket (table and key bits), fp, beside, uid."""
         each = prints.select("uid", "fp", F.explode(F.sequence(F.lit(0), F.lit(self.tables - 1))).alias("table"))
         word = F.floor(F.col("table") / self.per_word).cast("int")
         each = each.withColumn("a", F.element_at("fp", word + 1)).withColumn("beside", F.element_at("fp", (word + 1) % self.words + 1))
@@ -436,12 +436,13 @@ class Plan:
         for k in range(self.per_word):
             of = F.when(F.col("table") % self.per_word == k, F.shiftrightunsigned("a", k * self.bits)).otherwise(of)
         bits = of.bitwiseAND(F.lit((1 << self.bits) - 1))
-        return each.select(F.col("table").cast("long").alias("table"), bits.alias("bits"), F.col("a").alias("fp"), "beside", "uid")
+        bucket = F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(bits)
+        return each.select(bucket.alias("bucket"), F.col("a").alias("fp"), "beside", "uid")
 
 
 def _candidates_in(radius: int, both: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (_, _, fp, beside, uid) in _bucket_runs(batches, 2):
+        for bucket, (_, fp, beside, uid) in _bucket_runs(batches, 1):
             member, root = bucket_links(bucket, fp.view(np.uint64), radius, beside.view(np.uint64), both)
             yield _pairs(uid[member], uid[root])
 
@@ -455,13 +456,15 @@ def candidates(prints: DataFrame, plan: Plan, rows: int, hot: int = HOT_CANDIDAT
     smallest: more candidates than its pairs within the radius, never fewer.
     """
     keyed = plan.dealt(prints)
-    crowds = keyed.groupBy("table", "bits").agg(F.count("*").alias("n"), F.min("uid").alias("root")).where(F.col("n") > hot).drop("n")
+    crowds = keyed.groupBy("bucket").count().where(F.col("count") > hot).drop("count")
     crowds = written(crowds, "hot-buckets", rows * plan.tables // hot)
-    rest = keyed.join(crowds.drop("root"), ["table", "bits"], "left_anti").select("table", "bits", "fp", "beside", "uid")
-    parts = rest.repartition("table", "bits").sortWithinPartitions("table", "bits")
-    found = parts.mapInArrow(_candidates_in(plan.radius, plan.both), "u long, v long")
-    whole = keyed.join(crowds, ["table", "bits"]).select(F.col("uid").alias("u"), F.col("root").alias("v"))
-    return found.unionByName(whole)
+    # every hot bucket has more than ``hot`` rows, so there are few of them
+    few = sent(crowds, rows * plan.tables // hot)
+    parts = keyed.join(few, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
+    found = parts.select("bucket", "fp", "beside", "uid").mapInArrow(_candidates_in(plan.radius, plan.both), "u long, v long")
+    whole = keyed.join(few, "bucket").select("bucket", "uid")
+    roots = written(whole.groupBy("bucket").agg(F.min("uid").alias("root")), "hot-roots", rows * plan.tables // hot)
+    return found.unionByName(whole.join(sent(roots, rows * plan.tables // hot), "bucket").select(F.col("uid").alias("u"), F.col("root").alias("v")))
 
 
 def _hashed(size: int):
@@ -525,7 +528,7 @@ def _unlike(least: float):
     return run
 
 
-def _blocks(crowd: DataFrame, rows: int, size: int, total: int) -> DataFrame:
+def _blocks(crowd: DataFrame, rows: int, size: int) -> DataFrame:
     """``crowd`` with ``block``, its row's part of the component, and ``blocks``, their number.
 
     A component of up to ``rows`` rows and ``size`` bytes is one block; blocks
@@ -533,7 +536,7 @@ def _blocks(crowd: DataFrame, rows: int, size: int, total: int) -> DataFrame:
     """
     load = F.greatest(F.count("*") / rows, F.sum(F.length("hashes")) / size)
     sizes = crowd.groupBy("first").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.lit(1.0), F.least(load, F.sqrt(8 * load)))).cast("int").alias("blocks")).where("n > 1").drop("n")
-    sizes = written(sizes, "block-counts", total)
+    sizes = written(sizes, "block-counts", crowd.count())
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     return crowd.join(sizes, "first").select("key", "first", "hashes", block.alias("block"), "blocks")
 
@@ -545,14 +548,15 @@ def _dropped(crowd: DataFrame, least: float, rows: int, size: int) -> DataFrame:
     round settles one block of every component and takes from the later blocks
     what is like its survivors, so no task ever holds more than two blocks.
     """
-    left = written(_blocks(crowd, rows, size, crowd.count()), "blocks")
+    held = crowd.agg(F.sum(F.length("hashes") + 32)).head()[0] or 0
+    left = written(_blocks(crowd, rows, size), "blocks", size=held)
     all_keys, stay = left.select("key"), None
     kinds = "key struct<id:bigint,h:bigint>, first bigint, hashes binary"
     rounds = left.agg(F.max("blocks")).head()[0] or 0
     for k in range(rounds):
         now = left.where(F.col("block") == k).select("key", "first", "hashes", "blocks")
         done = now.select("key", "first", "hashes").groupBy("first").applyInArrow(_settled(least), kinds + ", stays boolean")
-        done = written(done.where("stays").drop("stays"), "settled")
+        done = written(done.where("stays").drop("stays"), "settled", size=held)
         stay = done.select("key") if stay is None else stay.unionByName(done.select("key"))
         if k + 1 == rounds:
             break
@@ -560,7 +564,7 @@ def _dropped(crowd: DataFrame, least: float, rows: int, size: int) -> DataFrame:
         counts = later.select("first", "block").distinct()
         against = done.join(counts, "first").select(F.col("first").alias("of"), F.col("block").alias("at"), "hashes")
         after = later.groupBy("first", "block").cogroup(against.groupBy("of", "at")).applyInArrow(_unlike(least), kinds + ", block int, blocks int")
-        after = written(after, "later")
+        after = written(after, "later", size=held)
         if k:
             discard(left)
         left = after
@@ -586,7 +590,7 @@ def groups(docs: DataFrame, size: int, similarity: float, recall: float) -> tupl
 
 
 def survivors(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.96, block_rows: int = 512, block_bytes: int = 1 << 22
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.93, block_rows: int = 512, block_bytes: int = 1 << 22
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
@@ -603,16 +607,17 @@ def survivors(
     """
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
-    keys, found, rows = groups(keyed, size, similarity, recall)
-    members = written(found.select("node", F.col("root").alias("first")), "members", rows)
-    texts = keyed.select(F.col("_key").alias("key"), _uid("_key").alias("node"), F.col("_text").alias("text"))
-    crowd = texts.join(members, "node").select("key", "first", "text")
-    crowd = crowd.mapInArrow(_hashed(size), "key struct<id:bigint,h:bigint>, first bigint, hashes binary").dropDuplicates(["key"])
-    gone = _dropped(written(crowd, "crowd"), similarity, block_rows, block_bytes)
-    again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    marks = gone.select("key", F.lit(True).alias("drop")).unionByName(again.select("key", F.lit(False).alias("drop")))
-    marks = written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks", rows)
-    told = keyed.join(marks, keyed._key == marks.key, "left")
+    with scratch():
+        keys, found, rows = groups(keyed, size, similarity, recall)
+        members = written(found.select("node", F.col("root").alias("first")), "members", rows)
+        texts = keyed.select(F.col("_key").alias("key"), _uid("_key").alias("node"), F.col("_text").alias("text"))
+        crowd = texts.join(sent(members, members.count()), "node").select("key", "first", "text")
+        crowd = crowd.mapInArrow(_hashed(size), "key struct<id:bigint,h:bigint>, first bigint, hashes binary").dropDuplicates(["key"])
+        gone = _dropped(written(crowd, "crowd"), similarity, block_rows, block_bytes)
+        again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        marks = gone.select("key", F.lit(True).alias("drop")).unionByName(again.select("key", F.lit(False).alias("drop")))
+        marks = keep(written(marks.groupBy("key").agg(F.max("drop").alias("drop")), "marks", rows))
+    told = keyed.join(sent(marks, marks.count()), keyed._key == marks.key, "left")
     single = told.where("drop IS NULL").select("_row.*")
     return single.unionByName(told.where("NOT drop").dropDuplicates(["_key"]).select("_row.*"))
 
@@ -620,8 +625,9 @@ def survivors(
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, agree: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, size), "prints")
-    # as a table of its own, so that the join below is one that adaptive execution can split
-    found = written(clusters(prints, radius, agree).select("fp", "component_id"), "clusters", prints.count())
+    with scratch():
+        # as a table of its own, so that the join below is one that adaptive execution can split
+        found = keep(written(clusters(prints, radius, agree).select("fp", "component_id"), "clusters", prints.count()))
     return prints.join(found, "fp").select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

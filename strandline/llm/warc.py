@@ -42,7 +42,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import discard, files_for, shared_dir, written
+from strandline.llm.common import files_for, scratch, shared_dir, written
 
 MIN_REVISIT = 1000
 #: At most so many shards, whose bounds every task knows (about 50 bytes each).
@@ -240,32 +240,32 @@ def _shard_of(first: list):
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int | None = None, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archives of ``pages`` in ``folder``; returns the manifest, a row per file."""
     spark = pages.sparkSession
-    small = written(_decided(pages), "pages")
-    rows = small.count()
-    each = small.groupBy("page_id", "digest", "size").agg(F.count("*").alias("n"))
-    top = each.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("top"))
-    each = each.join(top, "digest", "left")
-    again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    each = each.select(
-        "page_id", "digest", "n", F.when(again, "revisit").otherwise("response").alias("kind"),
-        F.when(again, F.col("top")).alias("refers_to"), (F.when(again, 0).otherwise(F.col("size")) + 600).alias("cost"),
-    )
-    each, first, shards = _sharded(each, rows, shard_bytes)
-    discard(small)
-    lean = each.select(
-        "shard", "page_id", "digest", F.lit(0).alias("row"), "kind", "refers_to",
-        F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
-    )
-    html = F.coalesce(F.col("html"), F.lit(""))
-    full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha2(html, 256)).alias("digest"))
-    full = full.select(
-        _shard_of(first)("page_id", "digest").alias("shard"), "page_id", "digest", F.lit(1).alias("row"),
-        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html",
-    )
-    parts = lean.unionByName(full).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "row", "url")
-    made = written(parts.withColumn("shard", F.col("shard").cast("long")).mapInArrow(_write_shards(folder, roll_bytes, date), _FILE), "warc-files", shards)
-    done = made.repartition(max(1, made.count())).mapInArrow(_commit(folder), _FILE)
-    done.drop("temporary").write.parquet(f"{folder}/manifest")
+    with scratch():
+        small = written(_decided(pages), "pages")
+        rows = small.count()
+        each = small.groupBy("page_id", "digest", "size").agg(F.count("*").alias("n"))
+        top = each.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("top"))
+        each = each.join(top, "digest", "left")
+        again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+        each = each.select(
+            "page_id", "digest", "n", F.when(again, "revisit").otherwise("response").alias("kind"),
+            F.when(again, F.col("top")).alias("refers_to"), (F.when(again, 0).otherwise(F.col("size")) + 600).alias("cost"),
+        )
+        each, first, shards = _sharded(each, rows, shard_bytes)
+        lean = each.select(
+            "shard", "page_id", "digest", F.lit(0).alias("row"), "kind", "refers_to",
+            F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
+        )
+        html = F.coalesce(F.col("html"), F.lit(""))
+        full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha2(html, 256)).alias("digest"))
+        full = full.select(
+            _shard_of(first)("page_id", "digest").alias("shard"), "page_id", "digest", F.lit(1).alias("row"),
+            F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html",
+        )
+        parts = lean.unionByName(full).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "row", "url")
+        made = written(parts.withColumn("shard", F.col("shard").cast("long")).mapInArrow(_write_shards(folder, roll_bytes, date), _FILE), "warc-files", shards)
+        done = made.repartition(max(1, made.count())).mapInArrow(_commit(folder), _FILE)
+        done.drop("temporary").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 

@@ -82,10 +82,12 @@ def run(
     With ``tolerance`` 0 exactly ``rounds`` are made.
     """
     folded = written(classes(candidates).repartition("read_id"), "classes")
-    few = genes.count() <= BROADCAST_GENES
-    state = start(genes)
+    # what does not change comes from here in every round, so a round has its predecessor in its plan once, not twice
+    base = written(start(genes), "genes")
+    few = base.count() <= BROADCAST_GENES
+    state = base
     for i in range(1, rounds + 1):
-        new = m_step(e_step(folded, F.broadcast(state) if few else state, similar), state, reads_each)
+        new = m_step(e_step(folded, F.broadcast(state) if few else state, similar), base, reads_each)
         if smooth_every and i % smooth_every == 0:
             new = smooth(new)
         if i % cut_every == 0:

@@ -15,6 +15,7 @@ from strandline.functions import genes as G
 from strandline.functions import sequence as Q
 from strandline.functions.scoring import fragment_length
 from strandline.operators import alleles, classify, coverage, em, kmers, taxonomy
+from strandline.sources import sinks
 from strandline.sources.tables import Config
 from strandline.storage import written
 
@@ -25,13 +26,30 @@ class Detector(Protocol):
     def __call__(self, reads: DataFrame) -> dict[str, DataFrame]: ...
 
 
+class Pipeline:
+    """UX13: the base of the analyses; a subclass returns its result tables by name from ``__call__``."""
+
+    config: Config = Config()
+
+    def __call__(self, reads: DataFrame) -> dict[str, DataFrame]:
+        raise NotImplementedError
+
+    def write(self, reads: DataFrame, path: str) -> list[str]:
+        """Every result table as Parquet in a folder of its name; the names."""
+        self.config.checked()
+        results = self(reads)
+        for name, rows in results.items():
+            sinks.parquet(rows, f"{path}/{name}")
+        return list(results)
+
+
 def frames_of(reads: DataFrame, config: Config) -> DataFrame:
     """Open stretches of all six frames of (read_id, seq): (read_id, frame, start, peptide)."""
     return Q.six_frames(reads.select("read_id", "seq"), "seq", config.min_length)
 
 
 @dataclass
-class GeneQuantification:
+class GeneQuantification(Pipeline):
     """Reads against resistance proteins: hits, coverage, abundance with expectation-maximisation, and summaries.
 
     ``proteins`` is (protein_id, protein, gene_name, drug_class).  Reads are
@@ -87,7 +105,7 @@ class GeneQuantification:
 
 
 @dataclass
-class MutationScan:
+class MutationScan(Pipeline):
     """Reads against target proteins and known mutations: matches, allele frequencies, calls and a reading.
 
     ``proteins`` is (protein_id, protein, species, gene), ``known`` (species, gene, pos, wild, mutant, row).
@@ -131,7 +149,7 @@ def build_index(genomes: DataFrame, tree: DataFrame, k: int) -> DataFrame:
 
 
 @dataclass
-class Profile:
+class Profile(Pipeline):
     """Reads against a k-mer index: votes, verdicts, counts, lineages and diversity."""
 
     index: DataFrame

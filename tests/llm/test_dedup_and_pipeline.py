@@ -331,6 +331,68 @@ def test_pipeline(spark, odd, empty):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage on all that its predecessor kept of the smallest documents."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from strandline.llm import quality_rules
+    from tests.llm.test_small_operators import brute_quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stages = dict(pipeline.STAGES)
+
+    def after(name, rows):
+        return [r.asDict() for r in stages[name](spark, spark.createDataFrame(rows, docs.schema), "").collect()]
+
+    rows = [r.asDict() for r in docs.collect()]
+    kept = after("quality_rules", rows)
+    ids = {r["doc_id"] for r in kept}
+    for r in rows:
+        n, _, _, _, again = brute_quality(r["text"])
+        assert r["doc_id"] not in ids or (n >= 50 and 100 * again <= 50 * n)
+    verdicts = {r.doc_id: r.kept for r in quality_rules.apply(docs).collect()}
+    assert ids == {i for i, k in verdicts.items() if k}
+
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    rows, best = kept, {}
+    for r in rows:
+        best[lower(r["text"])] = max(r["doc_id"], best.get(lower(r["text"]), -1))
+    kept = after("exact_dedup", rows)
+    assert {r["doc_id"] for r in kept} == set(best.values()) and len(kept) == len(best)
+
+    rows = sorted(kept, key=lambda r: r["doc_id"])
+    sets = {r["doc_id"]: set(simhash.shingle_hashes((r["text"] or "").encode(), 5)) for r in rows}
+    want: list[int] = []
+    for r in rows:
+        own = sets[r["doc_id"]]
+        if not any(len(own & sets[i]) >= 0.8 * len(own | sets[i]) for i in want):
+            want.append(r["doc_id"])
+    kept = after("near_dedup", rows)
+    assert sorted(r["doc_id"] for r in kept) == want and len(want) < len(rows)
+
+    rows = kept
+    kept = after("suffix_dedup", rows)
+    told = brute_repeats([(r["text"] or "").encode() for r in rows])
+    assert sum(t[1] for t in told) > 0
+    got = {r["doc_id"]: r for r in kept}
+    for r, (_, removed, _, digest) in zip(rows, told, strict=True):
+        left = got[r["doc_id"]]["text"]
+        assert removed or left == (r["text"] or "")
+        assert got[r["doc_id"]]["n_chars"] == len(left)
+        if (r["text"] or "").isascii():
+            assert hashlib.sha256(left.encode()).hexdigest() == digest
+
+    packed = stages["packing"](spark, spark.createDataFrame(kept, docs.schema), "").collect()
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = collections.Counter()
+    for p in packed:
+        lengths[p.doc_id] += p.length
+    assert lengths == {r["doc_id"]: len(slow.encode(r["text"], add_special_tokens=False).ids) + 1 for r in kept}
+
+
 def test_n_chars_follow(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(1, "x" * 300, "en", None, 300), (2, "abc", None, "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -88,7 +88,7 @@ def test_unknown_mutations_in_the_region_are_told(spark, targets):
     assert (r.known, r.qrdr, r.confidence) == (0, 6, 0.40)
 
 
-def test_profile(spark):
+def test_profile(spark, tmp_path):
     rng = random.Random(3)
     seq = {i: "".join(rng.choice("ACGT") for _ in range(400)) for i in (4, 5)}
     shared = "".join(rng.choice("ACGT") for _ in range(200))
@@ -102,3 +102,5 @@ def test_profile(spark):
     assert {r.id: r.n for r in out["lineages"].collect()} == {1: 3, 3: 3, 4: 1, 5: 1}
     assert out["diversity"].head().richness == 3
     assert out["counts"].agg(F.sum("n")).head()[0] == 3
+    names = pipelines.Profile(index, taxa, tree, Config(kmer=21)).write(reads, str(tmp_path / "out"))
+    assert names == ["calls", "counts", "lineages", "diversity"] and spark.read.parquet(str(tmp_path / "out" / "calls")).count() == 3
