@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import components, simhash, suffix_dedup
+from strandline.llm import common, components, simhash, suffix_dedup
 from tests.llm.conftest import odd_rows, words
 
 # SimHash
@@ -154,6 +154,15 @@ def test_near_duplicates_of_chains(spark, options):
         assert kept == set(want)
 
 
+def test_near_duplicates_beyond_the_broadcast_limit(spark, odd, empty, monkeypatch):
+    """Members, marks and hot buckets too many to be sent are joined by a shuffle, with the same result."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(simhash.F, "broadcast", None)
+    test_near_duplicate_stage(spark, odd, empty)
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (3,))
+    test_near_duplicates_of_chains(spark, {})
+
+
 def test_near_duplicates_found_from_a_similarity_of_0_8(spark):
     """Of pairs from 0.80 on, brute force tells how similar, nine in ten and more are found."""
     rng = random.Random(31)
@@ -216,6 +225,14 @@ def test_suffix_dedup(spark, hot, pack):
     assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts])))
 
 
+@pytest.mark.parametrize(("hot", "pack"), [(20_000, 1 << 23), (2, 3000)])
+def test_suffix_dedup_beyond_the_broadcast_limit(spark, monkeypatch, hot, pack):
+    """Verdicts and masks too large to be sent are joined by a shuffle, with the same result."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(suffix_dedup.F, "broadcast", None)
+    test_suffix_dedup(spark, hot, pack)
+
+
 def test_suffix_dedup_of_odd_tables(spark, odd, empty):
     docs = odd.where("text IS NULL OR length(text) < 20000")
     rows = docs.collect()
