@@ -409,7 +409,7 @@ def co_occurring_nodes(spark, sf):
     m AS (SELECT a.pair_id, a.genome, abs(b.place - a.place) + greatest(a.n, b.n) AS insert, (a.identity + b.identity) / 2 AS i FROM p a JOIN p b ON a.pair_id = b.pair_id AND a.genome = b.genome AND a.l_linenumber = 1 AND b.l_linenumber = 2),
     s AS (SELECT *, insert BETWEEN 100 AND 1000 AS concordant, i * CASE WHEN insert BETWEEN 100 AND 1000 THEN 1.5 ELSE 1.0 END AS score FROM m),
     o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, genome) AS r FROM s) WHERE r = 1)
-    SELECT genome, count(*) FILTER (WHERE concordant) AS concordant, count(*) FILTER (WHERE NOT concordant) AS discordant, round(sum(score * CASE WHEN concordant THEN 1.5 ELSE 0.7 END), 4) AS score FROM o GROUP BY genome""",
+    SELECT genome, count(*) FILTER (WHERE concordant) AS concordant, count(*) FILTER (WHERE NOT concordant) AS discordant, round(sum(score * CASE WHEN concordant THEN 1.5 ELSE 0.7 END), 6) AS score FROM o GROUP BY genome""",
 )
 def placed_pairs(spark, sf):
     """RM25: mates placed on one genome, concordant by their insert."""
@@ -418,7 +418,7 @@ def placed_pairs(spark, sf):
         (1 - F.col("l_discount")).alias("identity"), (F.lit(50) + F.col("l_quantity").cast("int")).alias("n"),
     )
     out = classify.placement_profile(classify.pair_placements(p))
-    return out.select("genome", "concordant", "discordant", F.round("score", 4).alias("score"))
+    return out.select("genome", "concordant", "discordant", F.round("score", 6).alias("score"))
 
 
 @query(
