@@ -10,8 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, cotraining, exact_dedup, mixture_lid, packing, quality_rules, simhash, suffix_dedup, url_filter, warc
-from strandline.llm.common import table
+from strandline.llm import (
+    bpe, cotraining, exact_dedup, mixing, mixture_lid, packing, periodic, quality_rules, search, simhash, suffix_dedup, url_filter, warc,
+)
+from strandline.llm.common import SPACE_CLASS, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +88,41 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, _token_digests, columns)
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the contract's repeats: in one text of ten, by its id's CRC-32, the words from some word on repeat."""
+    words = F.filter(F.split("text", f"{SPACE_CLASS}+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    some = some.select("doc_id", "text", F.when(F.col("h") % 10 == 0, words).alias("w"), F.expr("h div 10").alias("g"))
+    some = some.withColumn("n", F.when(F.size("w") > 0, F.size("w"))).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    some = some.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.element_at("w", F.col("a") + i % F.col("p") + 1))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return some.select("doc_id", F.when(F.col("n").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    out = found.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("b"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return out.select(
+        "doc_id", "n_words", "n_runs", (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.expr("(1000 * b.length) div (-b.period)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_cotraining": op1_cotraining,
@@ -98,6 +135,9 @@ def queries() -> dict[str, Query]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_mixing": op12_mixing,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -188,5 +228,63 @@ FROM m
 """
 
 
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS words, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM d GROUP BY source
+), t AS (
+  SELECT *, row_number() OVER (ORDER BY words / weight, source NULLS LAST) AS i FROM s
+), p AS (
+  SELECT *, 1.5::DOUBLE * (sum(words) OVER ())::DOUBLE - 2 * (coalesce(sum(words) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 0) - words)::DOUBLE AS remains,
+         sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS parts FROM t
+), level AS (
+  SELECT remains, parts FROM p WHERE weight * remains / parts <= 2 * words ORDER BY i LIMIT 1
+), g AS (
+  SELECT source, words, least(2 * words, weight * level.remains / level.parts) AS target,
+         ('0x' || substr(md5('0' || CASE WHEN source IS NULL THEN '-' ELSE '+' END || coalesce(source, '')), 1, 15))::BIGINT % greatest(words, 1) AS shift
+  FROM p, level
+), r AS (
+  SELECT doc_id, d.source, size, words, target, shift,
+         row_number() OVER (PARTITION BY d.source ORDER BY size DESC, md5(doc_id::VARCHAR)) - 1 AS k
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), c AS (
+  SELECT *, CASE WHEN words > 0 THEN (((k + 1)::HUGEINT * floor(target)::HUGEINT + shift) // words - (k::HUGEINT * floor(target)::HUGEINT + shift) // words)::BIGINT ELSE 0 END AS copies
+  FROM r
+)
+SELECT doc_id, size, words AS source_size, target, copies, copies * size AS taken FROM c
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), n AS (
+  SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), o AS (
+  SELECT doc_id, term, length, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term, length
+), f AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM o, n GROUP BY term, docs
+), p AS (
+  SELECT doc_id, o.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * length * docs) // words))) AS part FROM o JOIN f ON o.term = f.term, n
+), s AS (
+  SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM q JOIN p ON q.term = p.term GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3, "op5_warc": _OP5, "op6_exact_dedup": _OP6, "op9_quality_rules": _OP9}
+    return {
+        "op3_url_filter": _OP3, "op5_warc": _OP5, "op6_exact_dedup": _OP6, "op9_quality_rules": _OP9,
+        "op12_mixing": _OP12, "op13_lexical_search": _OP13,
+    }
