@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.alignment import seed_extension
 from strandline.functions.sequence import kmer_array, kmers
+from strandline.operators import bloom
 from strandline.storage import written
 
 
@@ -20,8 +22,10 @@ def counts(reads: DataFrame, seq: str, k: int) -> DataFrame:
     return kmers(reads.select(seq), seq, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-#: Reference k-mers up to this many are sent to every task; more are joined by a shuffle.
+#: Reference k-mers up to this many are sent to every task; of more a Bloom filter is sent.
 BROADCAST_KEYS = 1_000_000
+#: Pieces that a Bloom filter may have, each a pass over the reads; beyond that all k-mers are shuffled.
+PIECES = 8
 
 
 #: Tables under this size are dealt over all cores first: a small file may be a single split.
@@ -86,16 +90,55 @@ class _Known:
         return i[self.keys[at] == codes[i]]
 
 
-def packed_kmers(reads: DataFrame, key: str, seq: str, k: int, keys: np.ndarray | None = None) -> DataFrame:
-    """(key, kmer): each row's distinct valid k-mers as packed longs, only those among ``keys`` where they are given.
+def reverse_complements(codes: np.ndarray, k: int) -> np.ndarray:
+    """Packed reverse complements of packed k-mers: A and T, C and G are 3 apart, so bases turn by XOR."""
+    out, left = np.zeros_like(codes), codes.copy()
+    for _ in range(k):
+        out = out << 2 | (left & 3 ^ 3)
+        left >>= 2
+    return out
+
+
+def window_minima(at: np.ndarray, codes: np.ndarray, w: int, mask: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(start, minimizer) of every full window of ``w`` neighbouring k-mers and of each shorter run.
+
+    The least of a window is the one with the least code XOR ``mask``.
+    """
+    if not len(at):
+        return at, codes
+    first = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
+    ends = np.append(first[1:], len(at))
+    run = np.repeat(np.arange(len(first)), ends - first)
+    order = codes ^ mask
+    short = np.flatnonzero(ends - first < w)
+    low = order.copy()
+    have = 1  # low[i]: the least of the next ``have`` codes, wherever they are
+    while have < w:
+        step = min(have, w - have)
+        low[: len(low) - step] = np.minimum(low[: len(low) - step], low[step:])
+        have += step
+    full = np.flatnonzero(np.arange(len(at)) + w <= ends[run])
+    least = np.minimum.reduceat(order, first)[short]
+    start, value = np.concatenate([at[full], at[first[short]]]), np.concatenate([low[full], least])
+    by = np.argsort(start, kind="stable")
+    return start[by], value[by] ^ mask
+
+
+def packed_kmers(
+    reads: DataFrame, key: str, seq: str, k: int, known: np.ndarray | bloom.Piece | None = None, w: int = 1, both_strands: bool = False, mask: int = 0,
+) -> DataFrame:
+    """(key, kmer): each row's distinct valid k-mers as packed longs, only those among ``known`` where it is given.
 
     Packing runs over Arrow batches, several bases at a time for all reads of a
-    block: a window costs no string.  ``keys`` go to each executor once.
+    block: a window costs no string.  ``known``, the keys or a piece of a Bloom
+    filter, goes to each executor once.  With ``w`` above 1 only minimizers count;
+    with ``both_strands`` the reverse complements count too.
     """
-    shipped = None if keys is None else reads.sparkSession.sparkContext.broadcast(np.sort(keys))
+    shipped = None if known is None else reads.sparkSession.sparkContext.broadcast(np.sort(known) if isinstance(known, np.ndarray) else known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if shipped is None else _Known(shipped.value)
+        have = None if shipped is None else shipped.value
+        have = _Known(have) if isinstance(have, np.ndarray) else have
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
@@ -105,8 +148,12 @@ def packed_kmers(reads: DataFrame, key: str, seq: str, k: int, keys: np.ndarray
                 texts = [(t or "").encode() for t in batch.column(1).slice(start, stop - start).to_pylist()]
                 ends = np.cumsum([len(t) + 1 for t in texts])
                 at, codes = packed_windows(b" ".join(texts), k)
-                if known is not None:
-                    i = known.among(codes)
+                if w > 1:
+                    at, codes = window_minima(at, codes, w, mask)
+                if both_strands:
+                    at, codes = np.concatenate([at, at]), np.concatenate([codes, reverse_complements(codes, k)])
+                if have is not None:
+                    i = have.among(codes)
                     at, codes = at[i], codes[i]
                 row = np.searchsorted(ends, at, "right")
                 order = np.lexsort((codes, row))
@@ -119,37 +166,76 @@ def packed_kmers(reads: DataFrame, key: str, seq: str, k: int, keys: np.ndarray
     return reads.select(key, seq).mapInArrow(run, f"{key} {reads.schema[key].dataType.simpleString()}, kmer long")
 
 
-def _met(reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str | None, seq: str) -> tuple[DataFrame, DataFrame]:
+def may_meet(reads: DataFrame, known: DataFrame, key: str, seq: str, k: int, exact: int | None = None, w: int = 1, mask: int = 0) -> DataFrame:
+    """FLT01: (key, kmer) of the reads' k-mers that may be in ``known``, a written table of distinct packed k-mers.
+
+    Up to ``exact`` of them (8 MB for a million) are sent as they are; of more a
+    Bloom filter of ``bloom.BITS_PER_KEY`` bits each is sent, so what comes out is
+    the true hits and ``bloom.false_positive_rate`` of all others.  A filter of
+    several pieces is a pass over the reads for each; only where it would have more
+    than ``PIECES`` (134 million k-mers) do all k-mers come out.
+    """
+    exact = BROADCAST_KEYS if exact is None else exact
+    n = known.count()
+    if n <= exact:
+        keys = known.toArrow()["kmer"].to_numpy().astype(np.int64)
+        return packed_kmers(reads, key, seq, k, keys, w, mask=mask)
+    words = bloom.words_for(n)
+    if words * 8 > PIECES * bloom.PIECE_BYTES:
+        return packed_kmers(reads, key, seq, k, None, w, mask=mask)
+    table = written(bloom.build(known, words), "bloom")
+    passes = [packed_kmers(reads, key, seq, k, piece, w, mask=mask) for piece in bloom.pieces(table, words)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _met(
+    reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str | None, seq: str,
+    exact: int | None = None, w: int = 1, both_strands: bool = False, mask: int = 0,
+) -> tuple[DataFrame, DataFrame]:
     """Reads' distinct k-mers that the reference may have, and the reference's."""
     own = [ref_id] if ref_id else []
     key = ref_id or reference.columns[0]
-    b = written(packed_kmers(reference.select(key, seq), key, seq, k).select("kmer", *own).distinct(), "reference-kmers")
-    known = b.select("kmer").distinct()
-    keys = None
-    if known.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:  # at most 8 MB
-        keys = known.toArrow()["kmer"].to_numpy().astype(np.int64)
-    return packed_kmers(_spread(reads.select(read_id, seq)), read_id, seq, k, keys), b
+    packed = packed_kmers(reference.select(key, seq), key, seq, k, None, w, both_strands, mask)
+    b = written(packed.select("kmer", *own).distinct(), "reference-kmers")
+    known = written(b.select("kmer").distinct(), "known-kmers") if own else b
+    return may_meet(_spread(reads.select(read_id, seq)), known, read_id, seq, k, exact, w, mask), b
 
 
-def matches(reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str, seq: str = "seq", least: int = 1) -> DataFrame:
+def matches(
+    reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str, seq: str = "seq", least: int = 1, exact: int | None = None,
+) -> DataFrame:
     """JN01: (read, reference) with the number of distinct k-mers they share, at least ``least``; k up to 31.
 
-    The reference's k-mers are counted first; up to a million are sent to all
-    tasks and reads are screened where they are packed, so that only k-mers the
-    reference has are ever shuffled.  A larger reference is joined by a shuffle.
+    The reference's k-mers are counted first.  Up to ``exact`` (a million) are
+    sent to all tasks, of more a Bloom filter, and reads are screened where they
+    are packed, so that only k-mers the reference has, or that the filter lets
+    through, are ever shuffled; the join is exact either way.
     """
-    a, b = _met(reads, reference, k, read_id, ref_id, seq)
+    a, b = _met(reads, reference, k, read_id, ref_id, seq, exact)
     met = a.join(b, "kmer").distinct()
     return met.groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def screen(reads: DataFrame, reference: DataFrame, k: int, read_id: str, seq: str = "seq", least: int = 3) -> DataFrame:
-    """FLT02: reads with at least ``least`` distinct k-mers of the reference, k up to 31; exact, so there are no false positives."""
-    a, b = _met(reads, reference, k, read_id, None, seq)
+def screen(
+    reads: DataFrame, reference: DataFrame, k: int, read_id: str, seq: str = "seq", least: int = 3, exact: int | None = None, both_strands: bool = False,
+) -> DataFrame:
+    """FLT02: reads with at least ``least`` distinct k-mers of the reference, k up to 31; exact, so there are no false positives.
+
+    With ``both_strands`` a k-mer also counts where the reference has its reverse complement.
+    """
+    a, b = _met(reads, reference, k, read_id, None, seq, exact, both_strands=both_strands)
     hits = a.join(b, "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
     return hits.where(F.col("found") >= least)
 
 
+def minimizer_screen(
+    reads: DataFrame, reference: DataFrame, k: int, w: int, read_id: str, seq: str = "seq", exact: int | None = None, mask: int = 0,
+) -> DataFrame:
+    """FLT03: reads with any minimizer of the reference, and how many; the least k-mer of each ``w`` in a row, by code XOR ``mask``."""
+    a, b = _met(reads, reference, k, read_id, None, seq, exact, w, mask=mask)
+    return a.join(b, "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
+
+
 def specificity(index: DataFrame, *owners: str) -> DataFrame:
     """RM37: distinct owners of each k-mer."""
     return index.groupBy("kmer").agg(*(F.count_distinct(o).alias(f"n_{o}") for o in owners))

@@ -18,7 +18,7 @@ from strandline.functions import hashing as H
 from strandline.functions import scoring as S
 from strandline.functions import sequence as Q
 from strandline.operators import alleles, classify, coverage, graph, kmers, taxonomy
-from strandline.plans.catalog import _HITS, _PEPTIDES, _REF, genes, hits, query, reference, table
+from strandline.plans.catalog import _DNA, _HITS, _PEPTIDES, _REF, _kmers_sql, genes, hits, query, reads, reference, table
 from strandline.sources import fastq, sinks, synthetic, tables
 from strandline.storage import shared_folder
 from strandline.streaming import jobs
@@ -194,6 +194,58 @@ def checked_settings(spark, sf):
 
 # seeds and alignments
 
+# screens against a reference that is too large to send
+
+_SAID = f"""docs AS (SELECT doc_id, {_DNA} AS seq FROM documents),
+    said AS (SELECT 'b' || item_id AS id, {_DNA} AS seq FROM benchmark UNION ALL SELECT 'c' || conv_id || '.' || turn, {_DNA} FROM conversations)"""
+_TURNED = "reverse(translate(kmer, 'ACGT', 'TGCA'))"
+
+
+def _said(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items and turns of conversations as reads; all documents are their reference."""
+    items = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
+    turns = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), "text")
+    return items.unionByName(turns).select("id", Q.dna_of_text(F.col("text")).alias("seq"))
+
+
+@query(
+    "bloom_screen",
+    f"""WITH {_SAID}, b AS (SELECT DISTINCT kmer FROM ({_kmers_sql("docs", "doc_id", 15)})), r AS (SELECT kmer FROM b UNION SELECT {_TURNED} FROM b),
+    a AS (SELECT DISTINCT id, kmer FROM ({_kmers_sql("said", "id", 15)}))
+    SELECT id, count(*) AS found FROM a WHERE kmer IN (SELECT kmer FROM r) GROUP BY id HAVING count(*) >= 3""",
+)
+def bloom_screen(spark, sf):
+    """FLT01, FLT02: reads with three 15-mers of all documents on either strand, through a Bloom filter whatever their number."""
+    return kmers.screen(_said(spark, sf), reads(spark, sf), 15, "id", exact=0, both_strands=True)
+
+
+@query(
+    "bloom_matches",
+    f"""WITH {_SAID}, a AS (SELECT DISTINCT id, kmer FROM ({_kmers_sql("said", "id", 20)})), b AS (SELECT DISTINCT doc_id, kmer FROM ({_kmers_sql("docs", "doc_id", 20)}))
+    SELECT id, doc_id, count(*) AS shared FROM a JOIN b USING (kmer) GROUP BY ALL HAVING count(*) >= 2""",
+)
+def bloom_matches(spark, sf):
+    """FLT01, JN01: the reads and documents that share two 20-mers, through a Bloom filter."""
+    return kmers.matches(_said(spark, sf), reads(spark, sf), 20, "id", "doc_id", least=2, exact=0)
+
+
+def _minimizers_sql(source: str, key: str, k: int, w: int) -> str:
+    """Distinct (key, kmer): the first in order of every full window of ``w`` k-mers, and of sequences with fewer."""
+    over = f"PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING"
+    each = f"SELECT {key}, pos, min(kmer) OVER ({over}) AS kmer, count(*) OVER ({over}) AS n, count(*) OVER (PARTITION BY {key}) AS all_n FROM ({_kmers_sql(source, key, k)})"
+    return f"SELECT DISTINCT {key}, kmer FROM ({each}) WHERE n = {w} OR (all_n < {w} AND pos = 0)"
+
+
+@query(
+    "bloom_minimizers",
+    f"""WITH {_SAID}, b AS (SELECT DISTINCT kmer FROM ({_minimizers_sql("docs", "doc_id", 15, 10)})), a AS ({_minimizers_sql("said", "id", 15, 10)})
+    SELECT id, count(*) AS found FROM a WHERE kmer IN (SELECT kmer FROM b) GROUP BY id""",
+)
+def bloom_minimizers(spark, sf):
+    """FLT01, FLT03: reads with any minimizer of all documents, through a Bloom filter."""
+    return kmers.minimizer_screen(_said(spark, sf), reads(spark, sf), 15, 10, "id", exact=0)
+
+
 _FRAMES = _PEPTIDES + """, parts AS (SELECT item_id, CAST(frame AS INTEGER) AS frame, string_split(p, '*') AS ps FROM fr),
     st AS (SELECT item_id, frame, unnest(range(1, len(ps) + 1)) AS i, ps FROM parts), open AS (SELECT item_id AS read_id, frame, CAST(coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS start, ps[i] AS peptide FROM st WHERE length(ps[i]) >= 20),
     prot AS (SELECT read_id * 1000 + start AS protein_id, peptide AS protein FROM open WHERE frame = 2),
