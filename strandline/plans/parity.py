@@ -504,33 +504,48 @@ def _put(spark: SparkSession, lines: DataFrame, name: str) -> str:
     return path
 
 
-@query(
-    "fastq_round_trip",
-    f"WITH {_REF} SELECT item_id AS id, length(seq) AS n, md5(seq) AS seq, true AS same_name FROM ref WHERE length(seq) > 0",
-)
+def _fastq_files(records: DataFrame, name: str) -> str:
+    """Records (mate, id, header, seq, plus, qual) as text files ``mate=m/part=p`` of about 500, each in order of id."""
+    path, files = shared_folder(records.sparkSession, name), 2 + records.count() // 500
+    placed = records.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(files)))
+    text = F.concat_ws("\n", "header", "seq", "plus", "qual")
+    placed = placed.repartition("mate", "part").sortWithinPartitions("mate", "part", "id").select("mate", "part", text.alias("value"))
+    placed.write.partitionBy("mate", "part").text(path)
+    return path
+
+
+_READS = f"docs AS (SELECT doc_id, {_DNA} AS seq FROM documents)"
+
+
+@query("fastq_round_trip", f"WITH {_READS} SELECT doc_id AS id, length(seq) AS n, md5(seq) AS seq, true AS same_name FROM docs WHERE length(seq) > 0")
 def fastq_round_trip(spark, sf):
-    """SRC01, SRC02, SRC03, SRC05: reads written as records of two mates, scanned and joined by ordinal."""
-    r = reference(spark, sf).where(F.length("seq") > 0)
-    record = lambda mate, s: F.concat(F.lit("@"), F.col("item_id").cast("string"), F.lit(f"/{mate} x\n"), s, F.lit("\n+\n"), F.repeat(F.lit("I"), F.length(s)))
-    both = {1: F.col("seq"), 2: Q.reverse_complement(F.col("seq"))}
-    path = shared_folder(spark, "reads")
-    # a file of all records per mate, in order of id: the stand-in for one sample
-    text = r.agg(*(F.array_sort(F.collect_list(F.struct("item_id", record(m, s).alias("t")))).alias(f"m{m}") for m, s in both.items()))
-    each = text.select(F.explode(F.array(*(F.struct(F.lit(f"s_{m}.fastq").alias("name"), F.array_join(F.col(f"m{m}.t"), "\n").alias("value")) for m in both))).alias("f"))
-    sinks.named_files(each.select("f.*"), path)
-    p = fastq.pairs(fastq.scan(spark, f"{path}/s_1.fastq"), fastq.scan(spark, f"{path}/s_2.fastq"))
-    p = p.where(Q.reverse_complement(F.col("seq_2")) == F.col("seq_1"))
+    """SRC01, SRC02, SRC03, SRC05: all reads as records of two mates in several files, each scanned by several tasks, joined by file and ordinal."""
+    r = reads(spark, sf).where(F.length("seq") > 0)
+    mates = F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.col("seq")), F.struct(F.lit(2).alias("mate"), Q.reverse_complement(F.col("seq")).alias("seq")))).alias("m")
+    each = r.select("doc_id", mates).select(
+        "m.mate", F.col("doc_id").alias("id"), F.format_string("@%d/%d x", "doc_id", "m.mate").alias("header"), "m.seq", F.lit("+").alias("plus"),
+        F.translate("m.seq", "ACGT", "@+I#").alias("qual"),
+    )
+    path = _fastq_files(each, "reads")
+    one, two = (fastq.scan(spark, f"{path}/mate={m}", split=1 << 18) for m in (1, 2))
+    p = fastq.pairs(one, two, F.regexp_extract("file", r"part=(\d+)", 1)).where(Q.reverse_complement(F.col("seq_2")) == F.col("seq_1"))
     return p.select(fastq.read_name(F.col("header_1")).cast("long").alias("id"), F.length("seq_1").cast("long").alias("n"), F.md5("seq_1").alias("seq"), "same_name")
 
 
-@query("fastq_checks", "SELECT * FROM (VALUES ('good', true, 0), ('torn', true, 1), ('other', false, 1)) AS t(name, fastq, rejected)")
+@query(
+    "fastq_checks",
+    f"""WITH {_READS}, r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'header' WHEN doc_id % 7 = 2 THEN 'separator' WHEN doc_id % 7 = 3 THEN 'quality length' END AS reason FROM docs)
+    SELECT doc_id AS id, reason FROM r""",
+)
 def fastq_checks(spark, sf):
-    """SRC04: whether a file is FASTQ, and the records that are refused."""
-    texts = {"good": "@a\nAC\n+\nII", "torn": "@a\nAC\n+\nII\n@b\nAC", "other": ">a\nAC\n+\nII"}
-    path = shared_folder(spark, "checks")
-    sinks.named_files(spark.createDataFrame(list(texts.items()), "name string, value string"), path)
-    rows = [(n, fastq.is_fastq(f"{path}/{n}"), fastq.rejects(fastq.scan(spark, f"{path}/{n}")).count()) for n in texts]
-    return spark.createDataFrame(rows, "name string, fastq boolean, rejected int")
+    """SRC04: all reads as records, some broken by their id: what each is refused for."""
+    bad = F.col("doc_id") % 7
+    each = reads(spark, sf).select(
+        F.lit(1).alias("mate"), F.col("doc_id").alias("id"), F.concat(F.when(bad == 1, "r").otherwise("@"), F.col("doc_id").cast("string")).alias("header"), "seq",
+        F.when(bad == 2, "-").otherwise("+").alias("plus"), F.concat(F.repeat(F.lit("@"), F.length("seq")), F.when(bad == 3, "I").otherwise("")).alias("qual"),
+    )
+    path = _fastq_files(each, "checks")
+    return fastq.scan(spark, path, split=1 << 18).select(F.regexp_extract("header", r"(\d+)", 1).cast("long").alias("id"), "reason")
 
 
 @query("sample_sheets", "SELECT 's' || s_suppkey AS sample_name, '/data/' || s_suppkey || '_1.fq' AS r1, CASE WHEN s_suppkey % 2 = 0 THEN '/data/' || s_suppkey || '_2.fq' END AS r2, 'w' || s_nationkey AS ward FROM supplier")
