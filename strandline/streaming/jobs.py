@@ -37,15 +37,15 @@ def windowed(events: DataFrame, time: str, keys: list[str], width: str = "1 hour
     return out.select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
-def routed(jobs: DataFrame, max_retries: int = 3) -> DataFrame:
-    """SM03, SM04: failed jobs with a verdict (retry or dead) and the time of the next try.
+def routed(jobs: DataFrame, max_retries: int = 3, base: int = 60) -> DataFrame:
+    """SM03, SM04: failed jobs with a verdict (retry or dead) and the time of the next try, after ``base`` seconds the first time.
 
     Jitter comes from the job's id, so a repeated batch makes the same times.
     """
     kind = error_class(F.col("message"), F.col("code"))
     again = (kind != "permanent") & (F.col("retries") < max_retries)
     jitter = F.pmod(F.xxhash64("job_id", "retries"), F.lit(1000)) / 1000.0
-    delay = retry_delay(F.col("retries"), jitter)
+    delay = retry_delay(F.col("retries"), jitter, base)
     at = F.timestamp_micros(F.unix_micros("ts") + (delay * 1_000_000).cast("long"))
     return jobs.withColumn("kind", kind).withColumn("verdict", F.when(again, "retry").otherwise("dead")).withColumn("next_try", F.when(again, at))
 
@@ -83,18 +83,25 @@ def progress(updates: DataFrame) -> DataFrame:
     return updates.select("job_id", F.to_json(F.struct("stage", "progress", "message", at.alias("timestamp"))).alias("record"))
 
 
-def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], done: Sink, retry: Sink, dead: Sink, checkpoint: str) -> StreamingQuery:
-    """SM02, SM04, SNK25: ``work`` adds message and code to each job (code 0: success); failures go to retry or dead."""
+def run_jobs(
+    jobs: DataFrame, work: Callable[[DataFrame], DataFrame], done: Sink, retry: Sink, dead: Sink, checkpoint: str,
+    max_retries: int = 3, base: int = 60, trigger: dict | None = None,
+) -> StreamingQuery:
+    """SM02, SM04, SNK25: ``work`` adds message and code to each job (code 0: success); failures go to retry or dead.
+
+    ``state.due_again`` over what went to retry gives the jobs back when they are due.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         result = work(batch).persist()
         done(result.where("code = 0"), batch_id)
-        failed = routed(result.where("code <> 0"))
+        failed = routed(result.where("code <> 0"), max_retries, base)
         retry(failed.where("verdict = 'retry'"), batch_id)
         dead(failed.where("verdict = 'dead'"), batch_id)
         result.unpersist()
 
-    return jobs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    writer = jobs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 Detector = Callable[[DataFrame], DataFrame]
