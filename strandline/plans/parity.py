@@ -19,9 +19,9 @@ from strandline.functions import scoring as S
 from strandline.functions import sequence as Q
 from strandline.operators import alleles, classify, coverage, graph, kmers, taxonomy
 from strandline.plans.catalog import _DNA, _HITS, _PEPTIDES, _REF, _kmers_sql, genes, hits, query, reads, reference, table
-from strandline.sources import fastq, sinks, synthetic, tables
-from strandline.storage import shared_folder
-from strandline.streaming import jobs
+from strandline.sources import fastq, sinks, synthetic, tables, topics
+from strandline.storage import file_system, shared_folder
+from strandline.streaming import jobs, state
 
 # scalar functions
 
@@ -806,7 +806,7 @@ def sample_batch(spark, sf):
     """SELECT CASE WHEN event_type = 'error' THEN CASE WHEN user_id % 5 < 3 THEN 'retry' ELSE 'dead' END ELSE 'done' END AS place, count(*) AS n FROM events GROUP BY ALL""",
 )
 def job_loop(spark, sf):
-    """SM02, SM07, SM10, UX10, UX11, SNK24, SNK25: a stream of jobs, worked batch by batch into three folders."""
+    """SM02, SM07, SM10, UX10, UX11, SNK25: a stream of jobs, worked batch by batch into three folders."""
     e = table(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("job_id"), F.lit("s").alias("sample_id"), F.col("event_type").alias("stage"), F.lit(0.0).alias("progress"), F.lit("").alias("message"),
         F.lit(0).alias("code"), (F.col("user_id") % 5).cast("int").alias("retries"), F.col("ts").cast("timestamp").alias("ts"),
@@ -823,6 +823,108 @@ def job_loop(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+# streams with state
+
+
+def _finish(q, seconds: int = 600) -> None:
+    if not q.awaitTermination(seconds):
+        q.stop()
+        raise TimeoutError("the stream has not come to its end")
+
+
+@query(
+    "job_lives",
+    """WITH u AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_type AS stage, value AS progress, ts FROM events),
+    g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, stage) > 3600000000 AS new FROM u),
+    l AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, stage ROWS UNBOUNDED PRECEDING) AS life FROM g),
+    a AS (SELECT job_id, life, arg_max(stage, (ts, stage)) AS stage, count(*) AS updates, max(ts) AS last FROM l GROUP BY ALL)
+    SELECT job_id, stage, updates, epoch_us(last) AS last_us FROM a
+    WHERE life < (SELECT max(b.life) FROM l b WHERE b.job_id = a.job_id) OR epoch_ms(last) + 3600000 <= (SELECT max(epoch_ms(ts)) FROM events)""",
+)
+def job_lives(spark, sf):
+    """SM05: a stream of updates in four slices of time: each life of a job, forgotten after an hour without an update, with its last state."""
+    u = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), F.lit("").alias("message"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    first, last = u.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    base, out, width = shared_folder(spark, "lives"), [], ((last or 0) - (first or 0)) // 4 + 1
+    slices = u.withColumn("_slice", F.floor((F.unix_micros("ts") - F.lit(first or 0)) / width))
+    for n in range(4):
+        slices.where(F.col("_slice") == n).drop("_slice").write.parquet(f"{base}/in/n={n}")
+        live = state.job_lives(jobs.file_events(spark, f"{base}/in", u.schema, 1_000_000))
+        with state.rocks(spark):
+            sink = lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+            _finish(live.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start())
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("job_id", "stage", "updates", F.unix_micros("ts").alias("last_us"))
+
+
+@query(
+    "stream_coverage",
+    f"""WITH {_HITS}, s AS (SELECT gene_id, pos, sum(step) AS step FROM (SELECT gene_id, ref_start AS pos, 1 AS step FROM hits UNION ALL SELECT gene_id, ref_end, -1 FROM hits) GROUP BY ALL),
+    d AS (SELECT gene_id, sum(step) OVER (PARTITION BY gene_id ORDER BY pos) AS depth, lead(pos) OVER (PARTITION BY gene_id ORDER BY pos) - pos AS width FROM s),
+    c AS (SELECT gene_id, CAST(coalesce(sum(width) FILTER (depth > 0), 0) AS BIGINT) AS covered, CAST(coalesce(sum(depth * width), 0) AS BIGINT) AS bases, CAST(greatest(0, max(depth)) AS BIGINT) AS max_depth FROM d GROUP BY gene_id)
+    SELECT c.*, n AS hits FROM c JOIN (SELECT gene_id, count(*) AS n FROM hits GROUP BY gene_id) h ON c.gene_id = h.gene_id""",
+)
+def stream_coverage(spark, sf):
+    """SM06: hits that come in several batches: what each gene's coverage has grown to after the last."""
+    h = hits(spark, sf).select("gene_id", "ref_start", "ref_end")
+    base = shared_folder(spark, "growing")
+    h.repartition(3).write.parquet(f"{base}/in")
+    live = state.growing_coverage(jobs.file_events(spark, f"{base}/in", h.schema, 1))
+    with state.rocks(spark):
+        q = live.writeStream.outputMode("update").foreachBatch(jobs.to_folder(f"{base}/out")).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
+    _finish(q)
+    values = F.struct("hits", "covered", "bases", "max_depth")
+    return spark.read.parquet(f"{base}/out").groupBy("gene_id").agg(F.max_by(values, "batch").alias("s")).select("gene_id", "s.*")
+
+
+@query(
+    "retried_jobs",
+    "SELECT CAST(event_id AS VARCHAR) AS job_id, CASE WHEN user_id % 5 < 4 THEN 'done' ELSE 'dead' END AS place, CAST(least(user_id % 5, 3) AS INTEGER) AS retries FROM events",
+)
+def retried_jobs(spark, sf):
+    """SM03, SM04: jobs that fail up to four times, given back by timers until they succeed or have no try left."""
+    e = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("job_id"), F.concat("event_type", F.lit(":"), F.col("user_id") % 5).alias("sample_id"), F.lit("run").alias("stage"),
+        F.lit(0.0).alias("progress"), F.lit("").alias("message"), F.lit(0).alias("code"), F.lit(0).alias("retries"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    base = shared_folder(spark, "retries")
+    e.write.parquet(f"{base}/in/n=0")
+    failed = F.col("retries") < F.substring_index("sample_id", ":", -1).cast("int")
+    work = lambda b: b.withColumn("code", F.when(failed, 7).otherwise(0)).withColumn("message", F.when(failed, "Connection refused").otherwise("ok"))
+    sinks_ = [jobs.to_folder(f"{base}/{k}") for k in ("done", "retry", "dead")]
+    total, many = e.count(), 1_000_000
+    for turn in range(1, 20):
+        live = jobs.file_events(spark, f"{base}/in", e.schema, many)
+        _finish(jobs.run_jobs(live, work, *sinks_, f"{base}/c1", trigger={"availableNow": True}))
+        ended = [spark.read.parquet(f"{base}/{k}").select("job_id", F.lit(k).alias("place"), "retries") for k in ("done", "dead")]
+        if ended[0].count() + ended[1].count() >= total:
+            return ended[0].unionByName(ended[1])
+        waiting = spark.read.parquet(f"{base}/retry").drop("batch").schema
+        with state.rocks(spark):
+            back = state.due_again(jobs.file_events(spark, f"{base}/retry", waiting, many))
+            sink = lambda b, i: b.write.mode("overwrite").parquet(f"{base}/in/n={i + 1}")
+            _finish(back.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/c2").trigger(once=True).start())
+    raise RuntimeError("jobs are still waiting")
+
+
+@query("published_events", "SELECT event_id, user_id, event_type, value FROM events")
+def published_events(spark, sf):
+    """SNK24, SRC26: a stream published to a topic, its last batch once more after a crash, and read back: every event once."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    base = shared_folder(spark, "topic")
+    e.repartition(3).write.parquet(f"{base}/in")
+    send = lambda: _finish(topics.publish(jobs.file_events(spark, f"{base}/in", e.schema, 1), f"{base}/topic", "event_id", f"{base}/c", {"availableNow": True}))
+    send()
+    fs, commits = file_system(spark, f"{base}/c/commits")
+    last = max((f.getPath() for f in fs.listStatus(commits) if f.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    fs.delete(last, False)  # as if the driver had died before it noted the batch
+    send()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields)
+    return topics.consume(spark, f"{base}/topic", schema).drop("batch")
+
+
 @query("fanned_out", "SELECT 'clicks' AS detector, count(*) AS n FROM events WHERE event_type = 'click' UNION ALL SELECT 'all', count(*) FROM events")
 def fanned_out(spark, sf):
     """SM07, UX10: two detectors over the same batches, which are read once."""
