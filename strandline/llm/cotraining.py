@@ -38,13 +38,15 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import discard, sent, slices, written
 
 ROUNDS = 3
-STEPS = 5
+#: Newton steps after which a fit that has not met its tolerance is an error, and the most that one may move a coefficient.
+STEPS, LONGEST_STEP = 50, 4.0
 RIDGE = 1.0
 SURE_GOOD, SURE_BAD = 0.98, 0.02
 #: Weight of a pseudo-label beside a label's 1, before the bound on their sum.
@@ -167,8 +169,17 @@ class Rows:
         return target.astype(np.int64), known, sure
 
 
+#: Tasks whose sums may meet in one group; more are added up in so many groups first.
+MEET = 256
+
+
 def _summed(table: DataFrame, size: int, gather: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """``gather(batch)``, ``size`` numbers, summed over a table; each task sends blocks of them, which are summed where they meet."""
+    """``gather(batch)``, ``size`` numbers, summed over a table.
+
+    Each task sends its sums in blocks of 8 KB.  Where more than ``MEET`` tasks
+    send them, a block's copies are added up in ``MEET`` groups before those sums
+    meet, so no group holds more than tasks / ``MEET`` copies, or ``MEET``.
+    """
     block = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +188,18 @@ def _summed(table: DataFrame, size: int, gather: Callable[[pa.RecordBatch], np.n
             total[:size] += gather(batch).ravel()
         rows = total.reshape(-1, block)
         i = np.nonzero(rows.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array([rows[k].tobytes() for k in i.tolist()], pa.binary())], ["i", "v"])
+        of = pa.array([TaskContext.get().partitionId() % MEET] * len(i), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), of, pa.array([rows[k].tobytes() for k in i.tolist()], pa.binary())], ["i", "of", "v"])
 
     def add(part: pa.Table) -> pa.Table:
         v = np.frombuffer(b"".join(part["v"].to_pylist()), "<f8").reshape(-1, block).sum(axis=0)
-        return pa.table({"i": part["i"].slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+        return part.slice(0, 1).set_column(2, "v", pa.array([v.tobytes()], pa.binary()))
 
-    got = table.mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(add, "i int, v binary").toArrow()
+    kinds = "i int, of int, v binary"
+    sums = table.mapInArrow(run, kinds)
+    if table.rdd.getNumPartitions() > MEET:
+        sums = sums.groupBy("i", "of").applyInArrow(add, kinds)
+    got = sums.groupBy("i").applyInArrow(add, kinds).toArrow()
     out = np.zeros((-(-size // block), block))
     for i, v in zip(got["i"].to_pylist(), got["v"].to_pylist(), strict=True):
         out[i] = np.frombuffer(v, "<f8")
@@ -237,7 +253,8 @@ def text_view(table: DataFrame, odds: np.ndarray) -> DataFrame:
 
 
 def _step(w: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(curve + RIDGE * np.eye(len(w)), slope - RIDGE * w)
+    step = np.linalg.solve(curve + RIDGE * np.eye(len(w)), slope - RIDGE * w)
+    return step * min(1.0, LONGEST_STEP / max(np.abs(step).max(), LONGEST_STEP))
 
 
 def fit_text(seen: DataFrame, start: np.ndarray, meta_z: np.ndarray | None) -> np.ndarray:
@@ -262,8 +279,8 @@ def fit_text(seen: DataFrame, start: np.ndarray, meta_z: np.ndarray | None) -> n
         step = _step(w, total[0, :dim], total[1:, :dim])
         w = w + step
         if np.abs(step).max() < 1e-3:
-            break
-    return w
+            return w
+    raise RuntimeError("the text view's fit does not settle")
 
 
 def fit_meta(seen: DataFrame, text: np.ndarray | None) -> np.ndarray:
@@ -287,8 +304,8 @@ def fit_meta(seen: DataFrame, text: np.ndarray | None) -> np.ndarray:
         step = _step(w, x.T @ (good[at] - n * p), (x * (n * p * (1 - p))[:, None]).T @ x)
         w = w + step
         if np.abs(step).max() < 1e-3:
-            break
-    return meta_matrix(np.arange(METAS)) @ w
+            return meta_matrix(np.arange(METAS)) @ w
+    raise RuntimeError("the metadata view's fit does not settle")
 
 
 def _scores(seen: DataFrame, text: np.ndarray, meta_z: np.ndarray) -> DataFrame:

@@ -200,12 +200,13 @@ def probe(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 def groups(docs: DataFrame, is_history: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(digest, doc_id, n) of every row, and the groups found through the index.
 
-    ``is_history`` tells which rows are already published; by default those
-    whose id has an even CRC-32, so that one table plays both parts.
+    ``is_history`` tells which rows are already published, a null that a row is
+    not; by default those whose id has an even CRC-32, so that one table plays
+    both parts.
     """
     if is_history is None:
         is_history = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), is_history.alias("old"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.coalesce(is_history, F.lit(False)).alias("old"))
     total = docs.count()
     rows = written(rows.groupBy("digest", "doc_id", "old").agg(F.count("*").alias("n")), "digests", total)
     old, new = grouped(rows.where("old")), grouped(rows.where("NOT old"))

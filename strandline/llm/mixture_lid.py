@@ -37,7 +37,8 @@ from strandline.llm.common import slices
 
 BINS = 1 << 16
 SMOOTHING = 0.5
-ROUNDS = 15
+#: Rounds after which a document whose proportions still move by 0.001 and more a round is taken as it is.
+ROUNDS = 200
 UNKNOWN = "und"
 #: A model of so many languages takes 256 MB in each worker.
 MAX_LANGUAGES = 1024

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -528,47 +529,58 @@ def _unlike(least: float):
     return run
 
 
-def _blocks(crowd: DataFrame, rows: int, size: int) -> DataFrame:
-    """``crowd`` with ``block``, its row's part of the component, and ``blocks``, their number.
+#: Blocks may grow to so many times the rows and bytes of a small component.
+MOST_LOAD = 32
+
+
+def _blocks(crowd: DataFrame, rows: int, size: int, turn: int) -> DataFrame:
+    """``crowd`` with ``block``, its row's part of the component in this turn, and ``blocks``, their number.
 
     A component of up to ``rows`` rows and ``size`` bytes is one block; blocks
-    grow with the square root of a component of more than eight.
+    grow with the square root of a component of more than eight, up to
+    ``MOST_LOAD`` such blocks.  A block is a random part of its component.
     """
     load = F.greatest(F.count("*") / rows, F.sum(F.length("hashes")) / size)
-    sizes = crowd.groupBy("first").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.lit(1.0), F.least(load, F.sqrt(8 * load)))).cast("int").alias("blocks")).where("n > 1").drop("n")
-    sizes = written(sizes, "block-counts", crowd.count())
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    return crowd.join(sizes, "first").select("key", "first", "hashes", block.alias("block"), "blocks")
+    blocks = F.greatest(F.lit(1.0), load / MOST_LOAD, F.least(load, F.sqrt(8 * load)))
+    sizes = crowd.groupBy("first").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).cast("int")
+    return crowd.join(sizes, "first").select("key", "first", "hashes", block.alias("block"))
 
 
 def _dropped(crowd: DataFrame, least: float, rows: int, size: int) -> DataFrame:
     """(key, first, hashes) -> (key) of the rows that are like a row of their component that stays.
 
-    Rows are taken block by block and in order of key within a block.  Each
-    round settles one block of every component and takes from the later blocks
-    what is like its survivors, so no task ever holds more than two blocks.
+    Each turn settles one block of every component, in order of key, takes from
+    the others what is like the block's survivors, and parts what is left into
+    blocks anew.  The block is a random part of what is left, so of a group of
+    like rows that is large beside it some row is in it and takes all the others:
+    the turns of a component of near copies do not grow with it, and only one of
+    rows that are no copies after all takes a turn for each of its blocks.  No
+    task ever holds more than two blocks.
     """
-    held = crowd.agg(F.sum(F.length("hashes") + 32)).head()[0] or 0
-    left = written(_blocks(crowd, rows, size), "blocks", size=held)
-    all_keys, stay = left.select("key"), None
+    crowd = crowd.join(crowd.groupBy("first").count().where(F.col("count") > 1).select("first"), "first").select("key", "first", "hashes")
+    left = start = written(crowd, "several")
+    held, turn = left.agg(F.sum(F.length("hashes") + 32)).head()[0] or 0, 0
     kinds = "key struct<id:bigint,h:bigint>, first bigint, hashes binary"
-    rounds = left.agg(F.max("blocks")).head()[0] or 0
-    for k in range(rounds):
-        now = left.where(F.col("block") == k).select("key", "first", "hashes", "blocks")
-        done = now.select("key", "first", "hashes").groupBy("first").applyInArrow(_settled(least), kinds + ", stays boolean")
+    stay: list[DataFrame] = []
+    while held:
+        dealt = written(_blocks(left, rows, size, turn), "blocks", size=held)
+        done = dealt.where("block = 0").select("key", "first", "hashes").groupBy("first").applyInArrow(_settled(least), kinds + ", stays boolean")
         done = written(done.where("stays").drop("stays"), "settled", size=held)
-        stay = done.select("key") if stay is None else stay.unionByName(done.select("key"))
-        if k + 1 == rounds:
-            break
-        later = left.where(F.col("block") > k)
-        counts = later.select("first", "block").distinct()
-        against = done.join(counts, "first").select(F.col("first").alias("of"), F.col("block").alias("at"), "hashes")
-        after = later.groupBy("first", "block").cogroup(against.groupBy("of", "at")).applyInArrow(_unlike(least), kinds + ", block int, blocks int")
-        after = written(after, "later", size=held)
-        if k:
+        stay.append(done.select("key"))
+        if len(stay) == 8:
+            stay = [written(reduce(DataFrame.unionByName, stay), "stay")]
+        later = dealt.where("block > 0")
+        against = done.join(later.select("first", "block").distinct(), "first").select(F.col("first").alias("of"), F.col("block").alias("at"), "hashes")
+        after = later.groupBy("first", "block").cogroup(against.groupBy("of", "at")).applyInArrow(_unlike(least), kinds + ", block int")
+        after = written(after.drop("block"), "later", size=held)
+        discard(dealt)
+        if turn:
             discard(left)
-        left = after
-    return all_keys.limit(0) if stay is None else all_keys.join(stay, "key", "left_anti")
+        left, turn = after, turn + 1
+        held = left.agg(F.sum(F.length("hashes") + 32)).head()[0] or 0
+    every = start.select("key")
+    return every.join(reduce(DataFrame.unionByName, stay), "key", "left_anti") if stay else every.limit(0)
 
 
 def _uid(key: str) -> Column:

@@ -416,3 +416,27 @@ def test_n_chars_follow(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.repeats(spark, docs, "").collect()}
     assert got == {1: ("", 0), 2: ("abc", 3)}
     assert F is not None
+
+
+def test_near_copies_settle_in_few_turns(spark, monkeypatch):
+    """The turns of a component of near copies do not grow with its blocks, whose size stays bounded."""
+    rng = random.Random(41)
+    base = words(rng, 300).split()
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[rng.randrange(300)] = f"q{i}"
+        rows.append((i, " ".join(w)))
+    turns, loads, real = [], [], simhash._blocks
+
+    def counted(crowd, *options):
+        out = real(crowd, *options)
+        turns.append(out.count())
+        loads.append(out.groupBy("first", "block").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(simhash, "_blocks", counted)
+    monkeypatch.setattr(simhash, "MOST_LOAD", 4)
+    kept = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_rows=5)
+    assert kept.count() == 1
+    assert len(turns) <= 3 and turns[0] > 500 and turns[1:] == sorted(turns[1:], reverse=True) and max(loads) <= 60

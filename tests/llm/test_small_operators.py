@@ -397,3 +397,21 @@ def test_warc_empty_and_damaged(spark, pages, tmp_path):
 
 def test_fixture_columns_clash():
     assert {"kept", "digest", "fp", "length", "score"} <= set(re.findall(r"(\w+) \w+", SCHEMA))
+
+
+def test_cotraining_sums_in_a_tree(spark, monkeypatch):
+    """More tasks than may meet in one group: the same sums, and no group holds more than its share of them."""
+    monkeypatch.setattr(cotraining, "MEET", 3)
+    df = spark.range(1000).selectExpr("id AS x").repartition(10)
+    gather = lambda batch: np.bincount(batch.column(0).to_numpy() % 2500, minlength=2500).astype(float)
+    assert df.rdd.getNumPartitions() > 3
+    assert cotraining._summed(df, 2500, gather).tolist() == [1.0] * 1000 + [0.0] * 1500
+
+
+def test_exact_dedup_with_a_null_mark(spark):
+    """A null mark is no history, and its row has its result like every other."""
+    rows = [(1, "a"), (2, "a"), (None, "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.decide(df, F.col("doc_id") == 1).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == [("1", "2", 3, False), ("2", "2", 3, True), ("None", "2", 3, False), ("None", "None", 1, True)]
+    assert sorted(str(r.doc_id) for r in exact_dedup.survivors(df, F.col("doc_id") == 1).collect()) == ["2", "None"]
