@@ -44,6 +44,31 @@ def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFr
     raise RuntimeError(f"paths of more than {rounds} edges")
 
 
+def best_paths(edges: DataFrame, scores: DataFrame, sources: DataFrame, k: int = 3, most: int = 100) -> DataFrame:
+    """RM12: of each (start, node) the ``k`` best paths: (start, node, place, path, score).
+
+    A path's score is the sum over its edges of weight x coverage x identity of the
+    node that the edge leads to, over ``scores`` (id, coverage, identity).  A turn
+    goes one edge on from the paths of the last and keeps ``k`` for each node, so the
+    work is that of k paths for each edge and length, however many paths there are:
+    what comes later of a path does not depend on how it came here.  The graph has
+    no cycle; paths of more than ``most`` edges raise.  Equal scores go by path.
+    """
+    worth = edges.join(scores.select(F.col("id").alias("dst"), (F.col("coverage") * F.col("identity")).alias("_c")), "dst")
+    step = cut(worth.select(F.col("src").alias("node"), "dst", (F.col("weight") * F.col("_c")).alias("_w")))
+    order = [F.desc("score"), F.asc("path")]
+    best = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy("start", "node").orderBy(*order))).where(F.col("place") <= k)
+    now = cut(sources.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0.0).alias("score")).distinct())
+    found = now.where("false")
+    for _ in range(most):
+        on = now.join(step, "node").select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("score") + F.col("_w")).alias("score"))
+        now = cut(best(on).drop("place"))
+        if now.isEmpty():
+            return best(found)
+        found = cut(best(found.unionByName(now)).drop("place"))
+    raise RuntimeError(f"paths of more than {most} edges: is there a cycle?")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, as a table in the shared folder that ``spark.checkpoint.dir`` names."""
     return written(df, "round")

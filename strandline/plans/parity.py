@@ -17,7 +17,7 @@ from strandline.functions import genes as G
 from strandline.functions import hashing as H
 from strandline.functions import scoring as S
 from strandline.functions import sequence as Q
-from strandline.operators import alleles, classify, coverage, graph, kmers, taxonomy
+from strandline.operators import alleles, chaining, classify, coverage, graph, kmers, taxonomy
 from strandline.plans.catalog import _DNA, _HITS, _PEPTIDES, _REF, _kmers_sql, genes, hits, query, reads, reference, table
 from strandline.sources import fastq, sinks, synthetic, tables, topics
 from strandline.storage import file_system, shared_folder
@@ -267,6 +267,69 @@ def protein_seeds(spark, sf):
     return s.groupBy("read_id", "frame", "start", "protein_id").agg(F.count("*").alias("n"), F.min("q").alias("first_q"), F.sum("t").alias("places"))
 
 
+def _short(n: int) -> str:
+    """The open stretches and their seeds, with words of ``n`` residues in place of eight."""
+    return _FRAMES.replace("i, 8)", f"i, {n})").replace("(peptide) - 6", f"(peptide) - {n - 2}").replace("(protein) - 6", f"(protein) - {n - 2}")
+
+
+_SHORT = _short(4)
+_CHAINS = f"""pairs AS (SELECT read_id, frame, start, protein_id, list({{'q': CAST(q AS BIGINT), 't': CAST(t AS BIGINT), 's': 0::BIGINT}} ORDER BY q, t) AS l FROM seeds GROUP BY ALL),
+    steps AS (SELECT read_id, frame, start, protein_id, list_transform(l, lambda x: [x]) AS l FROM pairs),
+    run AS (SELECT read_id, frame, start, protein_id, list_reduce(l, lambda a, b: list_append(a, {{'q': b[1].q, 't': b[1].t, 's': {chaining.MATCH * 3}::BIGINT
+      + greatest(0, coalesce(list_max(list_transform(list_filter(a, lambda y: y.q + 3 <= b[1].q AND y.t + 3 <= b[1].t), lambda y: y.s - (b[1].q - y.q - 3) - (b[1].t - y.t - 3))), 0))}}),
+      [{{'q': -1000000::BIGINT, 't': 1000000::BIGINT, 's': 0::BIGINT}}]) AS l FROM steps)"""
+
+
+def _chained(spark: SparkSession, sf: str) -> DataFrame:
+    frames, proteins = _open_frames(spark, sf)
+    return chaining.chains(kmers.seeds(frames, proteins, 3).withColumn("size", F.lit(3)), ["read_id", "frame", "start", "protein_id"])
+
+
+@query("chained_seeds", _short(3) + ", " + _CHAINS + " SELECT read_id, frame, start, protein_id, list_max(list_transform(l, lambda y: y.s)) AS score FROM run")
+def chained_seeds(spark, sf):
+    """JN23: the best chain of the seeds of each open stretch and protein."""
+    return _chained(spark, sf).select("read_id", "frame", "start", "protein_id", "score")
+
+
+@query(
+    "anchor_pairs",
+    _short(3) + ", " + _CHAINS + """, c AS (SELECT read_id AS pair_id, frame % 2 AS mate, protein_id AS ref_id, max(list_max(list_transform(l, lambda y: y.s))) AS score FROM run GROUP BY ALL),
+    b AS (SELECT *, ref_id % 3 = 0 AS gene, row_number() OVER (PARTITION BY pair_id, mate, ref_id % 3 = 0 ORDER BY score DESC, ref_id) AS place FROM c)
+    SELECT g.pair_id, CAST(g.mate AS INTEGER) AS mate, g.ref_id AS gene, a.ref_id AS anchor, CAST(g.score + a.score AS BIGINT) AS score
+    FROM b g JOIN b a ON g.pair_id = a.pair_id AND g.mate <> a.mate AND g.place = 1 AND a.place = 1 AND g.gene AND NOT a.gene""",
+)
+def anchor_pairs(spark, sf):
+    """JN23: mates (here the odd and the even frames of a read) of which one chains to a gene and the other to an anchor."""
+    chained = _chained(spark, sf).select(F.col("read_id").alias("pair_id"), (F.col("frame") % 2).cast("int").alias("mate"), F.col("protein_id").alias("ref_id"), "score")
+    proteins = _open_frames(spark, sf)[1]
+    gene = proteins.select(F.col("protein_id").alias("ref_id"), (F.col("protein_id") % 3 == 0).alias("gene")).distinct()
+    return chaining.anchor_pairs(chained, gene)
+
+
+_LAYERS = """e AS (SELECT 'b' || p_brand AS src, 't' || p_type AS dst, count(*)::DOUBLE AS weight FROM part GROUP BY ALL UNION ALL SELECT 't' || p_type, 's' || p_size, count(*) FROM part GROUP BY ALL
+    UNION ALL SELECT 's' || p_size, 'n' || s_nationkey, count(*) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+    c AS (SELECT dst AS id, sum(weight) % 7 + 1 AS coverage, count(*) % 5 + 1 AS identity FROM e GROUP BY dst),
+    w AS (SELECT src, dst, weight * coverage * identity AS w FROM e JOIN c ON dst = id)"""
+
+
+@query(
+    "best_paths",
+    f"""WITH {_LAYERS}, p AS (SELECT src AS start, dst AS node, src || '>' || dst AS path, w AS score FROM w WHERE src LIKE 'b%'
+    UNION ALL SELECT a.src, b.dst, a.src || '>' || a.dst || '>' || b.dst, a.w + b.w FROM w a JOIN w b ON a.dst = b.src WHERE a.src LIKE 'b%'
+    UNION ALL SELECT a.src, c.dst, a.src || '>' || a.dst || '>' || b.dst || '>' || c.dst, a.w + b.w + c.w FROM w a JOIN w b ON a.dst = b.src JOIN w c ON b.dst = c.src WHERE a.src LIKE 'b%')
+    SELECT start, node, CAST(row_number() OVER (PARTITION BY start, node ORDER BY score DESC, path) AS INTEGER) AS place, path, score FROM p QUALIFY place <= 3""",
+)
+def best_paths(spark, sf):
+    """RM12: the three best paths from every brand to every type, size and nation, of which there are hundreds of thousands."""
+    part, line, supplier = (table(spark, sf, n) for n in ("part", "lineitem", "supplier"))
+    met = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
+    pair = lambda df, a, x, b, y: df.groupBy(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    e = pair(part, "b", "p_brand", "t", "p_type").unionByName(pair(part, "t", "p_type", "s", "p_size")).unionByName(pair(met, "s", "p_size", "n", "s_nationkey"))
+    scores = e.groupBy(F.col("dst").alias("id")).agg((F.sum("weight") % 7 + 1).alias("coverage"), (F.count("*") % 5 + 1).alias("identity"))
+    sources = e.where(F.col("src").startswith("b")).select(F.col("src").alias("id")).distinct()
+    return graph.best_paths(e, scores, sources).withColumn("path", F.array_join("path", ">"))
+
+
 def _extension_sql(same: str, most: int, side: int, identity: float, least: int) -> str:
     score = f"{_BLOSUM}[({_AT('x')}) * 24 + ({_AT('y')}) + 1]"
     step = lambda name, q, t: f"""{name}s AS (SELECT f.*, k, substr(peptide, CAST({q} AS INTEGER) + 1, 1) AS x, substr(protein, CAST({t} AS INTEGER) + 1, 1) AS y FROM f, range(0, {side}) r(k) WHERE {q} >= 0 AND {t} >= 0 AND {q} < length(peptide) AND {t} < length(protein)),
@@ -302,22 +365,27 @@ def extended_seeds_exact(spark, sf):
 
 
 def _local_sql(pair: str, gap: int, band: int) -> str:
-    """Local alignment of nation and region names: a row of scores per residue of the query, gaps along it by a running maximum."""
+    """Local alignment of open stretches and the proteins they share a word with: a row of scores per residue of the query, gaps along it by a running maximum."""
     row = f"""list_transform(range(1, nt + 1), lambda j: CASE WHEN abs(j - 1 - i) <= {band} THEN greatest(0, coalesce(h[j - 1], 0) + ({pair}), h[j] + {gap}) ELSE 0 END)"""
-    run = f"""list_transform(range(1, nt + 1), lambda j: CASE WHEN abs(j - 1 - i) <= {band} THEN list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN abs(k - 1 - i) <= {band} THEN g[k] + {gap} * (j - k) ELSE 0 END)) ELSE 0 END)"""
-    return f"""WITH RECURSIVE p AS (SELECT n_nationkey AS a, r_regionkey AS b, replace(n_name, '_', '') AS x, replace(r_name, ' ', '') AS y FROM nation, region), z AS (SELECT *, length(x) AS nq, length(y) AS nt FROM p),
-    rows_ AS (SELECT a, b, x, y, nq, nt, CAST(-1 AS BIGINT) AS i, list_transform(range(1, nt + 1), lambda j: CAST(0 AS BIGINT)) AS h FROM z
-      UNION ALL SELECT a, b, x, y, nq, nt, i, {run} AS h FROM (SELECT a, b, x, y, nq, nt, i, {row} AS g FROM (SELECT a, b, x, y, nq, nt, i + 1 AS i, h FROM rows_ WHERE i + 1 < nq)))
-    SELECT a, b, CAST(max(list_max(h)) AS BIGINT) AS score FROM rows_ GROUP BY a, b"""
+    run = f"""list_transform(range(1, nt + 1), lambda j: CASE WHEN abs(j - 1 - i) <= {band} THEN list_max(list_transform(range(greatest(1, j - {2 * band}), j + 1), lambda k: CASE WHEN abs(k - 1 - i) <= {band} THEN g[k] + {gap} * (j - k) ELSE 0 END)) ELSE 0 END)"""
+    return _SHORT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", z AS (SELECT DISTINCT s.read_id, s.frame, s.start, s.protein_id, o.peptide AS x, p.protein AS y, length(o.peptide) AS nq, length(p.protein) AS nt
+      FROM seeds s JOIN open o ON s.read_id = o.read_id AND s.frame = o.frame AND s.start = o.start JOIN prot p ON s.protein_id = p.protein_id),
+    rows_ AS (SELECT *, CAST(-1 AS BIGINT) AS i, list_transform(range(1, nt + 1), lambda j: CAST(0 AS BIGINT)) AS h FROM z
+      UNION ALL SELECT * EXCLUDE (g), {run} AS h FROM (SELECT * EXCLUDE (h), {row} AS g FROM (SELECT * REPLACE (i + 1 AS i) FROM rows_ WHERE i + 1 < nq))),
+    found AS (SELECT read_id, frame, start, protein_id, CAST(max(list_max(h)) AS BIGINT) AS score FROM rows_ GROUP BY ALL)
+    SELECT * FROM found"""
 
 
-def _names(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("a"), F.regexp_replace("n_name", "_", "").alias("x"))
-    return n.crossJoin(F.broadcast(table(spark, sf, "region").select(F.col("r_regionkey").alias("b"), F.regexp_replace("r_name", " ", "").alias("y"))))
+def _seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Open stretches and the proteins that they share a word of four residues with."""
+    frames, proteins = _open_frames(spark, sf)
+    key = ["read_id", "frame", "start"]
+    pairs = kmers.seeds(frames, proteins, 4).select(*key, "protein_id").distinct()
+    return pairs.join(frames.select(*key, "peptide"), key).join(proteins, "protein_id")
 
 
 def _local(spark, sf, *rule):
-    return _names(spark, sf).select("a", "b", A.local_score(*rule)(F.col("x"), F.col("y"))["score"].alias("score"))
+    return _seeded(spark, sf).select("read_id", "frame", "start", "protein_id", A.local_score(*rule)(F.col("peptide"), F.col("protein"))["score"].alias("score"))
 
 
 _RESIDUE_PAIR = f"{_BLOSUM}[({_AT('substr(x, CAST(i + 1 AS INTEGER), 1)')}) * 24 + ({_AT('substr(y, CAST(j AS INTEGER), 1)')}) + 1]"
@@ -342,11 +410,11 @@ def local_letters(spark, sf):
     return _local(spark, sf, 2, -1, -1, 15)
 
 
-@query("local_bases", _local_sql(_LETTER_PAIR(5, -3), -8, 15))
+@query("local_bases", _local_sql(_LETTER_PAIR(5, -3), -8, 15) + " QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, frame, start, protein_id) <= 10")
 def local_bases(spark, sf):
-    """RM01: match 5, mismatch 3, gap 8, the ten best per query at most."""
+    """RM01: match 5, mismatch 3, gap 8, the ten best per read at most."""
     found = _local(spark, sf, 5, -3, -8, 15)
-    return kmers.first_n(found, ["a"], [F.desc("score"), F.col("b")], 10)
+    return kmers.first_n(found, ["read_id"], [F.desc("score"), F.col("frame"), F.col("start"), F.col("protein_id")], 10)
 
 
 @query(
