@@ -107,19 +107,26 @@ def contained(hits: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     return hits.join(regions, key).where((F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
 
 
-def placements(reads: DataFrame, genomes: DataFrame, k: int = 15, checked: int = 50, least: float = 0.8) -> DataFrame:
-    """RM26: each read's (read_id, seq) best place in each genome (genome, seq) by identity over its first ``checked`` bases.
-
-    Places come from shared k-mers, so no read is slid along a genome; of equally
-    good places the first counts: (read_id, genome, place, identity, n), n the
-    read's length.
+def placements(reads: DataFrame, genomes: DataFrame, k: int = 15, checked: int | None = 50, least: float = 0.8, tile: int = 4096) -> DataFrame:
+    """RM26: each read's (read_id, seq) best place in each genome (genome, seq) by identity over its first ``checked`` bases (None: all).
+
+    Places come from k-mers of the read, every ``k`` bases, that the genome has, so no
+    read is slid along a genome; of equally good places the first counts: (read_id,
+    genome, place, identity, n), n the read's length.  Genomes are cut into tiles
+    of ``tile`` bases, each with a read's length of the next, before places meet
+    them, so what is shuffled and compared is a tile.
     """
     a = kmers(reads.select("read_id", "seq"), "seq", k, k).select("read_id", "kmer", F.col("pos").alias("q"))
     b = kmers(genomes.select("genome", "seq"), "seq", k).select("genome", "kmer", F.col("pos").alias("t"))
     at = a.join(b, "kmer").where("t >= q").select("read_id", "genome", (F.col("t") - F.col("q")).alias("place")).distinct()
-    met = at.join(reads.select("read_id", F.substring("seq", 1, checked).alias("_r"), F.length("seq").alias("n")), "read_id")
-    met = met.join(genomes.select("genome", F.col("seq").alias("_g")), "genome").where(F.col("place") + F.col("n") <= F.length("_g"))
-    near = F.substring("_g", F.col("place") + 1, F.length("_r"))
+    head = F.col("seq") if checked is None else F.substring("seq", 1, checked)
+    longest = reads.agg(F.max(F.length("seq"))).head()[0] or 0
+    last = F.floor((F.length("seq") - 1) / tile).cast("int")
+    tiles = genomes.where(F.length("seq") > 0).select("genome", "seq", F.explode(F.sequence(F.lit(0), last)).alias("tile"))
+    tiles = tiles.select("genome", "tile", F.substring("seq", F.col("tile") * tile + 1, F.lit(tile + longest)).alias("_t"))
+    met = at.withColumn("tile", F.floor(F.col("place") / tile).cast("int")).join(reads.select("read_id", head.alias("_r"), F.length("seq").alias("n")), "read_id")
+    met = met.join(tiles, ["genome", "tile"]).withColumn("_at", F.col("place") - F.col("tile") * tile).where(F.col("_at") + F.col("n") <= F.length("_t"))
+    near = F.substring("_t", F.col("_at") + 1, F.length("_r"))
     same = F.size(F.filter(F.arrays_zip(F.split("_r", ""), F.split(near, "")), lambda p: (p["0"] == p["1"]) & (p["0"] != "")))
     rated = met.select("read_id", "genome", "place", "n", (same / F.length("_r")).alias("identity")).where(F.col("identity") >= least)
     best = rated.groupBy("read_id", "genome", "n").agg(F.max(F.struct("identity", (-F.col("place")).alias("p"))).alias("m"))

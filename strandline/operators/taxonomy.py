@@ -132,19 +132,20 @@ def diversity(counts: DataFrame, value: str = "n", base: float = 2.0, *by: str)
 
 
 def cumulative(counts: DataFrame, key: str, value: str = "n") -> DataFrame:
-    """RM35: running share in falling order.
+    """RM35: running share in falling order, then by key.
 
-    Rows of one value follow each other by key, so a running sum needs the sum
-    of all greater values (a window over distinct values, of which there are few)
-    and a running sum inside the value; neither gathers all rows in a task.
+    The rows are range-sorted, however often a value is there; a range's running
+    sum goes on from the sums of those before it, a row for each range.
     """
-    per = counts.groupBy(F.col(value).alias("_v")).agg(F.sum(value).alias("_s"))
-    above = F.sum("_s").over(Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1))
-    base = per.select("_v", F.coalesce(above, F.lit(0)).alias("_above"))
-    total = counts.agg(F.sum(value).alias("_all"))
-    inside = F.sum(value).over(Window.partitionBy(value).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.withColumn("_in", inside).join(base, F.col(value) == F.col("_v")).crossJoin(F.broadcast(total))
-    return rows.withColumn("share", (F.col("_above") + F.col("_in")) / F.col("_all")).drop("_in", "_v", "_above", "_all")
+    order = [F.desc(value), F.asc(key)]
+    placed = written(counts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("_range").agg(F.sum(value).alias("_s"))
+    ranges = Window.orderBy("_range")  # as many rows as there are ranges
+    before = F.coalesce(F.sum("_s").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("_s").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = placed.withColumn("_in", inside).join(F.broadcast(sums.select("_range", before.alias("_above"), every.alias("_all"))), "_range")
+    return rows.withColumn("share", (F.col("_above") + F.col("_in")) / F.col("_all")).drop("_in", "_range", "_above", "_all")
 
 
 def consistency(votes: DataFrame, tree: DataFrame, read: str = "read_id", decay: float = 2.0) -> DataFrame:

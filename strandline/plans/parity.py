@@ -175,21 +175,31 @@ def bloom_sizes(spark, sf):
     )
 
 
-_SETTINGS = [("kmer", 31, True), ("kmer", 32, False), ("kmer", 0, False), ("window", 0, False), ("min_identity", 0.5, True), ("min_identity", 1.5, False), ("em_rounds", 0, False), ("site", 3, True)]
-
-
-@query("checked_settings", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({v} AS DOUBLE), {str(ok).lower()})" for n, v, ok in _SETTINGS) + ") AS t(name, value, fine)")
+@query(
+    "checked_settings",
+    """WITH s AS (SELECT p_partkey AS id, 'kmer' AS name, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'window', p_size % 3 FROM part UNION ALL SELECT p_partkey, 'min_identity', p_size / 40 FROM part)
+    SELECT id, name, value, CASE name WHEN 'kmer' THEN value BETWEEN 1 AND 31 WHEN 'window' THEN value >= 1 ELSE value BETWEEN 0 AND 1 END AS fine FROM s""",
+)
 def checked_settings(spark, sf):
-    """FLT18, SRC28: settings that the configuration takes or refuses."""
+    """FLT18, SRC28: settings that the configuration takes or refuses, a set of them for each part."""
 
-    def fine(name, value):
-        try:
-            tables.Config().overridden({name: value})
-        except ValueError:
-            return False
-        return True
+    def run(batches):
+        import pyarrow as pa
 
-    return spark.createDataFrame([(n, float(v), fine(n, v)) for n, v, _ in _SETTINGS], "name string, value double, fine boolean")
+        for batch in batches:
+            fine = []
+            for r in batch.to_pylist():
+                try:
+                    tables.Config().overridden({r["name"]: r["value"] if r["name"] == "min_identity" else int(r["value"])})
+                    fine.append(True)
+                except ValueError:
+                    fine.append(False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fine)], [*batch.schema.names, "fine"])
+
+    setting = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"))
+    sets = F.array(setting("kmer", F.col("p_size")), setting("window", F.col("p_size") % 3), setting("min_identity", F.col("p_size") / 40))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(sets).alias("s")).select("id", "s.name", "s.value")
+    return rows.mapInArrow(run, "id long, name string, value double, fine boolean")
 
 
 # seeds and alignments
@@ -543,14 +553,18 @@ def placed_pairs(spark, sf):
 
 @query(
     "placed_reads",
-    f"WITH {_REF} SELECT item_id AS read_id, CAST(30 AS INTEGER) AS place, CAST(1 AS DOUBLE) AS identity FROM ref WHERE length(seq) >= 130",
+    f"""WITH {_REF}, g AS (SELECT item_id, seq FROM ref WHERE length(seq) >= 130), r AS (SELECT item_id AS read_id, substr(seq, 31, 100) AS read FROM g),
+    c AS (SELECT read_id, read, item_id AS genome, seq, unnest(range(0, length(seq) - 99)) AS place FROM r, g),
+    s AS (SELECT * FROM c WHERE len(list_filter(range(0, 16), lambda i: substr(read, i * 6 + 1, 6) = substr(seq, place + i * 6 + 1, 6))) > 0),
+    m AS (SELECT read_id, genome, place, len(list_filter(range(1, 101), lambda i: substr(read, i, 1) = substr(seq, place + i, 1))) / 100 AS identity FROM s)
+    SELECT read_id, genome, CAST(arg_min(place, (-identity, place)) AS INTEGER) AS place, max(identity) AS identity FROM m WHERE identity >= 0.35 GROUP BY ALL""",
 )
 def placed_reads(spark, sf):
-    """RM26: reads cut from the sequences find the place they come from."""
+    """RM26: reads cut from the sequences: the best place of each in every sequence, by all its bases, from shared words of six."""
     genomes = reference(spark, sf).select(F.col("item_id").alias("genome"), "seq").where(F.length("seq") >= 130)
     r = genomes.select(F.col("genome").alias("read_id"), F.substring("seq", 31, 100).alias("seq"))
-    found = classify.placements(r, genomes).where(F.col("genome") == F.col("read_id"))
-    return found.select("read_id", F.col("place").cast("int").alias("place"), "identity")
+    found = classify.placements(r, genomes, 6, None, 0.35, tile=64)
+    return found.select("read_id", "genome", F.col("place").cast("int").alias("place"), "identity")
 
 
 @query(
@@ -629,14 +643,24 @@ def sample_sheets(spark, sf):
     return fine.select("sample_name", "r1", "r2", F.col("metadata")["Ward"].alias("ward"))
 
 
-@query("manifests", "SELECT 's' || n_nationkey AS sample_id, n_name || '_1' AS r1, n_name || '_2' AS r2 FROM nation")
+@query("manifests", "SELECT 's' || s_suppkey AS sample_id, s_name || '_1' AS r1, s_name || '_2' AS r2 FROM supplier")
 def manifests(spark, sf):
-    """SRC08: both layouts, one half of the samples in each."""
-    rows = [(r.n_nationkey, r.n_name) for r in table(spark, sf, "nation").collect()]  # a fixed dimension
-    one = {"samples": [{"sample_id": f"s{k}", "read1": f"{n}_1", "read2": f"{n}_2"} for k, n in rows if k % 2]}
-    two = {"files": {f"s{k}": {"forward": f"{n}_1", "reverse": f"{n}_2"} for k, n in rows if not k % 2}}
-    read = lambda m: tables.manifest(spark, _put(spark, spark.createDataFrame([(json.dumps(m),)], "value string").coalesce(1), "manifest"))
-    return read(one).unionByName(read(two))
+    """SRC08: manifests of a hundred samples each, every other one in the second layout, written and read by tasks."""
+    s = table(spark, sf, "supplier").withColumn("file", F.floor(F.col("s_suppkey") / 100))
+    sample = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    mate = lambda i: F.concat("s_name", F.lit(f"_{i}"))
+    one = F.struct(sample.alias("sample_id"), mate(1).alias("read1"), mate(2).alias("read2"))
+    two = F.struct(mate(1).alias("forward"), mate(2).alias("reverse"))
+    lists = s.where("file % 2 = 0").groupBy("file").agg(F.to_json(F.struct(F.collect_list(one).alias("samples"))).alias("value"))
+    maps = s.where("file % 2 = 1").groupBy("file").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(sample, two))).alias("files"))).alias("value"))
+    out = None
+    for name, files in (("lists", lists), ("maps", maps)):
+        path = shared_folder(spark, name)
+        sinks.named_files(files.select(F.concat(F.col("file").cast("string"), F.lit(".json")).alias("name"), "value"), path)
+        if fastq.listed(path):
+            found = tables.manifest(spark, path)
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "sample_id string, r1 string, r2 string")
 
 
 @query("mutation_tables", "SELECT 'S' || p_partkey AS species, 'gyrA' AS gene, p_size AS pos, chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS wild, 'L' AS mutant FROM part WHERE p_partkey % 10 <> 0")
@@ -669,7 +693,7 @@ def protein_fasta(spark, sf):
 
 @query(
     "genome_fasta",
-    f"WITH {_REF} SELECT item_id AS taxon, 'NC_' || item_id AS accession, 'Escherichia coli' AS species, length(seq) AS n, (SELECT count(DISTINCT item_id % 4) FROM ref WHERE length(seq) > 0) AS files FROM ref WHERE length(seq) > 0",
+    f"WITH {_REF} SELECT item_id AS taxon, 'NC_' || item_id AS accession, 'Escherichia coli' AS species, length(seq) AS n, (SELECT count(DISTINCT item_id // 10) FROM ref WHERE length(seq) > 0) AS files FROM ref WHERE length(seq) > 0",
 )
 def genome_fasta(spark, sf):
     """SRC14, SRC15, SRC16: genomes with taxa in their headers, found in a folder."""
@@ -677,7 +701,7 @@ def genome_fasta(spark, sf):
     k = F.col("item_id").cast("string")
     text = F.concat(F.lit(">kraken:taxid|"), k, F.lit("|NC_"), k, F.lit(" Escherichia coli K-12\n"), F.col("seq"))
     path = shared_folder(spark, "genomes")
-    sinks.named_files(r.groupBy(F.concat((F.col("item_id") % 4).cast("string"), F.lit(".fna")).alias("name")).agg(F.array_join(F.collect_list(text), "\n").alias("value")), path)
+    sinks.named_files(r.groupBy(F.concat(F.floor(F.col("item_id") / 10).cast("string"), F.lit(".fna")).alias("name")).agg(F.array_join(F.collect_list(text), "\n").alias("value")), path)
     files = tables.genome_files(spark, path)
     g = tables.genomes(tables.fasta(spark, path))
     return g.select("taxon", "accession", "species", F.length("seq").cast("long").alias("n")).crossJoin(F.broadcast(files.agg(F.count("*").alias("files"))))
@@ -722,11 +746,11 @@ def kraken_round_trip(spark, sf):
 @query("index_files", "SELECT o_orderkey * 1048583 AS kmer, o_custkey AS taxon FROM orders")
 def index_files(spark, sf):
     """SRC20, SRC21, SRC22, SRC23: a binary index of fixed-size records, written by tasks and read again."""
-    o = table(spark, sf, "orders").select((F.col("o_orderkey") * 1048583).alias("kmer"), F.col("o_custkey").alias("taxon"))
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") * 1048583).alias("kmer"), F.col("o_custkey").alias("taxon"), F.floor(F.col("o_orderkey") / 4096).alias("file"))
     path = shared_folder(spark, "index")
     turned = lambda c, n: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(c), 2 * n, "0"), F.lit(".."), F.lit(0))), ""))  # noqa: E731  little-endian bytes
     record = F.concat(turned(F.col("kmer"), 8), turned(F.col("taxon"), 4))
-    parts = o.groupBy(F.pmod("taxon", F.lit(8)).cast("string").alias("name")).agg(F.array_join(F.collect_list(F.hex(record)), "").alias("h"))
+    parts = o.groupBy(F.col("file").cast("string").alias("name")).agg(F.array_join(F.collect_list(F.hex(record)), "").alias("h"))
     sinks.named_files(parts.select("name", F.unhex("h").alias("value")), path)
     return tables.kmer_index(spark, path)
 
@@ -747,19 +771,14 @@ def species_of_taxa(spark, sf):
     return tables.species_taxa(n.select(F.col("n_nationkey").alias("taxon")), spark, path)
 
 
-@query(
-    "synthetic_pairs",
-    f"WITH {_REF} SELECT CAST(200 AS BIGINT) AS n, true AS placed, true AS inserts FROM ref LIMIT 1",
-)
+@query("synthetic_pairs", f"WITH {_READS} SELECT doc_id AS genome, 5::BIGINT AS n, 5::BIGINT AS placed, 5::BIGINT AS inserts FROM docs WHERE length(seq) >= 350")
 def synthetic_pairs(spark, sf):
-    """UX15: generated mates lie where they say, at inserts of 350 to 1000."""
-    # one long genome of all sequences in order, repeated so that the smallest table has room
-    parts = reference(spark, sf).agg(F.array_sort(F.collect_list(F.struct("item_id", "seq"))).alias("s"))
-    genome = parts.select(F.lit(1).alias("genome_id"), F.repeat(F.array_join(F.col("s.seq"), ""), 3).alias("seq"))
-    r = synthetic.paired_reads(genome, 200).crossJoin(genome.select(F.col("seq").alias("g")))
+    """UX15: mates generated from every read that is long enough: how many lie where they say, at inserts of 350 to 1000."""
+    genomes = reads(spark, sf).select(F.col("doc_id").alias("genome_id"), "seq")
+    r = synthetic.paired_reads(genomes, 5).join(genomes.withColumnRenamed("seq", "g"), "genome_id")
     here = F.substring("g", F.col("start") + 1, F.lit(150)) == F.col("seq_1")
     there = F.substring("g", F.col("start") + F.col("insert") - 149, F.lit(150)) == Q.reverse_complement(F.col("seq_2"))
-    return r.agg(F.count("*").alias("n"), F.bool_and(here & there).alias("placed"), F.bool_and(F.col("insert").between(350, 1000)).alias("inserts"))
+    return r.groupBy(F.col("genome_id").alias("genome")).agg(F.count("*").alias("n"), F.count_if(here & there).alias("placed"), F.count_if(F.col("insert").between(350, 1000)).alias("inserts"))
 
 
 # sinks, by round trips
@@ -857,16 +876,16 @@ def summaries(spark, sf):
 # runners
 
 
-@query("sample_batch", "SELECT 's' || n_nationkey AS sample_name, CASE WHEN n_nationkey % 7 = 3 THEN 'bad ' || n_name END AS error FROM nation")
+@query("sample_batch", "SELECT 's' || c_custkey AS sample_name, CASE WHEN c_nationkey % 7 = 3 THEN 'bad ' || c_name END AS error FROM customer")
 def sample_batch(spark, sf):
-    """SM09, AG46, UX12: each sample's success or failure."""
+    """SM09, AG46, UX12: each sample's success or failure, found by the task that holds it."""
 
     def work(row):
         if row["k"] % 7 == 3:
             raise ValueError("bad " + row["name"])
 
-    n = table(spark, sf, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("sample_name"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    return spark.createDataFrame(jobs.each_sample(n, work), "sample_name string, error string")
+    c = table(spark, sf, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("sample_name"), F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    return jobs.samples_apart(c, work)
 
 
 @query(

@@ -80,17 +80,24 @@ def summary_json(**summaries: DataFrame) -> str:
 
 
 def report(title: str, sections: dict[str, DataFrame], notes: tuple[str, ...] = (), form: str = "text", top: int = 100) -> str:
-    """SNK03, SNK04, SNK11-SNK13: a report of the first ``top`` rows of each (small, sorted) section."""
-    parts = {k: (d.columns, [[("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)) for v in r] for r in d.limit(top).collect()]) for k, d in sections.items()}
+    """SNK03, SNK04, SNK11-SNK13: a report of (small, sorted) sections: all rows as JSON, else the first ``top`` of each and how many more there are."""
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+    cells = lambda d: [[cell(v) for v in r] for r in d.collect()]
     if form == "json":
-        return json.dumps({"title": title, "notes": list(notes)} | {k: [dict(zip(c, r, strict=True)) for r in rows] for k, (c, rows) in parts.items()}, sort_keys=True)
+        rows = {k: [dict(zip(d.columns, r, strict=True)) for r in cells(d)] for k, d in sections.items()}
+        return json.dumps({"title": title, "notes": list(notes)} | rows, sort_keys=True)
+    parts = {}
+    for k, d in sections.items():
+        rows = cells(d.limit(top + 1))
+        left = d.count() - top if len(rows) > top else 0
+        parts[k] = d.columns, rows[:top], f"{left} more rows are left out" if left else ""
     if form == "html":
-        table = lambda c, rows: "<table><tr>" + "".join(f"<th>{html.escape(x)}</th>" for x in c) + "</tr>" + "".join("<tr>" + "".join(f"<td>{html.escape(x)}</td>" for x in r) + "</tr>" for r in rows) + "</table>"
+        table = lambda c, rows, more: "<table><tr>" + "".join(f"<th>{html.escape(x)}</th>" for x in c) + "</tr>" + "".join("<tr>" + "".join(f"<td>{html.escape(x)}</td>" for x in r) + "</tr>" for r in rows) + "</table>" + (f"<p>{more}</p>" if more else "")
         body = "".join(f"<p>{html.escape(n)}</p>" for n in notes) + "".join(f"<h2>{html.escape(k)}</h2>{table(*p)}" for k, p in parts.items())
         return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}</body></html>'
     out = [title, "=" * len(title), *notes]
-    for k, (c, rows) in parts.items():
-        out += ["", k, "-" * len(k), "\t".join(c), *("\t".join(r) for r in rows)]
+    for k, (c, rows, more) in parts.items():
+        out += ["", k, "-" * len(k), "\t".join(c), *("\t".join(r) for r in rows), *([more] if more else [])]
     return "\n".join(out) + "\n"
 
 
