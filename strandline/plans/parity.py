@@ -17,7 +17,7 @@ from strandline.functions import genes as G
 from strandline.functions import hashing as H
 from strandline.functions import scoring as S
 from strandline.functions import sequence as Q
-from strandline.operators import alleles, chaining, classify, coverage, graph, kmers, taxonomy
+from strandline.operators import alleles, chaining, classify, coverage, fm, graph, kmers, taxonomy
 from strandline.plans.catalog import _DNA, _HITS, _PEPTIDES, _REF, _kmers_sql, genes, hits, query, reads, reference, table
 from strandline.sources import fastq, sinks, synthetic, tables, topics
 from strandline.storage import file_system, shared_folder
@@ -340,6 +340,28 @@ def best_paths(spark, sf):
     return graph.best_paths(e, scores, sources).withColumn("path", F.array_join("path", ">"))
 
 
+_NAME = _DNA.replace("text", "c_mktsegment || p_name")
+
+
+@query(
+    "maximal_matches",
+    f"""WITH {_REF}, g AS (SELECT string_agg(seq, '|') AS t FROM ref), r AS (SELECT p_partkey AS read_id, {_NAME} AS s FROM part JOIN customer ON p_partkey = c_custkey),
+    e AS (SELECT read_id, s, unnest(range(1, length(s) + 1)) AS e FROM r),
+    m AS (SELECT read_id, s, e, coalesce(list_max(list_filter(range(1, e + 1), lambda n: contains(t, substr(s, e - n + 1, n)))), 0) AS n FROM e, g),
+    w AS (SELECT *, lead(e - n) OVER (PARTITION BY read_id ORDER BY e) AS later FROM m),
+    k AS (SELECT read_id, e - n AS q, n AS length, substr(s, e - n + 1, n) AS x FROM w WHERE n >= 7 AND (later IS NULL OR later > e - n)),
+    d AS (SELECT DISTINCT x FROM k), o AS (SELECT x, item_id, unnest(list_filter(range(0, length(seq)), lambda i: substr(seq, i + 1, length(x)) = x)) AS t FROM d, ref)
+    SELECT read_id, q, length, item_id, t FROM k JOIN o USING (x)""",
+)
+def maximal_matches(spark, sf):
+    """GR18: the places of all maximal matches of seven bases and more of short reads (segments and names of parts) in the reference, by an FM index in shards."""
+    part, customer = table(spark, sf, "part"), table(spark, sf, "customer")
+    named = part.join(customer, part.p_partkey == customer.c_custkey)
+    r = named.select(F.col("p_partkey").alias("read_id"), Q.dna_of_text(F.concat("c_mktsegment", "p_name")).alias("seq"))
+    index = fm.build(reference(spark, sf).withColumnRenamed("item_id", "ref_id"), shard_bases=1 << 12)
+    return fm.maximal_matches(r, index, least=7).withColumnRenamed("ref_id", "item_id")
+
+
 def _extension_sql(same: str, most: int, side: int, identity: float, least: int) -> str:
     score = f"{_BLOSUM}[({_AT('x')}) * 24 + ({_AT('y')}) + 1]"
     step = lambda name, q, t: f"""{name}s AS (SELECT f.*, k, substr(peptide, CAST({q} AS INTEGER) + 1, 1) AS x, substr(protein, CAST({t} AS INTEGER) + 1, 1) AS y FROM f, range(0, {side}) r(k) WHERE {q} >= 0 AND {t} >= 0 AND {q} < length(peptide) AND {t} < length(protein)),
