@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandline.functions.scoring import fragment_length, fragment_probability
 from strandline.storage import written
@@ -69,8 +70,8 @@ def classes(candidates: DataFrame) -> DataFrame:
     return each.select("read_id", "n", F.explode("s").alias("s")).select("read_id", "s.gene_id", "s.score", "n")
 
 
-#: A state of up to so many genes (about 100 bytes each) is sent to every task; a larger one is joined by a shuffle.
-BROADCAST_GENES = 1_000_000
+#: A state of up to so many bytes is sent to every task; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def run(
@@ -84,7 +85,9 @@ def run(
     folded = written(classes(candidates).repartition("read_id"), "classes")
     # what does not change comes from here in every round, so a round has its predecessor in its plan once, not twice
     base = written(start(genes), "genes")
-    few = base.count() <= BROADCAST_GENES
+    names = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in base.columns if base.schema[c].dataType == StringType()]
+    held = base.agg(F.sum(sum(names, F.lit(16 * (len(base.columns) + 2))))).head()[0] or 0  # two words a cell, and what names take beyond
+    few = held <= BROADCAST_BYTES
     state = base
     for i in range(1, rounds + 1):
         new = m_step(e_step(folded, F.broadcast(state) if few else state, similar), base, reads_each)

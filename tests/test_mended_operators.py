@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from strandline.operators import asof, classify, taxonomy
+from strandline.operators import asof, classify, em, taxonomy
 from strandline.sources import sinks
 from strandline.streaming import jobs
 
@@ -70,3 +70,15 @@ def test_samples_in_tasks(spark):
 
     df = spark.range(20).selectExpr("CAST(id AS string) AS sample_name", "id AS k").repartition(4)
     assert {r.sample_name: r.error for r in jobs.samples_apart(df, work).collect()} == {str(i): None if i % 3 else f"bad {i}" for i in range(20)}
+
+
+def test_em_beyond_the_broadcast_limit(spark, monkeypatch):
+    """A state too large to be sent is joined by a shuffle, with the same abundances."""
+    rng = random.Random(8)
+    hits = {(r, rng.randrange(12)): rng.randint(1, 9) for r in range(80) for _ in range(3)}
+    candidates = spark.createDataFrame([(r, g, float(s)) for (r, g), s in hits.items()], "read_id long, gene_id long, score double")
+    genes = spark.createDataFrame([(g, 300 + 40 * g, f"f{g % 3}", 1.0) for g in range(12)], "gene_id long, length int, family string, prior double")
+    want = {r.gene_id: r.abundance for r in em.run(candidates, genes, rounds=5, tolerance=0).collect()}
+    monkeypatch.setattr(em, "BROADCAST_BYTES", 12 * 16 * 5)
+    monkeypatch.setattr(em.F, "broadcast", None)
+    assert {r.gene_id: r.abundance for r in em.run(candidates, genes, rounds=5, tolerance=0).collect()} == pytest.approx(want)
