@@ -13,8 +13,10 @@ Scale: training counts are summed per task over ``BINS`` bins, then by Spark;
 the model takes 256 KB per language, whatever the input's size, and is sent to
 each executor once.  More than ``MAX_LANGUAGES`` values of the training column
 are an error that names them, not languages to be left out in silence.  Scoring
-is one pass without a shuffle, in blocks of bounded size, a long text piece by
-piece.
+is one pass without a shuffle, in blocks of bounded size.  A long text is read
+piece by piece, and its words of equal likelihoods are one row with their number,
+so what is held of it grows with its different words.  Expectation-maximisation
+goes on until no proportion moves by 0.001 in a round, or for ``ROUNDS`` rounds.
 
 Defined results: of equal proportions the first language by name counts; ``und`` with score 0 for a null text, a text without a letter,
 or an empty training set; a null id is in no held-out part; repeated rows are
@@ -139,55 +141,61 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, np.log(n / n.sum(axis=0)).astype(np.float32))
 
 
-def _em(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _em(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, active: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Proportions over ``active`` languages and log-likelihood, for every document at once.
 
+    A row of ``p`` stands for one word, or for ``times`` words of equal likelihoods.
     A document is done when its own proportions settle, or after ``ROUNDS``; the others go on.
     """
     share = active / active.sum(axis=1, keepdims=True)
     floor = np.float32(1e-30)
-    going, words, n, first = np.arange(len(starts)), p, counts, starts
+    going, words, rows, first, t = np.arange(len(starts)), p, counts, starts, times
+    n = counts if t is None else np.add.reduceat(t, starts)
     for _ in range(ROUNDS):
-        part = words * np.repeat(share[going], n, axis=0)
+        part = words * np.repeat(share[going], rows, axis=0)
         part /= part.sum(axis=1, keepdims=True) + floor
-        new = np.add.reduceat(part, first, axis=0) / n[:, None]
+        new = np.add.reduceat(part if t is None else part * t[:, None], first, axis=0) / n[:, None]
         moving = np.abs(new - share[going]).max(axis=1) >= 1e-3
         share[going] = new
         if not moving.any():
             break
         if not moving.all():
-            words = words[np.repeat(moving, n)]
-            going, n = going[moving], n[moving]
-            first = np.cumsum(n) - n
-    total = (p * np.repeat(share, counts, axis=0)).sum(axis=1) + floor
-    return share, np.add.reduceat(np.log(total.astype(np.float64)), starts)
+            kept = np.repeat(moving, rows)
+            words, t = words[kept], None if t is None else t[kept]
+            going, rows, n = going[moving], rows[moving], n[moving]
+            first = np.cumsum(rows) - rows
+    total = np.log(((p * np.repeat(share, counts, axis=0)).sum(axis=1) + floor).astype(np.float64))
+    return share, np.add.reduceat(total if times is None else total * times, starts)
 
 
-def _bound(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, share: np.ndarray, likelihood: np.ndarray) -> np.ndarray:
+def _bound(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, share: np.ndarray, likelihood: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
     """A log-likelihood that no mixture of a document exceeds.
 
     The log-likelihood is concave in the proportions, so the best one is at most
     its tangent's greatest value over all mixtures, which a single language takes.
     """
     total = (p * np.repeat(share, counts, axis=0)).sum(axis=1, keepdims=True) + np.float32(1e-30)
-    slope = np.add.reduceat((p / total).astype(np.float64), starts, axis=0)
-    return likelihood + np.maximum(slope.max(axis=1) - counts, 0) + 1e-4 * counts
+    ratio = (p / total).astype(np.float64)
+    slope = np.add.reduceat(ratio if times is None else ratio * times[:, None], starts, axis=0)
+    n = counts if times is None else np.add.reduceat(times, starts)
+    return likelihood + np.maximum(slope.max(axis=1) - n, 0) + 1e-4 * n
 
 
-def proportions(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Documents x languages: the chosen mixture of each document; rows of ``p`` are words."""
+def proportions(p: np.ndarray, starts: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Documents x languages: the chosen mixture of each document; rows of ``p`` are words, or stand for ``times`` words each."""
     counts = np.diff(np.append(starts, len(p)))
+    words = counts if times is None else np.add.reduceat(times, starts)
     n = p.shape[1]
-    share, likelihood = _em(p, starts, counts, np.ones((len(starts), n), np.float32))
-    most = _bound(p, starts, counts, share, likelihood)
+    share, likelihood = _em(p, starts, counts, np.ones((len(starts), n), np.float32), times)
+    most = _bound(p, starts, counts, share, likelihood, times)
     place = np.empty_like(share, np.int64)
     np.put_along_axis(place, np.argsort(-share, axis=1, kind="stable"), np.arange(n)[None, :], axis=1)
     best, best_score = None, None
     for k in range(1, n + 1):
-        if best is not None and (most - 0.5 * k * np.log(counts + 1) <= best_score).all():
+        if best is not None and (most - 0.5 * k * np.log(words + 1) <= best_score).all():
             break
-        fitted, likelihood = _em(p, starts, counts, (place < k).astype(np.float32))
-        score = likelihood - 0.5 * k * np.log(counts + 1)
+        fitted, likelihood = _em(p, starts, counts, (place < k).astype(np.float32), times)
+        score = likelihood - 0.5 * k * np.log(words + 1)
         if best is None:
             best, best_score = fitted, score
         else:
@@ -197,29 +205,46 @@ def proportions(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return best
 
 
+#: Rows of one text that are kept apart; more are folded, and again when they have doubled.
+_FOLD = 1 << 15
+
+
+def _folded(p: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of equal likelihoods as one, with the number of their words."""
+    unique, of = np.unique(p, axis=0, return_inverse=True)
+    return unique, np.bincount(of.ravel(), times, len(unique))
+
+
+def _long_text(text: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(likelihoods, words that have them) of a text of several pieces: what is held grows with its different words."""
+    p, times = np.zeros((0, len(model.languages)), np.float32), np.zeros(0)
+    limit = _FOLD
+    for piece in _split_at_spaces(text):
+        more, _ = model.word_likelihoods([piece])
+        p, times = np.concatenate([p, more]), np.concatenate([times, np.ones(len(more))])
+        if len(p) > limit:
+            p, times = _folded(p, times)
+            limit = max(_FOLD, 2 * len(p))
+    return _folded(p, times)
+
+
 def identify(texts: list[str], model: Model) -> tuple[list[str], list[float], list[str]]:
     """(language, its proportion, the whole mixture as text) for each text."""
     out = [(UNKNOWN, 0.0, "")] * len(texts)
     if not model.languages:
         return tuple(list(x) for x in zip(*out, strict=True))
     for start, block in _blocks(texts):
-        pieces = [(i, x) for i, t in enumerate(block) for x in _split_at_spaces(t)]
-        found, owner = [], []
-        size = 0
-        run: list[tuple[int, str]] = []
-        for i, x in [*pieces, (-1, "")]:
-            if run and (i < 0 or size + len(x) > 2 * _BLOCK):
-                p, text = model.word_likelihoods([y for _, y in run])
-                found.append(p)
-                owner.append(np.array([j for j, _ in run])[text] if len(text) else text)
-                run, size = [], 0
-            run.append((i, x))
-            size += len(x)
-        p, owner_of = np.concatenate(found), np.concatenate(owner)
+        # a block is a run of shorter texts, its last one may be long
+        ends = len(block) - (len(block[-1]) > 2 * _BLOCK)
+        p, owner_of = model.word_likelihoods(block[:ends])
+        times = np.ones(len(p))
+        if ends < len(block):
+            more, words = _long_text(block[-1], model)
+            p, owner_of, times = np.concatenate([p, more]), np.append(owner_of, np.full(len(more), ends)), np.append(times, words)
         if not len(p):
             continue
         starts = np.concatenate([[0], np.nonzero(np.diff(owner_of))[0] + 1])
-        share = proportions(p, starts)
+        share = proportions(p, starts, times if ends < len(block) else None)
         for i, row in zip((start + owner_of[starts]).tolist(), share, strict=True):
             k = int(row.argmax())
             some = sorted(((float(v), x) for v, x in zip(row, model.languages, strict=True) if v >= 0.01), reverse=True)

@@ -3,6 +3,7 @@
 import collections
 import datetime as dt
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -415,3 +416,58 @@ def test_exact_dedup_with_a_null_mark(spark):
     got = exact_dedup.decide(df, F.col("doc_id") == 1).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == [("1", "2", 3, False), ("2", "2", 3, True), ("None", "2", 3, False), ("None", "None", 1, True)]
     assert sorted(str(r.doc_id) for r in exact_dedup.survivors(df, F.col("doc_id") == 1).collect()) == ["2", "None"]
+
+
+def brute_mixture(words_p):
+    """One document, word by word in plain loops: the languages in order of the full mixture, then sets of one, two, ... of them."""
+
+    def em(active):
+        share = [1 / len(active) if k in active else 0.0 for k in range(len(words_p[0]))]
+        for _ in range(mixture_lid.ROUNDS):
+            new = [0.0] * len(share)
+            for p in words_p:
+                part = [a * b for a, b in zip(p, share, strict=True)]
+                for k, x in enumerate(part):
+                    new[k] += x / sum(part) / len(words_p)
+            moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+            share = new
+            if moved < 1e-3:
+                break
+        return share, sum(math.log(sum(a * b for a, b in zip(p, share, strict=True))) for p in words_p)
+
+    full, _ = em(range(len(words_p[0])))
+    order = sorted(range(len(full)), key=lambda k: -full[k])
+    fits = []
+    for k in range(1, len(full) + 1):
+        share, likelihood = em(order[:k])
+        fits.append((likelihood - 0.5 * k * math.log(len(words_p) + 1), -k, share))
+    return max(fits)[2]
+
+
+def test_mixtures_against_plain_loops(spark):
+    rng = random.Random(61)
+    alphabets = {"x": "abcdef", "y": "defghi", "z": "klmnop"}
+    train = spark.createDataFrame([(words(rng, 200, a), x) for x, a in alphabets.items() for _ in range(3)], "text string, lang string")
+    model = mixture_lid.fit(train)
+    texts = [words(rng, n, "".join(rng.sample(list(alphabets.values()), m))) for n in (1, 3, 20, 80) for m in (1, 2, 3)] + [" ".join(words(rng, 30, a) for a in "abcdef klmnop".split())]
+    lang, score, _ = mixture_lid.identify(texts, model)
+    for t, got, share in zip(texts, lang, score, strict=True):
+        p, _ = model.word_likelihoods([t])
+        want = brute_mixture(p.astype(float).tolist())
+        assert abs(max(want) - share) < 0.01 and (sorted(want)[-1] - sorted(want)[-2] < 0.02 or model.languages[want.index(max(want))] == got)
+
+
+def test_mixture_of_a_long_text_is_that_of_its_words(spark, monkeypatch):
+    """Read in pieces and folded, a text has the mixture it has as a whole, and holds no more rows than different words."""
+    rng = random.Random(62)
+    train = spark.createDataFrame([(words(rng, 300, a), x) for x, a in (("x", "abcdef"), ("y", "efghij"))], "text string, lang string")
+    model = mixture_lid.fit(train)
+    some = [words(rng, 1, "abcdefghij") for _ in range(60)]
+    texts = ["short abc", " ".join(rng.choice(some) for _ in range(5000)), "", words(rng, 40, "efghij")]
+    want = mixture_lid.identify(texts, model)
+    monkeypatch.setattr(mixture_lid, "_BLOCK", 300)
+    monkeypatch.setattr(mixture_lid, "_FOLD", 50)
+    p, times = mixture_lid._long_text(texts[1], model)
+    assert len(p) <= 60 and times.sum() == 5000
+    got = mixture_lid.identify(texts, model)
+    assert got[0] == want[0] and np.allclose(got[1], want[1], atol=2e-3)
