@@ -471,3 +471,104 @@ def test_mixture_of_a_long_text_is_that_of_its_words(spark, monkeypatch):
     assert len(p) <= 60 and times.sum() == 5000
     got = mixture_lid.identify(texts, model)
     assert got[0] == want[0] and np.allclose(got[1], want[1], atol=2e-3)
+
+
+def brute_cotraining(docs, labels, rounds):
+    """The same formulas, a document at a time in plain loops.  ``docs`` has (id, text, source, lang, part, half)."""
+    C = cotraining
+    sig = lambda z: 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+    all_ = [{"x": C.text_features(t), "bins": C.grams(t).tolist(), "meta": C.meta_value(s, x), "y": labels.get(i), "part": p, "half": h} for i, t, s, x, p, h in docs]
+
+    def taught(d, teacher):
+        """(target, 0 for a label or 1 for a pseudo-label), or nothing."""
+        if d["y"] is not None:
+            return (d["y"], 0) if d["part"] == 0 else None
+        p = sig(teacher(d)) if teacher else 0.5
+        return (int(p >= 0.5), 1) if p >= C.SURE_GOOD or p <= C.SURE_BAD else None
+
+    def weights(told):
+        n = [sum(1 for _, (_, k) in told if k == j) for j in (0, 1)]
+        return [1.0, min(C.PSEUDO_WEIGHT, n[0] / n[1]) if n[1] else 0.0]
+
+    def newton(w, rows):
+        for _ in range(C.STEPS):
+            slope, curve = -C.RIDGE * w, C.RIDGE * np.eye(len(w))
+            for x, good, n in rows:
+                p = sig(float(x @ w))
+                slope, curve = slope + (good - n * p) * x, curve + n * p * (1 - p) * np.outer(x, x)
+            step = np.linalg.solve(curve, slope)
+            step *= min(1, C.LONGEST_STEP / np.abs(step).max()) if np.abs(step).max() else 1
+            w = w + step
+            if np.abs(step).max() < 1e-3:
+                return w
+
+    def learn(text, teacher):
+        told = [(d, t) for d in all_ if (t := taught(d, teacher))]
+        share, have, every = weights(told), collections.Counter(), collections.Counter()
+        for d, (y, k) in told:
+            every[d["half"], y] += share[k]
+            for b in d["bins"]:
+                have[d["half"], y, b] += share[k]
+        odds = lambda h, b: math.log((have[h, 1, b] + 1) / (every[h, 1] + 2)) - math.log((have[h, 0, b] + 1) / (every[h, 0] + 2)) if have[h, 1, b] + have[h, 0, b] else 0.0
+        for d in all_:
+            total, n = sum(odds(1 - d["half"], b) for b in d["bins"]), max(1, len(d["bins"]))
+            d["view"] = np.array([*d["x"], max(-4, min(4, total / n)), max(-40, min(40, total / math.sqrt(n))) / 10])
+        return newton(text, [(d["view"], y * share[k], share[k]) for d, (y, k) in told])
+
+    def learn_meta(teacher):
+        told = [(d, t) for d in all_ if (t := taught(d, teacher))]
+        share, counts = weights(told), collections.defaultdict(lambda: [0.0, 0.0])
+        for d, (y, k) in told:
+            counts[d["meta"]][0] += y * share[k]
+            counts[d["meta"]][1] += share[k]
+        w = newton(np.zeros(C.META_DIM), [(C.meta_matrix(np.array([m]))[0], good, n) for m, (good, n) in counts.items()])
+        return lambda d: float(C.meta_matrix(np.array([d["meta"]]))[0] @ w)
+
+    text = learn(np.zeros(C.TEXT_DIM), None)
+    meta = learn_meta(None)
+    for _ in range(rounds):
+        text = learn(text, meta)
+        now = text
+        meta = learn_meta(lambda d, now=now: float(d["view"] @ now))
+
+    def calibrated(z):
+        held = collections.defaultdict(lambda: [0, 0])
+        for d in all_:
+            if d["y"] is not None and d["part"] == 1:
+                b = held[math.floor(max(-35.0, min(35.0, z(d))) / C.BIN + 0.5)]
+                b[0] += d["y"]
+                b[1] += 1
+        w = np.array([1.0, 0.0])
+        for _ in range(30):
+            slope, curve = -np.array([w[0] - 1, 0.01 * w[1]]), np.diag([1.0, 0.01])
+            for b, (good, n) in held.items():
+                x = np.array([b * C.BIN, 1.0])
+                p = sig(float(x @ w))
+                slope, curve = slope + (good - n * p) * x, curve + n * p * (1 - p) * np.outer(x, x)
+            w = w + np.clip(np.linalg.solve(curve, slope), -2, 2)
+        return lambda d: max(0.0, w[0]) * z(d) + w[1]
+
+    views = [calibrated(lambda d: float(d["view"] @ text)), calibrated(meta)]
+    prior = math.log(sum(labels.values()) / (len(labels) - sum(labels.values())))
+    plain = lambda z: 1 / (1 + math.exp(-z))
+    return {doc[0]: (plain(views[0](d)), plain(views[1](d)), plain(views[0](d) + views[1](d) - prior)) for doc, d in zip(docs, all_, strict=True)}
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_cotraining_against_plain_loops(spark, rounds):
+    rng = random.Random(71)
+    rows = []
+    for i in range(240):
+        good = rng.random() < 0.6
+        text = words(rng, rng.randint(20, 60), "abcdefgh" if rng.random() < (0.8 if good else 0.2) else "efghijkl")
+        rows.append((i, text if good else text.upper() + "!" * rng.randint(0, 3), "s" + str(rng.randrange(2) if rng.random() < 0.3 else int(good)), rng.choice(["en", "de", None]), int(good)))
+    docs = spark.createDataFrame([(i, t, x, s) for i, t, s, x, _ in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    labels = {i: y for i, *_, y in rows if i < 100}
+    marks = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).cast("int").alias("p"), F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).alias("h"))
+    mark = {r.doc_id: (r.p, r.h) for r in marks.collect()}
+    want = brute_cotraining([(i, t, s, x, *mark[i]) for i, t, s, x, _ in rows], labels, rounds)
+    got = {r.doc_id: r for r in cotraining.classify(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), rounds=rounds).collect()}
+    assert got.keys() == want.keys()
+    for i, (text, meta, both) in want.items():
+        r = got[i]
+        assert (r.text_score, r.meta_score, r.score) == pytest.approx((text, meta, both), abs=1e-4) and r.kept == (r.score >= 0.5)
