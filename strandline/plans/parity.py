@@ -53,24 +53,23 @@ def hash_seeded(spark, sf):
 
 _M32 = 4294967296
 _ROT = lambda x, r: f"((({x}) << {r}) % {_M32} | (({x}) >> {32 - r}))"
-_WORD = lambda at: "(" + " + ".join(f"(ord(substr(t, {at + i}, 1))::BIGINT << {8 * i})" for i in range(4)) + ")"
+_MIX = lambda k: f"{_ROT(f'({k} * {0xCC9E2D51} % {_M32})', 15)} * {0x1B873593} % {_M32}"
+_BYTES = lambda at, n: "(" + " + ".join(f"(CASE WHEN {n} > {i} THEN ord(substr(t, {at} + {i}, 1)) ELSE 0 END::HUGEINT << {8 * i})" for i in range(4)) + ")"
 
 
 @query(
     "hash_text",
-    f"""WITH k AS (SELECT p_partkey AS id, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS t FROM part),
-    a AS (SELECT id, {_WORD(1)}::HUGEINT AS k1, {_WORD(5)}::HUGEINT AS k2 FROM k),
-    b AS (SELECT id, k1 * {0xCC9E2D51} % {_M32} AS k1, k2 * {0xCC9E2D51} % {_M32} AS k2 FROM a),
-    c AS (SELECT id, {_ROT("k1", 15)} * {0x1B873593} % {_M32} AS k1, {_ROT("k2", 15)} * {0x1B873593} % {_M32} AS k2 FROM b),
-    d AS (SELECT id, k2, ({_ROT("k1", 13)} * 5 + {0xE6546B64}) % {_M32} AS h FROM c), e AS (SELECT id, xor(h, k2) AS h FROM d),
-    f AS (SELECT id, xor(({_ROT("h", 13)} * 5 + {0xE6546B64}) % {_M32}, 8::HUGEINT) AS h FROM e),
+    f"""WITH k AS (SELECT o_orderkey AS id, substr(o_orderpriority || o_orderkey, 1, CAST(o_orderkey % 8 AS INTEGER)) AS t FROM orders),
+    a AS (SELECT id, t, length(t) AS n, CASE WHEN length(t) >= 4 THEN {_MIX(_BYTES("1", "4"))} ELSE 0 END AS k1, {_MIX(_BYTES("1 + 4 * (length(t) // 4)", "length(t) % 4"))} AS k2 FROM k),
+    b AS (SELECT id, n, k2, CASE WHEN n >= 4 THEN ({_ROT("k1", 13)} * 5 + {0xE6546B64}) % {_M32} ELSE 0 END AS h FROM a),
+    f AS (SELECT id, xor(xor(h::HUGEINT, k2::HUGEINT), n::HUGEINT) AS h FROM b),
     g AS (SELECT id, xor(h, h >> 16) * {0x85EBCA6B} % {_M32} AS h FROM f), i AS (SELECT id, xor(h, h >> 13) * {0xC2B2AE35} % {_M32} AS h FROM g)
     SELECT id, CAST(xor(h, h >> 16) AS BIGINT) AS h FROM i""",
 )
 def hash_text(spark, sf):
-    """FN13 over texts of eight characters."""
-    text = F.lpad(F.col("p_partkey").cast("string"), 8, "0")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), H.murmur_text(text).alias("h"))
+    """FN13 over texts of none to seven characters: a whole word or none, and every length of the rest."""
+    text = F.substring(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")), F.lit(1), (F.col("o_orderkey") % 8).cast("int"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), H.murmur_text(text).alias("h"))
 
 
 _JENKINS = f"""k AS (SELECT o_orderkey AS id, o_orderkey * 8191 AS key FROM orders), a AS (SELECT id, xor(key, key >> 32) % {_M32} AS h FROM k), b AS (SELECT id, (h + (h << 10)) % {_M32} AS h FROM a),
@@ -86,18 +85,17 @@ def hash_compact(spark, sf):
 
 @query(
     "base_codes",
-    f"""WITH {_REF}, c AS (SELECT item_id, unnest(string_split(seq, '')) AS b FROM ref), s AS (SELECT item_id, substr(seq, 1, 12) AS w FROM ref WHERE length(seq) >= 12)
-    SELECT c.item_id, sum(strpos('ACGT', b) - 1)::BIGINT AS codes, any_value(substr(w, 1, 2) || substr(w, 4, 2) || substr(w, 7, 2) || substr(w, 10, 2)) AS spaced, true AS back
-    FROM c JOIN s ON c.item_id = s.item_id GROUP BY c.item_id""",
+    f"""WITH {_REF}, c AS (SELECT item_id, unnest(string_split(seq, '')) AS b FROM ref WHERE length(seq) >= 12),
+    s AS (SELECT item_id, array_to_string(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 2) || substr(seq, i + 3, 2) || substr(seq, i + 6, 2) || substr(seq, i + 9, 2)), ' ') AS w FROM ref WHERE length(seq) >= 12)
+    SELECT c.item_id, sum(strpos('ACGT', b) - 1)::BIGINT AS codes, md5(any_value(w)) AS spaced, true AS back FROM c JOIN s ON c.item_id = s.item_id GROUP BY c.item_id""",
 )
 def base_codes(spark, sf):
-    """FN01, FN02, FN15: codes of bases, there and back, and a spaced seed."""
+    """FN01, FN02, FN15: codes of bases, there and back, and the spaced seed of every twelve bases."""
     r = reference(spark, sf).where(F.length("seq") >= 12)
-    each = r.select("item_id", "seq", F.explode(F.split("seq", "")).alias("b"))
+    seeds = F.transform(F.sequence(F.lit(1), F.length("seq") - 11), lambda i: Q.spaced(F.substring(F.col("seq"), i, F.lit(12)), 2))
+    each = r.select("item_id", F.md5(F.array_join(seeds, " ")).alias("spaced"), F.explode(F.split("seq", "")).alias("b"))
     code = Q.encode_base(F.col("b"))
-    return each.groupBy("item_id").agg(
-        F.sum(code).cast("long").alias("codes"), F.first(Q.spaced(F.substring("seq", 1, 12), 2)).alias("spaced"), F.bool_and(Q.decode_base(code) == F.col("b")).alias("back")
-    )
+    return each.groupBy("item_id").agg(F.sum(code).cast("long").alias("codes"), F.first("spaced").alias("spaced"), F.bool_and(Q.decode_base(code) == F.col("b")).alias("back"))
 
 
 _BLOSUM = "[" + ", ".join(map(str, A.BLOSUM62.ravel().tolist())) + "]"
@@ -120,20 +118,24 @@ def residue_scores(spark, sf):
     )
 
 
-_PAIRS = [
-    ("CTX-M-15", "CTX-M-15", 1.0), ("CTX-M-15", "CTX-M-1", 0.9), ("CTX-M-15", "CTX-M-14", 0.6), ("CTX-M-15", "CTX-M-99", 0.7), ("blaTEM-1", "TEM-52", 0.8),
-    ("TEM-10", "TEM-52", 0.75), ("blaTEM-1", "TEM-1", 0.95), ("KPC-2", "NDM-1", 0.05), ("KPC-2", "KPC-3", 0.7), ("qnrB1", "qnrB4", 0.8), ("vanA", "vanA", 1.0), ("vanA", "vanB", 0.05),
-]
+_FAMILIES = ["CTX-M-", "TEM-", "KPC-", "qnrB", "NDM-"]
+_CTXM = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in G.CTXM_GROUPS.items()) + "}"
 
 
 @query(
     "name_similarity",
-    "WITH n(i, a, b, s) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {s})" for i, (a, b, s) in enumerate(_PAIRS)) + ") SELECT p_partkey AS id, a, b, CAST(s AS DOUBLE) AS similarity, replace(trim(p_name), ' ', '_') AS species FROM part JOIN n ON p_partkey % 12 = i",
+    f"""WITH p AS (SELECT p_partkey AS id, p_partkey % 5 AS fa, p_partkey // 7 % 5 AS fb, CAST(p_size AS VARCHAR) AS va, CAST(p_partkey % 45 AS VARCHAR) AS vb, p_name FROM part),
+    n AS (SELECT *, CASE WHEN id % 2 = 0 AND fa <> 3 THEN 'bla' ELSE '' END || {_FAMILIES}[fa + 1] || va AS a, {_FAMILIES}[fb + 1] || vb AS b, {_CTXM} AS m FROM p)
+    SELECT id, a, b, CAST(CASE WHEN a = b THEN 1 WHEN fa <> fb THEN 0.05 WHEN va = vb THEN 0.95 WHEN fa = 0 THEN CASE WHEN m[va] IS NULL OR m[vb] IS NULL THEN 0.7 WHEN m[va] = m[vb] THEN 0.9 ELSE 0.6 END
+      WHEN fa = 1 THEN CASE WHEN va = '1' OR vb = '1' THEN 0.8 ELSE 0.75 END WHEN fa = 3 THEN 0.8 ELSE 0.7 END AS DOUBLE) AS similarity, replace(trim(p_name), ' ', '_') AS species FROM n""",
 )
 def name_similarity(spark, sf):
-    """FN24, FN27."""
-    pick = lambda k: F.element_at(F.array(*(F.lit(p[k]) for p in _PAIRS)), (F.col("p_partkey") % 12 + 1).cast("int"))
-    t = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), pick(0).alias("a"), pick(1).alias("b"), G.normalised_species(F.col("p_name")).alias("species"))
+    """FN24, FN27: names whose families and variants come from the parts."""
+    family = lambda i: F.element_at(F.array(*map(F.lit, _FAMILIES)), (i + 1).cast("int"))
+    k = F.col("p_partkey")
+    a = F.concat(F.when((k % 2 == 0) & (k % 5 != 3), "bla").otherwise(""), family(k % 5), F.col("p_size").cast("string"))
+    b = F.concat(family(F.floor(k / 7) % 5), (k % 45).cast("string"))
+    t = table(spark, sf, "part").select(k.alias("id"), a.alias("a"), b.alias("b"), G.normalised_species(F.col("p_name")).alias("species"))
     return t.select("id", "a", "b", G.name_similarity(F.col("a"), F.col("b")).alias("similarity"), "species")
 
 
