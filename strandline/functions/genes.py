@@ -67,20 +67,26 @@ def gene_variant(name: Column) -> Column:
 
 def name_similarity(a: Column, b: Column) -> Column:
     """FN24: similarity of two gene names by family and variant."""
-    fa, fb, va, vb = gene_family(a), gene_family(b), gene_variant(a), gene_variant(b)
     groups = F.create_map(*(F.lit(x) for kv in CTXM_GROUPS.items() for x in kv))
-    ga, gb = F.try_element_at(groups, va), F.try_element_at(groups, vb)
-    ctxm = F.when(ga.isNull() | gb.isNull(), 0.7).when(ga == gb, 0.9).otherwise(0.6)
-    return (
-        F.when(a == b, 1.0)
-        .when(fa != fb, 0.05)
-        .when((va == "") | (vb == ""), 0.7)
-        .when(va == vb, 0.95)
-        .when(fa == "CTX-M", ctxm)
-        .when(fa == "TEM", F.when((va == "1") | (vb == "1"), 0.8).otherwise(0.75))
-        .when(fa.isin("qnrA", "qnrB", "qnrC"), 0.8)
-        .otherwise(0.7)
-    )
+
+    def rule(p: Column) -> Column:
+        fa, fb, va, vb = (p[c] for c in ("fa", "fb", "va", "vb"))
+        ga, gb = F.try_element_at(groups, va), F.try_element_at(groups, vb)
+        ctxm = F.when(ga.isNull() | gb.isNull(), 0.7).when(ga == gb, 0.9).otherwise(0.6)
+        return (
+            F.when(p["a"] == p["b"], 1.0)
+            .when(fa != fb, 0.05)
+            .when((va == "") | (vb == ""), 0.7)
+            .when(va == vb, 0.95)
+            .when(fa == "CTX-M", ctxm)
+            .when(fa == "TEM", F.when((va == "1") | (vb == "1"), 0.8).otherwise(0.75))
+            .when(fa.isin("qnrA", "qnrB", "qnrC"), 0.8)
+            .otherwise(0.7)
+        )
+
+    # families and variants are long expressions: bound once, they do not multiply in the rule
+    parts = F.struct(a.alias("a"), b.alias("b"), gene_family(a).alias("fa"), gene_family(b).alias("fb"), gene_variant(a).alias("va"), gene_variant(b).alias("vb"))
+    return F.transform(F.array(parts), rule)[0]
 
 
 def _lookup(values: dict[str, float], key: Column) -> Column:
