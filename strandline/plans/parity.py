@@ -453,16 +453,18 @@ def local_bases(spark, sf):
 
 @query(
     "ungapped_runs",
-    f"""WITH p AS (SELECT n_nationkey AS a, r_regionkey AS b, replace(n_name, '_', '') AS x, replace(r_name, ' ', '') AS y FROM nation, region),
-    c AS (SELECT a, b, i, j, {_BLOSUM}[({_AT("substr(x, CAST(i + 1 AS INTEGER), 1)")}) * 24 + ({_AT("substr(y, CAST(j + 1 AS INTEGER), 1)")}) + 1] AS s FROM (SELECT *, unnest(range(0, length(y))) AS j FROM (SELECT *, unnest(range(0, length(x))) AS i FROM p))),
-    t AS (SELECT *, sum(s) OVER (PARTITION BY a, b, j - i ORDER BY i) AS total FROM c),
-    m AS (SELECT *, total - least(0, coalesce(min(total) OVER (PARTITION BY a, b, j - i ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS gain FROM t)
-    SELECT a, b, CAST(max(gain) AS BIGINT) AS score FROM m GROUP BY a, b HAVING max(gain) >= 8""",
+    _SHORT + f""", p AS (SELECT DISTINCT s.read_id, s.frame, s.start, s.protein_id, o.peptide AS x, p.protein AS y
+      FROM seeds s JOIN open o ON s.read_id = o.read_id AND s.frame = o.frame AND s.start = o.start JOIN prot p ON s.protein_id = p.protein_id),
+    c AS (SELECT * EXCLUDE (x, y), {_BLOSUM}[({_AT("substr(x, CAST(i + 1 AS INTEGER), 1)")}) * 24 + ({_AT("substr(y, CAST(j + 1 AS INTEGER), 1)")}) + 1] AS s FROM (SELECT *, unnest(range(0, length(y))) AS j FROM (SELECT *, unnest(range(0, length(x))) AS i FROM p))),
+    t AS (SELECT *, sum(s) OVER (PARTITION BY read_id, frame, start, protein_id, j - i ORDER BY i) AS total FROM c),
+    m AS (SELECT *, total - least(0, coalesce(min(total) OVER (PARTITION BY read_id, frame, start, protein_id, j - i ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS gain FROM t)
+    SELECT read_id, frame, start, protein_id, CAST(max(gain) AS BIGINT) AS score FROM m GROUP BY ALL HAVING max(gain) >= 25""",
 )
 def ungapped_runs(spark, sf):
-    """JN08, RM30: the best run without gaps over all offsets."""
-    found = _names(spark, sf).select("a", "b", A.best_ungapped(8, 1)(F.col("x"), F.col("y")).alias("m"))
-    return found.select("a", "b", "m.score").where("score IS NOT NULL")
+    """JN08, RM30: the best run without gaps over all offsets, of open stretches and the proteins they share a word with."""
+    key = ["read_id", "frame", "start", "protein_id"]
+    found = _seeded(spark, sf).select(*key, A.best_ungapped(25, 1)(F.col("peptide"), F.col("protein")).alias("m"))
+    return found.select(*key, "m.score").where("score IS NOT NULL")
 
 
 @query(
