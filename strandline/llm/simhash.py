@@ -542,9 +542,10 @@ def _blocks(crowd: DataFrame, rows: int, size: int, turn: int) -> DataFrame:
     """
     load = F.greatest(F.count("*") / rows, F.sum(F.length("hashes")) / size)
     blocks = F.greatest(F.lit(1.0), load / MOST_LOAD, F.least(load, F.sqrt(8 * load)))
-    sizes = crowd.groupBy("first").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    sizes = written(crowd.groupBy("first").agg(F.ceil(blocks).cast("int").alias("blocks")), "block-counts")
     block = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).cast("int")
-    return crowd.join(sizes, "first").select("key", "first", "hashes", block.alias("block"))
+    # few components, or a join that adaptive execution can split: no component meets in one task for its number of blocks
+    return crowd.join(sent(sizes, sizes.count()), "first").select("key", "first", "hashes", block.alias("block"))
 
 
 def _dropped(crowd: DataFrame, least: float, rows: int, size: int) -> DataFrame:
@@ -558,7 +559,8 @@ def _dropped(crowd: DataFrame, least: float, rows: int, size: int) -> DataFrame:
     rows that are no copies after all takes a turn for each of its blocks.  No
     task ever holds more than two blocks.
     """
-    crowd = crowd.join(crowd.groupBy("first").count().where(F.col("count") > 1).select("first"), "first").select("key", "first", "hashes")
+    several = written(crowd.groupBy("first").count().where(F.col("count") > 1).select("first"), "components")
+    crowd = crowd.join(sent(several, several.count()), "first").select("key", "first", "hashes")
     left = start = written(crowd, "several")
     held, turn = left.agg(F.sum(F.length("hashes") + 32)).head()[0] or 0, 0
     kinds = "key struct<id:bigint,h:bigint>, first bigint, hashes binary"
