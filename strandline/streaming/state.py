@@ -1,26 +1,30 @@
 """Stateful streams: job states that are forgotten, growing coverage, delayed retries (SM03, SM05, SM06).
 
 Each is a processor for ``transformWithState``: state lives in RocksDB under the
-query's checkpoint, keyed by job or gene, and survives lost executors.  A key's
-whole state is one value, so a batch reads and writes it once.
+query's checkpoint and survives lost executors.  Last states are keyed by job.
+Lives, coverage and retries are keyed by buckets of jobs or genes: a bucket's whole
+state is one value of Arrow bytes, read and written once a batch, and its keys are
+worked on together, so a batch costs its rows and its buckets, not a call for each key.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Buckets of keys that share a state; a checkpoint keeps the number it was begun with.
+BUCKETS = 1024
+
 #: Milliseconds after which a job's last state is forgotten.
 JOB_TTL_MS = 3_600_000
 
@@ -81,54 +85,94 @@ def job_states(updates: DataFrame, ttl_ms: int = JOB_TTL_MS) -> DataFrame:
     return keyed.transformWithStateInPandas(_LastState(ttl_ms), schema, "Update", "ProcessingTime")
 
 
-class _Lives(StatefulProcessor):
-    """SM05 in event time: a life of a job ends when it is silent for ``ttl_ms``; then its last state comes out."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl = dt.timedelta(milliseconds=ttl_ms)
+class _Bucket(StatefulProcessor):
+    """The rows that a bucket of keys holds, as one value of Arrow bytes, and the one timer that is set for them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("life", "stage string, progress double, message string, ts timestamp, updates long")
+        self.state = handle.getValueState("bucket", "rows binary, timer bigint")
+
+    def held(self) -> tuple[list[pd.DataFrame], int | None]:
+        if not self.state.exists():
+            return [], None
+        rows, timer = self.state.get()
+        return [pa.ipc.open_stream(bytes(rows)).read_pandas()], timer
+
+    def hold(self, rows: pd.DataFrame, before: int | None = None, timer: int | None = None) -> None:
+        if before is not None and before != timer:
+            self.handle.deleteTimer(before)
+        if timer is not None and before != timer:
+            self.handle.registerTimer(timer)
+        if not len(rows):
+            self.state.clear()
+            return
+        table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as stream:
+            stream.write_table(table)
+        self.state.update((out.getvalue().to_pybytes(), timer))
+
+    def close(self) -> None:
+        pass
+
 
-    def _ended(self, key, life: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *life)], columns=["job_id", *_UPDATE, "updates"])
+def _in_buckets(rows: DataFrame, key: str, buckets: int) -> GroupedData:
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy("_bucket")
 
-    def _timer(self, ts: dt.datetime) -> int:
-        return int((pd.Timestamp(ts).tz_localize(None) + self.ttl - pd.Timestamp(0)) / pd.Timedelta(milliseconds=1))
+
+def _named(rows: Iterator[pd.DataFrame], names: list[str]) -> list[pd.DataFrame]:
+    """The first columns of the rows under these names: computed columns may come under others."""
+    return [part.iloc[:, : len(names)].set_axis(names, axis=1) for part in rows]
+
+
+class _Lives(_Bucket):
+    """SM05 in event time: a life of a job ends when it is silent for ``ttl_ms``; then its last state comes out."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    columns = ["job_id", "stage", "progress", "message", "us", "updates"]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        life = tuple(self.state.get()) if self.state.exists() else None
-        before = life and life[3]
-        for row in _latest(rows, _UPDATE):
-            ts = pd.Timestamp(row[3]).to_pydatetime()
-            if life and ts - life[3] > self.ttl:
-                yield self._ended(key, life)
-                life = None
-            life = (*row[:3], ts, 1) if not life else (*(row[:3] if ts >= life[3] else life[:3]), max(ts, life[3]), life[4] + 1)
-        self.state.update(life)
-        if before is not None and before != life[3]:
-            self.handle.deleteTimer(self._timer(before))
-        self.handle.registerTimer(self._timer(life[3]))
+        held, before = self.held()
+        new = pd.concat(_named(rows, self.columns[:-1]))
+        all_ = pd.concat([*held, new.assign(updates=1, first=new["us"])])
+        all_ = all_.sort_values(["job_id", "first", "us", "stage", "progress", "message"], na_position="first", ignore_index=True)
+        job = all_["job_id"].fillna("").ne(all_["job_id"].fillna("").shift()) | all_["job_id"].isna().ne(all_["job_id"].isna().shift())
+        until = all_["us"].groupby(job.cumsum()).cummax()
+        life = (job | (all_["first"] - until.shift(fill_value=0) > self.ttl_ms * 1000)).cumsum()
+        all_ = all_.assign(_life=life, _job=job.cumsum())
+        sums = all_.groupby("_life").agg(updates=("updates", "sum"), first=("first", "min"), _job=("_job", "first"))
+        last = all_.sort_values(["_life", "us", "stage", "progress", "message"], na_position="first").drop_duplicates("_life", keep="last")
+        lives = last.drop(columns=["updates", "first", "_job"]).join(sums, "_life")
+        going = ~lives.duplicated("_job", keep="last")
+        kept = lives[going][[*self.columns, "first"]]
+        self.hold(kept, before, int(self._ends(kept).min()))
+        if not going.all():
+            yield lives[~going][self.columns]
+
+    def _ends(self, lives: pd.DataFrame) -> pd.Series:
+        return lives["us"] // 1000 + self.ttl_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield self._ended(key, tuple(self.state.get()))
-            self.state.clear()
+        held, _ = self.held()
+        for lives in held:
+            ended = self._ends(lives) <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+            left = lives[~ended]
+            self.hold(left, None, int(self._ends(left).min()) if len(left) else None)
+            if ended.any():
+                yield lives[ended][self.columns]
 
-    def close(self) -> None:
-        pass
 
-
-def job_lives(updates: DataFrame, ttl_ms: int = JOB_TTL_MS, late: str = "0 seconds") -> DataFrame:
+def job_lives(updates: DataFrame, ttl_ms: int = JOB_TTL_MS, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """SM05 in event time, so that a replay gives the same: (job, last update, updates) of every life that has ended; append mode.
 
     A life ends ``ttl_ms`` after its last update, once the watermark has passed that
     or a later update of the job is there.
     """
-    schema = "job_id string, stage string, progress double, message string, ts timestamp, updates long"
-    timed = updates.select("job_id", *_UPDATE).withWatermark("ts", late)
-    return timed.groupBy("job_id").transformWithStateInPandas(_Lives(ttl_ms), schema, "Append", "EventTime")
+    timed = updates.select("job_id", "stage", "progress", "message", F.unix_micros("ts").alias("us"), "ts").withWatermark("ts", late)
+    schema = "job_id string, stage string, progress double, message string, us long, updates long"
+    ended = _in_buckets(timed, "job_id", buckets).transformWithStateInPandas(_Lives(ttl_ms), schema, "Append", "EventTime")
+    return ended.select("job_id", "stage", "progress", "message", F.timestamp_micros("us").alias("ts"), "updates")
 
 
 # growing coverage
@@ -153,39 +197,33 @@ def depth_steps(hits: DataFrame, key: str, start: str = "ref_start", end: str =
     return cast.mapInArrow(run, f"{key} {kind}, pos long, step long, hits long")
 
 
-class _Coverage(StatefulProcessor):
-    """SM06: the steps of a gene's depth so far, as two arrays."""
+class _Coverage(_Bucket):
+    """SM06: the steps of the genes' depths so far; a gene's hits are at its first step."""
 
     def __init__(self, key: str):
         self.key = key
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("steps", "pos array<bigint>, step array<bigint>, hits bigint")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pos, step, hits = [], [], 0
-        if self.state.exists():
-            held = self.state.get()
-            pos, step, hits = [np.asarray(held[0], np.int64)], [np.asarray(held[1], np.int64)], held[2]
-        for part in rows:
-            pos.append(part["pos"].to_numpy(np.int64))
-            step.append(part["step"].to_numpy(np.int64))
-            hits += int(part["hits"].sum())
-        pos, at = np.unique(np.concatenate(pos), return_inverse=True)
-        total = np.zeros(len(pos), np.int64)
-        np.add.at(total, at, np.concatenate(step))
-        kept = total != 0
-        pos, total = pos[kept], total[kept]
-        self.state.update((pos.tolist(), total.tolist(), hits))
-        depth, width = np.cumsum(total)[:-1], np.diff(pos)
-        row = (*key, hits, int(width[depth > 0].sum()), int((depth * width).sum()), int(depth.max(initial=0)))
-        yield pd.DataFrame([row], columns=[self.key, "hits", "covered", "bases", "max_depth"])
-
-    def close(self) -> None:
-        pass
-
-
-def growing_coverage(hits: DataFrame, key: str = "gene_id", start: str = "ref_start", end: str = "ref_end") -> DataFrame:
+        held, _ = self.held()
+        new = pd.concat(_named(rows, [self.key, "pos", "step", "hits"]))
+        all_ = pd.concat([*(h.assign(_new=False) for h in held), new.assign(_new=True)])
+        steps = all_.groupby([self.key, "pos"], dropna=False, as_index=False).agg(step=("step", "sum"), hits=("hits", "sum"), _new=("_new", "max"))
+        gene = steps.groupby(self.key, dropna=False).ngroup().to_numpy()
+        pos, step = steps["pos"].to_numpy(np.int64), steps["step"].to_numpy(np.int64)
+        first = np.flatnonzero(np.diff(gene, prepend=-1))
+        total = np.cumsum(step)
+        depth = total - np.repeat((total - step)[first], np.diff(first, append=len(gene)))
+        width = np.diff(pos, append=0)
+        width[np.append(first[1:], len(gene)) - 1] = 0
+        hits, hit = np.add.reduceat(steps["hits"].to_numpy(np.int64), first), np.logical_or.reduceat(steps["_new"].to_numpy(bool), first)
+        at_first = np.zeros(len(gene), np.int64)
+        at_first[first] = hits
+        self.hold(steps.assign(hits=at_first)[(step != 0) | (at_first != 0)][[self.key, "pos", "step", "hits"]])
+        sums = {"hits": hits, "covered": np.add.reduceat(width * (depth > 0), first), "bases": np.add.reduceat(depth * width, first), "max_depth": np.maximum(0, np.maximum.reduceat(depth, first))}
+        yield pd.DataFrame({self.key: steps[self.key].iloc[first].reset_index(drop=True), **sums})[hit]
+
+
+def growing_coverage(hits: DataFrame, key: str = "gene_id", start: str = "ref_start", end: str = "ref_end", buckets: int = BUCKETS) -> DataFrame:
     """SM06: (gene, hits, covered, bases, max_depth) over all batches so far, of each gene that a batch hits; update mode.
 
     There is no watermark and no row is late: any split of the hits into batches ends
@@ -194,42 +232,37 @@ def growing_coverage(hits: DataFrame, key: str = "gene_id", start: str = "ref_st
     """
     kind = hits.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, hits long, covered long, bases long, max_depth long"
-    return depth_steps(hits, key, start, end).groupBy(key).transformWithStateInPandas(_Coverage(key), schema, "Update", "None")
+    return _in_buckets(depth_steps(hits, key, start, end), key, buckets).transformWithStateInPandas(_Coverage(key), schema, "Update", "None")
 
 
 # delayed retries
 
 
-class _Waiting(StatefulProcessor):
-    """SM03: failed jobs until their next try; a timer at that time gives them back."""
+class _Waiting(_Bucket):
+    """SM03: failed jobs until their next try; a timer at the earliest such time gives back all that are due."""
 
-    def __init__(self, names: list[str], schema: str):
-        self.names, self.schema = names, schema
+    def __init__(self, names: list[str]):
+        self.names = names
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getMapState("jobs", "at long", self.schema)
+    def _parted(self, jobs: pd.DataFrame, before: int | None, now: int) -> Iterator[pd.DataFrame]:
+        due = jobs["_at"] <= now
+        left = jobs[~due]
+        self.hold(left, before, int(left["_at"].min()) if len(left) else None)
+        if due.any():
+            yield jobs[due].drop(columns="_at").assign(retries=lambda d: d["retries"] + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for row in part.itertuples(index=False):
-                at = int(pd.Timestamp(row.next_try).timestamp() * 1000)
-                self.state.updateValue((at,), tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in (getattr(row, n) for n in self.names)))
-                self.handle.registerTimer(at)
-        yield from ()
+        held, before = self.held()
+        jobs = pd.concat([*held, *_named(rows, self.names)]).drop_duplicates(["job_id", "_at"], keep="last")
+        yield from self._parted(jobs, before, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs(),)
-        if self.state.containsKey(at):
-            job = pd.DataFrame([(*key, *self.state.getValue(at))], columns=["job_id", *self.names])
-            self.state.removeKey(at)
-            yield job.assign(retries=job["retries"] + 1)
-
-    def close(self) -> None:
-        pass
+        now = max(timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for jobs in self.held()[0]:
+            yield from self._parted(jobs, None, now)
 
 
-def due_again(failed: DataFrame) -> DataFrame:
+def due_again(failed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """SM03: the jobs of ``jobs.routed`` with verdict retry, each once, when its next try is due, with one retry more; append mode.
 
     The wait is a timer in the state store, so it outlives the query that set it.
@@ -237,5 +270,5 @@ def due_again(failed: DataFrame) -> DataFrame:
     fields = [f for f in failed.schema.fields if f.name in ("sample_id", "stage", "progress", "message", "code", "retries", "ts")]
     names = [f.name for f in fields]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    waiting = failed.where("verdict = 'retry'").select("job_id", "next_try", *names)
-    return waiting.groupBy("job_id").transformWithStateInPandas(_Waiting(names, schema), f"job_id string, {schema}", "Append", "ProcessingTime")
+    waiting = failed.where("verdict = 'retry'").select("job_id", F.unix_millis("next_try").alias("_at"), *names)
+    return _in_buckets(waiting, "job_id", buckets).transformWithStateInPandas(_Waiting(waiting.columns), f"job_id string, {schema}", "Append", "ProcessingTime")

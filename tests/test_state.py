@@ -120,3 +120,26 @@ def test_a_job_that_fails_twice_comes_back_twice(spark, tmp_path):
     assert [(r.job_id, r.retries) for r in spark.read.parquet(folder("dead")).collect()] == [("j3", 2)]
     waits = spark.read.parquet(folder("retry")).select("job_id", "retries").collect()
     assert sorted(map(tuple, waits)) == [("j1", 0), ("j1", 1), ("j3", 0), ("j3", 1)]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_share_the_state_of_a_bucket(spark, tmp_path, buckets):
+    """Lives, coverage and retries of many keys in few states, over two batches each."""
+    rng = random.Random(buckets)
+    rows = sorted(((f"j{rng.randrange(40)}", f"s{i}", i / 100, None, AT + dt.timedelta(minutes=rng.randrange(3000))) for i in range(300)), key=lambda r: r[4])
+    hits = [(rng.randrange(50), a := rng.randrange(50), a + rng.randrange(1, 20)) for _ in range(300)]
+    failed = [(f"j{i}", "s", 7, i % 3, "retry", AT if i % 2 else dt.datetime(2999, 1, 1)) for i in range(60)]
+    ended, covered, due = [], {}, []
+    schemas = {"u": UPDATE, "h": "gene_id long, ref_start int, ref_end int", "f": "job_id string, sample_id string, code int, retries int, verdict string, next_try timestamp"}
+    live = lambda x: jobs.file_events(spark, f"{tmp_path}/{x}", schemas[x], 100)
+    for n in range(2):
+        for x, all_ in (("u", rows), ("h", hits), ("f", failed)):
+            put(spark, f"{tmp_path}/{x}", n, all_[n * len(all_) // 2 : (n + 1) * len(all_) // 2], schemas[x])
+        run(spark, state.job_lives(live("u"), buckets=buckets), lambda b, i: ended.extend(tuple(r) for r in b.collect()), f"{tmp_path}/cu")
+        run(spark, state.growing_coverage(live("h"), buckets=buckets), lambda b, i: covered.update({r.gene_id: tuple(r)[1:] for r in b.collect()}), f"{tmp_path}/ch", "update")
+        run(spark, state.due_again(live("f"), buckets=buckets), lambda b, i: due.extend((r.job_id, r.retries) for r in b.collect()), f"{tmp_path}/cf", once=True)
+    assert sorted(ended, key=str) == sorted(lives(rows, dt.timedelta(hours=1), rows[-1][4]), key=str)
+    for g in {r[0] for r in hits}:
+        depth = [sum(a <= p < b for k, a, b in hits if k == g) for p in range(80)]
+        assert covered[g] == (sum(r[0] == g for r in hits), sum(d > 0 for d in depth), sum(depth), max(depth))
+    assert sorted(due) == sorted((j, r + 1) for j, _, _, r, _, at in failed if at == AT)
