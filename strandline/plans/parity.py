@@ -983,8 +983,9 @@ def stream_coverage(spark, sf):
     """SM06: hits that come in several batches: what each gene's coverage has grown to after the last."""
     h = hits(spark, sf).select("gene_id", "ref_start", "ref_end")
     base = shared_folder(spark, "growing")
-    h.repartition(3).write.parquet(f"{base}/in")
-    live = state.growing_coverage(jobs.file_events(spark, f"{base}/in", h.schema, 1))
+    files = spark.sparkContext.defaultParallelism  # of each of three batches
+    h.repartition(3 * files).write.parquet(f"{base}/in")
+    live = state.growing_coverage(jobs.file_events(spark, f"{base}/in", h.schema, files))
     with state.rocks(spark):
         q = live.writeStream.outputMode("update").foreachBatch(jobs.to_folder(f"{base}/out")).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
     _finish(q)
