@@ -42,7 +42,7 @@ def _spread(reads: DataFrame) -> DataFrame:
 _BASE = np.full(256, 4, np.uint8)
 _BASE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 #: Bytes of sequence that are packed at once.
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def packed_windows(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,9 @@ def packed_kmers(
     return reads.select(key, seq).mapInArrow(run, f"{key} {reads.schema[key].dataType.simpleString()}, kmer long")
 
 
-def may_meet(reads: DataFrame, known: DataFrame, key: str, seq: str, k: int, exact: int | None = None, w: int = 1, mask: int = 0) -> DataFrame:
+def may_meet(
+    reads: DataFrame, known: DataFrame, key: str, seq: str, k: int, exact: int | None = None, w: int = 1, mask: int = 0, both_strands: bool = False,
+) -> DataFrame:
     """FLT01: (key, kmer) of the reads' k-mers that may be in ``known``, a written table of distinct packed k-mers.
 
     Up to ``exact`` of them (8 MB for a million) are sent as they are; of more a
@@ -179,12 +181,12 @@ def may_meet(reads: DataFrame, known: DataFrame, key: str, seq: str, k: int, exa
     n = known.count()
     if n <= exact:
         keys = known.toArrow()["kmer"].to_numpy().astype(np.int64)
-        return packed_kmers(reads, key, seq, k, keys, w, mask=mask)
+        return packed_kmers(reads, key, seq, k, keys, w, both_strands, mask)
     words = bloom.words_for(n)
     if words * 8 > PIECES * bloom.PIECE_BYTES:
-        return packed_kmers(reads, key, seq, k, None, w, mask=mask)
+        return packed_kmers(reads, key, seq, k, None, w, both_strands, mask)
     table = written(bloom.build(known, words), "bloom")
-    passes = [packed_kmers(reads, key, seq, k, piece, w, mask=mask) for piece in bloom.pieces(table, words)]
+    passes = [packed_kmers(reads, key, seq, k, piece, w, both_strands, mask) for piece in bloom.pieces(table, words)]
     return reduce(DataFrame.unionByName, passes)
 
 
@@ -192,10 +194,20 @@ def _met(
     reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str | None, seq: str,
     exact: int | None = None, w: int = 1, both_strands: bool = False, mask: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Reads' distinct k-mers that the reference may have, and the reference's."""
+    """Reads' distinct k-mers that the reference may have, and the reference's.
+
+    Of a reference with more bases than the reads only k-mers that the reads may
+    have are kept: those of the reads are sent first, as keys or filter, so neither
+    side shuffles what the other cannot have.
+    """
     own = [ref_id] if ref_id else []
     key = ref_id or reference.columns[0]
-    packed = packed_kmers(reference.select(key, seq), key, seq, k, None, w, both_strands, mask)
+    bases = lambda rows: rows.agg(F.sum(F.length(seq).cast("long"))).first()[0] or 0
+    if bases(reference) > bases(reads):
+        wanted = written(packed_kmers(_spread(reads.select(read_id, seq)), read_id, seq, k, None, w, mask=mask).select("kmer").distinct(), "read-kmers")
+        packed = may_meet(_spread(reference.select(key, seq)), wanted, key, seq, k, exact, w, mask, both_strands)
+    else:
+        packed = packed_kmers(reference.select(key, seq), key, seq, k, None, w, both_strands, mask)
     b = written(packed.select("kmer", *own).distinct(), "reference-kmers")
     known = written(b.select("kmer").distinct(), "known-kmers") if own else b
     return may_meet(_spread(reads.select(read_id, seq)), known, read_id, seq, k, exact, w, mask), b
@@ -212,7 +224,7 @@ def matches(
     through, are ever shuffled; the join is exact either way.
     """
     a, b = _met(reads, reference, k, read_id, ref_id, seq, exact)
-    met = a.join(b, "kmer").distinct()
+    met = a.distinct().join(b, "kmer")  # each (read, k-mer) and (reference, k-mer) once, so each triple too
     return met.groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 

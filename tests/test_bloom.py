@@ -84,3 +84,17 @@ def test_what_is_shuffled_is_hits_and_the_stated_rate(spark):
     out = kmers.may_meet(a, known, "id", "seq", 25, exact=0).count()
     rate = bloom.false_positive_rate(n, bloom.words_for(n))
     assert rate < 0.01 and true <= out <= true + 1.5 * rate * (total - true) + 20
+
+
+def test_a_larger_reference_is_screened_by_the_reads(spark):
+    """Of a reference with more bases than the reads only k-mers that reads may have are kept, and no match is lost."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    refs = [(i, text(400)) for i in range(60)]
+    found = [(f"r{i}", refs[i][1][50:90]) for i in range(0, 60, 7)] + [("none", text(40)), ("null", None)]
+    reads, reference = spark.createDataFrame(found, "id string, seq string"), spark.createDataFrame(refs, "ref long, seq string")
+    for exact in (0, None):
+        kept = kmers._met(reads, reference, 20, "id", "ref", "seq", exact)[1]
+        got = {(r.id, r.ref, r.shared) for r in kmers.matches(reads, reference, 20, "id", "ref", exact=exact).collect()}
+        assert got == {(f"r{i}", i, 21) for i in range(0, 60, 7)}
+        assert kept.count() < 0.1 * 60 * 381
