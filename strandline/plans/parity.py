@@ -612,12 +612,17 @@ def _put(spark: SparkSession, lines: DataFrame, name: str) -> str:
     return path
 
 
-def _fastq_files(records: DataFrame, name: str) -> str:
-    """Records (mate, id, header, seq, plus, qual) as text files ``mate=m/part=p`` of about 500, each in order of id."""
-    path, files = shared_folder(records.sparkSession, name), 2 + records.count() // 500
+def _fastq_files(records: DataFrame, name: str, most: int) -> str:
+    """Records (mate, id, header, seq, plus, qual) as text files ``mate=m/part=p`` of about 500, each in order of id; a task writes about 32.
+
+    There are at most ``most`` records; who counted them would make them twice.
+    """
+    spark = records.sparkSession
+    path, files = shared_folder(spark, name), 2 + most // 500
+    tasks = max(spark.sparkContext.defaultParallelism, files // 32)
     placed = records.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(files)))
     text = F.concat_ws("\n", "header", "seq", "plus", "qual")
-    placed = placed.repartition("mate", "part").sortWithinPartitions("mate", "part", "id").select("mate", "part", text.alias("value"))
+    placed = placed.repartition(tasks, "mate", "part").sortWithinPartitions("mate", "part", "id").select("mate", "part", text.alias("value"))
     placed.write.partitionBy("mate", "part").text(path)
     return path
 
@@ -634,7 +639,7 @@ def fastq_round_trip(spark, sf):
         "m.mate", F.col("doc_id").alias("id"), F.format_string("@%d/%d x", "doc_id", "m.mate").alias("header"), "m.seq", F.lit("+").alias("plus"),
         F.translate("m.seq", "ACGT", "@+I#").alias("qual"),
     )
-    path = _fastq_files(each, "reads")
+    path = _fastq_files(each, "reads", 2 * table(spark, sf, "documents").count())
     one, two = (fastq.scan(spark, f"{path}/mate={m}", split=1 << 18) for m in (1, 2))
     p = fastq.pairs(one, two, F.regexp_extract("file", r"part=(\d+)", 1)).where(Q.reverse_complement(F.col("seq_2")) == F.col("seq_1"))
     return p.select(fastq.read_name(F.col("header_1")).cast("long").alias("id"), F.length("seq_1").cast("long").alias("n"), F.md5("seq_1").alias("seq"), "same_name")
@@ -652,7 +657,7 @@ def fastq_checks(spark, sf):
         F.lit(1).alias("mate"), F.col("doc_id").alias("id"), F.concat(F.when(bad == 1, "r").otherwise("@"), F.col("doc_id").cast("string")).alias("header"), "seq",
         F.when(bad == 2, "-").otherwise("+").alias("plus"), F.concat(F.repeat(F.lit("@"), F.length("seq")), F.when(bad == 3, "I").otherwise("")).alias("qual"),
     )
-    path = _fastq_files(each, "checks")
+    path = _fastq_files(each, "checks", table(spark, sf, "documents").count())
     return fastq.scan(spark, path, split=1 << 18).select(F.regexp_extract("header", r"(\d+)", 1).cast("long").alias("id"), "reason")
 
 

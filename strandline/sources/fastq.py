@@ -12,14 +12,16 @@ line, so records and ordinals are those of a reader of the whole file, whatever
 is broken in it.  Without ordinals the first pass is left out: a record then
 starts at the first line with ``@`` whose next but one has ``+``, which no quality
 line passes, since a sequence never starts with ``+``.  Block-gzipped files are cut
-at blocks; any other gzipped file is one task, read as a stream.
+at blocks; any other gzipped file is one task, read as a stream.  A task reads
+several small files or ranges one after the other, ``SPLIT_BYTES`` in all, so tasks
+are as many as the bytes need, not as there are ranges.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, takewhile
 
 import pyarrow as pa
 import pyarrow.dataset as pads
@@ -33,6 +35,8 @@ from strandline.storage import shared_folder
 SCHEMA = "file string, ordinal long, header string, seq string, qual string, reason string"
 _CHUNK = 1 << 20
 _ROWS = 10_000
+#: Bytes that are read at once beyond a range, for the end of its last record, and that opening a file or range counts for.
+_BEYOND = 1 << 16
 #: Bytes of a file that one task reads.
 SPLIT_BYTES = 64 << 20
 
@@ -71,8 +75,15 @@ def listed(path: str) -> list[str]:
 class _Range(InputPartition):
     """The bytes ``start`` to ``stop`` of a file, to its end if there is no ``stop``; ``first`` numbers the first line that starts after ``start``."""
 
-    def __init__(self, path: str, start: int = 0, stop: int | None = None, kind: str = "whole", first: int | None = None):
-        self.path, self.start, self.stop, self.kind, self.first = path, start, stop, kind, first
+    def __init__(self, path: str, start: int = 0, stop: int | None = None, kind: str = "whole", first: int | None = None, size: int = 0):
+        self.path, self.start, self.stop, self.kind, self.first, self.size = path, start, stop, kind, first, size
+
+
+class _Pack(InputPartition):
+    """The ranges that one task reads."""
+
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
 
 
 _BLOCK = b"\x1f\x8b\x08\x04"
@@ -145,7 +156,7 @@ def _chunks(part: _Range) -> Iterator[tuple[bool, bytes]]:
                 yield here < part.stop, zlib.decompress(data[:n], 31)
                 here += n
         while here < size:
-            data = file.read_at(min(_CHUNK, part.stop - here) if here < part.stop else _CHUNK, here)
+            data = file.read_at(min(_CHUNK, part.stop - here) if here < part.stop else min(_CHUNK, _BEYOND), here)
             yield here < part.stop, data
             here += len(data)
 
@@ -243,17 +254,34 @@ def _ranges(path: str, split: int) -> list[_Range]:
     out = []
     for file, size in _infos(path):
         kind = _kind(file) if size > split > 0 else "whole"
-        out += [_Range(file)] if kind == "whole" else [_Range(file, a, min(size, a + split), kind) for a in range(0, size, split)]
+        cuts = range(0, size, split) if kind != "whole" else ()
+        out += [_Range(file, a, min(size, a + split), kind, size=min(split, size - a)) for a in cuts] or [_Range(file, size=size)]
     return out
 
 
+def _packed(ranges: list[_Range], split: int, tasks: int) -> list[InputPartition]:
+    """Neighbouring ranges put together for about ``tasks`` tasks, for more where these would read above SPLIT_BYTES; 0: a task each."""
+    if not tasks:
+        return [_Pack([r]) for r in ranges]
+    weights = [r.size + min(split, _BEYOND) for r in ranges]
+    most, held, packs = min(SPLIT_BYTES, sum(weights) // tasks), 0, []
+    for r, weight in zip(ranges, weights, strict=True):
+        if not packs or held + weight > most:
+            packs.append([])
+            held = 0
+        packs[-1].append(r)
+        held += weight
+    return [_Pack(p) for p in packs]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split, self.lines = options["path"], int(options.get("split", 0)), options.get("lines")
+        self.tasks = int(options.get("tasks", 0))
 
     def partitions(self) -> list[InputPartition]:
         out = _ranges(self.path, self.split)
-        if self.lines:  # a row per range, as many as there are tasks to plan
+        if self.lines:  # a row per range
             where, at = filesystem(self.lines)
             counted = pads.dataset(at, filesystem=where, format="parquet").to_table().to_pydict()
             ends = {(f, a): n for f, a, n in zip(counted["file"], counted["start"], counted["ends"], strict=True)}
@@ -261,28 +289,28 @@ class _Reader(DataSourceReader):
             for part in (p for p in out if p.kind != "whole"):
                 part.first = before + 1 if part.start else 0
                 before = (before if part.start else 0) + ends[part.path, part.start]
-        return out
+        return _packed(out, self.split, self.tasks)
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        yield from _read(partition)
+    def read(self, partition: _Pack) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from _read(part)
 
 
 class _LineReader(DataSourceReader):
     """(file, start, ends): the line ends of each range of the files that have several."""
 
     def __init__(self, options: dict):
-        self.path, self.split = options["path"], int(options["split"])
+        self.path, self.split, self.tasks = options["path"], int(options["split"]), int(options["tasks"])
 
     def partitions(self) -> list[InputPartition]:
-        return [p for p in _ranges(self.path, self.split) if p.kind != "whole"] or [_Range("", stop=0)]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        ends = 0
-        for own, data in _chunks(partition) if partition.path else ():
-            if not own:
-                break
-            ends += data.count(b"\n")
-        row = [[partition.path], [partition.start], [ends]] if partition.path else [[], [], []]
+        return _packed([p for p in _ranges(self.path, self.split) if p.kind != "whole"], self.split, self.tasks) or [_Pack([])]
+
+    def read(self, partition: _Pack) -> Iterator[pa.RecordBatch]:
+        ends = []
+        for part in partition.ranges:
+            inside = takewhile(lambda x: x[0], _chunks(part))
+            ends.append(sum(data.count(b"\n") for _, data in inside))
+        row = [[p.path for p in partition.ranges], [p.start for p in partition.ranges], ends]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "start", "ends"])
 
 
@@ -347,10 +375,11 @@ def scan(spark: SparkSession, path: str, split: int = SPLIT_BYTES, ordinals: boo
     Ordinals cost such files a pass that counts lines; without them the column is null there.
     """
     register(spark)
-    reader = spark.read.format("fastq").option("split", split)
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    reader = spark.read.format("fastq").option("split", split).option("tasks", tasks)
     if ordinals and any(size > split for _, size in _infos(path)):
         lines = shared_folder(spark, "fastq-lines")
-        spark.read.format("fastq_lines").option("split", split).load(path).write.parquet(lines)
+        spark.read.format("fastq_lines").option("split", split).option("tasks", tasks).load(path).write.parquet(lines)
         reader = reader.option("lines", lines)
     return reader.load(path)
 

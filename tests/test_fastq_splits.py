@@ -113,6 +113,28 @@ def test_many_tasks_read_one_file(spark, tmp_path):
     assert bare.where("ordinal IS NOT NULL").count() == 0
 
 
+def test_tasks_are_as_many_as_bytes_need(spark, tmp_path):
+    """Ten times the ranges are no more tasks, the pass that counts lines included, and the same records."""
+    rng = random.Random(5)
+    (tmp_path / "a.fastq").write_bytes(text(rng, 300, True).encode())
+    for i in range(100):
+        (tmp_path / f"small{i:03}.fastq").write_bytes(text(rng, 1, False).encode())
+    want = sorted((str(f), *r) for f in tmp_path.glob("*.fastq") for r in whole(f))
+    for split in (2000, 200):
+        df = fastq.scan(spark, str(tmp_path), split=split)
+        assert sorted(map(tuple, df.collect()), key=lambda r: r[:2]) == want
+        assert len(fastq._ranges(str(tmp_path), split)) > 100 and df.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
+
+
+def test_packs_hold_every_range_once(monkeypatch):
+    monkeypatch.setattr(fastq, "SPLIT_BYTES", 1000)
+    ranges = [fastq._Range("x", size=n) for n in (10, 900, 5, 5, 3000, 0, 400)]
+    for tasks, most in ((0, 7), (1, 6), (3, 6), (100, 7)):
+        packs = fastq._packed(ranges, 20, tasks)
+        assert [r for p in packs for r in p.ranges] == ranges and len(packs) <= most
+    assert fastq._packed([], 20, 4) == []
+
+
 def test_pairs_of_many_files(spark, tmp_path):
     for lane in (1, 2):
         for mate in (1, 2):
