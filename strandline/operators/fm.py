@@ -9,9 +9,10 @@ every ``SAMPLE``-th base of the text.
 would be in none if they were one base longer on either side, whatever their length.  From each
 base of all reads of a block a search goes backwards at once, a base a step, as
 long as the shard has what it has read.  Shards are sent in groups of
-``SENT_BYTES``, a pass over the reads for each; what one shard finds inside a longer
-stretch of another is left out at the end, per read, so results do not depend on
-shards.
+``SENT_BYTES``, a pass over the reads for each, which are dealt anew over tasks by their
+bases; what one shard finds inside a longer stretch of another of its group is left out
+where it is found, and of another group at the end, per read, so results do not depend
+on shards.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SENT_BYTES = 32 << 20
 BLOCK, SAMPLE = 32, 8
 #: Bases of reads that are searched at once.
 READ_BASES = 1 << 17
+#: Bases of reads for each task.
+TASK_BASES = 1 << 19
 #: 0 ends the text, 1 to 4 are the bases, 5 is anything else and parts references.
 _CODE = np.full(256, 5, np.uint8)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(1, 5)
@@ -75,13 +78,16 @@ class Shard:
         self.rows, self.places = (np.frombuffer(row[c], np.int32) for c in ("rows", "places"))
         self.refs, self.starts = row["refs"], np.array(row["starts"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.bwt, minlength=6))])
-        self.wide = np.append(self.bwt, np.full(BLOCK, 9, np.uint8))
+        wide = np.append(self.bwt, np.full(BLOCK - len(self.bwt) % BLOCK, 9, np.uint8))
+        # a bit for each letter of a block, the first lowest
+        self.bits = np.stack([np.packbits(wide == c, bitorder="little").view("<u4") for c in range(6)], axis=1).ravel()
+        self.counts = self.blocks.ravel()
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How many of the transform's first ``i`` letters are ``c``."""
-        block = i // BLOCK
-        near = self.wide[(block * BLOCK)[:, None] + np.arange(BLOCK)] == c[:, None]
-        return self.blocks[block, c] + (near & (np.arange(BLOCK) < (i % BLOCK)[:, None])).sum(axis=1)
+        at = i // BLOCK * 6 + c
+        before = (np.uint32(1) << (i % BLOCK).astype(np.uint32)) - np.uint32(1)
+        return self.counts[at].astype(np.int64) + np.bitwise_count(self.bits[at] & before)
 
     def longest(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each base: the length of the longest match that ends there, and its rows."""
@@ -159,18 +165,26 @@ def _found(reads: DataFrame, shards: list[dict], key: str, seq: str, least: int)
                 texts = [(t or "").encode() for t in batch.column(1).slice(start, stop - start).to_pylist()]
                 begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
                 codes = _CODE[np.frombuffer(b"|".join(texts), np.uint8)]
-                for shard in own:
+                best, kept = np.zeros(len(codes), np.int64), []
+                for i, shard in enumerate(own):
                     n, low, high = shard.longest(codes)
-                    first = np.arange(len(n)) - n + 1
-                    end = np.flatnonzero((n >= least) & (np.append(first[1:], len(n) + 1) > first))
-                    many = high[end] - low[end]
+                    best = np.maximum(best, n)
+                    end = np.flatnonzero((n >= least) & (n == best))
+                    kept.append((i, end, n[end], low[end], high[end]))
+                    if sum(len(k[1]) for k in kept) > 4 * len(codes):  # some are shorter than what a later shard has
+                        kept = [(j, *(x[k[1] == best[k[0]]] for x in k)) for j, *k in kept]
+                first = np.arange(len(best)) - best + 1
+                maximal = (best >= least) & (np.append(first[1:], len(best) + 1) > first)
+                for i, end, n, low, high in kept:
+                    shard, on = own[i], maximal[end] & (n == best[end])
+                    end, low, many = end[on], low[on], (high - low)[on]
                     of = np.repeat(end, many)
-                    row = np.repeat(low[end] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    row = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
                     text = shard.located(row)
                     ref = np.searchsorted(shard.starts, text, "right") - 1
                     read = np.searchsorted(begin, first[of], "right") - 1
                     refs = pa.array(shard.refs, pa.int64()).take(pa.array(ref))
-                    cells = [batch.column(0).take(pa.array(read + start)), pa.array(first[of] - begin[read]), pa.array(n[of]), refs, pa.array(text - shard.starts[ref])]
+                    cells = [batch.column(0).take(pa.array(read + start)), pa.array(first[of] - begin[read]), pa.array(best[of]), refs, pa.array(text - shard.starts[ref])]
                     yield pa.RecordBatch.from_arrays(cells, [key, *names])
                 start = stop
 
@@ -188,16 +202,18 @@ def maximal_matches(reads: DataFrame, index: DataFrame, key: str = "read_id", se
             held = 0
         groups[-1].append(start)
         held += n
+    bases = reads.agg(F.sum(F.length(seq))).head()[0] or 0
+    reads = reads.select(key, seq).repartition(max(reads.sparkSession.sparkContext.defaultParallelism, bases // TASK_BASES), key)
     passes = []
     for group in groups:
         shards = [r.asDict() for r in index.where(F.col("refs")[0].isin(group)).collect()]  # of at most SENT_BYTES, or one shard
         passes.append(_found(reads, shards, key, seq, least))
     if not passes:
         return _found(reads.where("false"), [], key, seq, least)
-    found = reduce(DataFrame.unionByName, passes)
-    if len(passes) == 1 and len(groups[0]) == 1:
-        return found
-    # a stretch inside a longer one is maximal in its own shard only
+    if len(passes) == 1:
+        return passes[0]
+    found = written(reduce(DataFrame.unionByName, passes), "matches")
+    # a stretch inside a longer one is maximal in its own group only
     end = F.col("q") + F.col("length")
     furthest = F.max("_end").over(Window.partitionBy(key).orderBy(F.asc("q"), F.desc("_end")).rowsBetween(Window.unboundedPreceding, -1))
     spans = found.select(key, "q", "length").distinct().withColumn("_end", end).withColumn("_furthest", furthest)

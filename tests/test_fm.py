@@ -61,6 +61,29 @@ def test_maximal_matches(spark, monkeypatch, shard, sent):
     assert {(r.read_id, r.q, r.length, r.ref_id, r.t) for r in got} == {(i, *m) for i, s in reads for m in brute(s or "", refs, 9)} and len(set(got)) == len(got)
 
 
+def test_reads_are_searched_once_by_many_tasks(spark, monkeypatch):
+    """Shards that are sent together need one pass, whatever their number, and reads of one file are many tasks' work."""
+    monkeypatch.setattr(fm, "TASK_BASES", 100)
+    rng = random.Random(4)
+    refs, reads = [(i, dna(rng, 200)) for i in range(5)], [(i, dna(rng, 60)) for i in range(50)]
+    index = fm.build(spark.createDataFrame(refs, "ref_id long, seq string").coalesce(1), shard_bases=250)
+    assert index.count() == 5
+    found = fm.maximal_matches(spark.createDataFrame(reads, "read_id long, seq string").coalesce(1), index, least=5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and found.rdd.getNumPartitions() == 30
+    assert {(r.read_id, r.q, r.length, r.ref_id, r.t) for r in found.collect()} == {(i, *m) for i, s in reads for m in brute(s, refs, 5)}
+
+
+def test_ranks_count_letters():
+    rng = random.Random(6)
+    for n in (0, 1, 30, 31, 32, 63, 64, 65, 200):
+        index = fm.index_of(np.array([rng.randint(1, 5) for _ in range(n)], np.uint8))
+        shard = fm.Shard({**index, "refs": [1], "starts": [0]})
+        for c in range(6):
+            want = [int((index["bwt"][:i] == c).sum()) for i in range(n + 2)]
+            assert shard.rank(np.full(n + 2, c), np.arange(n + 2)).tolist() == want
+
+
 def test_no_references(spark):
     empty = fm.build(spark.createDataFrame([], "ref_id long, seq string"))
     assert fm.maximal_matches(spark.createDataFrame([(1, "ACGT")], "read_id long, seq string"), empty).count() == 0
