@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from strandline.functions.scoring import fragment_length, fragment_probability
-from strandline.storage import written
+from strandline.storage import dealt, written
 
 SIMILARITY_WEIGHT = 0.3
 PRIOR_SHARE = 0.1
@@ -110,7 +110,7 @@ def family_rollup(state: DataFrame, least: float = 0.1) -> DataFrame:
 
 def pairs(hits: DataFrame) -> DataFrame:
     """JN10, JN13: (pair_id, gene_id) with the best hit of either mate; one mate may be missing."""
-    best = hits.groupBy("pair_id", "gene_id", "is_r2").agg(F.max(F.struct("score", "ref_start", "ref_end")).alias("h"))
+    best = dealt(hits, "pair_id", "gene_id").groupBy("pair_id", "gene_id", "is_r2").agg(F.max(F.struct("score", "ref_start", "ref_end")).alias("h"))
     one = best.where("NOT is_r2").select("pair_id", "gene_id", F.col("h").alias("h1"))
     two = best.where("is_r2").select("pair_id", "gene_id", F.col("h").alias("h2"))
     return one.join(two, ["pair_id", "gene_id"], "full_outer")
@@ -131,7 +131,7 @@ def concordance(hits: DataFrame) -> DataFrame:
     """JN11, JN12: both mates on a gene double the score, else it is halved; strict, so one mate alone never counts twice."""
     over = Window.partitionBy("pair_id", "gene_id")
     both = F.max(F.col("is_r2").cast("int")).over(over) + F.max((~F.col("is_r2")).cast("int")).over(over) == 2
-    return hits.withColumn("concordant", both).withColumn("pair_score", F.col("score") * F.when(F.col("concordant"), 2.0).otherwise(0.5))
+    return dealt(hits, "pair_id", "gene_id").withColumn("concordant", both).withColumn("pair_score", F.col("score") * F.when(F.col("concordant"), 2.0).otherwise(0.5))
 
 
 def fragment_model(lengths: DataFrame, value: str = "length", z: float = 2.0) -> DataFrame:

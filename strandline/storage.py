@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and rows dealt over tasks."""
 
 from __future__ import annotations
 
@@ -34,6 +34,20 @@ def file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+#: Rows that one task groups, sorts or joins.
+TASK_ROWS = 1 << 18
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over a task for every ``TASK_ROWS`` of them, however many shuffle partitions the session has.
+
+    Groups and windows by these keys, and by more than these, need no other shuffle, so
+    a task's memory stays the same while the rows grow.  The rows are counted first.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts its lineage and outlives executors."""
     path = shared_folder(df.sparkSession, name)
