@@ -12,7 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.storage import written
+from strandline.storage import dealt, written
+
+#: A tree of up to so many bytes, 64 a row, is sent to every task; a larger one is joined by a shuffle.
+TREE_BYTES = 128 << 20
 
 
 def closure(taxa: DataFrame, rounds: int = 10) -> DataFrame:
@@ -42,18 +45,31 @@ def depths(tree: DataFrame) -> DataFrame:
     return tree.groupBy("id").agg(F.max("steps").alias("depth"))
 
 
+def _with(rows: DataFrame, side: DataFrame, key: str, few: bool, how: str) -> DataFrame:
+    """``rows`` with the ``side`` (few: sent to all tasks) of their ``key``; else both sides are dealt over tasks of bounded rows."""
+    return rows.join(F.broadcast(side), key, how) if few else dealt(rows, key).join(side, key, how)
+
+
+def _few(tree: DataFrame) -> bool:
+    return tree.count() * 64 <= TREE_BYTES
+
+
+def _paths(tree: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, path): a taxon's ancestors from itself up."""
+    path = F.array_sort(F.collect_list(F.struct("steps", "ancestor")))
+    return tree.where("id IS NOT NULL AND ancestor IS NOT NULL").groupBy(F.col("id").alias(key)).agg(path.alias(name))
+
+
 def lca_pairs(pairs: DataFrame, tree: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """GR02, GR04, GR06: ``pairs`` with lca, the deepest common ancestor; null without one.
 
     Among common ancestors the deepest is the one fewest steps above ``a``.
     """
-    distinct = pairs.select(a, b).distinct()
-    left = tree.select(F.col("id").alias(a), "ancestor", F.col("steps").alias("_sa"))
-    right = tree.select(F.col("id").alias(b), "ancestor", F.col("steps").alias("_sb"))
-    met = distinct.join(left, a).join(right, [b, "ancestor"])
-    found = met.groupBy(a, b).agg(F.min(F.struct("_sa", "ancestor", "_sb")).alias("_m"))
-    found = found.select(a, b, F.col("_m.ancestor").alias("lca"), F.col("_m._sa").alias("up_a"), F.col("_m._sb").alias("up_b"))
-    return pairs.join(found, [a, b], "left")
+    few, others = _few(tree), [c for c in pairs.columns if c not in (a, b)]
+    met = _with(_with(pairs, _paths(tree, a, "_pa"), a, few, "left"), _paths(tree, b, "_pb"), b, few, "left")
+    lca = F.get(F.array_intersect("_pa.ancestor", "_pb.ancestor"), F.lit(0))  # in the order of a's path
+    up = lambda p, c: F.get(f"{p}.steps", (F.array_position(f"{p}.ancestor", F.col("lca")) - 1).cast("int")).alias(c)
+    return met.withColumn("lca", lca).select(a, b, *others, "lca", up("_pa", "up_a"), up("_pb", "up_b"))
 
 
 def distance(up_a: Column, up_b: Column) -> Column:
@@ -71,11 +87,13 @@ def lca_groups(rows: DataFrame, tree: DataFrame, key: str, taxon: str) -> DataFr
 
     Counting how many taxa reach an ancestor needs no fold, and is the same in any order.
     """
-    each = rows.select(key, taxon).distinct()
-    size = each.groupBy(key).agg(F.count("*").alias("n_taxa"))
-    reach = each.join(tree.select(F.col("id").alias(taxon), "ancestor", "steps"), taxon)
-    per = reach.groupBy(key, "ancestor").agg(F.count("*").alias("_n"), F.min("steps").alias("_low"), F.max("steps").alias("_high"))
-    common = per.join(size, key).where(F.col("_n") == F.col("n_taxa"))
+    few = _few(tree)
+    each = dealt(rows.select(key, taxon).where(F.col(key).isNotNull()), key).distinct()
+    each = each.withColumn("n_taxa", F.count("*").over(Window.partitionBy(key)))
+    reach = _with(each, tree.select(F.col("id").alias(taxon), "ancestor", "steps"), taxon, few, "inner")
+    reach = reach if few else dealt(reach, key)
+    per = reach.groupBy(key, "n_taxa", "ancestor").agg(F.count("*").alias("_n"), F.min("steps").alias("_low"), F.max("steps").alias("_high"))
+    common = per.where(F.col("_n") == F.col("n_taxa"))
     best = common.groupBy(key, "n_taxa").agg(F.min(F.struct("_low", "ancestor", "_high")).alias("_m"))
     return best.select(key, F.col("_m.ancestor").alias("lca"), "n_taxa", (F.col("_m._high") - F.col("_m._low")).alias("spread"))
 
@@ -154,8 +172,7 @@ def consistency(votes: DataFrame, tree: DataFrame, read: str = "read_id", decay:
     Gives the exponential and the linear form; a single taxon scores 1.
     """
     over = Window.partitionBy(read).orderBy(F.desc("votes"), "taxon")
-    best = votes.withColumn("_r", F.row_number().over(over)).where("_r = 1").select(read, F.col("taxon").alias("best"))
-    pairs = lca_pairs(votes.join(best, read), tree, "best", "taxon")
+    pairs = lca_pairs(votes.withColumn("best", F.first("taxon").over(over)), tree, "best", "taxon")
     d = distance(F.col("up_a"), F.col("up_b"))
     return pairs.groupBy(read, "best").agg(
         (F.sum(F.exp(-d * decay) * F.col("votes")) / F.sum("votes")).alias("exponential"),
