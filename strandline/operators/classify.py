@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import kmers
+from strandline.storage import dealt
 
 
 def votes(hits: DataFrame, read: str = "read_id", taxon: str = "taxon") -> DataFrame:
-    return hits.groupBy(read, taxon).agg(F.count("*").alias("votes"))
+    return dealt(hits, read).groupBy(read, taxon).agg(F.count("*").alias("votes"))
 
 
 def by_vote(hits: DataFrame, read: str = "read_id", taxon: str = "taxon", total: DataFrame | None = None) -> DataFrame:
@@ -26,7 +27,7 @@ def by_vote(hits: DataFrame, read: str = "read_id", taxon: str = "taxon", total:
 
 def by_pair(hits: DataFrame, pair: str = "pair_id", mate: str = "mate", taxon: str = "taxon", bonus: float = 2.0, least: float = 0.0) -> DataFrame:
     """AG21: votes of both mates; a taxon that both have counts ``bonus`` times."""
-    per = hits.groupBy(pair, taxon).agg(F.count("*").alias("v"), F.count_distinct(mate).alias("mates"))
+    per = dealt(hits, pair).groupBy(pair, taxon).agg(F.count("*").alias("v"), F.count_distinct(mate).alias("mates"))
     scored = per.withColumn("score", F.col("v") * F.when(F.col("mates") > 1, bonus).otherwise(1.0))
     top = scored.groupBy(pair).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(taxon).alias("t"), "mates")).alias("b"), F.sum("score").alias("n"))
     out = top.select(pair, F.col("b.t").alias(taxon), (-F.col("b.s")).alias("score"), (F.col("b.mates") > 1).alias("concordant"), (-F.col("b.s") / F.col("n")).alias("confidence"))
