@@ -17,6 +17,7 @@ from strandline.functions import genes as G
 from strandline.functions import scoring as S
 from strandline.functions import sequence as Q
 from strandline.operators import alleles, asof, classify, coverage, em, features, graph, kmers, minimizers, taxonomy
+from strandline.storage import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,7 +559,7 @@ def paired_classification(spark, sf):
 )
 def two_stage_classification(spark, sf):
     """AG22, AG23."""
-    v = hits(spark, sf).groupBy("read_id", "taxon").agg(F.count("*").alias("votes"), F.count_distinct("gene_id").alias("m"))
+    v = dealt(hits(spark, sf), "read_id").groupBy("read_id", "taxon").agg(F.count("*").alias("votes"), F.count_distinct("gene_id").alias("m"))
     r = v.groupBy("read_id").agg(F.max("votes").alias("best_votes"), F.sum("votes").alias("kmers"), F.sum("m").alias("minimizers"), F.count("*").alias("taxa"))
     out = classify.two_stage(r.withColumn("phylo_score", F.lit(1.0)), phylo=False, min_kmers=2)
     return out.select("read_id", F.round("primary", 6).alias("primary"), F.round("secondary", 6).alias("secondary"), "passed_1", "passed_2")
@@ -580,7 +581,7 @@ def multi_map_genomes(spark, sf):
 )
 def pair_concordance_by_taxon(spark, sf):
     """AG30, RM24."""
-    best = hits(spark, sf).groupBy("pair_id", F.col("is_r2").alias("mate")).agg(F.min("taxon").alias("taxon"))
+    best = dealt(hits(spark, sf), "pair_id").groupBy("pair_id", F.col("is_r2").alias("mate")).agg(F.min("taxon").alias("taxon"))
     return classify.pair_concordance(best).withColumn("share", F.round("share", 6))
 
 
@@ -692,7 +693,8 @@ def cumulative_abundance(spark, sf):
 )
 def phylogenetic_consistency(spark, sf):
     """AG25, AG26."""
-    v = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("read_id"), (F.col("l_suppkey") + 100000).alias("taxon")).agg(F.count("*").alias("votes"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("read_id"), (F.col("l_suppkey") + 100000).alias("taxon"))
+    v = dealt(rows, "read_id").groupBy("read_id", "taxon").agg(F.count("*").alias("votes"))
     out = taxonomy.consistency(v, taxonomy.closure(taxa(spark, sf), 2))
     return out.select("read_id", "best", F.round("exponential", 6).alias("exponential"), F.round("linear", 6).alias("linear"))
 
