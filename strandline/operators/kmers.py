@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,9 @@ def _spread(reads: DataFrame) -> DataFrame:
 _BASE = np.full(256, 4, np.uint8)
 _BASE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 #: Bytes of sequence that are packed at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
+#: Bases that a task turns into a direct filter at least, where there are so many: it may send all of the filter.
+_DIRECT_BASES = 1 << 29
 
 
 def packed_windows(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +93,15 @@ class _Known:
         return i[self.keys[at] == codes[i]]
 
 
+_PAIRS, _NIBBLES = np.int64(0x3333333333333333), np.int64(0x0F0F0F0F0F0F0F0F)
+
+
 def reverse_complements(codes: np.ndarray, k: int) -> np.ndarray:
-    """Packed reverse complements of packed k-mers: A and T, C and G are 3 apart, so bases turn by XOR."""
-    out, left = np.zeros_like(codes), codes.copy()
-    for _ in range(k):
-        out = out << 2 | (left & 3 ^ 3)
-        left >>= 2
-    return out
+    """Packed reverse complements of packed k-mers: A and T, C and G are 3 apart, so bases turn by NOT; they swap by pairs, fours and bytes."""
+    out = ~codes
+    out = out >> 2 & _PAIRS | (out & _PAIRS) << 2
+    out = out >> 4 & _NIBBLES | (out & _NIBBLES) << 4
+    return (out.byteswap().view(np.uint64) >> np.uint64(64 - 2 * k)).view(np.int64)
 
 
 def window_minima(at: np.ndarray, codes: np.ndarray, w: int, mask: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +129,45 @@ def window_minima(at: np.ndarray, codes: np.ndarray, w: int, mask: int = 0) -> t
     return start[by], value[by] ^ mask
 
 
+def _windows(batch: pa.RecordBatch, k: int, w: int = 1, both_strands: bool = False, mask: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(start, k-mer, ends of the rows, the first row) of blocks of rows (key, sequence); with ``both_strands`` each also turned."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(batch):
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + _BLOCK, "right")))
+        texts = [(t or "").encode() for t in batch.column(1).slice(start, stop - start).to_pylist()]
+        at, codes = packed_windows(b" ".join(texts), k)
+        if w > 1:
+            at, codes = window_minima(at, codes, w, mask)
+        if both_strands:
+            at, codes = np.concatenate([at, at]), np.concatenate([codes, reverse_complements(codes, k)])
+        yield at, codes, np.cumsum([len(t) + 1 for t in texts]), start
+        start = stop
+
+
+def _distinct(at: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, k-mer), each once."""
+    row = np.searchsorted(ends, at, "right")
+    order = np.lexsort((codes, row))
+    row, codes = row[order], codes[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])
+    return row[new], codes[new]
+
+
+def _keys(k: int, w: int = 1, both_strands: bool = False, mask: int = 0, least: bool = False) -> bloom.Keys:
+    """The k-mers of rows (key, sequence) as keys of a filter; with ``least`` the lesser of each k-mer and the turned one."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, codes, _, _ in _windows(batch, k, w, both_strands, mask):
+            yield np.minimum(codes, reverse_complements(codes, k)) if least else codes
+
+    return run
+
+
 def packed_kmers(
-    reads: DataFrame, key: str, seq: str, k: int, known: np.ndarray | bloom.Piece | None = None, w: int = 1, both_strands: bool = False, mask: int = 0,
+    reads: DataFrame, key: str, seq: str, k: int, known: np.ndarray | bloom.Piece | Broadcast | None = None, w: int = 1, both_strands: bool = False, mask: int = 0,
 ) -> DataFrame:
     """(key, kmer): each row's distinct valid k-mers as packed longs, only those among ``known`` where it is given.
 
@@ -134,83 +176,79 @@ def packed_kmers(
     filter, goes to each executor once.  With ``w`` above 1 only minimizers count;
     with ``both_strands`` the reverse complements count too.
     """
-    shipped = None if known is None else reads.sparkSession.sparkContext.broadcast(np.sort(known) if isinstance(known, np.ndarray) else known)
+    if isinstance(known, np.ndarray):
+        known = np.sort(known)
+    shipped = known if known is None or isinstance(known, Broadcast) else reads.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = None if shipped is None else shipped.value
         have = _Known(have) if isinstance(have, np.ndarray) else have
         for batch in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            start = 0
-            while start < len(batch):
-                before = size[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(size, before + _BLOCK, "right")))
-                texts = [(t or "").encode() for t in batch.column(1).slice(start, stop - start).to_pylist()]
-                ends = np.cumsum([len(t) + 1 for t in texts])
-                at, codes = packed_windows(b" ".join(texts), k)
-                if w > 1:
-                    at, codes = window_minima(at, codes, w, mask)
-                if both_strands:
-                    at, codes = np.concatenate([at, at]), np.concatenate([codes, reverse_complements(codes, k)])
+            for at, codes, ends, start in _windows(batch, k, w, both_strands, mask):
                 if have is not None:
                     i = have.among(codes)
                     at, codes = at[i], codes[i]
-                row = np.searchsorted(ends, at, "right")
-                order = np.lexsort((codes, row))
-                row, codes = row[order], codes[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + start)), pa.array(codes[new])], [key, "kmer"])
-                start = stop
+                row, codes = _distinct(at, codes, ends)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + start)), pa.array(codes)], [key, "kmer"])
 
     return reads.select(key, seq).mapInArrow(run, f"{key} {reads.schema[key].dataType.simpleString()}, kmer long")
 
 
 def may_meet(
     reads: DataFrame, known: DataFrame, key: str, seq: str, k: int, exact: int | None = None, w: int = 1, mask: int = 0, both_strands: bool = False,
+    keys: bloom.Keys | None = None,
 ) -> DataFrame:
-    """FLT01: (key, kmer) of the reads' k-mers that may be in ``known``, a written table of distinct packed k-mers.
-
-    Up to ``exact`` of them (8 MB for a million) are sent as they are; of more a
-    Bloom filter of ``bloom.BITS_PER_KEY`` bits each is sent, so what comes out is
-    the true hits and ``bloom.false_positive_rate`` of all others.  A filter of
-    several pieces is a pass over the reads for each; only where it would have more
-    than ``PIECES`` (134 million k-mers) do all k-mers come out.
+    """FLT01: (key, kmer), written, of the reads' k-mers that may be in ``known``, a written table.
+
+    ``known`` has the packed k-mers as they are, or ``keys`` packs them from its
+    rows in the tasks; repeated ones do no harm.  Up to ``exact`` distinct
+    ones (8 MB for a million) are sent as they are; of more a Bloom filter of
+    ``bloom.BITS_PER_KEY`` bits each is sent, so what comes out is the true hits
+    and ``bloom.false_positive_rate`` of all others.  A filter of several pieces is
+    a pass over both sides for each, one at a time; only where it would have more
+    than ``PIECES`` (half a billion k-mers) do all k-mers come out.
     """
     exact = BROADCAST_KEYS if exact is None else exact
-    n = known.count()
+    known, keys = (known.select("kmer"), bloom.column) if keys is None else (known, keys)
+    n = bloom.distinct(known, keys)
     if n <= exact:
-        keys = known.toArrow()["kmer"].to_numpy().astype(np.int64)
-        return packed_kmers(reads, key, seq, k, keys, w, both_strands, mask)
+        sent = bloom.listed(known, keys).toArrow()["kmer"].to_numpy().astype(np.int64)
+        return written(packed_kmers(reads, key, seq, k, sent, w, both_strands, mask), "met")
     words = bloom.words_for(n)
     if words * 8 > PIECES * bloom.PIECE_BYTES:
-        return packed_kmers(reads, key, seq, k, None, w, both_strands, mask)
-    table = written(bloom.build(known, words), "bloom")
-    passes = [packed_kmers(reads, key, seq, k, piece, w, both_strands, mask) for piece in bloom.pieces(table, words)]
+        return written(packed_kmers(reads, key, seq, k, None, w, both_strands, mask), "met")
+    passes = []
+    for piece in bloom.built(known, words, keys):
+        shipped = reads.sparkSession.sparkContext.broadcast(piece)
+        passes.append(written(packed_kmers(reads, key, seq, k, shipped, w, both_strands, mask), "met"))
+        shipped.destroy()
     return reduce(DataFrame.unionByName, passes)
 
 
+def _sequences(rows: DataFrame, key: str, seq: str) -> tuple[DataFrame, int]:
+    """The rows' keys and sequences, written, so that each further pass reads no more than them; and their bases."""
+    table = written(_spread(rows.select(key, seq)), "sequences", "zstd")
+    return table, table.agg(F.sum(F.length(seq).cast("long"))).first()[0] or 0
+
+
 def _met(
-    reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str | None, seq: str,
-    exact: int | None = None, w: int = 1, both_strands: bool = False, mask: int = 0,
+    reads: DataFrame, reference: DataFrame, k: int, read_id: str, ref_id: str, seq: str,
+    exact: int | None = None, w: int = 1, both_strands: bool = False, mask: int = 0, sizes: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Reads' distinct k-mers that the reference may have, and the reference's.
+    """(read, kmer) and (reference, kmer), written, that the other side may have; ``sizes`` are the bases of both where they have been written.
 
-    Of a reference with more bases than the reads only k-mers that the reads may
-    have are kept: those of the reads are sent first, as keys or filter, so neither
-    side shuffles what the other cannot have.
+    The side with fewer bases is sent first, as keys or filter, and screens the
+    other; what of that is left screens the first.  So neither side shuffles or
+    writes what the other cannot have.  A k-mer comes out once for each row.
     """
-    own = [ref_id] if ref_id else []
-    key = ref_id or reference.columns[0]
-    bases = lambda rows: rows.agg(F.sum(F.length(seq).cast("long"))).first()[0] or 0
-    if bases(reference) > bases(reads):
-        wanted = written(packed_kmers(_spread(reads.select(read_id, seq)), read_id, seq, k, None, w, mask=mask).select("kmer").distinct(), "read-kmers")
-        packed = may_meet(_spread(reference.select(key, seq)), wanted, key, seq, k, exact, w, mask, both_strands)
-    else:
-        packed = packed_kmers(reference.select(key, seq), key, seq, k, None, w, both_strands, mask)
-    b = written(packed.select("kmer", *own).distinct(), "reference-kmers")
-    known = written(b.select("kmer").distinct(), "known-kmers") if own else b
-    return may_meet(_spread(reads.select(read_id, seq)), known, read_id, seq, k, exact, w, mask), b
+    if sizes is None:
+        (reads, of_reads), (reference, of_reference) = _sequences(reads, read_id, seq), _sequences(reference, ref_id, seq)
+        sizes = of_reads, of_reference
+    sides = [(reads, read_id, False), (reference, ref_id, both_strands)]
+    (small, small_id, small_both), (large, large_id, large_both) = sides if sizes[0] < sizes[1] else sides[::-1]
+    from_large = may_meet(large, small, large_id, seq, k, exact, w, mask, large_both, _keys(k, w, small_both, mask))
+    from_small = may_meet(small, from_large, small_id, seq, k, exact, w, mask, small_both)
+    return (from_small, from_large) if sizes[0] < sizes[1] else (from_large, from_small)
 
 
 def matches(
@@ -218,16 +256,68 @@ def matches(
 ) -> DataFrame:
     """JN01: (read, reference) with the number of distinct k-mers they share, at least ``least``; k up to 31.
 
-    The reference's k-mers are counted first.  Up to ``exact`` (a million) are
-    sent to all tasks, of more a Bloom filter, and reads are screened where they
-    are packed, so that only k-mers the reference has, or that the filter lets
-    through, are ever shuffled; the join is exact either way.
+    Each side is screened by the other where it is packed: by its k-mers, up to
+    ``exact`` (a million) of them, or a Bloom filter, so that only k-mers the other
+    has, or that the filter lets through, are ever shuffled; the join is exact
+    either way.
     """
     a, b = _met(reads, reference, k, read_id, ref_id, seq, exact)
-    met = a.distinct().join(b, "kmer")  # each (read, k-mer) and (reference, k-mer) once, so each triple too
+    met = a.distinct().join(b.distinct(), "kmer")  # each (read, k-mer) and (reference, k-mer) once, so each triple too
     return met.groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def _counted(reads: DataFrame, piece: bloom.Piece, key: str, seq: str, k: int, w: int, both_strands: bool, mask: int) -> DataFrame:
+    """(key, found), written: the distinct k-mers that a direct filter has, counted where they are packed; only keys of several rows are shuffled by k-mer."""
+    shipped = reads.sparkSession.sparkContext.broadcast(piece)
+
+    def hits(rows: DataFrame, each: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have = shipped.value
+            for batch in batches:
+                for at, codes, ends, start in _windows(batch, k, w, False, mask):
+                    i = have.among(np.minimum(codes, reverse_complements(codes, k)) if both_strands else codes)
+                    row, value = _distinct(at[i], codes[i], ends)
+                    if not each:
+                        row, value = np.unique(row, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + start)), pa.array(value)], [key, name])
+
+        name = "kmer" if each else "found"
+        return rows.select(key, seq).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {name} long")
+
+    several = written(reads.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("_key")), "repeated")
+    if several.isEmpty():
+        found = written(hits(reads, False), "found")
+    else:
+        here = F.col(key).eqNullSafe(F.col("_key"))
+        rest = hits(reads.join(several, here, "left_semi"), True).distinct().groupBy(key).agg(F.count("*").alias("found"))
+        found = written(hits(reads.join(several, here, "left_anti"), False).unionByName(rest), "found")
+    shipped.destroy()
+    return found
+
+
+def _screened(
+    reads: DataFrame, reference: DataFrame, k: int, read_id: str, seq: str, least: int, exact: int | None, w: int = 1, both_strands: bool = False, mask: int = 0,
+) -> DataFrame:
+    """Reads with at least ``least`` distinct k-mers of the reference, and how many.
+
+    Where a filter of the reference's k-mers would have more bits than there are
+    possible k-mers (k up to 15), each gets a bit of its own: that filter is exact,
+    so reads are counted where they are packed and no k-mer is shuffled.  With
+    ``both_strands`` it then has the lesser of each k-mer and its reverse complement.
+    """
+    key = reference.columns[0]
+    (reads, of_reads), (reference, of_reference) = _sequences(reads, read_id, seq), _sequences(reference, key, seq)
+    if 64 <= 4**k <= min(8 * bloom.PIECE_BYTES, bloom.BITS_PER_KEY * of_reference * 2 // (w + 1)):
+        tasks = max(reads.sparkSession.sparkContext.defaultParallelism, of_reference // _DIRECT_BASES)
+        rows = reference.select(key, seq).coalesce(tasks)
+        (piece,) = bloom.built(rows, 4**k // 64, _keys(k, w, False, mask, both_strands), direct=True)
+        found = _counted(reads, piece, read_id, seq, k, w, both_strands, mask)
+    else:
+        a, b = _met(reads, reference, k, read_id, key, seq, exact, w, both_strands, mask, (of_reads, of_reference))
+        found = a.join(b.select("kmer").distinct(), "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
+    return found.where(F.col("found") >= least)
+
+
 def screen(
     reads: DataFrame, reference: DataFrame, k: int, read_id: str, seq: str = "seq", least: int = 3, exact: int | None = None, both_strands: bool = False,
 ) -> DataFrame:
@@ -235,17 +325,14 @@ def screen(
 
     With ``both_strands`` a k-mer also counts where the reference has its reverse complement.
     """
-    a, b = _met(reads, reference, k, read_id, None, seq, exact, both_strands=both_strands)
-    hits = a.join(b, "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
-    return hits.where(F.col("found") >= least)
+    return _screened(reads, reference, k, read_id, seq, least, exact, both_strands=both_strands)
 
 
 def minimizer_screen(
     reads: DataFrame, reference: DataFrame, k: int, w: int, read_id: str, seq: str = "seq", exact: int | None = None, mask: int = 0,
 ) -> DataFrame:
     """FLT03: reads with any minimizer of the reference, and how many; the least k-mer of each ``w`` in a row, by code XOR ``mask``."""
-    a, b = _met(reads, reference, k, read_id, None, seq, exact, w, mask=mask)
-    return a.join(b, "kmer", "left_semi").distinct().groupBy(read_id).agg(F.count("*").alias("found"))
+    return _screened(reads, reference, k, read_id, seq, 1, exact, w, mask=mask)
 
 
 def specificity(index: DataFrame, *owners: str) -> DataFrame:

@@ -217,7 +217,11 @@ def _said(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items and turns of conversations as reads; all documents are their reference."""
     items = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
     turns = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), "text")
-    return items.unionByName(turns).select("id", Q.dna_of_text(F.col("text")).alias("seq"))
+    return items.unionByName(turns).select("id", Q.dna_of_long_text(F.col("text")).alias("seq"))
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", Q.dna_of_long_text(F.col("text")).alias("seq"))
 
 
 @query(
@@ -228,7 +232,7 @@ def _said(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bloom_screen(spark, sf):
     """FLT01, FLT02: reads with three 15-mers of all documents on either strand, through a Bloom filter whatever their number."""
-    return kmers.screen(_said(spark, sf), reads(spark, sf), 15, "id", exact=0, both_strands=True)
+    return kmers.screen(_said(spark, sf), _documents(spark, sf), 15, "id", exact=0, both_strands=True)
 
 
 @query(
@@ -238,7 +242,7 @@ def bloom_screen(spark, sf):
 )
 def bloom_matches(spark, sf):
     """FLT01, JN01: the reads and documents that share two 20-mers, through a Bloom filter."""
-    return kmers.matches(_said(spark, sf), reads(spark, sf), 20, "id", "doc_id", least=2, exact=0)
+    return kmers.matches(_said(spark, sf), _documents(spark, sf), 20, "id", "doc_id", least=2, exact=0)
 
 
 def _minimizers_sql(source: str, key: str, k: int, w: int) -> str:
@@ -255,7 +259,7 @@ def _minimizers_sql(source: str, key: str, k: int, w: int) -> str:
 )
 def bloom_minimizers(spark, sf):
     """FLT01, FLT03: reads with any minimizer of all documents, through a Bloom filter."""
-    return kmers.minimizer_screen(_said(spark, sf), reads(spark, sf), 15, 10, "id", exact=0)
+    return kmers.minimizer_screen(_said(spark, sf), _documents(spark, sf), 15, 10, "id", exact=0)
 
 
 _FRAMES = _PEPTIDES + """, parts AS (SELECT item_id, CAST(frame AS INTEGER) AS frame, string_split(p, '*') AS ps FROM fr),

@@ -48,8 +48,8 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(tasks, *keys)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts its lineage and outlives executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)

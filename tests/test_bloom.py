@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from strandline.functions import sequence as Q
 from strandline.operators import bloom, kmers
 from strandline.storage import written
 
@@ -98,3 +100,71 @@ def test_a_larger_reference_is_screened_by_the_reads(spark):
         got = {(r.id, r.ref, r.shared) for r in kmers.matches(reads, reference, 20, "id", "ref", exact=exact).collect()}
         assert got == {(f"r{i}", i, 21) for i in range(0, 60, 7)}
         assert kept.count() < 0.1 * 60 * 381
+
+
+def turned(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+@pytest.mark.parametrize("k", [6, 7])
+def test_of_short_kmers_each_has_its_own_bit_and_none_is_shuffled(spark, monkeypatch, k):
+    """Reads are counted where they are packed, also where an id has several rows, or none; no k-mer is joined."""
+    monkeypatch.setattr(kmers, "_met", None)
+    rng = random.Random(21)
+    ref = [dna(rng, 800) for _ in range(4)] + [None, "", "ACGTNACG"]
+    reads = [(i % 25, dna(rng, 60)) for i in range(40)] + [(90, None), (91, "AC"), (None, ref[0][:30]), (None, turned(ref[0][20:50])), (92, "ACGTN" + ref[1][:20] + "N" + ref[1][:20])]
+    a, b = spark.createDataFrame(reads, "id long, seq string").repartition(5), spark.createDataFrame(list(enumerate(ref)), "rid long, seq string")
+    words = lambda s: {s[i : i + k] for i in range(len(s or "") - k + 1) if "N" not in s[i : i + k]}
+    known = set().union(*map(words, ref))
+    by_id = {}
+    for i, s in reads:
+        by_id.setdefault(i, set()).update(words(s))
+    for both in (False, True):
+        have = known | {turned(x) for x in known} if both else known
+        for rows, of in ((a, by_id), (a.where("id = 92"), {92: by_id[92]})):
+            got = [(r.id, r.found) for r in kmers.screen(rows, b, k, "id", least=3, exact=0, both_strands=both).collect()]
+            assert sorted(got, key=str) == sorted(((i, n) for i, x in of.items() if (n := len(x & have)) >= 3), key=str)
+    single = list({i: s for i, s in reads}.items())
+    least = {i: len(minimizers(s, k, 4, 0) & set().union(*(minimizers(r, k, 4, 0) for r in ref))) for i, s in single}
+    got = {r.id: r.found for r in kmers.minimizer_screen(spark.createDataFrame(single, "id long, seq string"), b, k, 4, "id", exact=0).collect()}
+    assert got == {i: n for i, n in least.items() if n}
+
+
+def test_blocks_are_the_same_however_they_travel(spark):
+    """Few bits of a block go as places, many as they are; ranges of a direct filter make up the whole."""
+    rng = np.random.default_rng(5)
+    bits = np.zeros(5 * bloom.BLOCK + 7, np.int64)
+    bits[: bloom.BLOCK] = rng.integers(-(1 << 62), 1 << 62, bloom.BLOCK)
+    bits[3 * bloom.BLOCK + 5], bits[-1] = -1, 1
+    blocks = bloom._sent(bits, 7 * bloom.BLOCK)
+    assert [(w - 7 * bloom.BLOCK, b is None, p is None) for w, b, p in blocks] == [(0, False, True), (3 * bloom.BLOCK, True, False), (5 * bloom.BLOCK, True, False)]
+    rows = spark.createDataFrame(blocks + blocks, "word long, bits binary, places binary")
+    piece = bloom._piece(bloom._ored(rows), 20 * bloom.BLOCK, 7 * bloom.BLOCK, 7 * bloom.BLOCK + len(bits))
+    assert (piece.bits == bits).all()
+    keys = np.unique(rng.integers(0, 1 << 20, 3000))
+    table = spark.createDataFrame([(int(x),) for x in keys], "kmer long").repartition(3)
+    cut = [bloom._piece(bloom.build(table, 1 << 14, start=s, stop=s + 3000 if s < 12000 else 1 << 14, direct=True), 1 << 14, s, s + 3000 if s < 12000 else 1 << 14, True) for s in range(0, 15000, 3000)]
+    assert sum(int(np.bitwise_count(p.bits.view(np.uint64)).sum()) for p in cut) == len(keys)
+    assert sorted(i for p in cut for i in p.among(keys).tolist()) == list(range(len(keys)))
+    assert not any(len(p.among(np.setdiff1d(np.arange(1 << 20), keys))) for p in cut)
+
+
+def test_distinct_keys_are_counted_by_their_least_hashes(spark):
+    for n in (0, 5, 4000, 60_000):
+        rows = spark.range(n).select(F.explode(F.array(F.col("id") * 7919, F.col("id") * 7919)).alias("kmer")).repartition(3)
+        assert bloom.distinct(rows) == n if n < bloom.SKETCH else abs(bloom.distinct(rows) - n) < 0.08 * n
+        assert bloom.listed(rows).count() == n
+
+
+def test_reverse_complements_of_every_length():
+    rng = random.Random(23)
+    for k in range(1, 32):
+        texts = [dna(rng, k) for _ in range(20)]
+        code = lambda s: kmers.packed_windows(s.encode(), k)[1][0]
+        assert kmers.reverse_complements(np.array([code(s) for s in texts]), k).tolist() == [code(turned(s)) for s in texts]
+
+
+def test_letters_become_the_same_bases_over_batches(spark):
+    texts = ["", None, "Abc xyz, Z!", "caf\u00e9 \u212aelvin \u0130stanbul \u00df\u017f \U0001f600k", "a\nb\0c\u0301", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(Q.dna_of_text(F.col("text")).alias("a"), Q.dna_of_long_text("text").alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
