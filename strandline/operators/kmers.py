@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandline.functions.alignment import seed_extension
 from strandline.functions.sequence import kmer_array, kmers
 from strandline.operators import bloom
-from strandline.storage import written
+from strandline.storage import TASK_ROWS, written
 
 
 def counts(reads: DataFrame, seq: str, k: int) -> DataFrame:
@@ -26,7 +26,7 @@ def counts(reads: DataFrame, seq: str, k: int) -> DataFrame:
 #: Reference k-mers up to this many are sent to every task; of more a Bloom filter is sent.
 BROADCAST_KEYS = 1_000_000
 #: Pieces that a Bloom filter may have, each a pass over the reads; beyond that all k-mers are shuffled.
-PIECES = 8
+PIECES = 16
 
 
 #: Tables under this size are dealt over all cores first: a small file may be a single split.
@@ -206,7 +206,7 @@ def may_meet(
     ``bloom.BITS_PER_KEY`` bits each is sent, so what comes out is the true hits
     and ``bloom.false_positive_rate`` of all others.  A filter of several pieces is
     a pass over both sides for each, one at a time; only where it would have more
-    than ``PIECES`` (half a billion k-mers) do all k-mers come out.
+    than ``PIECES`` (a billion k-mers) do all k-mers come out.
     """
     exact = BROADCAST_KEYS if exact is None else exact
     known, keys = (known.select("kmer"), bloom.column) if keys is None else (known, keys)
@@ -259,11 +259,13 @@ def matches(
     Each side is screened by the other where it is packed: by its k-mers, up to
     ``exact`` (a million) of them, or a Bloom filter, so that only k-mers the other
     has, or that the filter lets through, are ever shuffled; the join is exact
-    either way.
+    either way, in a task for every ``TASK_ROWS`` of both sides.
     """
     a, b = _met(reads, reference, k, read_id, ref_id, seq, exact)
-    met = a.distinct().join(b.distinct(), "kmer")  # each (read, k-mer) and (reference, k-mer) once, so each triple too
-    return met.groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, -(-(a.count() + b.count()) // TASK_ROWS))
+    once = lambda rows: rows.repartition(tasks, "kmer").distinct()
+    met = once(a).join(once(b), "kmer")  # each (read, k-mer) and (reference, k-mer) once, so each triple too
+    return met.repartition(tasks, read_id, ref_id).groupBy(read_id, ref_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def _counted(reads: DataFrame, piece: bloom.Piece, key: str, seq: str, k: int, w: int, both_strands: bool, mask: int) -> DataFrame:

@@ -130,6 +130,20 @@ def test_of_short_kmers_each_has_its_own_bit_and_none_is_shuffled(spark, monkeyp
     assert got == {i: n for i, n in least.items() if n}
 
 
+def test_neither_side_keeps_what_the_other_cannot_have(spark):
+    """Whichever side is larger; and the k-mers of the conversations beside 6 GB of documents, some 600 million, still go as a filter."""
+    rng = random.Random(22)
+    long, short = [(i, dna(rng, 900)) for i in range(30)], [(100 + i, dna(rng, 200)) for i in range(30)]
+    short += [(200, long[3][1][10:60])]
+    for reads, reference in ((long, short), (short, long)):
+        a, b = spark.createDataFrame(reads, "id long, seq string"), spark.createDataFrame(reference, "ref long, seq string")
+        for exact in (0, None):
+            kept = kmers._met(a, b, 20, "id", "ref", "seq", exact)
+            assert all(31 <= rows.count() < 31 + 0.03 * 30 * 900 for rows in kept)
+            assert [r.shared for r in kmers.matches(a, b, 20, "id", "ref", exact=exact).collect()] == [31]
+    assert bloom.words_for(600_000_000) * 8 <= kmers.PIECES * bloom.PIECE_BYTES
+
+
 def test_blocks_are_the_same_however_they_travel(spark):
     """Few bits of a block go as places, many as they are; ranges of a direct filter make up the whole."""
     rng = np.random.default_rng(5)
