@@ -44,7 +44,7 @@ _BASE = np.full(256, 4, np.uint8)
 _BASE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 #: Bytes of sequence that are packed at once.
 _BLOCK = 1 << 17
-#: Bases that a task turns into a direct filter at least, where there are so many: it may send all of the filter.
+#: Bases that a task turns into a direct filter at most, if the splits allow; not many fewer, as it may send all of the filter.
 _DIRECT_BASES = 1 << 29
 
 
@@ -310,8 +310,8 @@ def _screened(
     key = reference.columns[0]
     (reads, of_reads), (reference, of_reference) = _sequences(reads, read_id, seq), _sequences(reference, key, seq)
     if 64 <= 4**k <= min(8 * bloom.PIECE_BYTES, bloom.BITS_PER_KEY * of_reference * 2 // (w + 1)):
-        tasks = max(reads.sparkSession.sparkContext.defaultParallelism, of_reference // _DIRECT_BASES)
-        rows = reference.select(key, seq).coalesce(tasks)
+        cores = reads.sparkSession.sparkContext.defaultParallelism
+        rows = reference.select(key, seq).coalesce(cores * max(1, -(-of_reference // (cores * _DIRECT_BASES))))
         (piece,) = bloom.built(rows, 4**k // 64, _keys(k, w, False, mask, both_strands), direct=True)
         found = _counted(reads, piece, read_id, seq, k, w, both_strands, mask)
     else:
